@@ -12,6 +12,7 @@ import uuid
 import zlib
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,7 +76,7 @@ def slices(batch: pa.RecordBatch, rows: int = 256, limit: int = 4 << 20):
     sizes = [0] * batch.num_rows
     for column in batch.columns:
         if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
-            for i, n in enumerate(pa.compute.binary_length(column).to_pylist()):
+            for i, n in enumerate(pc.binary_length(column).to_pylist()):
                 sizes[i] += n or 0
     start = total = 0
     for i, n in enumerate(sizes):

@@ -19,6 +19,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailweave.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailweave.llm.common import scratch_path
     from trailweave.llm.tokenfiles import read_token_files, write_token_files
