@@ -25,6 +25,18 @@ def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailweave.llm.licences import licence_report
+
+    return licence_report(table(spark, sf_dir, "documents"))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailweave.llm.personal import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailweave.llm.common import scratch_path
     from trailweave.llm.tokenfiles import read_token_files, write_token_files
