@@ -61,13 +61,10 @@ def _foot(place: int) -> bytes:
 
 def train_dictionary(df: DataFrame, path: str) -> bytes:
     """A dictionary for serialized id arrays; empty if there is too little to train on."""
-    rows = (
-        df.select(F.xxhash64(F.col("doc_id"), F.length("text")).alias("h"), F.substring("text", 1, 4 * SAMPLE_IDS).alias("text"))
-        .where("text is not null")
-        .orderBy("h")
-        .limit(SAMPLE)
-        .collect()
-    )
+    hashed = df.where("text is not null").withColumn("h", F.xxhash64(F.col("doc_id"), F.length("text")))
+    lowest = hashed.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h").alias("h")).first().h
+    # repeated rows share a hash; the second limit bounds what comes to the driver
+    rows = hashed.where(F.col("h") <= F.lit(lowest)).select(F.substring("text", 1, 4 * SAMPLE_IDS).alias("text")).limit(SAMPLE).collect() if lowest is not None else []
     samples = [b"".join(encode_pieces(path, r.text.encode().split()))[: 4 * SAMPLE_IDS] for r in rows]
     try:
         return zstandard.train_dictionary(DICTIONARY, [s for s in samples if s], level=3).as_bytes()
