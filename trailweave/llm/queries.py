@@ -31,12 +31,32 @@ def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_report(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailweave.llm.common import fold_of
+    from trailweave.llm.language import predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of(F.col("doc_id"), 4) == 2
+    model = train(docs.where(~held_out))
+    out = predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailweave.llm.personal import personal_data
 
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailweave.llm.common import fold_of
+    from trailweave.llm.toxicity import predict, train, training_rows
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(training_rows(docs, table(spark, sf_dir, "labels")))
+    return predict(docs, model).withColumn("held_out", fold_of(F.col("doc_id"), 5) == 0).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailweave.llm.common import scratch_path
     from trailweave.llm.tokenfiles import read_token_files, write_token_files
