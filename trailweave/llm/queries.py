@@ -19,6 +19,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailweave.llm.pieces import model_path, round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), model_path())
+
+
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailweave.llm.neardup import near_duplicates
 
