@@ -183,6 +183,10 @@ def _numbered(path: str, out: str):
     return run
 
 
+# SQL: first and last place of a match, from its number.
+_START, _END = "CAST(shiftright(x, 23) & 63 AS INT)", "CAST(shiftright(x, 17) & 63 AS INT)"
+
+
 def bpe_fold(edges: str, n: str) -> str:
     """SQL: the cuts left (a bit mask of places 0..n) after replaying merges on a lattice.
 
@@ -220,28 +224,27 @@ def viterbi_fold(edges: str, n: str) -> str:
 def lattice_ids(units: DataFrame, path: str, keys: list[str], carried: list[str], kind: str = "bpe") -> DataFrame:
     """``keys, carried, ids`` for ``units`` of at most ``LONG`` characters (column ``unit``, one of the keys)."""
     spark, model = units.sparkSession, pieces(path)
-    table = [("", -1, 0, 0.0)] + [(p, i, model.ranks[p], model.scores[p]) for p, i in model.ids.items()]
+    table = [("", 0, 0, 0.0)] + [(p, i, model.ranks[p], model.scores[p]) for p, i in model.ids.items()]
     dictionary = F.broadcast(spark.createDataFrame(table, "piece string, id int, rank int, score double"))
     n = "char_length(unit)"
-    spans = f"""concat(array(named_struct('s', 0, 'e', 0)),
-        flatten(transform(sequence(0, {n} - 1), s -> transform(sequence(s + 1, least({n}, s + {model.longest})), e -> named_struct('s', s, 'e', e)))))"""
-    edges = (
-        units.select(*keys, *carried, F.explode(F.expr(spans)).alias("x"))
-        .select(*keys, *carried, F.expr("substring(unit, x.s + 1, x.e - x.s)").alias("piece"), "x")
-        .join(dictionary, "piece")
-        .groupBy(*keys)
-        .agg(
-            F.collect_list(F.struct(F.col("rank").alias("r"), F.col("x.s").alias("s"), F.col("x.e").alias("e"), "id", "score")).alias("lattice"),
-            *[F.first(c).alias(c) for c in carried],
-        )
+    # the empty substring keeps units that no piece is part of
+    spans = (
+        units.select(*keys, *carried, F.explode(F.expr(f"sequence(-1, {n} - 1)")).alias("s"))
+        .select(*keys, *carried, "s", F.explode(F.expr(f"if(s < 0, array(0), sequence(s + 1, least({n}, s + {model.longest})))")).alias("e"))
+        .select(*keys, *carried, "s", "e", F.expr("substring(unit, s + 1, e - greatest(s, 0))").alias("piece"))
     )
+    # one number for each match: rank, first place, end, id; in this order the best merge is the least
+    packed = "shiftleft(CAST(rank AS BIGINT), 29) | shiftleft(CAST(greatest(s, 0) AS BIGINT), 23) | shiftleft(CAST(e AS BIGINT), 17) | id"
+    match = F.expr(packed) if kind == "bpe" else F.struct(F.expr(packed).alias("k"), "score")
+    edges = spans.join(dictionary, "piece").groupBy(*keys).agg(F.collect_list(match).alias("lattice"), *[F.first(c).alias(c) for c in carried])
     if kind == "bpe":
-        steps = """transform(filter(lattice, x -> x.e - x.s > 1), x -> named_struct('k', x.r * 4096L + x.s * 64 + x.e,
-            'm', shiftleft(1L, x.e) - shiftleft(1L, x.s + 1), 'b', shiftleft(1L, x.e) | shiftleft(1L, x.s)))"""
-        cuts = bpe_fold("steps", n)
+        steps = f"""transform(filter(lattice, x -> {_END} - {_START} > 1), x -> named_struct('k', x,
+            'm', shiftleft(1L, {_END}) - shiftleft(1L, {_START} + 1), 'b', shiftleft(1L, {_END}) | shiftleft(1L, {_START})))"""
+        cuts, numbers = bpe_fold("steps", n), F.col("lattice")
     else:
-        steps = "array_sort(transform(filter(lattice, x -> x.e > x.s), x -> named_struct('e', x.e, 's', x.s, 'score', x.score)))"
-        cuts = viterbi_fold("steps", n)
+        ends = _END.replace("x", "x.k"), _START.replace("x", "x.k")
+        steps = f"array_sort(transform(filter(lattice, x -> {ends[0]} > {ends[1]}), x -> named_struct('e', {ends[0]}, 's', {ends[1]}, 'score', x.score)))"
+        cuts, numbers = viterbi_fold("steps", n), F.expr("transform(lattice, x -> x.k)")
     unknown = (
         f"array({model.unknown})"
         if model.first_byte is None
@@ -249,10 +252,10 @@ def lattice_ids(units: DataFrame, path: str, keys: list[str], carried: list[str]
     )
     ids = f"""flatten(transform(filter(sequence(0, {n} - 1), a -> (cuts & shiftleft(1L, a)) <> 0), a ->
         element_at(transform(array(cuts & ~(shiftleft(1L, a + 1) - 1L)), rest ->
-          element_at(transform(array(filter(lattice, x -> x.s = a AND x.e = bit_count((rest & -rest) - 1L))), hit ->
-            if(size(hit) > 0, array(hit[0].id),
+          element_at(transform(array(filter(numbers, x -> (x & 536739840L) = a * 8388608L + bit_count((rest & -rest) - 1L) * 131072L)), hit ->
+            if(size(hit) > 0, array(CAST(hit[0] & 131071L AS INT)),
                element_at(transform(array(substring(unit, a + 1, 1)), ch -> {unknown}), 1))), 1)), 1)))"""
-    return edges.withColumn("steps", F.expr(steps)).withColumn("cuts", F.expr(cuts)).select(*keys, *carried, F.expr(ids).alias("ids"))
+    return edges.withColumn("numbers", numbers).withColumn("steps", F.expr(steps)).withColumn("cuts", F.expr(cuts)).select(*keys, *carried, F.expr(ids).alias("ids"))
 
 
 def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", kind: str = "bpe") -> DataFrame:
