@@ -46,7 +46,7 @@ from trailweave.llm.common import materialize, open_fs, scratch_path, slices
 BLANK = "▁"
 LONG = 60
 #: Bytes of text in a chunk, about, and distinct units after which it ends; chunks in a group.
-CHUNK, UNITS, SPREAD = 32 << 20, 400_000, 4_096
+CHUNK, UNITS, SPREAD = 12 << 20, 160_000, 4_096
 _MODELS: dict = {}
 
 
@@ -152,7 +152,7 @@ def _numbered(path: str, out: str):
         ids, rows, number, size = [], [], {}, 0
 
         def close() -> pa.RecordBatch:
-            name, unit, parts = uuid.uuid4().hex, {}, []
+            name, unit, parts = uuid.uuid4().int >> 65, {}, []
             for s in number:
                 parts.append([unit.setdefault(u, len(unit)) for u in model.units(s)])
             payload = {
@@ -165,7 +165,7 @@ def _numbered(path: str, out: str):
             with fs.open_output_stream(f"{base}/{name}") as f:
                 f.write(zstandard.compress(pickle.dumps(payload, protocol=5), 3))
             return pa.RecordBatch.from_pydict(
-                {"chunk": [name], "units": pa.array([list(unit)], pa.list_(pa.string())), "longest": pa.array([max(map(len, unit), default=0)], pa.int32())}
+                {"chunk": pa.array([name], pa.int64()), "units": pa.array([list(unit)], pa.list_(pa.string())), "longest": pa.array([max(map(len, unit), default=0)], pa.int32())}
             )
 
         for batch in batches:
@@ -263,7 +263,7 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     spark = df.sparkSession
     out, key = scratch_path(spark, "unit-numbers"), df.schema[doc_id].dataType.simpleString()
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    chunks = materialize(rows.mapInArrow(_numbered(path, out), "chunk string, units array<string>, longest int"), "chunks")
+    chunks = materialize(rows.mapInArrow(_numbered(path, out), "chunk long, units array<string>, longest int"), "chunks")
     places = chunks.select(
         F.col("chunk"), F.pmod(F.xxhash64("chunk"), F.lit(max(1, chunks.count() // SPREAD))).alias("salt"), F.posexplode("units").alias("place", "unit")
     )
@@ -278,7 +278,7 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
 
     if chunks.where(F.col("longest") > LONG).limit(1).count():
         long_ = grouped.where(F.char_length("unit") > LONG).select("at", "unit")
-        short = short.unionByName(long_.mapInArrow(heaped, "at array<struct<chunk:string,place:int>>, ids array<int>"))
+        short = short.unionByName(long_.mapInArrow(heaped, "at array<struct<chunk:bigint,place:int>>, ids array<int>"))
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(out)
@@ -306,11 +306,11 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
         for batch in batches:
             for c, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if c != chunk:
-                    if chunk:
+                    if chunk is not None:
                         yield from finished()
                     chunk, found = c, []
                 found.append(ids)
-        if chunk:
+        if chunk is not None:
             yield from finished()
 
     from pyspark.sql.pandas.types import to_arrow_type
