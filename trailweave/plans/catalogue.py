@@ -1,19 +1,752 @@
-"""All queries of the engine's own operators, by name, with their SQL where there is one."""
+"""All queries of the engine's own operators, by name, with their SQL where there is one.
+
+Names begin with the operator they show. Sums of metres and other derived doubles are rounded
+on both sides, as the order of summation differs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from trailweave.functions import geo, scoring, tags as T, tiles
+from trailweave.functions.numbers import at_fraction, round_half_up
+from trailweave.operators import chains, corridors, elevation, export, fusion, matching, search, street_graph as sg
+from trailweave.operators.iterate import settled
+from trailweave.operators.lines import simplified
+from trailweave.plans import derived as D
+from trailweave.sources import surface as S
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+Query = Callable[[SparkSession, str], DataFrame]
+_FOUND: dict[str, tuple[Query, str | None]] = {}
+
+
+def query(sql: str | None = None, graph: bool = False, observed: bool = False):
+    """Register a function under its name; ``graph`` and ``observed`` put the derived tables before the SQL."""
+
+    def add(f: Query) -> Query:
+        text = sql
+        if text and observed:
+            text = D.GRAPH_SQL + "," + D.OBSERVATIONS_SQL + text
+        elif text and graph:
+            text = D.GRAPH_SQL + " " + text
+        _FOUND[f.__name__] = f, text
+        return f
+
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {k: v[0] for k, v in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v[1] for k, v in _FOUND.items() if v[1]}
+
+
+def _graph(spark: SparkSession, d: str) -> sg.Graph:
+    return sg.build_graph(D.osm_nodes(spark, d), D.osm_ways(spark, d))
+
+
+def _long(c: str):
+    return F.col(c).cast("long").alias(c)
+
+
+# Tags of ways.
+
+
+@query(D.GRAPH_SQL + " SELECT way_id, true AS relevant FROM ways0")
+def prj_01_relevant_ways(spark, d):
+    return sg.relevant_ways(D.osm_ways(spark, d)).select(F.col("id").alias("way_id"), T.is_relevant(F.col("tags")).alias("relevant"))
+
+
+@query(D.GRAPH_SQL + " SELECT road_class, count(*) AS ways FROM tagged GROUP BY 1")
+def prj_03_road_class(spark, d):
+    return D.osm_ways(spark, d).groupBy(T.road_class(F.col("tags")).alias("road_class")).agg(F.count("*").alias("ways"))
+
+
+@query(D.GRAPH_SQL + " SELECT way_id, surface, surface_confidence FROM tagged")
+def prj_04_surface(spark, d):
+    surface, confidence = T.surface(F.col("tags"), T.road_class(F.col("tags")))
+    return D.osm_ways(spark, d).select(F.col("id").alias("way_id"), surface.alias("surface"), confidence.alias("surface_confidence"))
+
+
+@query(D.GRAPH_SQL + " SELECT way_id, has_bicycle_infra, has_pedestrian_path, has_shoulder, is_separated, has_traffic_calming FROM tagged")
+def prj_05_infrastructure(spark, d):
+    return D.osm_ways(spark, d).select(F.col("id").alias("way_id"), *[v.alias(k) for k, v in T.infrastructure(F.col("tags")).items()])
+
+
+@query(D.GRAPH_SQL + " SELECT way_id, one_way, reversed FROM tagged")
+def prj_06_one_way(spark, d):
+    t = F.col("tags")
+    return D.osm_ways(spark, d).select(F.col("id").alias("way_id"), T.one_way(t).alias("one_way"), T.reversed_one_way(t).alias("reversed"))
+
+
+@query(D.GRAPH_SQL + " SELECT way_id, speed_limit FROM tagged")
+def prj_08_speed_limit(spark, d):
+    return D.osm_ways(spark, d).select(F.col("id").alias("way_id"), T.speed_limit(F.col("tags")).alias("speed_limit"))
+
+
+@query(D.GRAPH_SQL + " SELECT way_id, CAST(lanes AS BIGINT) AS lanes, name, scenic FROM tagged")
+def prj_09_lanes_name_scenic(spark, d):
+    t = F.col("tags")
+    return D.osm_ways(spark, d).select(
+        F.col("id").alias("way_id"), T.lanes(t).cast("long").alias("lanes"), T.name(t).alias("name"), T.scenic(t).alias("scenic")
+    )
+
+
+@query("SELECT id, CASE WHEN id LIKE '%:f' THEN replace(id, ':f', ':r') WHEN id LIKE '%:r' THEN replace(id, ':r', ':f') END AS twin FROM edges0", graph=True)
+def prj_13_counterpart(spark, d):
+    return _graph(spark, d).edges.select("id", T.counterpart(F.col("id")).alias("twin"))
+
+
+# Geometry.
+
+_PAIR = "FROM nodes0 a JOIN nodes0 b ON b.id = a.id + 65"
+
+
+def _pairs(spark, d) -> DataFrame:
+    n = D.osm_nodes(spark, d).select("id", "lat", F.col("lon").alias("lng"))
+    b = n.select((F.col("id") - 65).alias("id"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"))
+    return n.join(b, "id")
+
+
+@query(
+    f"""WITH {D.NODES_SQL} SELECT a.id, round(2 * 6371000e0 * asin(sqrt(power(sin(radians(b.lat - a.lat) / 2), 2) +
+ cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lng - a.lng) / 2), 2))), 6) AS metres {_PAIR}"""
+)
+def geo_01_haversine(spark, d):
+    c = [F.col(x) for x in ("lat", "lng", "lat2", "lng2")]
+    return _pairs(spark, d).select("id", F.round(geo.haversine(*c), 6).alias("metres"))
+
+
+@query(
+    f"""WITH {D.NODES_SQL}, x AS (SELECT a.id, power(sin(radians(b.lat - a.lat) / 2), 2) +
+ cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lng - a.lng) / 2), 2) AS h {_PAIR})
+ SELECT id, round(2 * 6371000e0 * atan2(sqrt(h), sqrt(1 - h)), 6) AS metres FROM x"""
+)
+def geo_02_haversine_atan(spark, d):
+    c = [F.col(x) for x in ("lat", "lng", "lat2", "lng2")]
+    return _pairs(spark, d).select("id", F.round(geo.haversine_atan(*c), 6).alias("metres"))
+
+
+@query(
+    f"""WITH {D.NODES_SQL} SELECT a.id, round((degrees(atan2(sin(radians(b.lng - a.lng)) * cos(radians(b.lat)),
+ cos(radians(a.lat)) * sin(radians(b.lat)) - sin(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(b.lng - a.lng)))) + 360) % 360, 6) AS bearing {_PAIR}"""
+)
+def geo_04_bearing(spark, d):
+    c = [F.col(x) for x in ("lat", "lng", "lat2", "lng2")]
+    return _pairs(spark, d).select("id", F.round(geo.bearing(*c), 6).alias("bearing"))
+
+
+@query(
+    f"""WITH {D.NODES_SQL} SELECT a.id, round(sqrt(power((a.lng - b.lng) * 111320e0 * cos(radians((a.lat + b.lat) / 2)), 2) +
+ power((a.lat - b.lat) * 111320e0, 2)), 6) AS metres {_PAIR}"""
+)
+def geo_10_flat_distance(spark, d):
+    c = [F.col(x) for x in ("lat", "lng", "lat2", "lng2")]
+    return _pairs(spark, d).select("id", F.round(geo.flat_distance(*c), 6).alias("metres"))
+
+
+@query(
+    f"""WITH {D.NODES_SQL} SELECT id, round(lat - 2 / 111.32e0, 8) AS min_lat, round(lat + 2 / 111.32e0, 8) AS max_lat,
+ round(lng - 2 / 111.32e0 / cos(radians(lat)), 8) AS min_lng, round(lng + 2 / 111.32e0 / cos(radians(lat)), 8) AS max_lng FROM nodes0"""
+)
+def geo_11_box_around(spark, d):
+    n = D.osm_nodes(spark, d)
+    box = geo.box_around(F.col("lat"), F.col("lon"), F.lit(2.0))
+    return n.select("id", *[F.round(v, 8).alias(k) for k, v in box.items()])
+
+
+@query(
+    """SELECT round(min(lat), 8) AS min_lat, round(max(lat), 8) AS max_lat, round(min(lng), 8) AS min_lng, round(max(lng), 8) AS max_lng
+ FROM nodes0 WHERE id IN (SELECT a FROM segments UNION SELECT b FROM segments)""",
+    graph=True,
+)
+def geo_14_bounds(spark, d):
+    b = sg.bounds(_graph(spark, d).nodes)
+    return b.select(*[F.round(c, 8).alias(c) for c in b.columns])
+
+
+@query(
+    f"""WITH {D.NODES_SQL} SELECT id, CAST(floor(lng * 111320e0 * cos(radians(43e0)) / 100) AS BIGINT) AS cx, CAST(floor(lat * 111320e0 / 100) AS BIGINT) AS cy FROM nodes0"""
+)
+def geo_17_grid_cell(spark, d):
+    x, y = geo.cell(F.col("lat"), F.col("lon"), F.lit(43.0))
+    return D.osm_nodes(spark, d).select("id", x.alias("cx"), y.alias("cy"))
+
+
+@query()
+def geo_15_simplified_ways(spark, d):
+    points = sg.resolved_points(D.osm_nodes(spark, d), D.osm_ways(spark, d))
+    lines = points.groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("pos", "lat", "lng"))).alias("p"))
+    line = F.transform("p", lambda x: F.struct(x["lat"], x["lng"]))
+    return lines.select("way_id", F.size("p").alias("points"), simplified(10.0)(F.to_json(line)).alias("line"))
+
+
+# Graph construction.
+
+
+@query("SELECT node_id, count(*) AS refs FROM refs0 GROUP BY 1", graph=True)
+def agg_01_node_refs(spark, d):
+    return sg.node_references(D.osm_ways(spark, d))
+
+
+@query("SELECT id, lat, lng FROM nodes0 WHERE id IN (SELECT node_id FROM refs0)", graph=True)
+def join_02_referenced_nodes(spark, d):
+    return sg.referenced_nodes(D.osm_nodes(spark, d), D.osm_ways(spark, d)).select("id", "lat", F.col("lon").alias("lng"))
+
+
+@query("SELECT node_id FROM counted WHERE meets", graph=True)
+def join_03_implicit_crossings(spark, d):
+    return sg.implicit_crossings(D.osm_ways(spark, d))
+
+
+@query("SELECT way_id, pos, node_id FROM known", graph=True)
+def join_01_resolved_refs(spark, d):
+    return sg.resolved_points(D.osm_nodes(spark, d), D.osm_ways(spark, d)).select("way_id", _long("pos"), "node_id")
+
+
+@query("SELECT way_id, start_pos, stop - start_pos + 1 AS points FROM segments", graph=True)
+def win_01_segments(spark, d):
+    s = sg.way_segments(sg.resolved_points(D.osm_nodes(spark, d), D.osm_ways(spark, d)))
+    return s.select("way_id", _long("start_pos"), F.size("points").cast("long").alias("points"))
+
+
+@query(
+    "SELECT id, CAST(from_node AS VARCHAR) AS from_node, CAST(to_node AS VARCHAR) AS to_node, round(length_m, 4) AS length_m, road_class, surface FROM edges0",
+    graph=True,
+)
+def win_02_edges(spark, d):
+    return _graph(spark, d).edges.select("id", "from_node", "to_node", F.round("length_m", 4).alias("length_m"), "road_class", "surface")
+
+
+@query("SELECT id, stops AS stop_sign_count, signals AS traffic_signal_count, crossings AS road_crossing_count FROM edges0", graph=True)
+def agg_02_control_counts(spark, d):
+    return _graph(spark, d).edges.select("id", _long("stop_sign_count"), _long("traffic_signal_count"), _long("road_crossing_count"))
+
+
+@query(
+    """SELECT (SELECT count(*) FROM (SELECT a FROM segments UNION SELECT b FROM segments)) AS nodes, count(*) AS edges,
+ round(sum(CASE WHEN id NOT LIKE '%:r' THEN length_m END), 2) AS length_m, count(*) FILTER (one_way) AS one_way_edges,
+ count(*) FILTER (id LIKE '%:f') AS two_way_pairs, (SELECT count(*) FROM ways0) AS ways FROM edges0""",
+    graph=True,
+)
+def agg_03_build_stats(spark, d):
+    ways = D.osm_ways(spark, d)
+    return sg.build_stats(_graph(spark, d), ways).withColumn("length_m", F.round("length_m", 2))
+
+
+@query(
+    """SELECT count(*) FILTER (surface_confidence > 0.7) AS high, count(*) FILTER (surface_confidence > 0.4 AND surface_confidence <= 0.7) AS medium,
+ count(*) FILTER (surface_confidence <= 0.4) AS low, CAST(0 AS BIGINT) AS conflicts, count(*) FILTER (surface = 'paved') AS paved,
+ count(*) FILTER (surface = 'unpaved') AS unpaved, count(*) FILTER (surface = 'unknown') AS unknown FROM edges0""",
+    graph=True,
+)
+def agg_04_surface_stats(spark, d):
+    return sg.surface_stats(_graph(spark, d).edges)
+
+
+_COVER = {
+    "surface known": "surface <> 'unknown'",
+    "surface high confidence": "surface_confidence > 0.7",
+    "surface medium confidence": "surface_confidence > 0.4 AND surface_confidence <= 0.7",
+    "surface conflict": "false",
+    "speed limit": "speed_limit IS NOT NULL",
+    "lanes": "lanes IS NOT NULL",
+    "name": "name IS NOT NULL AND name <> ''",
+    "bicycle infrastructure": "has_bicycle_infra",
+    "separated": "is_separated",
+    "traffic calming": "has_traffic_calming",
+    "stop signs": "stops > 0",
+    "traffic signals": "signals > 0",
+    "road crossings": "crossings > 0",
+}
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{k}' AS attribute, count(*) FILTER ({v}) AS n, round(count(*) FILTER ({v}) / count(*), 8) AS share,
+ round(coalesce(sum(length_m) FILTER ({v}), 0) / 1000, 4) AS km, round(coalesce(sum(length_m) FILTER ({v}), 0) / sum(length_m), 8) AS km_share FROM edges0"""
+        for k, v in _COVER.items()
+    ),
+    graph=True,
+)
+def agg_20_coverage(spark, d):
+    c = sg.coverage(_graph(spark, d).edges)
+    return c.select("attribute", "n", F.round("share", 8).alias("share"), F.round("km", 4).alias("km"), F.round("km_share", 8).alias("km_share"))
+
+
+@query(
+    """SELECT road_class, surface, count(*) AS n, round(sum(length_m) / 1000, 4) AS km, round(count(*) / (SELECT count(*) FROM edges0), 8) AS share
+ FROM edges0 GROUP BY 1, 2""",
+    graph=True,
+)
+def agg_21_distribution(spark, d):
+    x = sg.distribution(_graph(spark, d).edges, "road_class", "surface")
+    return x.select("road_class", "surface", "n", F.round("km", 4).alias("km"), F.round("share", 8).alias("share"))
+
+
+@query(
+    """SELECT road_class, round(list_sort(list(round(length_m, 4)))[CAST(least(floor(count(*) * 0.5), count(*) - 1) AS INT) + 1], 4) AS p50
+ FROM edges0 GROUP BY 1""",
+    graph=True,
+)
+def agg_24_percentile(spark, d):
+    e = _graph(spark, d).edges.groupBy("road_class").agg(F.array_sort(F.collect_list(F.round("length_m", 4))).alias("m"))
+    return e.select("road_class", at_fraction(F.col("m"), 0.5).alias("p50"))
+
+
+# Observations.
+
+_W = {
+    "surface": "CASE source WHEN 'gravelmap' THEN 0.9e0 WHEN 'user-report' THEN 0.85e0 WHEN 'osm-tag' THEN 0.7e0 WHEN 'mapillary' THEN 0.65e0 WHEN 'osm-inferred' THEN 0.2e0 ELSE 0.5e0 END * confidence",
+    "speed": "CASE source WHEN 'municipal-open-data' THEN 0.9e0 WHEN 'google-roads' THEN 0.85e0 WHEN 'osm-tag' THEN 0.8e0 WHEN 'mapillary' THEN 0.75e0 WHEN 'osm-inferred' THEN 0.15e0 ELSE 0.5e0 END * confidence",
+    "bool": "CASE source WHEN 'municipal-open-data' THEN 0.9e0 WHEN 'osm-tag' THEN 0.7e0 WHEN 'mapillary' THEN 0.6e0 ELSE 0.5e0 END * confidence",
+    "scenic": "CASE source WHEN 'user-report' THEN 0.85e0 WHEN 'osm-tag' THEN 0.7e0 ELSE 0.5e0 END * confidence",
+}
+
+
+def _matched(spark, d) -> DataFrame:
+    e = _graph(spark, d).edges.select(F.col("id").alias("edge_id"), "osm_way_id")
+    return D.observations(spark, d).join(e, "osm_way_id")
+
+
+@query(" SELECT seq, edge_id, attribute FROM matched", observed=True)
+def join_07_way_match(spark, d):
+    o = D.observations(spark, d).withColumnRenamed("seq", "obs_id")
+    m = matching.way_edges(o, _graph(spark, d).edges).join(o.select("obs_id", "attribute"), "obs_id")
+    return m.select(F.col("obs_id").alias("seq"), "edge_id", "attribute")
+
+
+@query(
+    f""", v AS (SELECT edge_id, (['paved','unpaved','unknown'])[CAST(w % 3 AS INT) + 1] AS s, sum({_W['surface']}) AS w, count(*) AS n, min(seq) AS first
+ FROM matched WHERE attribute = 'surface' GROUP BY 1, 2), t AS (SELECT edge_id, max(w) AS top, sum(w) AS total, sum(n) AS n FROM v GROUP BY 1)
+ SELECT t.edge_id, (SELECT s FROM v WHERE v.edge_id = t.edge_id ORDER BY round(w, 9) DESC, first LIMIT 1) AS value,
+ round(least(0.95e0, top / total * 0.5 + least(n / 3, 1) * 0.3 + top / 2 * 0.2), 6) AS confidence,
+ (SELECT count(*) > 1 FROM v WHERE v.edge_id = t.edge_id AND w > top * 0.15) AS has_conflict, CAST(n AS BIGINT) AS n FROM t""",
+    observed=True,
+)
+def agg_06_surface_fusion(spark, d):
+    o = _matched(spark, d).where("attribute = 'surface'").withColumn("confidence", F.round("confidence", 6))
+    f = fusion.fuse_votes(o)
+    return f.select("edge_id", F.col("value_str").alias("value"), F.round("confidence", 6).alias("confidence"), "has_conflict", "n")
+
+
+@query(
+    f""", v AS (SELECT edge_id, 20e0 + w % 8 * 10 AS x, sum({_W['speed']}) AS w, count(*) AS n FROM matched WHERE attribute = 'speed-limit' GROUP BY 1, 2),
+ r AS (SELECT *, sum(w) OVER (PARTITION BY edge_id ORDER BY x ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY edge_id) AS total FROM v)
+ SELECT edge_id, min(x) FILTER (upto + 1e-9 >= total / 2) AS value, round(least(0.95e0, least(sum(n) / 2, 1) * 0.4 + max(total) / sum(n) * 0.6), 6) AS confidence,
+ max(x) - min(x) > 20 AS has_conflict, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1""",
+    observed=True,
+)
+def agg_07_speed_fusion(spark, d):
+    f = fusion.fuse_median(_matched(spark, d).where("attribute = 'speed-limit'"))
+    return f.select("edge_id", F.col("value_num").alias("value"), F.round("confidence", 6).alias("confidence"), "has_conflict", "n")
+
+
+@query(
+    f""", t AS (SELECT edge_id, sum(CASE WHEN w % 2 = 0 THEN {_W['bool']} ELSE 0 END) AS yes, sum(CASE WHEN w % 2 = 0 THEN 0 ELSE {_W['bool']} END) AS no, count(*) AS n
+ FROM matched WHERE attribute = 'bicycle-infra' GROUP BY 1)
+ SELECT edge_id, yes >= no AS value, round(least(0.95e0, greatest(yes, no) / (yes + no) * 0.5 + least(n / 2, 1) * 0.5), 6) AS confidence,
+ greatest(yes, no) / (yes + no) < 0.7 AS has_conflict, n FROM t""",
+    observed=True,
+)
+def agg_10_boolean_fusion(spark, d):
+    f = fusion.fuse_flags(_matched(spark, d).where("attribute = 'bicycle-infra'"))
+    return f.select("edge_id", F.col("value_bool").alias("value"), F.round("confidence", 6).alias("confidence"), "has_conflict", "n")
+
+
+@query(
+    f""" SELECT edge_id, round(sum({_W['scenic']} * (w % 11 / 10e0)) / sum({_W['scenic']}), 6) AS value,
+ round(least(0.95e0, least(count(*) / 2, 1) * 0.4 + sum({_W['scenic']}) / count(*) * 0.6), 6) AS confidence, var_pop(w % 11 / 10e0) > 0.1 AS has_conflict, count(*) AS n
+ FROM matched WHERE attribute = 'scenic' GROUP BY 1""",
+    observed=True,
+)
+def agg_11_numeric_fusion(spark, d):
+    f = fusion.fuse_mean(_matched(spark, d).where("attribute = 'scenic'"))
+    return f.select("edge_id", F.round("value_num", 6).alias("value"), F.round("confidence", 6).alias("confidence"), "has_conflict", "n")
+
+
+@query()
+def agg_08_point_fusion(spark, d):
+    return fusion.fuse_points(_matched(spark, d).where("attribute = 'traffic-signal'"))
+
+
+@query(
+    """ SELECT source, attribute, count(DISTINCT seq) AS observations, count(DISTINCT seq) FILTER (edge_id IS NOT NULL) AS matched, count(DISTINCT edge_id) AS edges
+ FROM (SELECT o.seq, o.source, o.attribute, m.edge_id FROM obs0 o LEFT JOIN matched m USING (seq)) GROUP BY 1, 2""",
+    observed=True,
+)
+def agg_14_enrichment_stats(spark, d):
+    return fusion.enrichment_stats(D.observations(spark, d), _matched(spark, d))
+
+
+@query()
+def gra_17_enriched_edges(spark, d):
+    edges = _graph(spark, d).edges
+    out = fusion.write_back(edges, fusion.fuse(_matched(spark, d)))
+    return out.select("id", "surface", "surface_confidence", "speed_limit", "traffic_signal_count", "has_bicycle_infra", "scenic", F.size("enrichment").alias("enriched"))
+
+
+_CELLS = """, v AS (SELECT DISTINCT e.id AS edge_id, e.way_id, CAST(floor(k.lng * 111320e0 * cos(radians(43e0)) / 100) AS BIGINT) AS cx,
+ CAST(floor(k.lat * 111320e0 / 100) AS BIGINT) AS cy FROM edges0 e JOIN known k ON k.way_id = e.way_id AND k.pos BETWEEN e.start_pos AND e.stop),
+ p AS (SELECT *, CAST(floor(v_lng * 111320e0 * cos(radians(43e0)) / 100) AS BIGINT) AS px, CAST(floor(v_lat * 111320e0 / 100) AS BIGINT) AS py FROM obs0 WHERE attribute = 'traffic-signal'),
+ g AS (SELECT e.id AS edge_id, k.lat AS y1, k.lng AS x1, l.lat AS y2, l.lng AS x2 FROM edges0 e JOIN known k ON k.way_id = e.way_id AND k.pos BETWEEN e.start_pos AND e.stop - 1
+  JOIN known l ON l.way_id = k.way_id AND l.pos = k.pos + 1),
+ c AS (SELECT DISTINCT p.seq, p.v_lat, p.v_lng, v.edge_id FROM p JOIN v ON v.cx BETWEEN p.px - 1 AND p.px + 1 AND v.cy BETWEEN p.py - 1 AND p.py + 1),
+ m AS (SELECT c.seq, c.edge_id, (c.v_lng - x1) * 111320e0 * cos(radians(43e0)) AS ax, (c.v_lat - y1) * 111320e0 AS ay, (x2 - x1) * 111320e0 * cos(radians(43e0)) AS dx, (y2 - y1) * 111320e0 AS dy
+  FROM c JOIN g USING (edge_id)),
+ s AS (SELECT *, greatest(0e0, least(1e0, (ax * dx + ay * dy) / (dx * dx + dy * dy))) AS t FROM m),
+ near AS (SELECT seq, edge_id, min(sqrt(power(ax - t * dx, 2) + power(ay - t * dy, 2))) AS dist FROM s GROUP BY 1, 2)"""
+
+
+def _spots(spark, d) -> DataFrame:
+    o = D.observations(spark, d).where("attribute = 'traffic-signal'")
+    return o.select(F.col("seq").alias("obs_id"), F.col("v_lat").alias("lat"), F.col("v_lng").alias("lng"))
+
+
+@query(_CELLS + " SELECT seq AS obs_id, round(min(dist), 4) AS distance FROM near WHERE dist < 50 GROUP BY 1", observed=True)
+def join_08_nearest_edge(spark, d):
+    return matching.nearest_edges(_spots(spark, d), _graph(spark, d).edges, 43.0).select("obs_id", F.round("distance", 4).alias("distance"))
+
+
+@query(_CELLS + " SELECT DISTINCT seq AS obs_id, edge_id FROM near WHERE dist < 50", observed=True)
+def join_09_line_match(spark, d):
+    lines = _spots(spark, d).select("obs_id", F.array(F.struct("lat", "lng")).alias("geometry"))
+    return matching.line_edges(lines, _graph(spark, d).edges, 43.0)
+
+
+# Likeness and chains.
+
+_ENDS = """, q AS (SELECT *, CASE WHEN (one_way AND reversed) OR d = 'r' THEN -step ELSE step END AS go FROM edges0),
+ z AS (SELECT q.*, to_node - go AS p1, to_node AS p2, from_node AS f1, from_node + go AS f2, step = 64 AS north, go > 0 AS ahead FROM q),
+ pair AS (SELECT a.id AS a_id, b.id AS b_id, a.road_class AS c1, b.road_class AS c2, a.surface AS s1, b.surface AS s2, a.name AS n1, b.name AS n2, a.speed_limit AS v1, b.speed_limit AS v2,
+ (a.has_bicycle_infra = b.has_bicycle_infra)::INT + (a.has_pedestrian_path = b.has_pedestrian_path)::INT + 1 + (a.is_separated = b.is_separated)::INT + (a.has_traffic_calming = b.has_traffic_calming)::INT AS same
+ FROM z a JOIN z b ON a.to_node = b.from_node AND a.id <> b.id AND a.north = b.north AND a.ahead = b.ahead),
+ grp AS (SELECT unnest(['motorway','trunk','primary','secondary','tertiary','residential','service','unclassified','cycleway','path','footway','track']) AS c,
+  unnest([0,1,2,3,4,5,5,5,6,7,7,8]) AS g, unnest([0,1,2,3,4,5,6,6,7,8,8,9]) AS r),
+ scored AS (SELECT a_id, b_id, CASE WHEN abs(v1 - v2) > 15 OR x.g <> y.g THEN 0 ELSE
+  0.42e0 * CASE WHEN c1 = c2 THEN 1 ELSE greatest(0, 1 - 0.3e0 * abs(x.r - y.r)) END + 0.23e0 * CASE WHEN s1 = s2 THEN 1 ELSE 0.5e0 END + 0.18e0 * same / 5e0
+  + 0.10e0 * CASE WHEN n1 IS NOT DISTINCT FROM n2 THEN 1 ELSE 0.5e0 END + 0.07e0 END AS score
+ FROM pair JOIN grp x ON x.c = c1 JOIN grp y ON y.c = c2)"""
+
+
+@query(_ENDS + " SELECT a_id, b_id, round(score, 6) AS score FROM scored WHERE score >= 0.5", observed=True)
+def join_04_continuations(spark, d):
+    e = _graph(spark, d).edges
+    p = chains.continuations(e)
+    ids = e.select("seq", "id")
+    return p.join(ids.select(F.col("seq").alias("a"), F.col("id").alias("a_id")), "a").join(ids.select(F.col("seq").alias("b"), F.col("id").alias("b_id")), "b").select(
+        "a_id", "b_id", F.round("score", 6).alias("score")
+    )
+
+
+@query()
+def gra_02_chains(spark, d):
+    return chains.build_chains(_graph(spark, d).edges).select("chain_id", _long("pos"), "edge_id")
+
+
+@query()
+def gra_03_core_degrees(spark, d):
+    e = settled(_graph(spark, d).edges, "edges")
+    return chains.core_degrees(chains.build_chains(e), e)
+
+
+_WAY = "SELECT *, start_pos AS pos FROM edges0 WHERE d = 'f'"
+
+
+def _way_members(edges: DataFrame) -> DataFrame:
+    """One group a way, its forward edges in order."""
+    return edges.where(~F.col("id").endswith(":r")).select(F.col("osm_way_id").alias("id"), F.col("seq").alias("pos"), F.col("id").alias("edge_id"))
+
+
+@query(
+    f""", w AS ({_WAY}), deg AS (SELECT from_node AS node, count(*) AS n FROM edges0 GROUP BY 1 HAVING count(*) > 2),
+ busy AS (SELECT way_id, count(DISTINCT node) AS nb FROM (SELECT way_id, unnest([from_node, to_node]) AS node FROM w) JOIN deg USING (node) GROUP BY 1)
+ SELECT CAST(way_id AS VARCHAR) AS id, round(sum(length_m), 4) AS length_m, any_value(road_class) AS road_class, any_value(surface) AS surface,
+ round(any_value(surface_confidence), 6) AS surface_confidence, CASE WHEN any_value(has_bicycle_infra) THEN 1e0 ELSE 0e0 END AS bicycle_infra_continuity,
+ CASE WHEN any_value(is_separated) THEN 1e0 ELSE 0e0 END AS separation_continuity, round(any_value(speed_limit), 6) AS average_speed_limit,
+ round(sum(stops + signals + crossings) / (sum(length_m) / 1000), 6) AS stop_density, round(coalesce(any_value(nb), 0) / (sum(length_m) / 1000), 6) AS crossing_density
+ FROM w LEFT JOIN busy USING (way_id) GROUP BY way_id""",
+    observed=True,
+)
+def agg_15_way_rollup(spark, d):
+    e = _graph(spark, d).edges
+    r = corridors.roll_up(_way_members(e), e)
+    six = lambda c: F.round(c, 6).alias(c)
+    return r.select(
+        "id", F.round("length_m", 4).alias("length_m"), "road_class", "surface", six("surface_confidence"), six("bicycle_infra_continuity"),
+        six("separation_continuity"), six("average_speed_limit"), six("stop_density"), six("crossing_density"),
+    )
+
+
+@query(
+    f""", w AS ({_WAY}), by_name AS (SELECT from_node % 8 AS g, name, sum(length_m) AS m FROM w GROUP BY 1, 2)
+ SELECT CAST(g AS BIGINT) AS chain_id, round(coalesce(max(m) FILTER (name IS NOT NULL), 0) / sum(m), 6) AS name_share FROM by_name GROUP BY 1""",
+    observed=True,
+)
+def agg_17_name_share(spark, d):
+    e = _graph(spark, d).edges
+    m = e.where(~F.col("id").endswith(":r")).withColumn("_t", F.when(F.col("one_way") & (F.col("id") == F.col("id")), F.col("from_node")).otherwise(F.col("from_node")))
+    m = m.select((F.col("_t").cast("long") % 8).alias("chain_id"), F.col("seq").alias("pos"), F.col("id").alias("edge_id"))
+    return chains.name_shares(m, e).select("chain_id", F.round("name_share", 6).alias("name_share"))
+
+
+@query(
+    f""", w AS ({_WAY}), deg AS (SELECT from_node AS node, count(*) AS n FROM edges0 GROUP BY 1 HAVING count(*) > 2),
+ busy AS (SELECT way_id, count(DISTINCT node) AS nb FROM (SELECT way_id, unnest([from_node, to_node]) AS node FROM w) JOIN deg USING (node) GROUP BY 1),
+ r AS (SELECT way_id, any_value(road_class) AS c, any_value(is_separated) AS sep, any_value(speed_limit) AS v, any_value(has_pedestrian_path) AS ped, any_value(has_traffic_calming) AS calm,
+ sum(stops + signals + crossings) / (sum(length_m) / 1000) AS sd, coalesce(any_value(nb), 0) / (sum(length_m) / 1000) AS cd FROM w LEFT JOIN busy USING (way_id) GROUP BY 1)
+ SELECT CAST(way_id AS VARCHAR) AS id, CASE WHEN c IN ('cycleway', 'path') AND sep THEN 'trail' WHEN c IN ('footway', 'path') THEN 'path' WHEN c IN ('primary', 'trunk') THEN 'arterial'
+ WHEN c IN ('secondary', 'tertiary') THEN 'collector' WHEN c IN ('residential', 'unclassified', 'service') AND coalesce(v, 0) <= 40
+ THEN CASE WHEN cd < 4 AND sd < 2 AND NOT ped AND NOT calm THEN 'rural-road' ELSE 'neighborhood' END ELSE 'mixed' END AS type FROM r""",
+    observed=True,
+)
+def cls_01_way_types(spark, d):
+    e = _graph(spark, d).edges
+    rolled = corridors.roll_up(_way_members(e), e).withColumn("average_speed_limit", F.round("average_speed_limit", 6))
+    return rolled.select("id", corridors.corridor_type().alias("type"))
+
+
+@query(
+    f""", w AS ({_WAY}), n AS (SELECT id AS node, hw = 'traffic_signals' AS sig, hw IN ('stop') AS stp FROM nodes0),
+ x AS (SELECT way_id, round(sum(length_m), 4) AS length_m, bool_or(road_class IN ('primary', 'secondary', 'trunk')) AS crosses_major, bool_or(signals > 0) AS has_signal FROM w GROUP BY 1)
+ SELECT CAST(way_id AS VARCHAR) AS id, length_m, crosses_major, has_signal FROM x""",
+    observed=True,
+)
+def agg_26_way_connectors(spark, d):
+    g = _graph(spark, d)
+    return corridors.connector_attributes(_way_members(g.edges), g).select("id", F.round("length_m", 4).alias("length_m"), "crosses_major", "has_signal")
+
+
+@query(
+    f""", w AS ({_WAY}), e AS (SELECT DISTINCT way_id, unnest([from_node, to_node]) AS node FROM w)
+ SELECT DISTINCT CAST(x.way_id AS VARCHAR) AS a, CAST(y.way_id AS VARCHAR) AS b FROM e x JOIN e y USING (node) WHERE x.way_id <> y.way_id""",
+    observed=True,
+)
+def join_11_adjacency(spark, d):
+    e = _graph(spark, d).edges
+    return corridors.adjacency(_way_members(e), e)
+
+
+def _way_corridors(spark, d) -> DataFrame:
+    e = _graph(spark, d).edges
+    none = "struct<surface:double,speed_limit:double,traffic_control:double,infrastructure:double,scenic:double,elevation:double>"
+    return corridors.roll_up(_way_members(e), e).withColumn("type", corridors.corridor_type()).withColumn("confidence", F.lit(None).cast(none))
+
+
+@query(
+    f""", w AS ({_WAY}), r AS (SELECT way_id, sum(length_m) AS m, sum(stops + signals + crossings) / (sum(length_m) / 1000) AS sd FROM w GROUP BY 1)
+ SELECT CAST(way_id AS VARCHAR) AS id, round(0.6 * least(1, ln(1 + m / 300) / ln(1 + 10000 / 300e0)) + 0.4 * exp(-0.2 * sd), 6) AS flow FROM r""",
+    observed=True,
+)
+def sco_01_flow(spark, d):
+    return _way_corridors(spark, d).select("id", F.round(scoring.flow(scoring.simple_defaults("walking")["flow"]), 6).alias("flow"))
+
+
+@query(
+    f""", w AS ({_WAY}), r AS (SELECT way_id, any_value(road_class) AS c, any_value(speed_limit) AS v, any_value(has_bicycle_infra) AS bi, any_value(has_pedestrian_path) AS pe,
+ any_value(is_separated) AS se, any_value(has_traffic_calming) AS ca FROM w GROUP BY 1)
+ SELECT CAST(way_id AS VARCHAR) AS id, round(0.3 * CASE WHEN c IN ('cycleway', 'path', 'footway') THEN 1 WHEN c IN ('residential', 'service') THEN 0.8 WHEN c IN ('unclassified', 'track') THEN 0.7
+ WHEN c = 'tertiary' THEN 0.5 WHEN c = 'secondary' THEN 0.3 WHEN c = 'primary' THEN 0.15 ELSE 0 END
+ + 0.2 * CASE WHEN v IS NULL THEN 0.5 WHEN v < 30.001 THEN 1 WHEN v < 40.001 THEN 0.8 WHEN v < 50.001 THEN 0.6 WHEN v < 60.001 THEN 0.3 ELSE 0.1 END
+ + 0.1 * bi::INT + 0.1 * pe::INT + 0.2 * se::INT + 0.1 * ca::INT, 6) AS safety FROM r""",
+    observed=True,
+)
+def sco_03_safety(spark, d):
+    c = _way_corridors(spark, d).withColumn("average_speed_limit", F.round("average_speed_limit", 6))
+    return c.select("id", F.round(scoring.safety(scoring.simple_defaults("walking")["safety"]), 6).alias("safety"))
+
+
+@query(
+    f""", w AS ({_WAY}), r AS (SELECT way_id, any_value(surface) AS s, any_value(surface_confidence) AS k FROM w GROUP BY 1)
+ SELECT CAST(way_id AS VARCHAR) AS id, a.activity, round(CASE s WHEN 'paved' THEN p WHEN 'unpaved' THEN u ELSE q END * (0.5 + 0.5 * k), 6) AS surface_score FROM r,
+ (VALUES ('road-cycling', 1.0, 0.0, 0.3), ('gravel-cycling', 0.4, 1.0, 0.4), ('running', 0.7, 0.9, 0.4), ('walking', 0.8, 0.8, 0.5)) a(activity, p, u, q)""",
+    observed=True,
+)
+def sco_04_surface(spark, d):
+    s = scoring.score_corridors(_way_corridors(spark, d))
+    return s.select("id", "activity", F.round("surface", 6).alias("surface_score"))
+
+
+@query()
+def sco_09_overall(spark, d):
+    s = scoring.score_corridors(_way_corridors(spark, d))
+    return s.select("id", "activity", *[F.round(c, 6).alias(c) for c in ("overall", *scoring.DIMENSIONS)])
+
+
+@query()
+def agg_25_score_range(spark, d):
+    s = scoring.score_corridors(_way_corridors(spark, d)).where("activity = 'running'")
+    return export.score_range(s)
+
+
+@query()
+def gra_06_network(spark, d):
+    g = _graph(spark, d)
+    g = sg.Graph(settled(g.nodes, "nodes"), settled(g.edges, "edges"))
+    return corridors.network_stats(corridors.build_network(g, by_tier=dict.fromkeys(chains.MIN_LENGTH_M, 200.0)))
+
+
+@query()
+def gra_16_loops(spark, d):
+    g = _graph(spark, d)
+    g = sg.Graph(settled(g.nodes, "nodes"), settled(g.edges, "edges"))
+    net = corridors.build_network(g, by_tier=dict.fromkeys(chains.MIN_LENGTH_M, 200.0))
+    net = corridors.Network(settled(net.corridors, "corridors"), settled(net.connectors, "connectors"), settled(net.entity_edges, "entities"), net.adjacency)
+    scores = scoring.score_corridors(net.corridors)
+    c = D.table(spark, d, "customer").where("c_custkey % 50 = 7")
+    starts = c.select(
+        F.col("c_custkey").cast("long").alias("request_id"),
+        (F.lit(42.9) + F.col("c_custkey") % 40 * 0.0027).alias("lat"),
+        (F.lit(-85.7) + F.col("c_custkey") % 50 * 0.0014).alias("lng"),
+        F.lit(2000.0).alias("min_m"),
+        F.lit(6000.0).alias("max_m"),
+        (F.col("c_custkey") % 360).cast("double").alias("direction"),
+        F.lit("moderate").alias("turns"),
+        F.col("c_custkey").cast("long").alias("seed"),
+    )
+    loops = settled(search.loop_routes(starts, net, g, scores, "walking", noise=0.0), "loops")
+    return search.route_stats(search.segments(loops, net, g), net.corridors).select("request_id", "distance_m", "stops", "infrastructure", "flow")
+
+
+# Tiles, caches, sources.
+
+
+@query(f"WITH {D.NODES_SQL} SELECT id, CAST(floor(lat / 0.75e0) AS BIGINT) AS tile_row, CAST(floor(lng / 0.75e0) AS BIGINT) AS tile_col FROM nodes0")
+def src_06_tiles(spark, d):
+    r, c = tiles.tile_of(F.col("lat"), F.col("lon"))
+    return D.osm_nodes(spark, d).select("id", r.alias("tile_row"), c.alias("tile_col"))
+
+
+@query(
+    """SELECT n_nationkey AS k, substr(sha256((n_nationkey - 12) || '|' || (n_regionkey * 7) || '|90'), 1, 16) AS key,
+ (n_nationkey - 12) * 0.75e0 AS min_lat, (n_nationkey - 11) * 0.75e0 AS max_lat FROM nation"""
+)
+def src_09_cache_key(spark, d):
+    n = D.table(spark, d, "nation")
+    r, c = (F.col("n_nationkey") - 12).cast("long"), (F.col("n_regionkey") * 7).cast("long")
+    box = tiles.tile_box(r, c)
+    return n.select(F.col("n_nationkey").alias("k"), tiles.tile_key(r, c).alias("key"), box["min_lat"].alias("min_lat"), box["max_lat"].alias("max_lat"))
+
+
+_ROWS = "SELECT p_partkey AS seq, p_partkey % 97 AS osm_id, p_size % 3 = 0 AS has_ml, CASE WHEN p_size % 7 <> 0 THEN p_size END AS n, p_type AS label FROM part"
+
+
+def _predicted(spark, d) -> DataFrame:
+    k, s = F.col("p_partkey"), F.col("p_size")
+    return D.table(spark, d, "part").select(
+        k.alias("seq"), (k % 97).alias("osm_id"), (s % 3 == 0).alias("has_ml"), F.when(s % 7 != 0, s).cast("long").alias("n"), F.col("p_type").alias("label")
+    )
+
+
+@query(f"SELECT osm_id, seq, CAST(n AS BIGINT) AS n FROM ({_ROWS}) QUALIFY row_number() OVER (PARTITION BY osm_id ORDER BY has_ml DESC, coalesce(n, 0) DESC, seq) = 1")
+def src_13_dedupe(spark, d):
+    return S.one_per_way(_predicted(spark, d)).select("osm_id", "seq", "n")
+
+
+@query(
+    f"""SELECT osm_id, max_by(seq, n * 1000000 - seq) AS seq, CAST(max(n) AS BIGINT) AS n FROM ({_ROWS}) WHERE n IS NOT NULL GROUP BY 1"""
+)
+def src_23_upsert(spark, d):
+    return S.upserted(_predicted(spark, d).where("n is not null")).select("osm_id", "seq", "n")
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 13 = 0 THEN 0.6e0 WHEN p_size % 13 >= 10 THEN 0.9e0 ELSE round(0.6e0 + 0.03e0 * (p_size % 13), 6) END AS confidence FROM part")
+def src_15_prediction_confidence(spark, d):
+    n = F.col("p_size") % 13
+    return D.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.round(tiles.prediction_confidence(n), 6).alias("confidence"))
+
+
+@query(
+    """WITH b AS (SELECT n_nationkey AS k, greatest(1, CAST(ceil((n_regionkey + 1) * 0.4e0 / 0.5e0 - 2e-9) AS INT)) AS rows, 2 AS cols, (n_regionkey + 1) * 0.4e0 AS h FROM nation)
+ SELECT k, CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, round(10 + r * h / rows, 8) AS min_lat, round(20 + c * 0.4e0, 8) AS min_lng
+ FROM (SELECT *, unnest(range(0, rows)) AS r FROM b), (SELECT unnest(range(0, 2)) AS c)"""
+)
+def src_17_subdivide(spark, d):
+    h = (F.col("n_regionkey") + 1) * F.lit(0.4)
+    box = {"min_lat": F.lit(10.0), "max_lat": F.lit(10.0) + h, "min_lng": F.lit(20.0), "max_lng": F.lit(20.8)}
+    parts = D.table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.posexplode(tiles.sub_boxes(box, 0.5)).alias("i", "b"))
+    return parts.select(
+        "k", F.floor(F.col("i") / 2).cast("long").alias("r"), (F.col("i") % 2).cast("long").alias("c"), F.round("b.min_lat", 8).alias("min_lat"), F.round("b.min_lng", 8).alias("min_lng")
+    )
+
+
+@query("SELECT n_nationkey AS k, substr(sha256(printf('%.4f,%.4f,%.4f,%.4f', n_nationkey * 1.5e0, n_regionkey * 2.25e0, n_nationkey * 1.5e0 + 1, n_regionkey * 2.25e0 + 1)), 1, 16) AS key FROM nation")
+def src_28_network_key(spark, d):
+    a, b = F.col("n_nationkey") * F.lit(1.5), F.col("n_regionkey") * F.lit(2.25)
+    return D.table(spark, d, "nation").select(
+        F.col("n_nationkey").alias("k"), tiles.box_key({"min_lat": a, "min_lng": b, "max_lat": a + 1, "max_lng": b + 1}).alias("key")
+    )
+
+
+@query(
+    """WITH x AS (SELECT event_id AS id, least(1e0, greatest(0e0, value / 400)) AS s FROM events),
+ y AS (SELECT id, CASE WHEN s < 0.5 THEN 204 ELSE floor(204 - (s - 0.5) / 0.5 * 170 + 0.5) END AS r, CASE WHEN s < 0.5 THEN floor(34 + s / 0.5 * 170 + 0.5) ELSE 204 END AS g FROM x)
+ SELECT id, '#' || lpad(printf('%x', CAST(r AS BIGINT)), 2, '0') || lpad(printf('%x', CAST(g AS BIGINT)), 2, '0') || '22' AS colour FROM y"""
+)
+def snk_06_score_colour(spark, d):
+    return D.table(spark, d, "events").select(F.col("event_id").alias("id"), export.score_colour(F.col("value") / 400).alias("colour"))
+
+
+@query(
+    f"""WITH {D.NODES_SQL}, x AS (SELECT id, CAST(floor(((degrees(atan2(sin(radians(lng + 85.66e0)) * cos(radians(lat)), cos(radians(42.95e0)) * sin(radians(lat)) -
+ sin(radians(42.95e0)) * cos(radians(lat)) * cos(radians(lng + 85.66e0)))) + 360) % 360 + 22.5) % 360 / 45) AS BIGINT) AS sector FROM nodes0)
+ SELECT sector, id, row_number() OVER (PARTITION BY sector ORDER BY (id * 7919) % 10007 DESC, id) AS rank FROM x QUALIFY rank <= 25"""
+)
+def ord_02_sector_topk(spark, d):
+    b = geo.bearing(F.lit(42.95), F.lit(-85.66), F.col("lat"), F.col("lon"))
+    x = D.osm_nodes(spark, d).select("id", F.floor((b + 22.5) % 360 / 45).cast("long").alias("sector"))
+    order = Window.partitionBy("sector").orderBy(F.desc((F.col("id") * 7919) % 10007), "id")
+    return x.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 25").select("sector", "id", "rank")
+
+
+@query(
+    """, st AS (SELECT s_suppkey AS start_id, 42.9e0 + s_suppkey % 40 * 0.0021e0 AS lat, -85.7e0 + s_suppkey % 50 * 0.0013e0 AS lng FROM supplier),
+ deg AS (SELECT from_node AS node, count(*) AS ways FROM edges0 GROUP BY 1),
+ nr AS (SELECT st.start_id, n.id AS node, ways, 2 * 6371000e0 * asin(sqrt(power(sin(radians(n.lat - st.lat) / 2), 2) + cos(radians(st.lat)) * cos(radians(n.lat)) * power(sin(radians(n.lng - st.lng) / 2), 2))) AS dist
+  FROM st, nodes0 n JOIN deg ON deg.node = n.id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY start_id ORDER BY dist, CAST(node AS VARCHAR)) AS k FROM nr WHERE dist <= 5000),
+ l AS (SELECT *, greatest(3 * min(dist) OVER (PARTITION BY start_id), 500) AS lim FROM r WHERE k <= 50),
+ b AS (SELECT *, row_number() OVER (PARTITION BY start_id ORDER BY (ways >= 3 AND dist <= lim) DESC, CASE WHEN ways >= 3 AND dist <= lim THEN -ways ELSE 0 END, dist, CAST(node AS VARCHAR)) AS o FROM l)
+ SELECT start_id, CAST(node AS VARCHAR) AS node, round(dist, 4) AS distance FROM b WHERE o = 1""",
+    observed=True,
+)
+def join_17_snap(spark, d):
+    g = _graph(spark, d)
+    s = D.table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("start_id"),
+        (F.lit(42.9) + F.col("s_suppkey") % 40 * F.lit(0.0021)).alias("lat"),
+        (F.lit(-85.7) + F.col("s_suppkey") % 50 * F.lit(0.0013)).alias("lng"),
+    )
+    return search.snap(s, g.nodes, g.edges).select("start_id", "node", F.round("distance", 4).alias("distance"))
+
+
+@query(
+    f"""WITH {D.NODES_SQL}, h AS (SELECT id, lat, lng, 180e0 + (id * 37) % 101 * 0.5e0 AS z, id // 64 AS line, id % 64 AS pos FROM nodes0),
+ s AS (SELECT line, z - lag(z) OVER w AS dz, 2 * 6371000e0 * asin(sqrt(power(sin(radians(lat - lag(lat) OVER w) / 2), 2) + cos(radians(lag(lat) OVER w)) * cos(radians(lat)) *
+ power(sin(radians(lng - lag(lng) OVER w) / 2), 2))) AS d FROM h WINDOW w AS (PARTITION BY line ORDER BY pos))
+ SELECT CAST(line AS VARCHAR) AS edge_id, round(sum(greatest(dz, 0)), 4) AS gain, round(sum(greatest(-dz, 0)), 4) AS loss, round(max(abs(dz) / d * 100), 4) AS max_grade FROM s GROUP BY 1 HAVING count(*) >= 2"""
+)
+def agg_05_edge_climbs(spark, d):
+    k = F.col("id")
+    p = D.osm_nodes(spark, d).select(
+        F.floor(k / 64).cast("string").alias("edge_id"), (k % 64).alias("pos"), "lat", F.col("lon").alias("lng"), (F.lit(180.0) + (k * 37) % 101 * 0.5).alias("z")
+    )
+    c = elevation.edge_climbs(p).where("known >= 2")
+    return c.select("edge_id", F.round("gain", 4).alias("gain"), F.round("loss", 4).alias("loss"), F.round("max_grade", 4).alias("max_grade"))
+
+
+@query(f"WITH {D.NODES_SQL} SELECT id, floor(lat * 100 + 0.5) / 100 AS lat2, floor(-lng * 10 + 0.5) / 10 AS lng1 FROM nodes0")
+def fmt_01_round(spark, d):
+    return D.osm_nodes(spark, d).select("id", round_half_up(F.col("lat"), 2).alias("lat2"), round_half_up(-F.col("lon"), 1).alias("lng1"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Road classes and surfaces of the derived street graph."""
+    return agg_21_distribution(spark, sf_dir)
+
+

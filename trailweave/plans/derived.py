@@ -115,3 +115,40 @@ edges0 AS (SELECT *, CASE WHEN one_way THEN way_id || ':' || start_pos ELSE way_
   CASE WHEN (one_way AND reversed) OR d = 'r' THEN b ELSE a END AS from_node, CASE WHEN (one_way AND reversed) OR d = 'r' THEN a ELSE b END AS to_node
   FROM (SELECT *, unnest(CASE WHEN one_way THEN ['f'] ELSE ['f', 'r'] END) AS d FROM segments JOIN tagged USING (way_id)))"""
 GRAPH_SQL = "WITH " + ",".join((NODES_SQL, WAYS_SQL, TAGGED_SQL, SEGMENTS_SQL, EDGES_SQL))
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``seq, way_id, attribute, source, confidence, v_str, v_num, v_bool`` from ``events``."""
+    from trailweave.functions.tables import SOURCES
+
+    n_parts = table(spark, sf_dir, "part").count()
+    whole = F.floor("value").cast("long")
+    attribute = F.element_at(
+        F.create_map(*[F.lit(x) for pair in ATTRIBUTE_OF_EVENT.items() for x in pair]), F.col("event_type")
+    )
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"),
+        (F.col("event_id") % n_parts).cast("string").alias("osm_way_id"),
+        attribute.alias("attribute"),
+        F.element_at(F.array(*map(F.lit, SOURCES)), (F.col("user_id") % 7 + 1).cast("int")).alias("source"),
+        ((F.col("user_id") % 10 + 1) / 10).alias("confidence"),
+        F.when(F.col("event_type") == "view", F.element_at(F.array(F.lit("paved"), F.lit("unpaved"), F.lit("unknown")), (whole % 3 + 1).cast("int"))).alias("v_str"),
+        F.when(F.col("event_type") == "click", 20.0 + whole % 8 * 10)
+        .when(F.col("event_type") == "signup", whole % 11 / 10)
+        .cast("double")
+        .alias("v_num"),
+        F.when(F.col("event_type") == "purchase", whole % 2 == 0).alias("v_bool"),
+        F.when(F.col("event_type") == "error", F.lit(42.9) + (F.col("event_id") % 997) * F.lit(0.00013)).alias("v_lat"),
+        F.when(F.col("event_type") == "error", F.lit(-85.7) + (F.col("event_id") % 631) * F.lit(0.00011)).alias("v_lng"),
+        F.when(F.col("event_type") == "error", F.lit(0.75)).alias("v_conf"),
+    )
+
+
+ATTRIBUTE_OF_EVENT = {"view": "surface", "click": "speed-limit", "purchase": "bicycle-infra", "signup": "scenic", "error": "traffic-signal"}
+_SOURCE_LIST = "['osm-tag','osm-inferred','gravelmap','mapillary','google-roads','municipal-open-data','user-report']"
+OBSERVATIONS_SQL = f"""
+obs0 AS (SELECT event_id AS seq, event_id % (SELECT count(*) FROM part) AS way_id,
+  CASE event_type WHEN 'view' THEN 'surface' WHEN 'click' THEN 'speed-limit' WHEN 'purchase' THEN 'bicycle-infra' WHEN 'signup' THEN 'scenic' ELSE 'traffic-signal' END AS attribute,
+  ({_SOURCE_LIST})[CAST(user_id % 7 AS INT) + 1] AS source, (user_id % 10 + 1) / 10e0 AS confidence,
+  CAST(floor(value) AS BIGINT) AS w, 42.9e0 + (event_id % 997) * 0.00013e0 AS v_lat, -85.7e0 + (event_id % 631) * 0.00011e0 AS v_lng FROM events),
+matched AS (SELECT o.*, e.id AS edge_id FROM obs0 o JOIN edges0 e USING (way_id))"""
