@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from trailweave.llm.common import materialize
 
-SAMPLE, BRANCH, LEAF, RECALL, BLOCK = 20_000, 12, 160, 0.97, 8192
+SAMPLE, BRANCH, LEAF, RECALL, BLOCK = 20_000, 8, 1_200, 0.95, 8192
 
 
 class Tree:
@@ -134,6 +134,19 @@ def _best(q: np.ndarray, name: int, rows: np.ndarray, ids: list[np.ndarray], rou
     return [(i, -s) for s, i in heapq.nsmallest(top, found)]
 
 
+def _best_of_single(qs: np.ndarray, names: np.ndarray, rows: np.ndarray, ids: np.ndarray, rough: np.ndarray, top: int) -> list[tuple[int, int, float]]:
+    """The same for all queries at once where every vector has one id: (query, id, score)."""
+    take = min(len(rows), top + 12)
+    near = np.argpartition(-rough, take - 1, axis=1)[:, :take]
+    score = (rows[near] * qs[:, None, :]).sum(axis=2)
+    own = ids[near]
+    score[own == names[:, None]] = -np.inf
+    order = np.lexsort((own, -score), axis=1)[:, :top]
+    score, own = np.take_along_axis(score, order, axis=1), np.take_along_axis(own, order, axis=1)
+    k, j = np.nonzero(np.isfinite(score))
+    return list(zip(names[k].tolist(), own[k, j].tolist(), score[k, j].tolist(), strict=True))
+
+
 def search(df: DataFrame, queries: Column, top: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", recall: float = RECALL) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``top`` nearest rows found of each row in ``queries``."""
     spark = df.sparkSession
@@ -206,7 +219,10 @@ def search(df: DataFrame, queries: Column, top: int = 20, vec_id: str = "vec_id"
                     ids = [np.array(heapq.nsmallest(top + 1, i), "i8") for i in by.values()]
                 qs = np.stack([np.frombuffer(v, "f8") for _, v in waiting])
                 rough = qs @ unique.T
-                out = [(n, i, s) for k, (n, _) in enumerate(waiting) for i, s in _best(qs[k], n, unique, ids, rough[k], top)]
+                if all(len(i) == 1 for i in ids):
+                    out = _best_of_single(qs, np.array([n for n, _ in waiting], "i8"), unique, np.concatenate(ids), rough, top)
+                else:
+                    out = [(n, i, s) for k, (n, _) in enumerate(waiting) for i, s in _best(qs[k], n, unique, ids, rough[k], top)]
                 if out:
                     a, b, c = zip(*out, strict=True)
                     yield pa.RecordBatch.from_pydict({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c)})
