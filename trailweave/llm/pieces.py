@@ -7,8 +7,8 @@ independently of each other, so every distinct unit of the corpus is encoded onc
 
 1. The reading tasks number the distinct units of each chunk of documents. They leave the
    numbers of every document in a file of the scratch folder and hand on (unit, chunk, place).
-2. Units are grouped, with their places. Their substrings, as long as the longest piece, are
-   exploded and equi-joined to the piece table (broadcast; its size is the vocabulary's).
+2. Units are dealt out by unit and made distinct. Their substrings, as long as the longest piece,
+   are exploded and equi-joined to the piece table (broadcast; its size is the vocabulary's).
    The matches of a unit, its lattice, are grouped by unit and folded with Spark's
    higher-order ``aggregate``.
 3. Ids go back to (chunk, place); a task takes a chunk, opens its file and writes documents.
@@ -20,7 +20,7 @@ current symbols it takes the one of the best rank, the leftmost among equals, un
 left. Characters outside the model become their UTF-8 bytes' ids. Units over ``LONG``
 characters, whose lattice would not fit the fold's bit masks, take the same merges with a heap.
 
-A unit that is in every chunk has a group for every ``SPREAD`` chunks, so no group grows with
+A unit that is in every chunk is dealt to a partition for every ``SPREAD`` chunks, so no group grows with
 the corpus. Null texts count as empty and have no ids; empty texts decode to empty ones;
 repeated rows and ids give a row each; an empty table gives an empty result; further columns
 are not read.
@@ -46,7 +46,9 @@ from trailweave.llm.common import materialize, open_fs, scratch_path, slices
 BLANK = "▁"
 LONG = 60
 #: Bytes of text in a chunk, about, and distinct units after which it ends; chunks in a group.
-CHUNK, UNITS, SPREAD = 12 << 20, 160_000, 4_096
+CHUNK, UNITS, SPREAD = 16 << 20, 200_000, 4_096
+#: Units, with repetitions, in a partition of the lattice, about.
+PART_UNITS = 100_000
 _MODELS: dict = {}
 
 
@@ -264,21 +266,24 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     out, key = scratch_path(spark, "unit-numbers"), df.schema[doc_id].dataType.simpleString()
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     chunks = materialize(rows.mapInArrow(_numbered(path, out), "chunk long, units array<string>, longest int"), "chunks")
+    units = chunks.agg(F.sum(F.size("units")).alias("n"), F.count("*").alias("chunks")).first()
     places = chunks.select(
-        F.col("chunk"), F.pmod(F.xxhash64("chunk"), F.lit(max(1, chunks.count() // SPREAD))).alias("salt"), F.posexplode("units").alias("place", "unit")
-    )
-    grouped = places.groupBy("unit", "salt").agg(F.collect_list(F.struct("chunk", "place")).alias("at"))
-    short = lattice_ids(grouped.where(F.char_length("unit") <= LONG), path, ["unit", "salt"], ["at"], kind).select("at", "ids")
+        F.col("chunk"), F.pmod(F.xxhash64("chunk"), F.lit(max(1, units.chunks // SPREAD))).alias("salt"), F.posexplode("units").alias("place", "unit")
+    ).repartition(max(8, (units.n or 0) // PART_UNITS + 1), "unit", "salt")
+    # units, lattices and the way back share one partitioning: the places are shuffled once
+    distinct = places.select("unit", "salt").distinct()
+    coded = lattice_ids(distinct.where(F.char_length("unit") <= LONG), path, ["unit", "salt"], [], kind)
+    back = places.join(coded, ["unit", "salt"]).select("chunk", "place", "ids")
 
     def heaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
-            ids = [model.merged(u) for u in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["at", "ids"])
+            ids = [model.merged(u) for u in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], ["unit", "salt", "ids"])
 
     if chunks.where(F.col("longest") > LONG).limit(1).count():
-        long_ = grouped.where(F.char_length("unit") > LONG).select("at", "unit")
-        short = short.unionByName(long_.mapInArrow(heaped, "at array<struct<chunk:bigint,place:int>>, ids array<int>"))
+        long_ = distinct.where(F.char_length("unit") > LONG).mapInArrow(heaped, "unit string, salt long, ids array<int>")
+        back = back.unionByName(places.where(F.char_length("unit") > LONG).join(long_, ["unit", "salt"]).select("chunk", "place", "ids"))
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(out)
@@ -317,10 +322,9 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
 
     kind_of = to_arrow_type(df.schema[doc_id].dataType)
     bare = chunks.where("size(units) = 0").select("chunk", F.lit(0).alias("place"), F.array().cast("array<int>").alias("ids"))
-    back = short.select(F.explode("at").alias("x"), "ids").select("x.chunk", "x.place", "ids").unionByName(bare)
-    parts = max(8, 2 * spark.sparkContext.defaultParallelism, chunks.count())
+    parts = max(8, 2 * spark.sparkContext.defaultParallelism, units.chunks)
     return (
-        back.repartition(parts, "chunk")
+        back.unionByName(bare).repartition(parts, "chunk")
         .sortWithinPartitions("chunk", "place")
         .select("chunk", "ids")
         .mapInArrow(documents, f"doc_id {key}, ids array<int>")
