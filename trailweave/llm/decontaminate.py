@@ -37,7 +37,7 @@ def word_numbers(text: str | None) -> np.ndarray:
     """The words of a text as 64-bit hashes."""
     if not text:
         return np.empty(0, "u8")
-    if len(_WORDS) > 1_000_000:
+    if len(_WORDS) > 300_000:
         _WORDS.clear()
     get, out = _WORDS.get, []
     for w in text.lower().encode().translate(_SPACE).split():

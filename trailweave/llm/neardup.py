@@ -56,7 +56,7 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     words = (text or b"").lower().split()
     if not words:
         return np.empty(0, "u8")
-    if len(_WORDS) > 1_000_000:
+    if len(_WORDS) > 300_000:
         _WORDS.clear()
     get, hashes = _WORDS.get, []
     for w in words:
