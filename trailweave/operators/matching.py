@@ -23,7 +23,6 @@ def mean_latitude(nodes: DataFrame) -> float:
 
 def edge_cells(edges: DataFrame, mean_lat: float) -> DataFrame:
     """``cx, cy, edge_id, seq, geometry``: a row for each edge and cell that one of its points is in."""
-    x, y = geo.cell(F.col("p.lat"), F.col("p.lng"), F.lit(mean_lat), CELL_M)
     cells = F.transform("geometry", lambda p: F.struct(*[c.alias(n) for c, n in zip(geo.cell(p["lat"], p["lng"], F.lit(mean_lat), CELL_M), ("cx", "cy"), strict=True)]))
     return edges.select(F.col("id").alias("edge_id"), F.col("seq").alias("edge_seq"), "geometry", F.explode(F.array_distinct(cells)).alias("c")).select(
         "c.cx", "c.cy", "edge_id", "edge_seq", "geometry"

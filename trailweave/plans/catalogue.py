@@ -490,8 +490,9 @@ def agg_15_way_rollup(spark, d):
 )
 def agg_17_name_share(spark, d):
     e = _graph(spark, d).edges
-    m = e.where(~F.col("id").endswith(":r")).withColumn("_t", F.when(F.col("one_way") & (F.col("id") == F.col("id")), F.col("from_node")).otherwise(F.col("from_node")))
-    m = m.select((F.col("_t").cast("long") % 8).alias("chain_id"), F.col("seq").alias("pos"), F.col("id").alias("edge_id"))
+    m = e.where(~F.col("id").endswith(":r")).select(
+        (F.col("from_node").cast("long") % 8).alias("chain_id"), F.col("seq").alias("pos"), F.col("id").alias("edge_id")
+    )
     return chains.name_shares(m, e).select("chain_id", F.round("name_share", 6).alias("name_share"))
 
 
