@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,11 +77,15 @@ def test_piece_sequence_rules_match_the_library():
     p, sp = pieces.pieces(path), sentencepiece.SentencePieceProcessor(model_file=path)
     rng = random.Random(5)
     parts = ["▁", " ", "  ", "a", "the", "ing", "é", "日", "😀", "\n", "\x00", "</s>", "<0x41>", "B", "́", "23", "--", "==", "aaaa", "\xa0", ".", ","]
-    for _ in range(3000):
-        x = "".join(rng.choices(parts, k=rng.randint(0, 14)))
-        ids = [i for s in pieces.segments(x) for u in p.units(s) for i in p.merged(u)]
-        assert ids == sp.encode(x)
-        assert p.text(ids) == sp.decode(ids)
+    texts = ["", None, "▁▁", " ", "a ", " a", *("".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(3000))]
+    found = []
+    for words in pieces._words(pa.array(texts)).to_pylist():
+        units, sizes = p.units(words) if words else ([], [])
+        assert sum(sizes) == len(units) and len(sizes) == len(words)
+        found.append([i for u in units for i in p.merged(u)])
+    assert found == [sp.encode(x or "") for x in texts]
+    assert [t.decode() for t in p.texts(pa.array(found, pa.list_(pa.int32())))] == [sp.decode(i) for i in found]
+    assert p.texts(pa.array([[], None, found[8]], pa.list_(pa.int32()))) == [b"", None, sp.decode(found[8]).encode()]
 
 
 def test_lattice_encoding_matches_the_library(spark, texts):

@@ -6,12 +6,14 @@ characters that are neighbours in no piece. The parts, called units here, encode
 independently of each other, so every distinct unit of the corpus is encoded once:
 
 1. The reading tasks number the distinct units of each chunk of documents. They leave the
-   numbers of every document in a file of the scratch folder and hand on (unit, chunk, place).
-2. Units are dealt out by unit and made distinct. Their substrings, as long as the longest piece,
-   are exploded and equi-joined to the piece table (broadcast; its size is the vocabulary's).
-   The matches of a unit, its lattice, are grouped by unit and folded with Spark's
-   higher-order ``aggregate``.
-3. Ids go back to (chunk, place); a task takes a chunk, opens its file and writes documents.
+   numbers of every document in a file of the scratch folder and hand on, for each chunk, its
+   units by bucket of their hash, every bucket one compressed cell.
+2. Cells of a bucket meet and give the bucket's distinct units. The units' substrings, as long as
+   the longest piece, are exploded and equi-joined to the piece table (broadcast; its size is
+   the vocabulary's). The matches of a unit, its lattice, are grouped by unit and folded with
+   Spark's higher-order ``aggregate``.
+3. Ids meet the cells of their bucket again, which carry them, as compressed, back to the
+   chunks; a task takes a chunk, opens its file and writes documents.
 
 The fold. For a unigram model it is Viterbi's: the best score up to each place. A BPE model's
 scores are merge ranks, and the path of the largest sum is not the library's result, so for
@@ -20,8 +22,8 @@ current symbols it takes the one of the best rank, the leftmost among equals, un
 left. Characters outside the model become their UTF-8 bytes' ids. Units over ``LONG``
 characters, whose lattice would not fit the fold's bit masks, take the same merges with a heap.
 
-A unit that is in every chunk is dealt to a partition for every ``SPREAD`` chunks, so no group grows with
-the corpus. Null texts count as empty and have no ids; empty texts decode to empty ones;
+Chunks are dealt to sets of about ``SPREAD``, and buckets are those of a set, so no group grows with
+the corpus: a unit that every chunk has is encoded once in a set. Null texts count as empty and have no ids; empty texts decode to empty ones;
 repeated rows and ids give a row each; an empty table gives an empty result; further columns
 are not read.
 """
@@ -37,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +48,10 @@ from trailweave.llm.common import materialize, open_fs, scratch_path, slices
 
 BLANK = "▁"
 LONG = 60
-#: Bytes of text in a chunk, about, and distinct units after which it ends; chunks in a group.
-CHUNK, UNITS, SPREAD = 16 << 20, 200_000, 4_096
+#: Bytes of text in a chunk, about, and the sum of its slices' distinct words after which it ends.
+CHUNK, UNITS = 12 << 20, 500_000
+#: Chunks in a set, about, and buckets of a set.
+SPREAD, BUCKETS = 4_096, 512
 #: Units, with repetitions, in a partition of the lattice, about.
 PART_UNITS = 100_000
 _MODELS: dict = {}
@@ -84,11 +89,21 @@ class Pieces:
         self.ranks = {p: order[s] for p, s in self.scores.items()}
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.longest = max(map(len, self.ids))
-
-    def units(self, segment: str) -> list[str]:
-        """A segment cut between neighbours that no piece has."""
-        cuts = [k for k in range(1, len(segment)) if segment[k - 1 : k + 1] not in self.pairs]
-        return [segment[a:b] for a, b in zip([0, *cuts], [*cuts, len(segment)], strict=True)] if cuts else [segment]
+        self.pair_codes = np.array(sorted(ord(p[0]) << 21 | ord(p[1]) for p in self.pairs) or [-1], "i8")
+        self.table = pa.array(self.bytes, pa.large_binary())
+
+    def units(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """Words, a blank mark put before each, cut between neighbours that no piece has; units of each."""
+        whole = BLANK + BLANK.join(words)
+        lengths = np.fromiter(map(len, words), "i8", len(words)) + 1
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4").astype("i8")
+        pairs = codes[:-1] << 21 | codes[1:]
+        at = np.minimum(np.searchsorted(self.pair_codes, pairs), len(self.pair_codes) - 1)
+        cut = np.concatenate([[True], self.pair_codes[at] != pairs])
+        starts = np.cumsum(lengths) - lengths
+        cut[starts] = True
+        places = np.flatnonzero(cut).tolist()
+        return [whole[a:b] for a, b in zip(places, [*places[1:], len(whole)], strict=True)], np.add.reduceat(cut, starts, dtype="u4")
 
     def of_char(self, c: str) -> list[int]:
         if c in self.ids:
@@ -127,10 +142,21 @@ class Pieces:
             a = ends[a]
         return out
 
-    def text(self, ids: list[int]) -> str:
-        """Decoding: the pieces' bytes, blanks for blank marks, less the blank put in front."""
-        whole = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
-        return whole[1:] if whole[:1] == " " else whole
+    def texts(self, ids: pa.ListArray) -> list[bytes | None]:
+        """Decoding: the pieces' bytes, blanks for blank marks, less the blank put in front.
+
+        The texts as UTF-8; bytes that are none become the replacement mark.
+        """
+        flat = self.table.take(ids.flatten())
+        _, places, data = flat.buffers()
+        places = np.frombuffer(places, "i8")[flat.offset : flat.offset + len(flat) + 1]
+        sizes = ids.value_lengths().fill_null(0).to_numpy()
+        ends = places[np.cumsum(sizes)].tolist() if len(ids) else []
+        raw, out = memoryview(data or b""), []
+        for a, b, there in zip([places[0], *ends], ends, ids.is_valid().to_pylist()):
+            whole = bytes(raw[a:b]).decode("utf-8", "replace").encode()
+            out.append((whole[1:] if whole[:1] == b" " else whole) if there else None)
+        return out
 
 
 def pieces(path: str) -> Pieces:
@@ -142,8 +168,31 @@ def pieces(path: str) -> Pieces:
 _SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
-def segments(text: str | None) -> list[str]:
-    return _SEGMENT.findall(BLANK + text.replace(" ", BLANK)) if text else []
+def _words(text: pa.Array) -> pa.ListArray:
+    """For each text its segments, runs of blank marks with what follows, less their first blank mark.
+
+    Most texts are split at blanks in one go; those with runs of blanks, or blank marks of their
+    own, are matched one by one.
+    """
+    text = text.cast(pa.string()).fill_null("")
+    odd = pc.or_(pc.or_(pc.equal(text, ""), pc.starts_with(text, " ")), pc.or_(pc.match_substring(text, "  "), pc.match_substring(text, BLANK)))
+    words = pc.split_pattern(text.filter(pc.invert(odd)), " ")
+    rows = [[x[1:] for x in _SEGMENT.findall(BLANK + t.replace(" ", BLANK))] if t else [] for t in text.filter(odd).to_pylist()]
+    if not rows:
+        return words
+    mask = odd.to_numpy(zero_copy_only=False)
+    order = np.where(mask, len(words) + np.cumsum(mask) - 1, np.cumsum(~mask) - 1)
+    return pa.concat_arrays([words, pa.array(rows, words.type)]).take(pa.array(order))
+
+
+def _packed_units(units: list[str]) -> bytes:
+    """A unit has blank marks for blanks, so a blank can stand between units."""
+    return zstandard.compress(" ".join(units).encode(), 3)
+
+
+def _unpacked_units(data: bytes) -> list[str]:
+    whole = zstandard.decompress(data).decode()
+    return whole.split(" ") if whole else []
 
 
 def _numbered(path: str, out: str):
@@ -151,34 +200,58 @@ def _numbered(path: str, out: str):
         fs, base = open_fs(out)
         fs.create_dir(base, recursive=True)
         model = pieces(path)
-        ids, rows, number, size = [], [], {}, 0
+        ids, lengths, words, size, met = [], [], [], 0, 0
 
         def close() -> pa.RecordBatch:
-            name, unit, parts = uuid.uuid4().int >> 65, {}, []
-            for s in number:
-                parts.append([unit.setdefault(u, len(unit)) for u in model.units(s)])
+            name = uuid.uuid4().int >> 65
+            numbers = pa.chunked_array(words, pa.dictionary(pa.int32(), pa.string())).unify_dictionaries().combine_chunks()
+            if isinstance(numbers, pa.ChunkedArray):
+                numbers = pa.concat_arrays(numbers.chunks)
+            blocks, sizes = [], [np.empty(0, "u4")]
+            for k in range(0, len(numbers.dictionary), 16_384):
+                parts, counts = model.units(numbers.dictionary[k : k + 16_384].to_numpy(zero_copy_only=False).tolist())
+                blocks.append(pa.array(parts, pa.string()))
+                sizes.append(counts)
+            parts, units = None, pa.concat_arrays([pa.array([], pa.string()), *blocks]).dictionary_encode()
+            found = units.dictionary.to_numpy(zero_copy_only=False).tolist()
+            buckets = np.fromiter((zlib.crc32(u.encode()) % BUCKETS for u in found), "i4", len(found))
+            order = np.argsort(buckets, kind="stable")
+            place = np.empty(len(order), "u4")
+            place[order] = np.arange(len(order))
             payload = {
                 "ids": ids,
-                "lengths": np.array(list(map(len, rows)), "u4"),
-                "segments": np.concatenate([np.empty(0, "u4"), *rows]).astype("u4"),
-                "sizes": np.array(list(map(len, parts)), "u4"),
-                "units": np.array([u for p in parts for u in p], "u4"),
+                "lengths": np.concatenate(lengths).astype("u4"),
+                "segments": numbers.indices.to_numpy().astype("u4"),
+                "sizes": np.concatenate(sizes),
+                "units": place[units.indices.to_numpy()],
+                "distinct": len(order),
             }
             with fs.open_output_stream(f"{base}/{name}") as f:
                 f.write(zstandard.compress(pickle.dumps(payload, protocol=5), 3))
+            used, counts = np.unique(buckets, return_counts=True) if found else (np.zeros(1, "i4"), np.zeros(1, "i8"))
+            ends = np.cumsum(counts)
+            cells = [[found[i] for i in order[e - n : e].tolist()] for e, n in zip(ends, counts, strict=True)]
             return pa.RecordBatch.from_pydict(
-                {"chunk": pa.array([name], pa.int64()), "units": pa.array([list(unit)], pa.list_(pa.string())), "longest": pa.array([max(map(len, unit), default=0)], pa.int32())}
+                {
+                    "chunk": pa.array([name] * len(cells), pa.int64()),
+                    "bucket": pa.array(used, pa.int32()),
+                    "n": pa.array(counts, pa.int32()),
+                    "units": pa.array(list(map(_packed_units, cells)), pa.binary()),
+                }
             )
 
         for batch in batches:
             for part in slices(batch):
-                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids.append(i)
-                    rows.append(np.array([number.setdefault(s, len(number)) for s in segments(text)], "u4"))
-                    size += len(text or "")
-                if size > CHUNK or len(number) > UNITS:
+                rows = _words(part.column(1))
+                ids += part.column(0).to_pylist()
+                lengths.append(rows.value_lengths().to_numpy())
+                words.append(rows.flatten().dictionary_encode())
+                size += part.column(1).nbytes
+                met += len(words[-1].dictionary)
+                if size > CHUNK or met > UNITS:
                     yield close()
-                    ids, rows, number, size = [], [], {}, 0
+                    ids, lengths, words, size, met = [], [], [], 0, 0
+                    pa.default_memory_pool().release_unused()
         if ids:
             yield close()
 
@@ -265,25 +338,32 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     spark = df.sparkSession
     out, key = scratch_path(spark, "unit-numbers"), df.schema[doc_id].dataType.simpleString()
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    chunks = materialize(rows.mapInArrow(_numbered(path, out), "chunk long, units array<string>, longest int"), "chunks")
-    units = chunks.agg(F.sum(F.size("units")).alias("n"), F.count("*").alias("chunks")).first()
-    places = chunks.select(
-        F.col("chunk"), F.pmod(F.xxhash64("chunk"), F.lit(max(1, units.chunks // SPREAD))).alias("salt"), F.posexplode("units").alias("place", "unit")
-    ).repartition(max(8, (units.n or 0) // PART_UNITS + 1), "unit", "salt")
-    # units, lattices and the way back share one partitioning: the places are shuffled once
-    distinct = places.select("unit", "salt").distinct()
-    coded = lattice_ids(distinct.where(F.char_length("unit") <= LONG), path, ["unit", "salt"], [], kind)
-    back = places.join(coded, ["unit", "salt"]).select("chunk", "place", "ids")
-
-    def heaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces(path)
-        for batch in batches:
-            ids = [model.merged(u) for u in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], ["unit", "salt", "ids"])
-
-    if chunks.where(F.col("longest") > LONG).limit(1).count():
-        long_ = distinct.where(F.char_length("unit") > LONG).mapInArrow(heaped, "unit string, salt long, ids array<int>")
-        back = back.unionByName(places.where(F.char_length("unit") > LONG).join(long_, ["unit", "salt"]).select("chunk", "place", "ids"))
+    read = rows.mapInArrow(_numbered(path, out), "chunk long, bucket int, n int, units binary")
+    cells = materialize(read, "cells")
+    total = cells.agg(F.sum("n").alias("n"), F.countDistinct("chunk").alias("chunks")).first()
+    of_set = F.pmod(F.xxhash64("chunk"), F.lit(max(1, total.chunks // SPREAD))).cast("int")
+    cells = cells.select(of_set.alias("part"), "bucket", "chunk", "units")
+
+    def distinct(key: tuple, table: pa.Table) -> pa.Table:
+        found = sorted({u for data in table["units"].to_pylist() for u in _unpacked_units(data) if len(u) <= LONG})
+        return pa.table({"part": pa.array([key[0].as_py()] * len(found), pa.int32()), "bucket": pa.array([key[1].as_py()] * len(found), pa.int32()), "unit": pa.array(found, pa.string())})
+
+    units = cells.groupBy("part", "bucket").applyInArrow(distinct, "part int, bucket int, unit string")
+    units = units.repartition(max(8, (total.n or 0) // PART_UNITS + 1), "unit", "part")
+    coded = lattice_ids(units, path, ["unit", "part"], ["bucket"], kind).select("part", "bucket", "unit", "ids")
+
+    def carried(key: tuple, table: pa.Table, coded: pa.Table) -> pa.Table:
+        model, k = pieces(path), coded["ids"].combine_chunks()
+        values, at = k.flatten().to_numpy(), np.concatenate([[0], np.cumsum(k.value_lengths().to_numpy())])
+        ids = {u: values[at[i] : at[i + 1]] for i, u in enumerate(coded["unit"].to_pylist())}
+        packed = []
+        for data in table["units"].to_pylist():
+            found = [np.asarray(model.merged(u) if len(u) > LONG else ids[u], "<i4") for u in _unpacked_units(data)]
+            sizes = np.array(list(map(len, found)), "<i4")
+            packed.append(zstandard.compress(np.concatenate([np.array([len(found)], "<i4"), sizes, *found]).tobytes(), 6))
+        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "ids": pa.array(packed, pa.binary())})
+
+    back = cells.groupBy("part", "bucket").cogroup(coded.groupBy("part", "bucket")).applyInArrow(carried, "chunk long, bucket int, ids binary")
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(out)
@@ -292,10 +372,10 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
         def finished() -> Iterator[pa.RecordBatch]:
             with fs.open_input_stream(f"{base}/{chunk}") as f:
                 p = pickle.loads(zstandard.decompress(f.read()))
-            if not len(found) or len(p["units"]) and int(p["units"].max()) >= len(found):
+            sizes = np.concatenate([x[1 : 1 + x[0]] for x in found]).astype("i8")
+            flat = np.concatenate([x[1 + x[0] :] for x in found])
+            if len(sizes) != p["distinct"]:
                 raise ValueError(f"{chunk}: units are missing")
-            sizes = np.array(list(map(len, found)), "i8")
-            flat = np.concatenate([np.asarray(x, "i4") for x in found])
             a = np.cumsum(sizes) - sizes
             seg_ids, seg_sizes = _gathered(flat, a, sizes, p["units"], p["sizes"])
             b = np.cumsum(seg_sizes) - seg_sizes
@@ -314,18 +394,17 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
                     if chunk is not None:
                         yield from finished()
                     chunk, found = c, []
-                found.append(ids)
+                found.append(np.frombuffer(zstandard.decompress(ids), "<i4"))
         if chunk is not None:
             yield from finished()
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind_of = to_arrow_type(df.schema[doc_id].dataType)
-    bare = chunks.where("size(units) = 0").select("chunk", F.lit(0).alias("place"), F.array().cast("array<int>").alias("ids"))
-    parts = max(8, 2 * spark.sparkContext.defaultParallelism, units.chunks)
+    parts = max(8, 2 * spark.sparkContext.defaultParallelism, total.chunks)
     return (
-        back.unionByName(bare).repartition(parts, "chunk")
-        .sortWithinPartitions("chunk", "place")
+        back.repartition(parts, "chunk")
+        .sortWithinPartitions("chunk", "bucket")
         .select("chunk", "ids")
         .mapInArrow(documents, f"doc_id {key}, ids array<int>")
     )
@@ -347,8 +426,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> D
         model = pieces(path)
         for batch in batches:
             for part in slices(batch):
-                texts = [None if x is None else model.text(x) for x in part.column(part.schema.get_field_index(ids)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, to])
+                texts = model.texts(part.column(part.schema.get_field_index(ids)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary()).cast(pa.string())], [*part.schema.names, to])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(run, f"{fields}, {to} string")
@@ -363,11 +442,12 @@ def round_trip(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
         model = pieces(path)
         for batch in batches:
             for part in slices(batch):
-                rows = part.column(1).to_pylist()
-                texts = [model.text(x).encode() for x in rows]
+                rows = part.column(1)
+                texts, sizes = model.texts(rows), rows.value_lengths().to_numpy()
+                raw, ends = memoryview(rows.flatten().to_numpy().astype("<u4")).cast("B"), 4 * np.cumsum(sizes)
                 columns = [
-                    map(len, rows),
-                    [zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in rows],
+                    sizes.tolist(),
+                    [zlib.crc32(raw[e - 4 * n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)],
                     map(len, texts),
                     map(zlib.crc32, texts),
                 ]
