@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -215,6 +216,22 @@ def test_disguises_are_mapped_back(text, kind, part):
     assert personal.spans_of("the loop at dawn and a dot on the map, one two")[1] == []
 
 
+@pytest.mark.parametrize("word", ["dot", "DOT", "punto", "point", "punkt", "."])
+@pytest.mark.parametrize(("left", "right"), ["()", "[]", "{}", "<>"])
+@pytest.mark.parametrize("inner", ["", " ", "  \t"])
+def test_bracketed_disguises_stand_alone(word, left, right, inner):
+    dot = f"{left}{inner}{word}{inner}{right}"
+    for at in ("at", "At", "@"):
+        for text in (f"jane {left}{inner}{at}{inner}{right} example.com", f"jane@example{dot}com", f"jane {left}{inner}{at}{inner}{right} example {dot} com"):
+            assert personal.redact(text) == "[EMAIL]", text
+    assert personal.redact(dot.join(["10", "0", "0", "1"])) == "[IP]"
+
+
+def test_brackets_and_blanks_take_linear_time():
+    start = time.process_time()
+    assert personal.redact("(" + " " * 300_000 + "x" + " " * 300_000 + "[dot]") and time.process_time() - start < 5
+
+
 def test_personal_data_rows(spark):
     cases = [*ODD, "a@b.co and 10.0.0.1 x@y.zz", "4539148803436467"]
     for r in personal.personal_data(table(spark, cases)).collect():

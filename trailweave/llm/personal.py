@@ -61,9 +61,7 @@ _WORD = "(?:" + "|".join(SPELLED) + ")"
 _RUN = re.compile(rf"\b(?:plus[\s,-]+)?{_WORD}(?:[\s,.-]+{_WORD}){{6,}}\b", re.I)
 _PAIR = re.compile(rf"\b{_WORD}[\s,.-]+{_WORD}[\s,.-]+{_WORD}\b", re.I)
 _EACH = re.compile(rf"\bplus\b|\b{_WORD}\b", re.I)
-_AT = r"\s*[(\[{<]\s*(?:at|@)\s*[)\]}>]\s*"
-_DOT = r"\s*[(\[{<]\s*(?:dot|punto|point|punkt|\.)\s*[)\]}>]\s*"
-_BRACKETED = re.compile(rf"({_AT})|({_DOT})", re.I)
+_BRACKETED = re.compile(r"[(\[{<]\s*(?:(at|@)|dot|punto|point|punkt|\.)\s*[)\]}>]", re.I)
 _BARE = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]+(\s+at\s+)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*\s+dot\s+[A-Za-z0-9-]+", re.I)
 _BARE_DOT = re.compile(r"\s+dot\s+", re.I)
 _ODD = re.compile(r"[­Ͱ-ϿЀ-ԯ٠-٩۰-۹०-९​-‏⁠‐-―﻿！-～]")
@@ -112,6 +110,15 @@ def plain_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _with_blanks(text: str, a: int, b: int, last: int) -> tuple[int, int]:
+    """The piece from ``a`` to ``b`` with the blanks around it, none before ``last``."""
+    while a > last and text[a - 1].isspace():
+        a -= 1
+    while b < len(text) and text[b].isspace():
+        b += 1
+    return a, b
+
+
 def _edits(text: str) -> list[tuple[int, int, str]]:
     """Pieces of the source and what the transducer writes for them, in order."""
     found: list[tuple[int, int, str]] = []
@@ -128,10 +135,11 @@ def _edits(text: str) -> list[tuple[int, int, str]]:
                 found.append((m.start(), m.end(), str(unicodedata.digit(c))))
             elif unicodedata.category(c) == "Cf":
                 found.append((m.start(), m.end(), ""))
-    low = text.lower()
-    if "dot" in low or "(at" in low or "[at" in low or "(@" in low or "[@" in low:
-        for m in _BRACKETED.finditer(text):
-            found.append((m.start(), m.end(), "@" if m[1] else "."))
+    last = 0
+    for m in _BRACKETED.finditer(text):
+        a, last = _with_blanks(text, m.start(), m.end(), last)
+        found.append((a, last, "@" if m[1] else "."))
+    if "dot" in text.lower():
         for m in _BARE.finditer(text):
             found.append((m.start(1), m.end(1), "@"))
             found += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(text, m.end(1), m.end())]
