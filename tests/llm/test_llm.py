@@ -227,6 +227,46 @@ def test_bracketed_disguises_stand_alone(word, left, right, inner):
     assert personal.redact(dot.join(["10", "0", "0", "1"])) == "[IP]"
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("call plus 1 415 five five five 0199 now", "call [PHONE] now"),
+        ("call plus 1, 415, five five five, 0199 now", "call [PHONE] now"),
+        ("call +1 four one five 555 oh one nine nine now", "call [PHONE] now"),
+        ("call plus 1 dot 415 dot five five five dot 0199 now", "call [PHONE] now"),
+        ("pay 4539 1488 zero three four three 6467 now", "pay [CARD] now"),
+        ("pay four five three nine 1488  0343, six four 67 now", "pay [CARD] now"),
+        ("ping 192 dot 168 dot 0 dot 1 now", "ping [IP] now"),
+        ("ping one nine two dot 168 [dot] zero dot 1 now", "ping [IP] now"),
+        ("ping 192.168.zero.one now", "ping [IP] now"),
+        ("ping one.one.one.one now", "ping [IP] now"),
+        ("ping １９２ dot 168(punkt)0.one now", "ping [IP] now"),
+        ("to jane (at) example dot com now", "to [EMAIL] now"),
+        ("to jane@example dot com now", "to [EMAIL] now"),
+        ("to jane at example [dot] com now", "to [EMAIL] now"),
+        ("to jane at mail dot example.com now", "to [EMAIL] now"),
+        ("to jane at example dot co.uk now", "to [EMAIL] now"),
+        ("to jane dot doe (at) example [dot] com now", "to [EMAIL] now"),
+        ("to jane dot doe at example dot org now", "to [EMAIL] now"),
+        ("to jane [dot] m dot doe@example.com now", "to [EMAIL] now"),
+        ("to doe@example.co dot uk now", "to [EMAIL] now"),
+        ("to jane（at）exаmple dot com now", "to [EMAIL] now"),
+        ("to one (at) two dot com now", "to [EMAIL] now"),
+        ("look at example.com, one of two; a dot at most", None),
+        ("one two three, four five six seven eight. It is 3 dot 5", None),
+        ("ſix ſeven fıve one two three four five six seven", None),
+    ],
+)
+def test_mixed_disguises_are_rewritten_whole(text, want):
+    assert personal.redact(text) == (want or text)
+
+
+def test_long_disguised_texts_take_linear_time():
+    text = "plus 1 415 five five five 0199; 10 dot 0 dot zero [dot] 1; jane dot doe at example (dot) org; usеr@x.org dot at dot " * 3000
+    start = time.process_time()
+    assert len(personal.spans_of(text)[1]) >= 4 * 3000 and time.process_time() - start < 20
+
+
 def test_brackets_and_blanks_take_linear_time():
     start = time.process_time()
     assert personal.redact("(" + " " * 300_000 + "x" + " " * 300_000 + "[dot]") and time.process_time() - start < 5

@@ -1,12 +1,14 @@
 """Personal data in texts: plain identifiers, and disguised ones mapped back to the source.
 
 Plain ones are e-mail addresses, IPv4 addresses, card numbers and telephone numbers by fixed
-patterns. For disguised ones a transducer rewrites the text: look-alike letters and wide or
-foreign digits become ASCII, invisible characters vanish, runs of spelled digits become
-digits, and "(at)", "[dot]" or "name at host dot tld" become "@" and ".". It keeps for every
-character written the source characters it stands for, so that what the same patterns find in
-the rewritten text is reported as spans of the source. A disguised span that touches a plain
-one of its kind is left to that one.
+patterns. For disguised ones a transducer rewrites the text in steps: look-alike letters and
+wide or foreign digits become ASCII and invisible characters vanish; "(at)" and "[dot]" become
+"@" and "."; spelled digits become digits, also among written ones; bare "dot" between digits or
+in an address, and bare "at" in an address with a disguised dot, become "." and "@". It keeps for
+every character written the source characters it stands for, so that what the same patterns
+find in the rewritten text is reported as spans of the source. A disguised span that touches a
+plain one of its kind is left to that one, unless it is an address that holds the plain one
+whole and more.
 
 Offsets count code points, ends exclusive. Null texts count as empty and have no spans;
 repeated rows give repeated results; very long texts take linear time; an empty table gives
@@ -15,6 +17,7 @@ an empty result; further columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
@@ -57,13 +60,17 @@ SPELLED = {
     "eight": "8",
     "nine": "9",
 }
-_WORD = "(?:" + "|".join(SPELLED) + ")"
-_RUN = re.compile(rf"\b(?:plus[\s,-]+)?{_WORD}(?:[\s,.-]+{_WORD}){{6,}}\b", re.I)
-_PAIR = re.compile(rf"\b{_WORD}[\s,.-]+{_WORD}[\s,.-]+{_WORD}\b", re.I)
-_EACH = re.compile(rf"\bplus\b|\b{_WORD}\b", re.I)
+_WORD = r"(?<![^\W\d])(?ai:" + "|".join(SPELLED) + r")(?![^\W\d])"
+_SPELLED = re.compile(_WORD, re.I)
+_NUMBER = re.compile(rf"(\bplus[\s,-]+(?=[0-9]|{_WORD}))|({_WORD})|[0-9]+", re.I)
+_BETWEEN = re.compile(r"[\s,.-]+")
+_NEAR = re.compile(r"[\s,.()-]+(?:dot\s+)?", re.I)
 _BRACKETED = re.compile(r"[(\[{<]\s*(?:(at|@)|dot|punto|point|punkt|\.)\s*[)\]}>]", re.I)
-_BARE = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]+(\s+at\s+)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*\s+dot\s+[A-Za-z0-9-]+", re.I)
+_NUMBER_DOT = re.compile(r"(?<=[0-9])\s+dot\s+(?=[0-9])", re.I)
 _BARE_DOT = re.compile(r"\s+dot\s+", re.I)
+_BARE_AT = re.compile(r"\s+at\s+", re.I)
+_CHAIN = re.compile(r"at(?=\s)|[A-Za-z0-9._%+-]+(?:\s+dot\s+(?!at\s)[A-Za-z0-9._%+-]+)*", re.I)
+_BARE_HOST = re.compile(r"[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)+", re.I)
 _ODD = re.compile(r"[­Ͱ-ϿЀ-ԯ٠-٩۰-۹०-९​-‏⁠‐-―﻿！-～]")
 
 
@@ -119,8 +126,46 @@ def _with_blanks(text: str, a: int, b: int, last: int) -> tuple[int, int]:
     return a, b
 
 
-def _edits(text: str) -> list[tuple[int, int, str]]:
-    """Pieces of the source and what the transducer writes for them, in order."""
+class _Written:
+    """A text with pieces ``(start, end, new)`` rewritten, and the way back to the text before."""
+
+    def __init__(self, text: str, edits: list[tuple[int, int, str]]):
+        self.edits, self.places, out, last, size = edits, [], [], 0, 0
+        for a, b, new in edits:
+            out += [text[last:a], new]
+            size += a - last
+            self.places.append(size)
+            size += len(new)
+            last = b
+        self.text = "".join([*out, text[last:]])
+        self.starts = [a for a, _, _ in edits]
+
+    def back(self, a: int, b: int) -> tuple[int, int, bool]:
+        """The span before, and whether something in it was rewritten."""
+        a, b = self._char(a)[0], self._char(b - 1)[1]
+        k = bisect.bisect_left(self.starts, a)
+        return a, b, k < len(self.starts) and self.starts[k] < b
+
+    def on(self, at: int) -> int | None:
+        """The place of a character of the text before, if it was not rewritten."""
+        k = bisect.bisect_right(self.starts, at) - 1
+        if k < 0:
+            return at
+        _, b, new = self.edits[k]
+        return at - b + self.places[k] + len(new) if at >= b else None
+
+    def _char(self, at: int) -> tuple[int, int]:
+        k = bisect.bisect_right(self.places, at) - 1
+        if k < 0:
+            return at, at + 1
+        a, b, new = self.edits[k]
+        if at < self.places[k] + len(new):
+            return a, b
+        return b + at - self.places[k] - len(new), b + at - self.places[k] - len(new) + 1
+
+
+def _letters(text: str) -> list[tuple[int, int, str]]:
+    """Look-alikes, wide letters, foreign digits, dashes and invisible characters."""
     found: list[tuple[int, int, str]] = []
     if not text.isascii():
         for m in _ODD.finditer(text):
@@ -135,54 +180,111 @@ def _edits(text: str) -> list[tuple[int, int, str]]:
                 found.append((m.start(), m.end(), str(unicodedata.digit(c))))
             elif unicodedata.category(c) == "Cf":
                 found.append((m.start(), m.end(), ""))
-    last = 0
+    return found
+
+
+def _brackets(text: str) -> list[tuple[int, int, str]]:
+    found, last = [], 0
     for m in _BRACKETED.finditer(text):
         a, last = _with_blanks(text, m.start(), m.end(), last)
         found.append((a, last, "@" if m[1] else "."))
-    if "dot" in text.lower():
-        for m in _BARE.finditer(text):
-            found.append((m.start(1), m.end(1), "@"))
-            found += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(text, m.end(1), m.end())]
-    if _PAIR.search(text):
-        for m in _RUN.finditer(text):
-            last = m.start()
-            for d in _EACH.finditer(text, m.start(), m.end()):
-                found.append((last, d.end(), "+" if d[0].lower() == "plus" else SPELLED[d[0].lower()]))
-                last = d.end()
-    found.sort()
-    out, last = [], 0
-    for a, b, new in found:
-        if a >= last:
-            out.append((a, b, new))
-            last = b
-    return out
+    return found
 
 
-def disguised_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of the source that hold an identifier once the text is rewritten."""
-    edits = _edits(text)
-    if not edits:
+def _digits(text: str) -> list[list[tuple[int, int, str]]]:
+    """Spelled digits as digits, in up to three readings of what stands between them: dropped
+    between two spelled ones; dropped all along a number that holds a spelled one; as the first,
+    but single dots stay. Numbers of fewer than four digits are part of no identifier."""
+    if not _SPELLED.search(text):
+        return []
+    groups: list[list[re.Match]] = []
+    for m in _NUMBER.finditer(text):
+        if groups and (m.start() == groups[-1][-1].end() or _NEAR.fullmatch(text, groups[-1][-1].end(), m.start())):
+            groups[-1].append(m)
+        else:
+            groups.append([m])
+    readings: list[list[tuple[int, int, str]]] = [[], [], []]
+    for group in groups:
+        if not any(m[1] or m[2] for m in group) or sum(0 if m[1] else 1 if m[2] else len(m[0]) for m in group) < 4:
+            continue
+        for k, found in enumerate(readings):
+            before = None
+            for m in group:
+                if before is not None and before.end() < m.start() and not before[1] and _BETWEEN.fullmatch(text, before.end(), m.start()):
+                    both = before[2] and m[2]
+                    if k == 1 or (both and (k == 0 or text[before.end() : m.start()] != ".")):
+                        found.append((before.end(), m.start(), ""))
+                if m[1] or m[2]:
+                    found.append((m.start(), m.end(), "+" if m[1] else SPELLED[m[2].lower()]))
+                before = m
+    return [r for k, r in enumerate(readings) if r and r not in readings[:k]]
+
+
+def _bare(text: str, dots: set[int]) -> list[tuple[int, int, str]]:
+    """Bare "dot" between digits and in addresses, bare "at" before a host, where one of the dots
+    of the address was disguised; ``dots``: places of those that were bracketed."""
+    low = "dot" in text.lower()
+    if not low and not dots:
         return []
-    written, begins, ends, last = [], [], [], 0
-    for a, b, new in [*edits, (len(text), len(text), "")]:
-        written.append(text[last:a])
-        begins.extend(range(last, a))
-        ends.extend(range(last + 1, a + 1))
-        if new:
-            written.append(new)
-            begins.append(a)
-            ends.append(b)
-        last = b
-    out, taken = [], {(k, a, b) for a, k, b in plain}
-    changed = [a for a, _, _ in edits]
-    import bisect
-
-    for a, kind, b in plain_spans("".join(written)):
-        start, end = begins[a], ends[b - 1]
-        k = bisect.bisect_left(changed, start)
-        if k < len(changed) and changed[k] < end and not any(t == kind and s < end and start < e for t, s, e in taken):
-            out.append((start, kind, end))
-    return out
+    found = {(m.start(), m.end(), ".") for m in _NUMBER_DOT.finditer(text)} if low else set()
+    before = None
+    for m in _CHAIN.finditer(text):
+        if m[0].lower() == "at":
+            continue
+        if before is not None:
+            a, b = before.end(), m.start()
+            firm = text[a:b] == "@"
+            host = _BARE_HOST.match(text, b) if firm or _BARE_AT.fullmatch(text, a, b) else None
+            if host:
+                bare = [(d.start(), d.end(), ".") for c in (before, host) for d in _BARE_DOT.finditer(text, c.start(), c.end())]
+                if firm or bare or any(text[k] == "." and k in dots for c in (before, host) for k in range(c.start(), c.end())):
+                    found.update(bare)
+                    if not firm:
+                        found.add((a, b, "@"))
+        before = m
+    return sorted(found)
+
+
+def disguised_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans of the source that hold an identifier once the text is rewritten.
+
+    The text is read without spelled digits first. Of overlapping spans of a kind the first found
+    stays, but an address that another holds whole gives way to it (a plain one: is joined by it).
+    """
+    letters = _Written(text, _letters(text))
+    brackets = _Written(letters.text, _brackets(letters.text))
+    own = [sorted((a, b) for a, t, b in plain if t == kind) for kind in range(len(KINDS))]
+    out: list[list[tuple[int, int]]] = [[] for _ in KINDS]
+    for k, edits in enumerate([[], *_digits(brackets.text)]):
+        digits = _Written(brackets.text, edits)
+        dots = {digits.on(p) for p, (_, _, new) in zip(brackets.places, brackets.edits, strict=True) if new == "."} - {None}
+        bare = _Written(digits.text, _bare(digits.text, dots))
+        steps = [bare, digits, brackets, letters]
+        if not any(step.edits for step in steps):
+            continue
+        for a, kind, b in plain_spans(bare.text):
+            changed = False
+            for step in steps:
+                a, b, here = step.back(a, b)
+                changed |= here
+            if not changed:
+                continue
+            met = _meeting(own[kind], a, b)
+            if met and (kind or k or not all(a <= x and y <= b and (a, b) != (x, y) for x, y in met)):
+                continue
+            met = _meeting(out[kind], a, b)
+            if met and (kind or not all(a <= x and y <= b for x, y in met)):
+                continue
+            at = bisect.bisect_left(out[kind], (a,))
+            out[kind][at : at + len(met)] = [(a, b)]
+    return [(a, kind, b) for kind, spans in enumerate(out) for a, b in spans]
+
+
+def _meeting(spans: list[tuple[int, int]], a: int, b: int) -> list[tuple[int, int]]:
+    """Those of ordered, separate spans that share a character with ``a`` to ``b``."""
+    k = bisect.bisect_left(spans, (a,))
+    k -= k > 0 and spans[k - 1][1] > a
+    return spans[k : bisect.bisect_left(spans, (b,))]
 
 
 def spans_of(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
