@@ -352,6 +352,29 @@ def test_toxicity_held_out(spark):
     assert {r.score for r in toxicity.predict(table(spark, ODD), none).collect()} == {0.0}
 
 
+def test_toxicity_is_the_same_with_a_large_table(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = toxicity.training_rows(docs, labels)
+    small, large = toxicity.train(rows), toxicity.train(rows, limit=20_000)
+    assert not isinstance(small["table"], toxicity.Blocks) and len(large["table"].there) > 4
+    words = sorted({w for r in docs.collect() for w in toxicity.words_of(r.text)}) + [b"", b"a", b"zzqq"]
+    assert np.allclose(toxicity.word_ratios(words, small["table"]), toxicity.word_ratios(words, large["table"]), atol=1e-6)
+    by = {n: (dict(zip(k.tolist(), r.tolist())), dict(zip(h.tolist(), f.tolist()))) for n, (k, r, h, f) in small["table"].items()}
+    for w, found in zip(words[::50], toxicity.word_ratios(words[::50], small["table"]), strict=True):
+        text, total = b" " + w + b" ", 0.0
+        for e in range(2, len(text) + 1):
+            for n in range(min(e, 6), 0, -1):
+                key = int.from_bytes(text[e - n : e], "big")
+                if key in by[n][0] or key >> 8 in by[n][1]:
+                    total += by[n][0][key] if key in by[n][0] else by[n][1][key >> 8]
+                    break
+        assert abs(found - total / (len(w) + 1) ** 0.5) < 1e-6
+    want = {r.doc_id: r.score for r in toxicity.predict(docs, small).collect()}
+    got = {r.doc_id: r.score for r in toxicity.predict(docs, large).collect()}
+    assert want.keys() == got.keys() and all(abs(want[k] - got[k]) < 1e-6 for k in want)
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1200)]

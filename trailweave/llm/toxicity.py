@@ -13,9 +13,10 @@ run of ``RUN`` words, and of all of it; with its length they give the score by l
 regression, fitted on at most about ``SAMPLE`` training documents (a bounded sample) that the
 model used for the fit has not counted.
 
-The n-gram table is broadcast; it holds at most ``TABLE`` entries of the two top orders: while
-there would be more, the count below which such an n-gram is left to the shared back-off is
-doubled. Null and empty texts have no words: they score like a text of ratio 0. Without labels
+All n-grams count at every size. A table of at most ``TABLE`` of them is broadcast. A larger one is
+dealt to blocks by the two letters before an n-gram's last, which all that a letter falls back on
+share: tasks turn blocks into ratios, as files of the scratch folder, and scoring tasks look the
+new words of many documents up block by block. Null and empty texts have no words: they score like a text of ratio 0. Without labels
 of both classes every score is 0. Repeated rows give repeated results; very long texts are
 scored whole; further columns are not read.
 """
@@ -23,15 +24,17 @@ scored whole; further columns are not read.
 from __future__ import annotations
 
 import math
+import pickle
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import discard, fold_of, materialize, slices, small_or_shuffled
+from trailweave.llm.common import discard, fold_of, materialize, open_fs, scratch_path, slices, small_or_shuffled
 
 ORDER, DISCOUNT, RUN, SAMPLE, TABLE = 6, 0.75, 8, 20_000, 4_000_000
 _SPACE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -113,10 +116,11 @@ def _at(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k, table[k] == keys
 
 
-def ratios(grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[int, tuple]:
+def ratios(grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], pairs: np.ndarray | None = None) -> dict[int, tuple]:
     """For each order: keys and log ratios, contexts and the log ratios of their freed mass.
 
-    ``grams``: by order the sorted keys and their counts, ordinary and toxic.
+    ``grams``: by order the sorted keys and their counts, ordinary and toxic. ``pairs``: in how many
+    n-grams of order 3 those of order 2 end, where ``grams`` holds a block of that order only.
     """
     shared: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     out: dict[int, tuple] = {}
@@ -126,7 +130,9 @@ def ratios(grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[
         mask = np.uint64((1 << 8 * (n - 1)) - 1)
         context = keys >> np.uint64(8)
         heads, head = np.unique(context, return_inverse=True)
-        if n < ORDER:
+        if n == 2 and pairs is not None:
+            spread = pairs
+        elif n < ORDER:
             longer = np.sort(grams[n + 1][0] & np.uint64((1 << 8 * n) - 1))
             spread = np.searchsorted(longer, keys, "right") - np.searchsorted(longer, keys, "left")
         else:
@@ -160,35 +166,64 @@ def ratios(grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[
     return out
 
 
-def word_ratios(words: list[bytes], table: dict[int, tuple]) -> np.ndarray:
+def block_of(pair, blocks: int):
+    """The block of a context's last two letters, as column or array."""
+    return pair * 40_503 % 65_521 % blocks
+
+
+class Blocks:
+    """A table too large to broadcast: its two low orders, and files of blocks of the others."""
+
+    def __init__(self, base: str, low: dict[int, tuple], there: set[int], blocks: int):
+        self.base, self.low, self.there, self.blocks = base, low, there, blocks
+
+    def parts(self, keys: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, dict[int, tuple]]]:
+        """Places and the table that holds all of them."""
+        fs, base = open_fs(self.base)
+        block = np.where(place >= 2, block_of(((keys >> np.uint64(8)) & np.uint64(0xFFFF)).astype("i8"), self.blocks), -1)
+        order = np.argsort(block, kind="stable")
+        found, start = np.unique(block[order], return_index=True)
+        for k, use in zip(found.tolist(), np.split(order, start[1:]), strict=True):
+            table = self.low
+            if k in self.there:
+                with fs.open_input_stream(f"{base}/{k}") as f:
+                    table = self.low | pickle.loads(zstandard.decompress(f.read()))
+            yield use, table
+
+
+def word_ratios(words: list[bytes], table: dict[int, tuple] | Blocks) -> np.ndarray:
     """Log-likelihood ratio of each word, toxic over ordinary, by its length in bytes and one blank."""
     if not words:
         return np.zeros(0)
     letters, place, number, first = _letters(words)
-    total, open_ = np.zeros(len(letters)), place >= 1
-    for n in range(ORDER, 0, -1):
-        keys, ratio, heads, freed = table[n]
-        use = np.flatnonzero(open_ & (place >= n - 1))
-        key = _keys(letters, n)[use]
-        k, there = _at(keys, key)
-        total[use[there]] += ratio[k[there]] if len(ratio) else 0
-        open_[use[there]] = False
-        use, key = use[~there], key[~there]
-        k, there = _at(heads, key >> np.uint64(8))
-        total[use[there]] += freed[k[there]] if len(freed) else 0
-        open_[use[there]] = False
+    total, open_, all_keys = np.zeros(len(letters)), np.ones(len(letters), bool), _keys(letters, ORDER)
+    for at, part in table.parts(all_keys, place) if isinstance(table, Blocks) else [(np.arange(len(letters)), table)]:
+        at = at[place[at] >= 1]
+        for n in range(ORDER, 0, -1):
+            keys, ratio, heads, freed = part[n]
+            use = at[place[at] >= n - 1]
+            key = all_keys[use] & np.uint64((1 << 8 * n) - 1)
+            k, there = _at(keys, key)
+            total[use[there]] += ratio[k[there]] if len(ratio) else 0
+            open_[use[there]] = False
+            use, key = use[~there], key[~there]
+            k, there = _at(heads, key >> np.uint64(8))
+            total[use[there]] += freed[k[there]] if len(freed) else 0
+            open_[use[there]] = False
+            at = at[open_[at]]
     return np.add.reduceat(total, first) / np.sqrt(np.bincount(number) - 1.0)
 
 
-def described(texts: list[str | None], table: dict[int, tuple], cache: dict[bytes, float]) -> np.ndarray:
+def described(texts: list[str | None], table: dict[int, tuple] | Blocks, cache: dict[bytes, float]) -> np.ndarray:
     """Of each text: its two largest word ratios, the largest mean of a run, the mean, log of length."""
     words = [words_of(t) for t in texts]
     new = [w for w in set().union(*words) if w not in cache]
     if len(cache) > 400_000:
         cache.clear()
         new = list(set().union(*words))
-    for a in range(0, len(new), 20_000):
-        part = new[a : a + 20_000]
+    step = 200_000 if isinstance(table, Blocks) else 20_000
+    for a in range(0, len(new), step):
+        part = new[a : a + step]
         cache.update(zip(part, word_ratios(part, table).tolist(), strict=True))
     out = np.zeros((len(texts), 5))
     for k, ws in enumerate(words):
@@ -220,6 +255,55 @@ def scores(x: np.ndarray, fit: dict | None) -> np.ndarray:
     return 1 / (1 + np.exp(-z.clip(-30, 30)))
 
 
+def _by_order(rows: pa.Table, back: bool) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By order the keys, sorted, and their counts, with those of the fold kept back or without."""
+    n, key = rows["n"].to_numpy(), rows["key"].to_numpy().view("u8")
+    c = [rows[f"c{j}"].to_numpy() for j in range(4)]
+    ordinary, toxic = (c[0] + c[2], c[1] + c[3]) if back else (c[0], c[1])
+    by = {}
+    for k in range(1, ORDER + 1):
+        at = np.flatnonzero((n == k) & (ordinary + toxic > 0))
+        at = at[np.argsort(key[at])]
+        by[k] = key[at], ordinary[at], toxic[at]
+    return by
+
+
+def _tables(grams: DataFrame) -> tuple[dict[int, tuple], dict[int, tuple]]:
+    """The tables of the folds but the one kept back, and of all."""
+    rows = grams.toArrow()
+    return ratios(_by_order(rows, False)), ratios(_by_order(rows, True))
+
+
+def _blocks(grams: DataFrame, limit: int) -> tuple[Blocks, Blocks]:
+    """The same, as blocks of about a quarter of ``limit`` n-grams; the driver holds two orders only."""
+    spark, blocks = grams.sparkSession, -(-4 * grams.count() // max(1, limit))
+    low = grams.where("n < 3").toArrow()
+    seen = (F.col("c0") + F.col("c1") > 0).cast("long")
+    ends = grams.where("n = 3").groupBy(F.expr("key & 65535L").alias("pair")).agg(F.sum(seen).alias("p0"), F.count("*").alias("p1")).orderBy("pair").toArrow()
+    bases = [scratch_path(spark, "ratios") for _ in range(2)]
+
+    def pairs(k: int, keys: np.ndarray) -> np.ndarray:
+        at, there = _at(ends["pair"].to_numpy().astype("u8"), keys)
+        return np.where(there, ends[f"p{k}"].to_numpy()[at], 0) if len(ends) else np.zeros(len(keys), "i8")
+
+    of_low = [_by_order(low, bool(k)) for k in range(2)]
+    of_pairs = [pairs(k, of_low[k][2][0]) for k in range(2)]
+    shared = spark.sparkContext.broadcast([({n: by[n] for n in (1, 2)}, of) for by, of in zip(of_low, of_pairs, strict=True)])
+
+    def write(key: tuple, table: pa.Table) -> pa.Table:
+        for base, back, (by, of) in zip(bases, (False, True), shared.value, strict=True):
+            fs, at = open_fs(base)
+            fs.create_dir(at, recursive=True)
+            found = ratios(_by_order(table, back) | by, of)
+            with fs.open_output_stream(f"{at}/{key[0].as_py()}") as f:
+                f.write(zstandard.compress(pickle.dumps({n: found[n] for n in range(3, ORDER + 1)})))
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32())})
+
+    dealt = grams.where("n >= 3").withColumn("block", block_of(F.expr("shiftrightunsigned(key, 8) & 65535L"), blocks).cast("int"))
+    there = {r.block for r in dealt.groupBy("block").applyInArrow(write, "block int").collect()}
+    return tuple(Blocks(base, ratios(by, of), there, blocks) for base, by, of in zip(bases, of_low, of_pairs, strict=True))
+
+
 def train(labelled: DataFrame, limit: int = TABLE, sample: int = SAMPLE) -> dict:
     """A model from ``labelled(doc_id, text, toxic, back)``; ``back`` marks the fold the fit is made on."""
     rows = labelled.where("text is not null and toxic is not null").withColumn(
@@ -229,26 +313,8 @@ def train(labelled: DataFrame, limit: int = TABLE, sample: int = SAMPLE) -> dict
     if not all(sizes.get(c, 0) for c in range(4)):
         return {"table": None, "fit": None}
     grams = materialize(gram_counts(rows), "grams")
-    least = 1
-    while True:
-        kept = grams.where((F.col("n") < ORDER - 1) | (F.col("c0") + F.col("c1") + F.col("c2") + F.col("c3") >= least))
-        if kept.count() <= limit:
-            break
-        least *= 2
-    found = kept.toArrow()
+    part, whole = _tables(grams) if grams.count() <= limit else _blocks(grams, limit)
     discard(grams)
-    n, key = found["n"].to_numpy(), found["key"].to_numpy().view("u8")
-    c = [found[f"c{j}"].to_numpy() for j in range(4)]
-
-    def table(ordinary: np.ndarray, toxic: np.ndarray) -> dict[int, tuple]:
-        by = {}
-        for k in range(1, ORDER + 1):
-            at = np.flatnonzero((n == k) & (ordinary + toxic > 0))
-            at = at[np.argsort(key[at])]
-            by[k] = key[at], ordinary[at], toxic[at]
-        return ratios(by)
-
-    part, whole = table(c[0], c[1]), table(c[0] + c[2], c[1] + c[3])
     share = min(1.0, sample / max(1, sizes[2] + sizes[3]))
     back = rows.where("back").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     seen = _described(back.select(F.col("class").alias("y"), "text"), part, "y int").toPandas()
@@ -256,14 +322,14 @@ def train(labelled: DataFrame, limit: int = TABLE, sample: int = SAMPLE) -> dict
     return {"table": whole, "fit": _logistic(x, (seen["y"].to_numpy() == 3).astype("f8"))}
 
 
-def _described(df: DataFrame, table: dict, kept: str) -> DataFrame:
+def _described(df: DataFrame, table: dict | Blocks, kept: str) -> DataFrame:
     """``df`` (last column: text) with the text replaced by its five numbers ``x0..x4``."""
     shared, key = df.sparkSession.sparkContext.broadcast(table), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = cache_of(key)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 10_000, 64 << 20) if isinstance(shared.value, Blocks) else slices(batch):
                 x = described(part.column(part.num_columns - 1).to_pylist(), shared.value, cache)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], *(pa.array(x[:, j]) for j in range(5))], [*part.schema.names[:-1], *(f"x{j}" for j in range(5))]
