@@ -375,6 +375,26 @@ def test_toxicity_is_the_same_with_a_large_table(spark):
     assert want.keys() == got.keys() and all(abs(want[k] - got[k]) < 1e-6 for k in want)
 
 
+def test_long_words_are_read_whole(spark, monkeypatch):
+    clean, bad = "一二三四五六七八九十" * 12, "毒毒毒毒毒"
+    texts = [clean + bad + clean[: k % 7] if k % 2 else clean + clean[: k % 7] for k in range(60)]
+    rows = spark.createDataFrame([(k, t, k % 2, k % 3 == 0) for k, t in enumerate(texts)], "doc_id long, text string, toxic int, back boolean")
+    model = toxicity.train(rows)
+    held = table(spark, [clean * 3, clean * 3 + bad, bad + clean * 2])
+    assert [r.predicted for r in toxicity.predict(held, model).orderBy("doc_id").collect()] == [0, 1, 1]
+    words = [b"x" * 300 + b"abcdefgh" * 40, b"", b"a", b"word", bytes(range(97, 123)) * 9]
+    whole = {n: dict(zip(k.tolist(), c[0].tolist(), strict=True)) for n, k, c in toxicity._grams(words, np.ones((5, 1)))}
+    ratios = toxicity.word_ratios(words, model["table"])
+    for size in (7, 8, 64, 301):
+        monkeypatch.setattr(toxicity, "PART", size)
+        parts = {n: {} for n in whole}
+        for n, keys, c in toxicity._grams(words, np.ones((5, 1))):
+            for k, v in zip(keys.tolist(), c[0].tolist(), strict=True):
+                parts[n][k] = parts[n].get(k, 0) + v
+        assert parts == whole and np.allclose(toxicity.word_ratios(words, model["table"]), ratios)
+    assert sum(whole[1].values()) == sum(len(w) + 1 for w in words)
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1200)]

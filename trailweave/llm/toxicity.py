@@ -17,8 +17,8 @@ All n-grams count at every size. A table of at most ``TABLE`` of them is broadca
 dealt to blocks by the two letters before an n-gram's last, which all that a letter falls back on
 share: tasks turn blocks into ratios, as files of the scratch folder, and scoring tasks look the
 new words of many documents up block by block. Null and empty texts have no words: they score like a text of ratio 0. Without labels
-of both classes every score is 0. Repeated rows give repeated results; very long texts are
-scored whole; further columns are not read.
+of both classes every score is 0. Repeated rows give repeated results; very long texts and
+words are scored whole; further columns are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from trailweave.llm.common import discard, fold_of, materialize, open_fs, scratch_path, slices, small_or_shuffled
 
 ORDER, DISCOUNT, RUN, SAMPLE, TABLE = 6, 0.75, 8, 20_000, 4_000_000
+#: Bytes of words that are taken apart at a time, about.
+PART = 1 << 20
 _SPACE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _CACHES: dict = {}
 
@@ -45,13 +47,36 @@ def words_of(text: str | None) -> list[bytes]:
     return text.lower().encode().translate(_SPACE).split() if text else []
 
 
-def _letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all words, each between blanks: bytes, place in the word, the word's number, first places."""
-    joined = np.frombuffer(b"".join(b" " + w[:200] + b" " for w in words), "u1").astype("u8")
-    sizes = np.array([min(len(w), 200) + 2 for w in words], "i8")
+def _parts(words: list[bytes]) -> Iterator[list[tuple[int, int, int, bytes]]]:
+    """The words, each between blanks, in lists of about ``PART`` bytes: number of the word, place,
+    bytes of the part before that only begin n-grams, bytes. Long words go in parts that overlap."""
+    out, size = [], 0
+    for number, w in enumerate(words):
+        for a in range(0, len(w) + 2, PART):
+            start = max(0, a - ORDER + 1)
+            if len(w) + 2 <= PART:
+                piece = b" " + w + b" "
+            else:
+                piece = b" " * (start == 0) + w[max(0, start - 1) : a + PART - 1] + b" " * (a + PART > len(w) + 1)
+            out.append((number, start, a - start, piece))
+            size += len(piece)
+            if size >= PART:
+                yield out
+                out, size = [], 0
+    if out:
+        yield out
+
+
+def _letters(parts: list[tuple[int, int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all parts: bytes, place in the word (-1 where a byte is another part's own), the word's number, first places."""
+    joined = np.frombuffer(b"".join(p[3] for p in parts), "u1").astype("u8")
+    sizes = np.array([len(p[3]) for p in parts], "i8")
     first = np.cumsum(sizes) - sizes
-    number = np.repeat(np.arange(len(words)), sizes)
-    return joined, np.arange(len(joined)) - first[number], number, first
+    part = np.repeat(np.arange(len(parts)), sizes)
+    numbers, starts, skips = np.array([p[:3] for p in parts], "i8").T
+    place = np.arange(len(joined)) - first[part]
+    place = np.where(place < skips[part], -1, place + starts[part])
+    return joined, place, numbers[part], first
 
 
 def _keys(letters: np.ndarray, order: int) -> np.ndarray:
@@ -63,12 +88,13 @@ def _keys(letters: np.ndarray, order: int) -> np.ndarray:
 
 
 def _grams(words: list[bytes], weights: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    letters, place, number, _ = _letters(words)
-    for order in range(1, ORDER + 1):
-        use = place >= max(1, order - 1)
-        keys, inverse = np.unique(_keys(letters, order)[use], return_inverse=True)
-        sums = np.stack([np.bincount(inverse, weights=weights[number[use], j], minlength=len(keys)) for j in range(weights.shape[1])])
-        yield order, keys, sums.astype("i8")
+    for parts in _parts(words):
+        letters, place, number, _ = _letters(parts)
+        for order in range(1, ORDER + 1):
+            use = place >= max(1, order - 1)
+            keys, inverse = np.unique(_keys(letters, order)[use], return_inverse=True)
+            sums = np.stack([np.bincount(inverse, weights=weights[number[use], j], minlength=len(keys)) for j in range(weights.shape[1])])
+            yield order, keys, sums.astype("i8")
 
 
 def gram_counts(labelled: DataFrame) -> DataFrame:
@@ -76,6 +102,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[bytes, list[int]] = {}
+        size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             words = list(counts)
@@ -94,9 +121,11 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
                     c = counts.get(w)
                     if c is None:
                         c = counts[w] = [0, 0, 0, 0]
+                        size += len(w)
                     c[kind] += 1
-            if len(counts) > 400_000:
-                yield from flush()
+                if len(counts) > 400_000 or size > 32 << 20:
+                    yield from flush()
+                    size = 0
         if counts:
             yield from flush()
 
@@ -195,23 +224,26 @@ def word_ratios(words: list[bytes], table: dict[int, tuple] | Blocks) -> np.ndar
     """Log-likelihood ratio of each word, toxic over ordinary, by its length in bytes and one blank."""
     if not words:
         return np.zeros(0)
-    letters, place, number, first = _letters(words)
-    total, open_, all_keys = np.zeros(len(letters)), np.ones(len(letters), bool), _keys(letters, ORDER)
-    for at, part in table.parts(all_keys, place) if isinstance(table, Blocks) else [(np.arange(len(letters)), table)]:
-        at = at[place[at] >= 1]
-        for n in range(ORDER, 0, -1):
-            keys, ratio, heads, freed = part[n]
-            use = at[place[at] >= n - 1]
-            key = all_keys[use] & np.uint64((1 << 8 * n) - 1)
-            k, there = _at(keys, key)
-            total[use[there]] += ratio[k[there]] if len(ratio) else 0
-            open_[use[there]] = False
-            use, key = use[~there], key[~there]
-            k, there = _at(heads, key >> np.uint64(8))
-            total[use[there]] += freed[k[there]] if len(freed) else 0
-            open_[use[there]] = False
+    out = np.zeros(len(words))
+    for parts in _parts(words):
+        letters, place, number, first = _letters(parts)
+        total, open_, all_keys = np.zeros(len(letters)), place >= 1, _keys(letters, ORDER)
+        for at, part in table.parts(all_keys, place) if isinstance(table, Blocks) else [(np.arange(len(letters)), table)]:
             at = at[open_[at]]
-    return np.add.reduceat(total, first) / np.sqrt(np.bincount(number) - 1.0)
+            for n in range(ORDER, 0, -1):
+                keys, ratio, heads, freed = part[n]
+                use = at[place[at] >= n - 1]
+                key = all_keys[use] & np.uint64((1 << 8 * n) - 1)
+                k, there = _at(keys, key)
+                total[use[there]] += ratio[k[there]] if len(ratio) else 0
+                open_[use[there]] = False
+                use, key = use[~there], key[~there]
+                k, there = _at(heads, key >> np.uint64(8))
+                total[use[there]] += freed[k[there]] if len(freed) else 0
+                open_[use[there]] = False
+                at = at[open_[at]]
+        np.add.at(out, number[first], np.add.reduceat(total, first))
+    return out / np.sqrt(np.array([len(w) for w in words]) + 1.0)
 
 
 def described(texts: list[str | None], table: dict[int, tuple] | Blocks, cache: dict[bytes, float]) -> np.ndarray:
@@ -225,6 +257,7 @@ def described(texts: list[str | None], table: dict[int, tuple] | Blocks, cache:
     for a in range(0, len(new), step):
         part = new[a : a + step]
         cache.update(zip(part, word_ratios(part, table).tolist(), strict=True))
+    long = [w for w in new if len(w) > 200]
     out = np.zeros((len(texts), 5))
     for k, ws in enumerate(words):
         if ws:
@@ -233,6 +266,8 @@ def described(texts: list[str | None], table: dict[int, tuple] | Blocks, cache:
             sums = np.concatenate([[0.0], np.cumsum(r)])
             run = min(RUN, len(r))
             out[k] = top[0], top[1], (sums[run:] - sums[:-run]).max() / run, sums[-1] / len(r), math.log1p(len(r))
+    for w in long:
+        del cache[w]
     return out
 
 
