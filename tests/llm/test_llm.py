@@ -395,6 +395,18 @@ def test_long_words_are_read_whole(spark, monkeypatch):
     assert sum(whole[1].values()) == sum(len(w) + 1 for w in words)
 
 
+@pytest.mark.parametrize(("n_toxic", "side"), [(12, False), (12, True), (2, False), (1, False), (1, True)])
+def test_toxic_rows_may_all_miss_a_fold(spark, n_toxic, side):
+    rng = random.Random(n_toxic)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(60)]
+    rows = [(k, " ".join(rng.choices(words, k=30)), 0, k % 5 == 4) for k in range(60)]
+    rows += [(100 + k, " ".join([*rng.choices(words, k=15), "zyxwvut", "qzyxwv", *rng.choices(words, k=15)]), 1, side) for k in range(n_toxic)]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int, back boolean"))
+    held = table(spark, [" ".join(rng.choices(words, k=30)), " ".join([*rng.choices(words, k=30), "zyxwvut", "qzyxwv"])])
+    scores = [r.score for r in toxicity.predict(held, model).orderBy("doc_id").collect()]
+    assert 0 < scores[0] < scores[1] and (n_toxic < 12 or scores[0] < 0.5 <= scores[1])
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1200)]

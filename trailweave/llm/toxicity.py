@@ -11,7 +11,7 @@ A word's log-likelihood ratio needs its letters alone, so workers keep it in a c
 is described by ratios normalised by length: of its two most toxic words, of its most toxic
 run of ``RUN`` words, and of all of it; with its length they give the score by logistic
 regression, fitted on at most about ``SAMPLE`` training documents (a bounded sample) that the
-model used for the fit has not counted.
+model used for the fit has not counted (but where a class has a single document).
 
 All n-grams count at every size. A table of at most ``TABLE`` of them is broadcast. A larger one is
 dealt to blocks by the two letters before an n-gram's last, which all that a letter falls back on
@@ -340,21 +340,41 @@ def _blocks(grams: DataFrame, limit: int) -> tuple[Blocks, Blocks]:
 
 
 def train(labelled: DataFrame, limit: int = TABLE, sample: int = SAMPLE) -> dict:
-    """A model from ``labelled(doc_id, text, toxic, back)``; ``back`` marks the fold the fit is made on."""
-    rows = labelled.where("text is not null and toxic is not null").withColumn(
-        "class", (F.when(F.col("toxic") > 0, 1).otherwise(0) + F.when(F.col("back"), 2).otherwise(0)).cast("int")
-    )
-    sizes = {r["class"]: r["count"] for r in rows.groupBy("class").count().collect()}
-    if not all(sizes.get(c, 0) for c in range(4)):
+    """A model from ``labelled(doc_id, text, toxic, back)``; ``back`` marks the fold the fit is made on.
+
+    A class that this fold or the others lack is split anew, about a fifth of its documents kept
+    back; one of a single document counts and is fitted on, too."""
+    rows = labelled.where("text is not null and toxic is not null")
+    toxic = (F.col("toxic") > 0).cast("int")
+    of_class = toxic + F.when(F.col("back"), 2).otherwise(0)
+    sizes = {r["class"]: r["count"] for r in rows.groupBy(of_class.alias("class")).count().collect()}
+    if not all(sizes.get(c, 0) + sizes.get(c + 2, 0) for c in (0, 1)):
         return {"table": None, "fit": None}
+    alone, back = [], F.col("back")
+    for c in (0, 1):
+        if not (sizes.get(c) and sizes.get(c + 2)):
+            place = F.xxhash64("doc_id")
+            near = rows.where(toxic == c).agg(F.percentile_approx(place, 0.2).alias("fifth"), F.max(place).alias("last")).first()
+            if near.fifth < near.last:
+                back = F.when(toxic == c, place <= near.fifth).otherwise(back)
+            else:
+                alone.append(c)
+                back = F.when(toxic == c, False).otherwise(back)
+    rows = rows.withColumn("class", (toxic + F.when(back, 2).otherwise(0)).cast("int"))
+    anew = [c for c in (0, 1) if not (sizes.get(c) and sizes.get(c + 2))]
+    if anew:
+        sizes = {r["class"]: r["count"] for r in rows.groupBy("class").count().collect()}
     grams = materialize(gram_counts(rows), "grams")
     part, whole = _tables(grams) if grams.count() <= limit else _blocks(grams, limit)
     discard(grams)
-    share = min(1.0, sample / max(1, sizes[2] + sizes[3]))
-    back = rows.where("back").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    fitted = [2, 3, *alone]
+    share = min(1.0, sample / max(1, sum(sizes.get(c, 0) for c in fitted)))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000
+    few = [c for c in fitted if c % 2 in anew and sizes.get(c, 0) <= sample]
+    back = rows.where(F.col("class").isin(fitted)).where(drawn | F.col("class").isin(few) if few else drawn)
     seen = _described(back.select(F.col("class").alias("y"), "text"), part, "y int").toPandas()
     x = seen[[f"x{j}" for j in range(5)]].to_numpy()
-    return {"table": whole, "fit": _logistic(x, (seen["y"].to_numpy() == 3).astype("f8"))}
+    return {"table": whole, "fit": _logistic(x, (seen["y"].to_numpy() % 2 == 1).astype("f8"))}
 
 
 def _described(df: DataFrame, table: dict | Blocks, kept: str) -> DataFrame:
