@@ -44,3 +44,11 @@ def test_near_dedup_keeps_one_row_of_a_repeated_id(spark):
     out = corpus_pipeline.near_dedup(spark, docs.unionByName(docs), SMALL)
     ids = [r.doc_id for r in out.select("doc_id").collect()]
     assert len(ids) == len(set(ids))
+
+
+def test_near_dedup_keeps_different_texts_of_a_repeated_id(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue black white grey pink")
+    rows = [(5, a), (5, b), (7, b), (9, c), (9, c.upper()), (11, c), (None, a), (13, None), (13, ""), (2, a + " " + c), (2, b)]
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL).collect()
+    want = [(2, a + " " + c), (2, b), (5, a), (9, c.upper()), (13, None), (None, a)]
+    assert sorted(map(tuple, out), key=str) == sorted(want, key=str)

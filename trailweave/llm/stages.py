@@ -2,15 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``. All but the last
 return its columns. Null texts: language identification rejects them. Empty tables give empty
-tables; repeated rows stay until near-duplicate removal, which keeps one row of an id.
+tables; repeated rows stay until near-duplicate removal, which keeps one row of an
+id and text (texts of the same shingles count as the same).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from trailweave.llm.common import materialize, small_or_shuffled
+from trailweave.llm.common import binary_list, materialize, slices, small_or_shuffled
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,21 +24,51 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return told.where(~F.col("rejected")).select(*[F.col(f"_{c}").alias(c) for c in docs.columns])
 
 
+def _with_sets(docs: DataFrame, k: int) -> DataFrame:
+    """``docs`` with a hash of the shingle set of ``text`` as ``_set``."""
+    import pyarrow as pa
+    import xxhash
+
+    from trailweave.llm.neardup import shingle_set
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                texts = binary_list(part.column(part.schema.get_field_index("text")))
+                sets = pa.array([xxhash.xxh3_128_hexdigest(shingle_set(t, k).tobytes()) for t in texts], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, sets], [*part.schema.names, "_set"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_set", StringType())]))
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates (five words, 0.8)."""
+    """One document, that of the smallest id, of each group of near duplicates (five words, 0.8).
+
+    Rows that share an id are one document only where they share their set, too.
+    """
     from trailweave.llm.neardup import near_duplicates
 
-    found = materialize(near_duplicates(docs, k=5, percent=80), "neardup")
-    dropped = found.where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(small_or_shuffled(dropped), "doc_id", "left_anti").select(docs.columns)
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    there = docs.where("doc_id is not null")
+    repeated = materialize(there.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if not repeated.limit(1).count():
-        return kept
-    repeated = small_or_shuffled(materialize(repeated, "repeated"))
-    again = kept.join(repeated, "doc_id", "left_semi").select(docs.columns)
-    first = Window.partitionBy("doc_id").orderBy("text", *[F.xxhash64(c) for c in docs.columns])
-    one = again.withColumn("_row", F.row_number().over(first)).where("_row = 1").select(docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(one)
+        found = materialize(near_duplicates(docs, k=5, percent=80), "neardup")
+        dropped = found.where(~F.col("kept")).select("doc_id").distinct()
+        return docs.join(small_or_shuffled(dropped), "doc_id", "left_anti").select(docs.columns)
+    repeated = small_or_shuffled(repeated)
+    once = there.join(repeated, "doc_id", "left_anti").select(docs.columns).withColumn("_set", F.lit(""))
+    rows = once.unionByName(_with_sets(there.join(repeated, "doc_id", "left_semi").select(docs.columns), 5))
+    pairs = rows.select("doc_id", "_set").distinct()
+    # numbers in the order of the ids, so that the smallest of a group has the smallest id
+    numbered = pairs.orderBy("doc_id", "_set").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
+    nodes = materialize(spark.createDataFrame(numbered, StructType([*pairs.schema.fields, StructField("_node", LongType())])), "nodes")
+    rows = materialize(rows.join(small_or_shuffled(nodes), ["doc_id", "_set"]), "noded")
+    found = materialize(near_duplicates(rows, k=5, percent=80, doc_id="_node"), "neardup")
+    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("_node")).distinct()
+    kept = rows.join(small_or_shuffled(dropped), "_node", "left_anti")
+    first = Window.partitionBy("_node").orderBy("text", *[F.xxhash64(c) for c in docs.columns])
+    one = kept.where("_set <> ''").withColumn("_row", F.row_number().over(first)).where("_row = 1")
+    out = kept.where("_set = ''").select(docs.columns).unionByName(one.select(docs.columns))
+    return out.unionByName(docs.where("doc_id is null"))
 
 
 def keep_clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
