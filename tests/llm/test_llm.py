@@ -110,6 +110,27 @@ def test_viterbi_fold_takes_the_best_sum(spark):
     assert cuts == 0b1011
 
 
+def test_unigram_encoding_of_short_and_long_units_matches_the_library(spark, tmp_path, texts):
+    import sentencepiece
+
+    lines = tmp_path / "lines.txt"
+    lines.write_text("\n".join(t[:2000].replace("\n", " ") for t in texts.values() if t))
+    path = str(tmp_path / "u.model")
+    sentencepiece.SentencePieceTrainer.train(
+        input=str(lines), model_prefix=path[:-6], model_type="unigram", vocab_size=800, hard_vocab_limit=False, byte_fallback=True,
+        normalization_rule_name="identity", remove_extra_whitespaces=False, minloglevel=2,
+    )
+    sp, model, rng = sentencepiece.SentencePieceProcessor(model_file=path), pieces.pieces(path), random.Random(2)
+    known = [w for t in texts.values() if t for w in t.split()][:400]
+    cases = [" ".join(known[:80]), *("".join(rng.choices(known, k=40)) for _ in range(12)), "re" * 80, "é日" * 3 + "the"]
+    units = [u for x in cases for u in model.units(x.split())[0]]
+    assert any(len(u) > pieces.LONG for u in units) and any(len(u) > pieces.LONG and model.best(u) != model.merged(u) for u in units)
+    for x in cases:
+        assert [i for u in model.units(x.split())[0] for i in model.best(u)] == sp.encode(x)
+    for r in pieces.encode(table(spark, cases), path, kind="unigram").collect():
+        assert list(r.ids) == sp.encode(cases[r.doc_id])
+
+
 def _set(text, k):
     w = (text or "").encode().lower().split()
     return frozenset(tuple(w[a : a + k]) for a in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])

@@ -20,7 +20,8 @@ scores are merge ranks, and the path of the largest sum is not the library's res
 one the fold replays the merges on the same lattice: of all edges that span exactly two
 current symbols it takes the one of the best rank, the leftmost among equals, until none is
 left. Characters outside the model become their UTF-8 bytes' ids. Units over ``LONG``
-characters, whose lattice would not fit the fold's bit masks, take the same merges with a heap.
+characters, whose lattice would not fit the fold's bit masks, take the same merges with a heap, or
+Viterbi's path in a loop.
 
 Chunks are dealt to sets of about ``SPREAD``, and buckets are those of a set, so no group grows with
 the corpus: a unit that every chunk has is encoded once in a set. Null texts count as empty and have no ids; empty texts decode to empty ones;
@@ -31,6 +32,7 @@ are not read.
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
 import re
 import uuid
@@ -142,6 +144,21 @@ class Pieces:
             a = ends[a]
         return out
 
+    def best(self, unit: str) -> list[int]:
+        """Viterbi's segmentation of a unit; characters outside the model cost 10 more than its worst piece."""
+        n, worst = len(unit), min(self.scores.values()) - 10
+        sums, before = [0.0] + [-math.inf] * n, [0] * (n + 1)
+        for a in range(n):
+            for b in range(a + 1, min(n, a + self.longest) + 1):
+                score = self.scores.get(unit[a:b], worst if b == a + 1 else None)
+                if score is not None and sums[a] + score > sums[b]:
+                    sums[b], before[b] = sums[a] + score, a
+        cuts = [n]
+        while cuts[-1]:
+            cuts.append(before[cuts[-1]])
+        cuts.reverse()
+        return [i for a, b in zip(cuts, cuts[1:]) for i in ([self.ids[unit[a:b]]] if unit[a:b] in self.ids else self.of_char(unit[a:b]))]
+
     def texts(self, ids: pa.ListArray) -> list[bytes | None]:
         """Decoding: the pieces' bytes, blanks for blank marks, less the blank put in front.
 
@@ -354,11 +371,12 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
 
     def carried(key: tuple, table: pa.Table, coded: pa.Table) -> pa.Table:
         model, k = pieces(path), coded["ids"].combine_chunks()
+        of_long = model.merged if kind == "bpe" else model.best
         values, at = k.flatten().to_numpy(), np.concatenate([[0], np.cumsum(k.value_lengths().to_numpy())])
         ids = {u: values[at[i] : at[i + 1]] for i, u in enumerate(coded["unit"].to_pylist())}
         packed = []
         for data in table["units"].to_pylist():
-            found = [np.asarray(model.merged(u) if len(u) > LONG else ids[u], "<i4") for u in _unpacked_units(data)]
+            found = [np.asarray(of_long(u) if len(u) > LONG else ids[u], "<i4") for u in _unpacked_units(data)]
             sizes = np.array(list(map(len, found)), "<i4")
             packed.append(zstandard.compress(np.concatenate([np.array([len(found)], "<i4"), sizes, *found]).tobytes(), 6))
         return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "ids": pa.array(packed, pa.binary())})
