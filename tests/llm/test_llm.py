@@ -52,6 +52,18 @@ def test_token_counts_and_files_match_the_library(spark, tmp_path, texts):
         start += len(want)
 
 
+def test_dictionary_is_drawn_from_whole_documents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(tokenfiles.zstandard, "train_dictionary", lambda size, samples, level: seen.extend(samples) or (_ for _ in ()).throw(ValueError))
+    path = wordbpe.vocabulary_path()
+    text = "alpha " * 30_000 + "omega " * 30_000
+    assert tokenfiles.train_dictionary(table(spark, [text, "short"]), path) == b""
+    ids = {w: wordbpe.tokenizer(path).encode(w, add_special_tokens=False).ids for w in ("alpha", "omega", "short")}
+    drawn = sorted((np.frombuffer(s, "<u4") for s in seen), key=len)
+    assert list(drawn[0]) == ids["short"] and len(drawn[1]) == tokenfiles.SAMPLE_IDS
+    assert set(ids["alpha"]) <= set(drawn[1].tolist()) and set(ids["omega"]) <= set(drawn[1].tolist())
+
+
 def test_empty_tables(spark, tmp_path):
     df = table(spark, ["x"]).where("doc_id < 0")
     path = wordbpe.vocabulary_path()

@@ -43,6 +43,8 @@ HEAD, ENTRY, FOOT = struct.Struct("<4sIQ"), np.dtype([("id", "<i8"), ("null", "u
 HEAD_BYTES = HEAD.size
 #: Documents that the dictionary is trained on, their ids at most, and its bytes at most.
 SAMPLE, SAMPLE_IDS, DICTIONARY = 2_000, 4_096, 65_536
+#: Runs that the ids of a longer document are drawn in, from its first to its last.
+RUNS = 16
 #: Documents in a shard, about.
 SHARD_DOCS = 20_000
 
@@ -59,13 +61,28 @@ def _foot(place: int) -> bytes:
     return FOOT.pack(place, MAGIC)
 
 
+def drawn_ids(ids: bytes) -> bytes:
+    """All of a serialized id array, or ``SAMPLE_IDS`` of its ids in ``RUNS`` runs spread over the whole."""
+    n, size = len(ids) // 4, SAMPLE_IDS // RUNS
+    if n <= SAMPLE_IDS:
+        return ids
+    starts = [k * (n - size) // (RUNS - 1) for k in range(RUNS)]
+    return b"".join(ids[4 * a : 4 * (a + size)] for a in starts)
+
+
 def train_dictionary(df: DataFrame, path: str) -> bytes:
     """A dictionary for serialized id arrays; empty if there is too little to train on."""
     hashed = df.where("text is not null").withColumn("h", F.xxhash64(F.col("doc_id"), F.length("text")))
     lowest = hashed.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h").alias("h")).first().h
     # repeated rows share a hash; the second limit bounds what comes to the driver
-    rows = hashed.where(F.col("h") <= F.lit(lowest)).select(F.substring("text", 1, 4 * SAMPLE_IDS).alias("text")).limit(SAMPLE).collect() if lowest is not None else []
-    samples = [b"".join(encode_pieces(path, r.text.encode().split()))[: 4 * SAMPLE_IDS] for r in rows]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                drawn = [drawn_ids(b"".join(encode_pieces(path, (t or b"").split()))) for t in binary_list(part.column(0))]
+                yield pa.RecordBatch.from_arrays([pa.array(drawn, pa.binary())], ["ids"])
+
+    sampled = hashed.where(F.col("h") <= F.lit(lowest)).select("text").limit(SAMPLE)
+    samples = [bytes(r.ids) for r in sampled.mapInArrow(run, "ids binary").collect()] if lowest is not None else []
     try:
         return zstandard.train_dictionary(DICTIONARY, [s for s in samples if s], level=3).as_bytes()
     except (zstandard.ZstdError, ValueError):
