@@ -53,7 +53,7 @@ LONG = 60
 #: Bytes of text in a chunk, about, and the sum of its slices' distinct words after which it ends.
 CHUNK, UNITS = 12 << 20, 500_000
 #: Chunks in a set, about, and buckets of a set.
-SPREAD, BUCKETS = 4_096, 512
+SPREAD, BUCKETS = 1_024, 128
 #: Units, with repetitions, in a partition of the lattice, about.
 PART_UNITS = 100_000
 _MODELS: dict = {}
@@ -204,7 +204,7 @@ def _words(text: pa.Array) -> pa.ListArray:
 
 def _packed_units(units: list[str]) -> bytes:
     """A unit has blank marks for blanks, so a blank can stand between units."""
-    return zstandard.compress(" ".join(units).encode(), 3)
+    return zstandard.compress(" ".join(units).encode(), 9)
 
 
 def _unpacked_units(data: bytes) -> list[str]:
@@ -212,6 +212,15 @@ def _unpacked_units(data: bytes) -> list[str]:
     return whole.split(" ") if whole else []
 
 
+def _packed_numbers(numbers: np.ndarray) -> bytes:
+    """Numbers as four planes of bytes, compressed: of small numbers all but the first are mostly zeros."""
+    return zstandard.compress(numbers.astype("<u4").view("u1").reshape(-1, 4).T.tobytes(), 3)
+
+
+def _unpacked_numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), "u1").reshape(4, -1).T.copy().view("<u4").ravel()
+
+
 def _numbered(path: str, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(out)
@@ -224,27 +233,34 @@ def _numbered(path: str, out: str):
             numbers = pa.chunked_array(words, pa.dictionary(pa.int32(), pa.string())).unify_dictionaries().combine_chunks()
             if isinstance(numbers, pa.ChunkedArray):
                 numbers = pa.concat_arrays(numbers.chunks)
-            blocks, sizes = [], [np.empty(0, "u4")]
-            for k in range(0, len(numbers.dictionary), 16_384):
-                parts, counts = model.units(numbers.dictionary[k : k + 16_384].to_numpy(zero_copy_only=False).tolist())
+            # the most frequent word is number 0, so that most numbers are small
+            segments = numbers.indices.to_numpy()
+            frequent = np.argsort(-np.bincount(segments, minlength=len(numbers.dictionary)), kind="stable")
+            rank = np.empty(len(frequent), "u4")
+            rank[frequent] = np.arange(len(frequent))
+            segments, dictionary = rank[segments], numbers.dictionary.take(pa.array(frequent))
+            numbers, blocks, sizes = None, [], [np.empty(0, "u4")]
+            for k in range(0, len(dictionary), 16_384):
+                parts, counts = model.units(dictionary[k : k + 16_384].to_numpy(zero_copy_only=False).tolist())
                 blocks.append(pa.array(parts, pa.string()))
                 sizes.append(counts)
             parts, units = None, pa.concat_arrays([pa.array([], pa.string()), *blocks]).dictionary_encode()
             found = units.dictionary.to_numpy(zero_copy_only=False).tolist()
             buckets = np.fromiter((zlib.crc32(u.encode()) % BUCKETS for u in found), "i4", len(found))
-            order = np.argsort(buckets, kind="stable")
+            # units of a cell in order: neighbours that begin alike compress well
+            order = pc.sort_indices(pa.table({"b": buckets, "u": units.dictionary}), [("b", "ascending"), ("u", "ascending")]).to_numpy()
             place = np.empty(len(order), "u4")
             place[order] = np.arange(len(order))
             payload = {
                 "ids": ids,
-                "lengths": np.concatenate(lengths).astype("u4"),
-                "segments": numbers.indices.to_numpy().astype("u4"),
-                "sizes": np.concatenate(sizes),
-                "units": place[units.indices.to_numpy()],
+                "lengths": _packed_numbers(np.concatenate(lengths)),
+                "segments": _packed_numbers(segments),
+                "sizes": _packed_numbers(np.concatenate(sizes)),
+                "units": _packed_numbers(place[units.indices.to_numpy()]),
                 "distinct": len(order),
             }
             with fs.open_output_stream(f"{base}/{name}") as f:
-                f.write(zstandard.compress(pickle.dumps(payload, protocol=5), 3))
+                f.write(zstandard.compress(pickle.dumps(payload, protocol=5), 1))
             used, counts = np.unique(buckets, return_counts=True) if found else (np.zeros(1, "i4"), np.zeros(1, "i8"))
             ends = np.cumsum(counts)
             cells = [[found[i] for i in order[e - n : e].tolist()] for e, n in zip(ends, counts, strict=True)]
@@ -378,7 +394,7 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
         for data in table["units"].to_pylist():
             found = [np.asarray(of_long(u) if len(u) > LONG else ids[u], "<i4") for u in _unpacked_units(data)]
             sizes = np.array(list(map(len, found)), "<i4")
-            packed.append(zstandard.compress(np.concatenate([np.array([len(found)], "<i4"), sizes, *found]).tobytes(), 6))
+            packed.append(_packed_numbers(np.concatenate([np.array([len(found)], "<i4"), sizes, *found])))
         return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "ids": pa.array(packed, pa.binary())})
 
     back = cells.groupBy("part", "bucket").cogroup(coded.groupBy("part", "bucket")).applyInArrow(carried, "chunk long, bucket int, ids binary")
@@ -390,6 +406,7 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
         def finished() -> Iterator[pa.RecordBatch]:
             with fs.open_input_stream(f"{base}/{chunk}") as f:
                 p = pickle.loads(zstandard.decompress(f.read()))
+            p |= {k: _unpacked_numbers(p[k]) for k in ("lengths", "segments", "sizes", "units")}
             sizes = np.concatenate([x[1 : 1 + x[0]] for x in found]).astype("i8")
             flat = np.concatenate([x[1 + x[0] :] for x in found])
             if len(sizes) != p["distinct"]:
@@ -412,7 +429,7 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
                     if chunk is not None:
                         yield from finished()
                     chunk, found = c, []
-                found.append(np.frombuffer(zstandard.decompress(ids), "<i4"))
+                found.append(_unpacked_numbers(ids).view("<i4"))
         if chunk is not None:
             yield from finished()
 
