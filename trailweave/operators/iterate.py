@@ -1,7 +1,8 @@
 """Tables between the rounds of iterative operators, and connected components.
 
 Rounds end in Parquet tables of the folder that ``spark.checkpoint.dir`` names, which all
-executors share, so a lost executor costs its running tasks only.
+executors share, so a lost executor costs its running tasks only. A round's table goes once
+the next one stands.
 """
 
 from __future__ import annotations
@@ -9,37 +10,79 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A node of more links than this hands its value out by broadcast, while at most ``HUBS`` nodes do.
+CROWD, HUBS = 1_000, 200_000
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediates; a temporary one only where none is set and Spark runs in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="trailweave-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
 
 def settled(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back; its lineage ends there."""
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="trailweave-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``settled`` wrote, once nothing reads it any more."""
+    for df in frames:
+        path = getattr(df, "_scratch", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            hpath = jvm.org.apache.hadoop.fs.Path(path)
+            hpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+def _with_least(links: DataFrame, label: str, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """``links(u, v)`` with ``m``, the least of ``u`` and its ``v``, and the table to discard.
+
+    The links of crowded nodes, a hub's say, never gather in one task: they get ``m`` by broadcast,
+    others by a join on ``u``.
+    """
+    least = settled(links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), label)
+    hubs = least.where(F.col("n") > crowd).select("u", "m")
+    if not 0 < hubs.limit(HUBS + 1).count() <= HUBS:
+        return links.join(least.select("u", "m"), "u"), least
+    rest = links.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.where(F.col("n") <= crowd).select("u", "m"), "u")
+    return rest.unionByName(links.join(F.broadcast(hubs), "u")), least
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node, component`` (the least node) of the graph ``links(a long, b long)``.
+def components(links: DataFrame, label: str = "links", crowd: int = CROWD) -> DataFrame:
+    """``node, component`` (the least node) of the graph ``links(a long, b long)``; nulls and loops link nothing.
 
     Every round hands each node's least neighbour to its larger neighbours and then to the
     node itself; the number of rounds grows with the logarithm of the graph's diameter.
     """
     hi, lo = F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")
-    now, before = settled(links.where("a <> b").select(hi, lo).distinct(), "links"), None
+    now, before = settled(links.where("a is not null and b is not null and a <> b").select(hi, lo).distinct(), label), None
     while True:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        best = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(best, "hi").select(F.explode(F.array(F.struct("hi", "m"), F.struct(F.col("lo").alias("hi"), "m"))).alias("e"))
-        now = settled(small.where("e.hi <> e.m").select("e.hi", F.col("e.m").alias("lo")).distinct(), "links")
+        handed, least = _with_least(both, label, crowd)
+        large = settled(handed.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), label)
+        discard(now, least)
+        handed, least = _with_least(large, label, crowd)
+        small = handed.select(F.explode(F.array(F.struct(F.col("u").alias("hi"), "m"), F.struct(F.col("v").alias("hi"), "m"))).alias("e"))
+        now = settled(small.where("e.hi <> e.m").select("e.hi", F.col("e.m").alias("lo")).distinct(), label)
+        discard(large, least)
         stamp = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
         if stamp == before:
             break
