@@ -1,57 +1,24 @@
-"""Shared pieces: the scratch folder, materialised intermediates, connected components.
-
-Intermediates are Parquet tables in the folder that ``spark.checkpoint.dir`` names, which
-every executor can read; a lost executor therefore never costs more than its running tasks.
-"""
+"""Shared pieces: intermediates in the scratch folder, folds, batches, checked broadcasts."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 import zlib
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when it has at most so many rows; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediates; a temporary one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="trailweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+from trailweave.operators.iterate import components as connected_components
+from trailweave.operators.iterate import discard, scratch_path
+from trailweave.operators.iterate import settled as materialize
 
+__all__ = ["binary_list", "connected_components", "crc", "discard", "fold_of", "materialize", "open_fs", "scratch_path", "slices", "small_or_shuffled"]
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` into the scratch folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete what ``materialize`` wrote, once nothing reads it any more."""
-    for df in frames:
-        path = getattr(df, "_scratch", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            hpath = jvm.org.apache.hadoop.fs.Path(path)
-            hpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hpath, True)
+#: A side is broadcast only when it has at most so many rows; beyond it the join shuffles.
+BROADCAST_ROWS = 2_000_000
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -95,43 +62,3 @@ def crc(data: bytes) -> int:
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
-def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
-    """``(node, component)`` for each node of ``edges(a long, b long)``.
-
-    Alternates the large-star and small-star steps: every node points to the smallest
-    neighbour, larger neighbours are handed on, until no edge changes. Each step costs
-    two linear shuffles and ends in a table of the scratch folder. No edges give no rows.
-    """
-    cur = materialize(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-        .distinct(),
-        label,
-    )
-    while True:
-        both = cur.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(cur.select("lo", "hi"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
-            both.join(low, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        )
-        low2 = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = (
-            large.join(low2, "hi")
-            .select(F.explode(F.array(F.struct(F.col("hi").alias("x"), "m"), F.struct(F.col("lo").alias("x"), "m"))).alias("e"))
-            .where("e.x <> e.m")
-            .select(F.col("e.x").alias("hi"), F.col("e.m").alias("lo"))
-            .distinct()
-        )
-        new = materialize(small, label)
-        sums = [
-            tuple(f.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()) for f in (cur, new)
-        ]
-        discard(cur)
-        cur = new
-        if sums[0] == sums[1]:
-            break
-    return cur.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(
-        cur.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
-    )

@@ -9,11 +9,15 @@ shares no band with a probability of about 1e-7.
 
 Documents of equal sets are one class before anything else happens, so exact copies are
 never paired. Classes that share a band are tied to the band's smallest member (a star, not
-all pairs); the connected groups of this graph are cut into blocks of ``BLOCK`` members, and a
-task compares two blocks at a time on their full sets. Before that, pairs in a block whose
-collision-corrected register estimate lies far below the threshold are left out. A task
-reports a spanning forest of the links it found, which keeps every component whole. Groups of
-more than ``GROUP`` members are compared band by band instead, equal bands once.
+all pairs); the connected groups of this graph are dealt to blocks of about ``BLOCK`` members.
+First all blocks of a group are compared with one of them, which ties most of a large group of
+copies together at a cost in proportion to its size. Only members outside the group's largest
+part are then compared with all of it: through the group or, where they are very many, band by
+band. A comparison takes two blocks: of the pairs that share a band, those whose
+collision-corrected register estimate lies far below the threshold are left out, the others are
+decided on their full sets. So which pairs can be linked is the same at every size, and pairs
+are left uncompared only where both are tied together already. A task reports a spanning
+forest of the links it found, which keeps every component whole.
 
 Nulls and texts without words have no set: no links, their own component, kept. A null id
 takes no part: component null, kept. Rows that share an id are one document. Repeated rows
@@ -27,13 +31,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.llm.common import binary_list, connected_components, discard, materialize, slices, small_or_shuffled
 
 P, MANTISSA, BANDS, ROWS = 8, 10, 40, 5
-BLOCK, GROUP = 256, 4096
+BLOCK = 256
 #: Standard errors below the threshold at which the estimate rules a pair out.
 SLACK = 6.0
 _WORDS: dict[bytes, int] = {}
@@ -161,18 +165,16 @@ def _sets(k: int):
 
 
 def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> np.ndarray:
-    """Index pairs whose sets have a Jaccard similarity of ``percent`` or more, exactly.
+    """Index pairs that share a band and whose sets have a Jaccard similarity of ``percent`` or more, exactly.
 
     ``right`` None: pairs within ``left``. Pairs that the registers rule out are not counted.
     """
     sets = left + (right or [])
     sizes = np.array([len(s) for s in sets], "i8")
-    if len(sets) == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return np.array([[0, 1]]) if 100 * both >= percent * (sizes.sum() - both) else np.empty((0, 2), "i8")
     rows = np.arange(len(left))
     cols = np.arange(len(left), len(sets)) if right is not None else rows
     regs = np.stack([registers(s) for s in sets])
+    bands = np.stack([band_keys(r) for r in regs])
     sa, sb = sizes[rows][:, None], sizes[cols][None, :]
     wanted = 100 * np.minimum(sa, sb) >= percent * np.maximum(sa, sb)
     if right is None:
@@ -180,6 +182,9 @@ def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, percen
     floor = percent / 100 - SLACK * np.sqrt(0.16 / np.minimum(np.maximum(sa, sb), 1 << P))
     for i in rows:
         near = np.flatnonzero(wanted[i])
+        shared = (bands[cols[near]] == bands[i]).any(axis=1)
+        wanted[i, near[~shared]] = False
+        near = near[shared]
         if len(near):
             same = (regs[cols[near]] == regs[i]).mean(axis=1)
             ratio = 4 * sizes[i] * sb[0, near] / (sizes[i] + sb[0, near]) ** 2
@@ -188,6 +193,10 @@ def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, percen
     use = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
     if not len(use[0]):
         return np.empty((0, 2), "i8")
+    if len(use[0]) == len(use[1]) == 1:
+        pair = int(rows[use[0][0]]), int(cols[use[1][0]])
+        both = len(np.intersect1d(sets[pair[0]], sets[pair[1]], assume_unique=True))
+        return np.array([pair]) if 100 * both >= percent * (sizes[list(pair)].sum() - both) else np.empty((0, 2), "i8")
     members = np.union1d(rows[use[0]], cols[use[1]])
     owner = np.repeat(np.arange(len(members)), sizes[members])
     _, inverse, count = np.unique(np.concatenate([sets[k] for k in members]), return_inverse=True, return_counts=True)
@@ -226,43 +235,78 @@ def _forest(nodes: list[int], links: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _compare(percent: int):
-    def links(group: list[tuple]) -> list[tuple[int, int]]:
-        (_, lo, hi), part = group[0], group[1]
-        ends = {lo: [x for x in part if x[0] == lo], hi: [x for x in part if x[0] == hi]}
-        left, right = ends[lo], None if lo == hi else ends[hi]
-        if len(left) + len(right or []) < 2 or right == []:
+    """Links of comparisons ``(group, lo, hi)``: members of side 0 with those of side 1, or among themselves where lo = hi."""
+
+    def links(key: tuple, part: list[tuple]) -> list[tuple[int, int]]:
+        sides = [[x for x in part if x[0] == k] for k in (0, 1)]
+        within = key[1] == key[2]
+        if not sides[0] or (len(sides[0]) < 2 if within else not sides[1]):
             return []
-        arrays = [[np.frombuffer(x[2], "u8") for x in side] for side in (left, right or [])]
-        found = links_between(arrays[0], None if right is None else arrays[1], percent)
-        return list(_forest([x[1] for x in left + (right or [])], found))
+        arrays = [[np.frombuffer(x[2], "u8") for x in side] for side in sides]
+        found = links_between(arrays[0], None if within else arrays[1], percent)
+        return list(_forest([x[1] for x in sides[0] + sides[1]], found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, part, out = None, [], []
         for batch in batches:
-            for r in batch.to_pylist():
-                k = (r["group"], r["lo"], r["hi"])
-                if k != key:
+            for group, lo, hi, side, node, elements in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (group, lo, hi) != key:
                     if part:
-                        out += links((key, part))
-                    key, part = k, []
-                part.append((r["block"], r["node"], r["elements"]))
+                        out += links(key, part)
+                    key, part = (group, lo, hi), []
+                part.append((side, node, elements))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
                 out = []
         if part:
-            out = links((key, part))
+            out = links(key, part)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
     return run
 
 
+def _links(docs: DataFrame, dealt: DataFrame, k: int, percent: int) -> DataFrame:
+    """``a, b``: forests of the comparisons of ``dealt(node, group, lo, hi, side)``."""
+    parts = max(1, docs.rdd.getNumPartitions())
+    nodes = small_or_shuffled(dealt.select("node").distinct())
+    sets = docs.join(nodes, docs.doc_id == F.col("node"), "left_semi").mapInArrow(_sets(k), "node long, elements binary")
+    return (
+        sets.join(dealt, "node")
+        .repartition(4 * parts, "group", "lo", "hi")
+        .sortWithinPartitions("group", "lo", "hi")
+        .select("group", "lo", "hi", "side", "node", "elements")
+        .mapInArrow(_compare(percent), "a long, b long")
+    )
+
+
+def _blocks(size: Column) -> Column:
+    return (F.floor((size - 1) / BLOCK) + 1).cast("int")
+
+
+def _against(loose: DataFrame, every: DataFrame) -> DataFrame:
+    """Comparisons of ``loose(node, group)`` with ``every(node, group)``, both in blocks: one that has ``loose`` on side 0."""
+    count = lambda df, c: df.groupBy("group").agg(_blocks(F.count("*")).alias(c))
+    sizes = count(loose, "lows").join(count(every, "highs"), "group")
+
+    def side(df: DataFrame, own: str, other: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("node", "group"), own).cast("int").alias("block")
+        return df.join(small_or_shuffled(sizes), "group").select("node", "group", block, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other"))
+
+    low = side(loose, "lows", "highs").select("node", "group", F.col("block").alias("lo"), (-F.col("other") - 1).alias("hi"), F.lit(0).alias("side"))
+    high = side(every, "highs", "lows").select("node", "group", F.col("other").alias("lo"), (-F.col("block") - 1).alias("hi"), F.lit(1).alias("side"))
+    return low.unionByName(high)
+
+
 def near_duplicates(
-    df: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", group_limit: int = GROUP
+    df: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", many: int = BANDS * BLOCK
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row; see the module."""
+    """``doc_id, n_shingles, component_id, kept`` for each row; see the module.
+
+    ``many``: of a group's members outside its largest part, how many are compared with the group
+    as a whole; more are compared band by band, which ships fewer sets and finds the same links.
+    """
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    parts = max(1, docs.rdd.getNumPartitions())
     sketches = materialize(docs.mapInArrow(_sketches(k), "doc_id long, n long, hi long, lo long, bands array<long>"), "sketches")
     classes = (
         sketches.where("n > 0 and doc_id is not null")
@@ -273,31 +317,38 @@ def near_duplicates(
     members = classes.select("node", F.explode("bands").alias("band"))
     hubs = members.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1")
     star = members.join(hubs.select("band", "hub"), "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    groups = materialize(connected_components(star, "groups"), "grouped")
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    sized = groups.join(sizes, "component")
-    small = sized.where(F.col("size") <= group_limit).select("node", F.col("component").alias("group"), "size")
-    if sizes.where(F.col("size") > group_limit).limit(1).count():
-        large = sized.where(F.col("size") > group_limit).select("node").join(members, "node")
-        bands = large.groupBy("band").agg(
-            F.count("*").alias("size"), F.min("node").alias("least"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")
-        )
-        bands = bands.where("size > 1").groupBy("size", "least", "sum").agg(F.min("band").alias("band")).select("band", "size")
-        small = small.unionByName(large.join(bands, "band").select("node", F.col("band").alias("group"), "size"))
-    blocks = (F.floor((F.col("size") - 1) / BLOCK) + 1).cast("int")
-    dealt = small.select(
-        "node", "group", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    ).select("node", "group", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    dealt = materialize(dealt, "dealt")
-    nodes = dealt.select("node").distinct()
-    sets = docs.join(small_or_shuffled(nodes), docs.doc_id == F.col("node"), "left_semi").mapInArrow(_sets(k), "node long, elements binary")
-    found = (
-        sets.join(dealt, "node")
-        .repartition(4 * parts, "group", "lo", "hi")
-        .sortWithinPartitions("group", "lo", "hi")
-        .select("group", "lo", "hi", "block", "node", "elements")
-        .mapInArrow(_compare(percent), "a long, b long")
+    groups = materialize(connected_components(star, "groups").withColumnRenamed("component", "group"), "grouped")
+    sizes = groups.groupBy("group").agg(F.count("*").alias("size"))
+    sized = groups.join(sizes, "group").withColumn("blocks", _blocks(F.col("size")))
+    block = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    dealt = sized.withColumn("block", block).select(
+        "node",
+        "group",
+        F.lit(0).alias("lo"),
+        F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))).alias("hi"),
+        F.least("block", F.lit(1)).alias("side"),
     )
+    dealt = materialize(dealt, "dealt")
+    found = materialize(_links(docs, dealt, k, percent), "found")
+    written = [groups, dealt, found]
+    large = sized.where("blocks > 1").select("node", "group")
+    if large.limit(1).count():
+        # members outside the largest part of their group are compared with all of it
+        part = materialize(connected_components(found, "parts"), "parts")
+        large = large.join(part, "node", "left").select("node", "group", F.coalesce("component", "node").alias("part"))
+        largest = large.groupBy("group", "part").count().groupBy("group").agg(F.max_by("part", F.struct("count", "part")).alias("largest"))
+        large = materialize(large.join(small_or_shuffled(largest), "group"), "large")
+        loose = materialize(large.where("part <> largest").select("node", "group"), "loose")
+        crowded = loose.groupBy("group").count().where(F.col("count") > many).select("group")
+        written += [part, large, loose]
+        if loose.limit(1).count():
+            whole = _against(loose.join(small_or_shuffled(crowded), "group", "left_anti"), large.select("node", "group"))
+            banded = lambda df: df.join(small_or_shuffled(crowded), "group", "left_semi").join(members, "node").select("node", F.col("band").alias("group"))
+            of_bands = _against(banded(loose), banded(large.select("node", "group")))
+            again = materialize(whole.unionByName(of_bands), "dealt")
+            more = materialize(_links(docs, again, k, percent), "found")
+            written += [again, more]
+            found = found.unionByName(more)
     components = materialize(connected_components(found, "links"), "components")
     of_class = (
         classes.select("hi", "lo", "node", "copies")
@@ -316,5 +367,5 @@ def near_duplicates(
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
-    discard(groups, dealt)
+    discard(*written)
     return out
