@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch where Spark's default stands: ten thousand long texts at once are more than a worker should hold.
+BATCH_ROWS = 500
 
 
 def ship(spark: SparkSession) -> None:
@@ -17,6 +19,8 @@ def ship(spark: SparkSession) -> None:
     Grouped and Arrow functions refer to modules by name; a cluster's workers do not have
     the driver's path, so the sources go out as a zip file through Spark's own file server.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
