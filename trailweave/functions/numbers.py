@@ -32,3 +32,8 @@ def at_fraction(sorted_values: Column, p: float) -> Column:
     n = F.size(sorted_values)
     place = F.least(F.floor(n * F.lit(p)).cast("int"), n - 1)
     return F.when(n > 0, F.get(sorted_values, place))
+
+
+def order_place(n: Column, p: float) -> Column:
+    """The place ``floor(n * p)``, from 0, of an order statistic among ``n`` values, the last one at most."""
+    return F.least(F.floor(n * F.lit(p)), n - 1)

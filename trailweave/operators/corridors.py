@@ -46,6 +46,7 @@ def roll_up(members: DataFrame, edges: DataFrame) -> DataFrame:
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     summed = rows.groupBy("id").agg(
         F.sum(m).alias("length_m"),
+        F.count("*").alias("edge_count"),
         F.sum(F.col("surface_confidence") * m).alias("_surface"),
         *[part(F.col(f"{a}")).alias(f"_{b}") for a, b in _SHARES.items()],
         F.sum(F.col("speed_limit") * m).alias("_speed"),
@@ -73,6 +74,7 @@ def roll_up(members: DataFrame, edges: DataFrame) -> DataFrame:
     return whole.select(
         "id",
         "length_m",
+        "edge_count",
         "road_class",
         "surface",
         share(F.col("_surface"), F.col("length_m")).alias("surface_confidence"),
@@ -246,7 +248,7 @@ def build_network(graph: Graph, options: ChainOptions | None = None, by_tier: di
         none = "struct<surface:double,speed_limit:double,traffic_control:double,infrastructure:double,scenic:double,elevation:double>"
         corridors = corridors.withColumn("confidence", F.lit(None).cast(none))
     joining = members.where("NOT is_corridor").join(linked.select("id"), "id", "left_semi")
-    connectors = connector_attributes(joining, graph).join(linked.select("id", "corridor_ids"), "id")
+    connectors = connector_attributes(joining, graph).join(linked.select("id", "corridor_ids"), "id").join(geometries(joining, edges), "id")
     alive = own.select("id").union(joining.select("id")).distinct()
     kept = near.join(alive.withColumnRenamed("id", "a"), "a", "left_semi").join(alive.withColumnRenamed("id", "b"), "b", "left_semi")
     entity_edges = own.select("id", "pos", "edge_id").unionByName(joining.select("id", "pos", "edge_id"))

@@ -102,7 +102,8 @@ def edge_climbs(points: DataFrame) -> DataFrame:
 def with_climbs(edges: DataFrame, node_heights: DataFrame) -> DataFrame:
     """``edges`` with the climbs that ``node_heights(lat, lng, elevation_m)`` give at their points."""
     points = edges.select(F.col("id").alias("edge_id"), F.posexplode("geometry").alias("pos", "p")).select("edge_id", "pos", "p.lat", "p.lng")
-    known = points.join(node_heights.select("lat", "lng", F.col("elevation_m").alias("z")), ["lat", "lng"], "left")
+    places = node_heights.groupBy("lat", "lng").agg(F.max("elevation_m").alias("z"))  # one height a place
+    known = points.join(places, ["lat", "lng"], "left")
     climbs = edge_climbs(known).select(
         F.col("edge_id").alias("id"), F.col("gain").alias("_g"), F.col("loss").alias("_l"), F.col("average_grade").alias("_a"), F.col("max_grade").alias("_m")
     )
@@ -111,6 +112,55 @@ def with_climbs(edges: DataFrame, node_heights: DataFrame) -> DataFrame:
     return out.withColumns({k: F.coalesce(v, k) for k, v in new.items()}).select(edges.columns)
 
 
+def profiles(
+    members: DataFrame, edges: DataFrame, edge_heights: DataFrame | None = None, node_heights: DataFrame | None = None, every: float = 50.0
+) -> DataFrame:
+    """``id, profile``: heights every ``every`` metres along the edges of each group of ``members(id, pos, edge_id)``.
+
+    An edge has the heights of its points (``edge_heights(edge_id, heights)``, where there are as many
+    as points), else those between its end nodes (``node_heights(node, z)``; one known end stands for
+    both); an edge without either only adds its length. Heights between samples are linear; the last
+    sample ends a profile if more than a tenth of a step is left. Groups without heights have no row.
+    """
+    spark = edges.sparkSession
+    edge_heights = edge_heights if edge_heights is not None else spark.createDataFrame([], "edge_id string, heights array<double>")
+    node_heights = node_heights if node_heights is not None else spark.createDataFrame([], "node string, z double")
+    end = lambda c, z: node_heights.select(F.col("node").alias(c), F.col("z").alias(z))
+    rows = (
+        members.select(F.col("id").alias("gid"), F.col("pos").alias("edge_pos"), "edge_id")
+        .join(edges.select(F.col("id").alias("edge_id"), "from_node", "to_node", "geometry"), "edge_id")
+        .join(edge_heights.select("edge_id", "heights"), "edge_id", "left")
+        .join(end("from_node", "z1"), "from_node", "left")
+        .join(end("to_node", "z2"), "to_node", "left")
+    )
+    own = F.coalesce(F.size("heights") == F.size("geometry"), F.lit(False))
+    points = rows.withColumn("own", own).select("gid", "edge_pos", "own", "heights", "z1", "z2", F.posexplode("geometry").alias("k", "p"))
+    of_edge = Window.partitionBy("gid", "edge_pos").orderBy("k")
+    step = F.coalesce(geo.haversine_atan(F.lag("p.lat").over(of_edge), F.lag("p.lng").over(of_edge), F.col("p.lat"), F.col("p.lng")), F.lit(0.0))
+    points = points.withColumn("step", step)
+    upto = of_edge.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    points = points.withColumns({"at": F.sum("step").over(upto), "edge_m": F.sum("step").over(Window.partitionBy("gid", "edge_pos"))})
+    along = Window.partitionBy("gid").orderBy("edge_pos", "k")
+    points = points.withColumn("dist", F.sum("step").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    first, last = F.coalesce("z1", "z2"), F.coalesce("z2", "z1")
+    between = first + F.when(F.col("edge_m") > 0, F.col("at") / F.col("edge_m")).otherwise(0.0) * (last - first)
+    samples = points.withColumn("z", F.when(F.col("own"), F.get("heights", F.col("k"))).otherwise(between)).where("z is not null")
+    samples = samples.withColumns(
+        {"n": F.row_number().over(along), "next_dist": F.lead("dist").over(along), "next_z": F.lead("z").over(along), "end": F.max("dist").over(Window.partitionBy("gid"))}
+    )
+    s0, s1 = F.col("dist"), F.col("next_dist")
+    lowest = F.when(F.col("n") == 1, F.lit(0).cast("long")).otherwise(F.floor(s0 / every) + 1)
+    highest = F.floor(s1 / every)
+    steps = F.when(highest >= lowest, F.sequence(lowest, highest)).otherwise(F.expr("CAST(array() AS array<bigint>)"))
+    slope = F.when(s1 > s0, (F.col("d") * every - s0) / (s1 - s0)).otherwise(0.0)
+    inner = samples.where("next_dist is not null").select("gid", "dist", "z", "next_dist", "next_z", F.explode(steps).alias("d"))
+    inner = inner.select("gid", F.col("d").cast("double").alias("d"), (F.col("z") + slope * (F.col("next_z") - F.col("z"))).alias("z"))
+    ends = samples.where("next_dist is null").where((F.col("n") == 1) | (F.col("end") - F.floor(F.col("end") / every) * every > 0.1 * every))
+    whole = inner.unionByName(ends.select("gid", F.lit(float("inf")).alias("d"), "z"))
+    lists = whole.groupBy(F.col("gid").alias("id")).agg(F.array_sort(F.collect_list(F.struct("d", "z"))).alias("s"))
+    return lists.select("id", F.transform("s", lambda x: x["z"]).alias("profile"))
+
+
 def gap_filled(lines: DataFrame) -> DataFrame:
     """``line_id, pos, z`` of ``lines`` with gaps filled as ``filled`` does; nulls where it cannot."""
 

@@ -36,22 +36,26 @@ def _around(points: DataFrame, mean_lat: float) -> DataFrame:
 
 
 def _within(points: DataFrame, edges: DataFrame, mean_lat: float) -> DataFrame:
-    """``points`` joined with the edges less than 50 m away, and ``distance``."""
+    """``points`` joined with the edges less than 50 m away, and ``distance``.
+
+    Cells pair ids only; a pair's line is fetched once, however many cells the two share.
+    """
     cos_lat = F.cos(F.radians(F.lit(mean_lat)))
+    pairs = _around(points, mean_lat).join(edge_cells(edges, mean_lat).drop("geometry"), ["cx", "cy"]).drop("cx", "cy").distinct()
+    lines = edges.select(F.col("id").alias("edge_id"), "geometry")
     return (
-        _around(points, mean_lat)
-        .join(edge_cells(edges, mean_lat), ["cx", "cy"])
+        pairs.join(lines, "edge_id")
         .withColumn("distance", geo.line_distance(F.col("lat"), F.col("lng"), F.col("geometry"), cos_lat))
         .where(F.col("distance") < RADIUS_M)
-        .drop("geometry", "cx", "cy")
+        .drop("geometry")
     )
 
 
 def nearest_edges(points: DataFrame, edges: DataFrame, mean_lat: float) -> DataFrame:
     """``obs_id, edge_id, distance``: the nearest edge of each ``points(obs_id, lat, lng)``, the
-    first edge among equals; points with no edge within 50 m are left out."""
+    first edge among those as near to a micrometre; points with no edge within 50 m are left out."""
     near = _within(points.select("obs_id", "lat", "lng"), edges, mean_lat)
-    return near.groupBy("obs_id").agg(F.min_by(F.struct("edge_id", "distance"), F.struct("distance", "edge_seq")).alias("m")).select(
+    return near.groupBy("obs_id").agg(F.min_by(F.struct("edge_id", "distance"), F.struct(F.round("distance", 6), "edge_seq")).alias("m")).select(
         "obs_id", "m.edge_id", "m.distance"
     )
 

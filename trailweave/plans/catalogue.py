@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailweave.functions import geo, scoring, tags as T, tiles
-from trailweave.functions.numbers import at_fraction, round_half_up
-from trailweave.operators import chains, corridors, elevation, export, fusion, matching, search, street_graph as sg
-from trailweave.operators.iterate import settled
+from trailweave.functions.numbers import round_half_up
+from trailweave.operators import chains, corridors, elevation, export, fusion, location, matching, ranks, reports, search, street_graph as sg
+from trailweave.operators.iterate import scratch_path, settled
 from trailweave.operators.lines import simplified
+from trailweave.functions.tables import RELEVANT_HIGHWAYS
 from trailweave.plans import derived as D
-from trailweave.sources import surface as S
+from trailweave.sources import ingest, surface as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -57,9 +58,17 @@ def _long(c: str):
 # Tags of ways.
 
 
-@query(D.GRAPH_SQL + " SELECT way_id, true AS relevant FROM ways0")
+_TAGGED = (*RELEVANT_HIGHWAYS, "construction", "proposed", "corridor", "raceway", "")
+
+
+@query(
+    f"""SELECT p_partkey AS way_id, ([{', '.join(f"'{h}'" for h in _TAGGED)}])[CAST(p_partkey % {len(_TAGGED)} AS INT) + 1]
+ IN ({', '.join(f"'{h}'" for h in RELEVANT_HIGHWAYS)}) AS relevant FROM part"""
+)
 def prj_01_relevant_ways(spark, d):
-    return sg.relevant_ways(D.osm_ways(spark, d)).select(F.col("id").alias("way_id"), T.is_relevant(F.col("tags")).alias("relevant"))
+    highway = F.element_at(F.array(*map(F.lit, _TAGGED)), (F.col("p_partkey") % len(_TAGGED) + 1).cast("int"))
+    rows = D.table(spark, d, "part").select(F.col("p_partkey").alias("way_id"), F.create_map(F.lit("highway"), highway).alias("tags"))
+    return rows.select("way_id", T.is_relevant(F.col("tags")).alias("relevant"))
 
 
 @query(D.GRAPH_SQL + " SELECT road_class, count(*) AS ways FROM tagged GROUP BY 1")
@@ -295,8 +304,8 @@ def agg_21_distribution(spark, d):
     graph=True,
 )
 def agg_24_percentile(spark, d):
-    e = _graph(spark, d).edges.groupBy("road_class").agg(F.array_sort(F.collect_list(F.round("length_m", 4))).alias("m"))
-    return e.select("road_class", at_fraction(F.col("m"), 0.5).alias("p50"))
+    e = _graph(spark, d).edges.select("road_class", F.round("length_m", 4).alias("m"))
+    return ranks.at_fraction_by(e, ["road_class"], "m", 0.5, "p50")
 
 
 # Observations.
@@ -408,15 +417,26 @@ def _spots(spark, d) -> DataFrame:
     return o.select(F.col("seq").alias("obs_id"), F.col("v_lat").alias("lat"), F.col("v_lng").alias("lng"))
 
 
-@query(_CELLS + " SELECT seq AS obs_id, round(min(dist), 4) AS distance FROM near WHERE dist < 50 GROUP BY 1", observed=True)
+@query(
+    _CELLS + """, o AS (SELECT near.*, row_number() OVER (PARTITION BY seq ORDER BY round(dist, 6), way_id, start_pos, d) AS k FROM near JOIN edges0 e ON e.id = edge_id WHERE dist < 50)
+ SELECT seq AS obs_id, edge_id, round(dist, 4) AS distance FROM o WHERE k = 1""",
+    observed=True,
+)
 def join_08_nearest_edge(spark, d):
-    return matching.nearest_edges(_spots(spark, d), _graph(spark, d).edges, 43.0).select("obs_id", F.round("distance", 4).alias("distance"))
+    return matching.nearest_edges(_spots(spark, d), _graph(spark, d).edges, 43.0).select("obs_id", "edge_id", F.round("distance", 4).alias("distance"))
 
 
-@query(_CELLS + " SELECT DISTINCT seq AS obs_id, edge_id FROM near WHERE dist < 50", observed=True)
+@query(
+    _CELLS.replace("FROM obs0 WHERE", "FROM (SELECT * REPLACE (v_lat + i * 0.0004e0 AS v_lat, v_lng + i * 0.0005e0 AS v_lng) FROM obs0, (SELECT unnest(range(0, 4)) AS i)) WHERE")
+    .replace("SELECT seq, edge_id, min(sqrt", "SELECT seq, edge_id, v_lat, min(sqrt")
+    .replace("SELECT c.seq, c.edge_id, (c.v_lng", "SELECT c.seq, c.edge_id, c.v_lat, (c.v_lng")
+    .replace("GROUP BY 1, 2)", "GROUP BY 1, 2, 3)")
+    + " SELECT DISTINCT seq AS obs_id, edge_id FROM near WHERE dist < 50",
+    observed=True,
+)
 def join_09_line_match(spark, d):
-    lines = _spots(spark, d).select("obs_id", F.array(F.struct("lat", "lng")).alias("geometry"))
-    return matching.line_edges(lines, _graph(spark, d).edges, 43.0)
+    line = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct((F.col("lat") + i * F.lit(0.0004)).alias("lat"), (F.col("lng") + i * F.lit(0.0005)).alias("lng")))
+    return matching.line_edges(_spots(spark, d).select("obs_id", line.alias("geometry")), _graph(spark, d).edges, 43.0)
 
 
 # Likeness and chains.
@@ -458,28 +478,66 @@ def gra_03_core_degrees(spark, d):
 _WAY = "SELECT *, start_pos AS pos FROM edges0 WHERE d = 'f'"
 
 
+#: Ways as corridors: sums, ends and types, as the roll-up gives them.
+_ROLLED = f""", w AS ({_WAY}), deg AS (SELECT from_node AS node, count(*) AS n FROM edges0 GROUP BY 1 HAVING count(*) > 2),
+ busy AS (SELECT way_id, count(DISTINCT node) AS nb FROM (SELECT way_id, unnest([from_node, to_node]) AS node FROM w) JOIN deg USING (node) GROUP BY 1),
+ r AS (SELECT way_id, sum(length_m) AS m, count(*) AS n_edges, any_value(road_class) AS c, any_value(surface) AS s, any_value(surface_confidence) AS k,
+  any_value(has_bicycle_infra)::INT::DOUBLE AS bi, any_value(has_pedestrian_path)::INT::DOUBLE AS pe, any_value(is_separated)::INT::DOUBLE AS se, any_value(has_traffic_calming)::INT::DOUBLE AS ca,
+  any_value(scenic)::INT::DOUBLE AS sc, any_value(speed_limit) AS v, sum(stops + signals + crossings) / (sum(length_m) / 1000) AS sd, coalesce(any_value(nb), 0) / (sum(length_m) / 1000) AS cd,
+  any_value(one_way) AS one_way, min_by(from_node, pos) AS start_node, max_by(to_node, pos) AS end_node, any_value(name) AS name
+  FROM w LEFT JOIN busy USING (way_id) GROUP BY 1),
+ rolled AS (SELECT *, CASE WHEN c IN ('cycleway', 'path') AND se > 0.7 THEN 'trail' WHEN c IN ('footway', 'path') THEN 'path' WHEN c IN ('primary', 'trunk', 'motorway') THEN 'arterial'
+  WHEN c IN ('secondary', 'tertiary') THEN 'collector' WHEN c IN ('residential', 'unclassified', 'service') AND coalesce(v, 0) <= 40
+  THEN CASE WHEN cd < 4 AND sd < 2 AND pe < 0.3 AND ca < 0.3 THEN 'rural-road' ELSE 'neighborhood' END ELSE 'mixed' END AS type FROM r)"""
+
+
+def _parameter_rows(simple: bool) -> str:
+    """A row of scoring parameters for each activity."""
+    rows = []
+    for a in scoring.ACTIVITIES:
+        p = scoring.simple_defaults(a) if simple else scoring.defaults(a)
+        values = [*p["weights"].values(), p["flow"]["numerator"], *p["safety"].values(), *p["surface"].values(), *p["character"].values(), p["crossing_decay"]]
+        rows.append(f"('{a}', {', '.join(f'{float(v)}::DOUBLE' for v in values)})")
+    names = [f"w{k}" for k in range(6)] + ["num"] + [f"f{k}" for k in range(6)] + ["sp", "su", "sq"] + [f"h{k}" for k in range(7)] + ["decay"]
+    return f"par AS (SELECT * FROM (VALUES {', '.join(rows)}) p(activity, {', '.join(names)}))"
+
+
+_SPEED = "CASE WHEN v IS NULL THEN 0.5 WHEN v < 30.001 THEN 1 WHEN v < 40.001 THEN 0.8 WHEN v < 50.001 THEN 0.6 WHEN v < 60.001 THEN 0.3 ELSE 0.1 END"
+_CLASS_SAFE = """CASE WHEN c IN ('cycleway', 'path', 'footway') THEN 1 WHEN c IN ('residential', 'service') THEN 0.8 WHEN c IN ('unclassified', 'track') THEN 0.7
+ WHEN c = 'tertiary' THEN 0.5 WHEN c = 'secondary' THEN 0.3 WHEN c = 'primary' THEN 0.15 ELSE 0 END"""
+_FLOW_SQL = "0.6e0 * least(1, ln(1 + m / 300) / ln(1 + num / 300)) + 0.4e0 * exp(-0.2e0 * sd)"
+_SAFETY_SQL = f"f0 * {_CLASS_SAFE} + f1 * {_SPEED} + f2 * bi + f3 * pe + f4 * se + f5 * ca"
+
+
+def _scored(simple: bool = False) -> str:
+    """All scores of ways as corridors, by activity."""
+    return _ROLLED + f""", {_parameter_rows(simple)}, dims AS (SELECT way_id, activity, m, w0, w1, w2, w3, w4, w5, {_FLOW_SQL} AS flow, {_SAFETY_SQL} AS safety,
+ CASE s WHEN 'paved' THEN sp WHEN 'unpaved' THEN su ELSE sq END * (0.5e0 + 0.5e0 * k) AS surface,
+ CASE type WHEN 'collector' THEN h0 WHEN 'rural-road' THEN h1 WHEN 'mixed' THEN h2 WHEN 'neighborhood' THEN h3 WHEN 'arterial' THEN h4 WHEN 'trail' THEN h5 ELSE h6 END
+ * CASE WHEN decay > 0 THEN exp(-decay * cd) ELSE 1 END AS "character", least(1e0, sc) AS scenic, 0.5e0 AS elevation FROM rolled, par),
+ scored AS (SELECT *, least(1e0, greatest(0e0, w0 * flow + w1 * safety + w2 * surface + w3 * "character" + w4 * scenic + w5 * elevation)) AS overall FROM dims)"""
+
+
 def _way_members(edges: DataFrame) -> DataFrame:
     """One group a way, its forward edges in order."""
     return edges.where(~F.col("id").endswith(":r")).select(F.col("osm_way_id").alias("id"), F.col("seq").alias("pos"), F.col("id").alias("edge_id"))
 
 
 @query(
-    f""", w AS ({_WAY}), deg AS (SELECT from_node AS node, count(*) AS n FROM edges0 GROUP BY 1 HAVING count(*) > 2),
- busy AS (SELECT way_id, count(DISTINCT node) AS nb FROM (SELECT way_id, unnest([from_node, to_node]) AS node FROM w) JOIN deg USING (node) GROUP BY 1)
- SELECT CAST(way_id AS VARCHAR) AS id, round(sum(length_m), 4) AS length_m, any_value(road_class) AS road_class, any_value(surface) AS surface,
- round(any_value(surface_confidence), 6) AS surface_confidence, CASE WHEN any_value(has_bicycle_infra) THEN 1e0 ELSE 0e0 END AS bicycle_infra_continuity,
- CASE WHEN any_value(is_separated) THEN 1e0 ELSE 0e0 END AS separation_continuity, round(any_value(speed_limit), 6) AS average_speed_limit,
- round(sum(stops + signals + crossings) / (sum(length_m) / 1000), 6) AS stop_density, round(coalesce(any_value(nb), 0) / (sum(length_m) / 1000), 6) AS crossing_density
- FROM w LEFT JOIN busy USING (way_id) GROUP BY way_id""",
+    _ROLLED + """ SELECT CAST(way_id AS VARCHAR) AS id, round(m, 4) AS length_m, n_edges AS edge_count, c AS road_class, s AS surface, round(k, 6) AS surface_confidence, bi AS bicycle_infra_continuity,
+ pe AS pedestrian_path_continuity, se AS separation_continuity, ca AS traffic_calming_continuity, sc AS scenic_score, round(v, 6) AS average_speed_limit, round(sd, 6) AS stop_density,
+ round(cd, 6) AS crossing_density, CAST(0 AS BIGINT) AS turns, CAST(NULL AS DOUBLE) AS elevation_gain, CAST(NULL AS DOUBLE) AS hilliness, one_way, CAST(start_node AS VARCHAR) AS start_node,
+ CAST(end_node AS VARCHAR) AS end_node FROM rolled""",
     observed=True,
 )
 def agg_15_way_rollup(spark, d):
     e = _graph(spark, d).edges
     r = corridors.roll_up(_way_members(e), e)
     six = lambda c: F.round(c, 6).alias(c)
+    shares = ("bicycle_infra_continuity", "pedestrian_path_continuity", "separation_continuity", "traffic_calming_continuity", "scenic_score")
     return r.select(
-        "id", F.round("length_m", 4).alias("length_m"), "road_class", "surface", six("surface_confidence"), six("bicycle_infra_continuity"),
-        six("separation_continuity"), six("average_speed_limit"), six("stop_density"), six("crossing_density"),
+        "id", F.round("length_m", 4).alias("length_m"), _long("edge_count"), "road_class", "surface", six("surface_confidence"), *map(six, shares), six("average_speed_limit"),
+        six("stop_density"), six("crossing_density"), "turns", "elevation_gain", "hilliness", "one_way", "start_node", "end_node",
     )
 
 
@@ -512,15 +570,22 @@ def cls_01_way_types(spark, d):
     return rolled.select("id", corridors.corridor_type().alias("type"))
 
 
-@query(
-    f""", w AS ({_WAY}), n AS (SELECT id AS node, hw = 'traffic_signals' AS sig, hw IN ('stop') AS stp FROM nodes0),
- x AS (SELECT way_id, round(sum(length_m), 4) AS length_m, bool_or(road_class IN ('primary', 'secondary', 'trunk')) AS crosses_major, bool_or(signals > 0) AS has_signal FROM w GROUP BY 1)
- SELECT CAST(way_id AS VARCHAR) AS id, length_m, crosses_major, has_signal FROM x""",
-    observed=True,
-)
+_JOINED = f""", w AS ({_WAY}), tips AS (SELECT a AS node, way_id, start_pos, 0 AS side, highway FROM segments JOIN ways0 USING (way_id)
+  UNION ALL SELECT b, way_id, start_pos, 1, highway FROM segments JOIN ways0 USING (way_id)),
+ firsts AS (SELECT node, arg_min(highway, [way_id, start_pos, side]) AS by_way FROM tips GROUP BY 1),
+ flags AS (SELECT f.node, n.hw IS NOT DISTINCT FROM 'traffic_signals' AS s, n.hw IS NOT DISTINCT FROM 'stop' OR n.hw IS NOT DISTINCT FROM 'crossing' OR (by_way IN {D.TRAIL_SQL} AND k.meets) AS t
+  FROM firsts f JOIN nodes0 n ON n.id = f.node JOIN counted k ON k.node_id = f.node),
+ x AS (SELECT way_id, sum(length_m) AS m, bool_or(road_class IN ('primary', 'secondary', 'trunk')) AS crosses_major, bool_or(signals > 0) AS sig, bool_or(stops > 0 OR crossings > 0) AS stp,
+  min_by(from_node, pos) AS a, max_by(to_node, pos) AS b FROM w GROUP BY 1),
+ y AS (SELECT x.way_id, m, crosses_major, sig OR p.s OR q.s AS has_signal, stp OR p.t OR q.t AS has_stop FROM x JOIN flags p ON p.node = x.a JOIN flags q ON q.node = x.b),
+ connected AS (SELECT *, CASE WHEN crosses_major THEN CASE WHEN has_signal THEN 0.3e0 ELSE 0.7e0 END WHEN has_stop THEN 0.2e0 WHEN has_signal THEN 0.15e0 ELSE 0.1e0 END AS difficulty FROM y)"""
+
+
+@query(_JOINED + " SELECT CAST(way_id AS VARCHAR) AS id, round(m, 4) AS length_m, crosses_major, has_signal, has_stop, difficulty FROM connected", observed=True)
 def agg_26_way_connectors(spark, d):
     g = _graph(spark, d)
-    return corridors.connector_attributes(_way_members(g.edges), g).select("id", F.round("length_m", 4).alias("length_m"), "crosses_major", "has_signal")
+    out = corridors.connector_attributes(_way_members(g.edges), g)
+    return out.select("id", F.round("length_m", 4).alias("length_m"), "crosses_major", "has_signal", "has_stop", "difficulty")
 
 
 @query(
@@ -539,27 +604,16 @@ def _way_corridors(spark, d) -> DataFrame:
     return corridors.roll_up(_way_members(e), e).withColumn("type", corridors.corridor_type()).withColumn("confidence", F.lit(None).cast(none))
 
 
-@query(
-    f""", w AS ({_WAY}), r AS (SELECT way_id, sum(length_m) AS m, sum(stops + signals + crossings) / (sum(length_m) / 1000) AS sd FROM w GROUP BY 1)
- SELECT CAST(way_id AS VARCHAR) AS id, round(0.6 * least(1, ln(1 + m / 300) / ln(1 + 10000 / 300e0)) + 0.4 * exp(-0.2 * sd), 6) AS flow FROM r""",
-    observed=True,
-)
+@query(_scored(simple=True) + " SELECT CAST(way_id AS VARCHAR) AS id, activity, round(flow, 6) AS flow FROM scored", observed=True)
 def sco_01_flow(spark, d):
-    return _way_corridors(spark, d).select("id", F.round(scoring.flow(scoring.simple_defaults("walking")["flow"]), 6).alias("flow"))
+    s = scoring.score_corridors(_way_corridors(spark, d), {a: scoring.simple_defaults(a) for a in scoring.ACTIVITIES})
+    return s.select("id", "activity", F.round("flow", 6).alias("flow"))
 
 
-@query(
-    f""", w AS ({_WAY}), r AS (SELECT way_id, any_value(road_class) AS c, any_value(speed_limit) AS v, any_value(has_bicycle_infra) AS bi, any_value(has_pedestrian_path) AS pe,
- any_value(is_separated) AS se, any_value(has_traffic_calming) AS ca FROM w GROUP BY 1)
- SELECT CAST(way_id AS VARCHAR) AS id, round(0.3 * CASE WHEN c IN ('cycleway', 'path', 'footway') THEN 1 WHEN c IN ('residential', 'service') THEN 0.8 WHEN c IN ('unclassified', 'track') THEN 0.7
- WHEN c = 'tertiary' THEN 0.5 WHEN c = 'secondary' THEN 0.3 WHEN c = 'primary' THEN 0.15 ELSE 0 END
- + 0.2 * CASE WHEN v IS NULL THEN 0.5 WHEN v < 30.001 THEN 1 WHEN v < 40.001 THEN 0.8 WHEN v < 50.001 THEN 0.6 WHEN v < 60.001 THEN 0.3 ELSE 0.1 END
- + 0.1 * bi::INT + 0.1 * pe::INT + 0.2 * se::INT + 0.1 * ca::INT, 6) AS safety FROM r""",
-    observed=True,
-)
+@query(_scored(simple=True) + " SELECT CAST(way_id AS VARCHAR) AS id, activity, round(safety, 6) AS safety FROM scored", observed=True)
 def sco_03_safety(spark, d):
-    c = _way_corridors(spark, d).withColumn("average_speed_limit", F.round("average_speed_limit", 6))
-    return c.select("id", F.round(scoring.safety(scoring.simple_defaults("walking")["safety"]), 6).alias("safety"))
+    s = scoring.score_corridors(_way_corridors(spark, d), {a: scoring.simple_defaults(a) for a in scoring.ACTIVITIES})
+    return s.select("id", "activity", F.round("safety", 6).alias("safety"))
 
 
 @query(
@@ -573,16 +627,147 @@ def sco_04_surface(spark, d):
     return s.select("id", "activity", F.round("surface", 6).alias("surface_score"))
 
 
-@query()
+@query(
+    _scored() + """ SELECT CAST(way_id AS VARCHAR) AS id, activity, round(overall, 6) AS overall, round(flow, 6) AS flow, round(safety, 6) AS safety, round(surface, 6) AS surface,
+ round("character", 6) AS "character", round(scenic, 6) AS scenic, round(elevation, 6) AS elevation FROM scored""",
+    observed=True,
+)
 def sco_09_overall(spark, d):
     s = scoring.score_corridors(_way_corridors(spark, d))
     return s.select("id", "activity", *[F.round(c, 6).alias(c) for c in ("overall", *scoring.DIMENSIONS)])
 
 
-@query()
+@query(
+    _scored() + """, o AS (SELECT activity, list_sort(list(round(overall, 9))) AS o FROM scored GROUP BY 1)
+ SELECT activity, round(o[CAST(least(floor(len(o) * 0.05e0), len(o) - 1) AS INT) + 1], 6) AS p5, round(o[CAST(least(floor(len(o) * 0.95e0), len(o) - 1) AS INT) + 1], 6) AS p95 FROM o""",
+    observed=True,
+)
 def agg_25_score_range(spark, d):
-    s = scoring.score_corridors(_way_corridors(spark, d)).where("activity = 'running'")
-    return export.score_range(s)
+    s, out = settled(scoring.score_corridors(_way_corridors(spark, d)), "scores"), None
+    for a in scoring.ACTIVITIES:
+        row = export.score_range(s.where(F.col("activity") == a)).select(F.lit(a).alias("activity"), F.round("p5", 6).alias("p5"), F.round("p95", 6).alias("p95"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(
+    _ROLLED + """, v AS (SELECT 'length_m' AS attribute, unnest(list(m)) AS v FROM rolled UNION ALL SELECT 'surface_confidence', unnest(list(k)) FROM rolled UNION ALL SELECT 'turns', 0e0 FROM rolled),
+ o AS (SELECT attribute, v, row_number() OVER (PARTITION BY attribute ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY attribute) AS n FROM v)
+ SELECT attribute, round(avg(v), 4) AS mean, round(min(v), 4) AS least, round(max(v), 4) AS most, round(max(v) FILTER (i = least(floor(n * 0.5e0), n - 1)), 4) AS p50 FROM o GROUP BY 1""",
+    observed=True,
+)
+def agg_22_corridor_spreads(spark, d):
+    r = reports.corridor_spreads(settled(_way_corridors(spark, d), "rolled"))
+    return r.select("attribute", *[F.round(c, 4).alias(c) for c in ("mean", "least", "most", "p50")])
+
+
+@query(
+    _ROLLED + """, v AS (SELECT unnest([{'a': 'bicycle_infra_continuity', 'v': bi, 'h': bi > 0}, {'a': 'pedestrian_path_continuity', 'v': pe, 'h': pe > 0}, {'a': 'separation_continuity', 'v': se, 'h': se > 0},
+  {'a': 'traffic_calming_continuity', 'v': ca, 'h': ca > 0}, {'a': 'scenic_score', 'v': sc, 'h': sc > 0}, {'a': 'stop_density', 'v': sd, 'h': sd > 0}, {'a': 'crossing_density', 'v': cd, 'h': cd > 0},
+  {'a': 'average_speed_limit', 'v': v, 'h': v IS NOT NULL}, {'a': 'low surface_confidence', 'v': k, 'h': k < 0.3}]) AS x FROM rolled)
+ SELECT x.a AS attribute, round(coalesce(avg(x.v), 0), 6) AS mean, count(*) FILTER (x.h) AS n, round(count(*) FILTER (x.h) / count(*), 8) AS share FROM v GROUP BY 1""",
+    observed=True,
+)
+def agg_22_corridor_shares(spark, d):
+    c = _way_corridors(spark, d).withColumn("surface_confidence", F.round("surface_confidence", 9))
+    r = reports.corridor_shares(c)
+    return r.select("attribute", F.round("mean", 6).alias("mean"), "n", F.round("share", 8).alias("share"))
+
+
+@query(
+    _JOINED + """ SELECT count(*) AS connectors, round(avg(m), 4) AS mean_m, round(min(m), 4) AS least_m, round(max(m), 4) AS most_m, count(*) FILTER (has_signal) AS with_signal,
+ count(*) FILTER (has_stop) AS with_stop, count(*) FILTER (crosses_major) AS crossing_major, round(avg(difficulty), 6) AS mean_difficulty FROM connected""",
+    observed=True,
+)
+def agg_23_connector_report(spark, d):
+    g = _graph(spark, d)
+    r = reports.connector_report(corridors.connector_attributes(_way_members(g.edges), g))
+    return r.withColumns({c: F.round(c, 4) for c in ("mean_m", "least_m", "most_m")} | {"mean_difficulty": F.round("mean_difficulty", 6)})
+
+
+@query(_ROLLED + " SELECT type, count(*) AS n, round(sum(m) / 1000, 4) AS km, round(count(*) / (SELECT count(*) FROM rolled), 8) AS share FROM rolled GROUP BY 1", observed=True)
+def agg_32_type_breakdown(spark, d):
+    r = reports.corridor_distribution(_way_corridors(spark, d), "type")
+    return r.select("type", "n", F.round("km", 4).alias("km"), F.round("share", 8).alias("share"))
+
+
+def _way_network(spark, d) -> corridors.Network:
+    """Ways of even numbers as corridors, of odd ones as connectors of the corridors that they touch."""
+    g = _graph(spark, d)
+    members, lines = _way_members(g.edges), corridors.geometries(_way_members(g.edges), g.edges, 1e-3)
+    near, even = corridors.adjacency(members, g.edges), F.col("id").cast("long") % 2 == 0
+    own = _way_corridors(spark, d).where(even).join(lines, "id").withColumn("is_destination", F.col("id").cast("long") % 10 == 0)
+    links = near.where((F.col("a").cast("long") % 2 == 1) & (F.col("b").cast("long") % 2 == 0)).groupBy(F.col("a").alias("id")).agg(F.array_sort(F.collect_set("b")).alias("corridor_ids"))
+    joining = corridors.connector_attributes(members.where(~even), g).join(links, "id").join(lines, "id")
+    return corridors.Network(own, joining, members, near)
+
+
+_LOCATED = _ROLLED + f""", e AS (SELECT DISTINCT way_id, unnest([from_node, to_node]) AS node FROM w),
+ adj AS (SELECT DISTINCT x.way_id AS a, y.way_id AS b FROM e x JOIN e y USING (node) WHERE x.way_id <> y.way_id),
+ box AS (SELECT 42.93e0 - 1 / 111.32e0 AS y1, 42.93e0 + 1 / 111.32e0 AS y2, -85.68e0 - 1 / 111.32e0 / cos(radians(42.93e0)) AS x1, -85.68e0 + 1 / 111.32e0 / cos(radians(42.93e0)) AS x2),
+ tip AS (SELECT way_id, min(pos) AS lo, max(stop) AS hi FROM w GROUP BY 1),
+ own AS (SELECT DISTINCT r.way_id, m, r.way_id % 10 = 0 AS dest FROM rolled r JOIN tip USING (way_id) JOIN known k ON k.way_id = r.way_id AND (k.pos = lo OR k.pos = hi), box
+  WHERE r.way_id % 2 = 0 AND k.lat BETWEEN y1 AND y2 AND k.lng BETWEEN x1 AND x2),
+ joined AS (SELECT a AS way_id, count(DISTINCT b) AS n FROM adj JOIN own ON own.way_id = b WHERE a % 2 = 1 GROUP BY 1)"""
+
+
+@query(
+    _LOCATED + """ SELECT 'corridor' AS kind, CAST(way_id AS VARCHAR) AS id, CAST(NULL AS BIGINT) AS n FROM own UNION ALL SELECT 'connector', CAST(way_id AS VARCHAR), n FROM joined
+ UNION ALL SELECT 'links', CAST(a AS VARCHAR), count(*) FROM adj WHERE a IN (SELECT way_id FROM own UNION SELECT way_id FROM joined) AND b IN (SELECT way_id FROM own UNION SELECT way_id FROM joined) GROUP BY 2""",
+    observed=True,
+)
+def join_20_location_filter(spark, d):
+    core, _ = location.boxes(spark, 42.93, -85.68, 1.0)
+    net = location.within_box(_way_network(spark, d), core)
+    own = net.corridors.select(F.lit("corridor").alias("kind"), "id", F.lit(None).cast("long").alias("n"))
+    joining = net.connectors.select(F.lit("connector").alias("kind"), "id", F.size("corridor_ids").cast("long").alias("n"))
+    links = net.adjacency.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")).select(F.lit("links").alias("kind"), "id", "n")
+    return own.unionByName(joining).unionByName(links)
+
+
+@query(
+    _LOCATED + """ SELECT count(*) AS corridors, count(*) FILTER (dest) AS destinations, round(coalesce(avg(m), 0), 4) AS mean_m, round(coalesce(sum(m), 0), 4) AS total_m,
+ (SELECT count(*) FROM joined) AS connectors FROM own""",
+    observed=True,
+)
+def gra_07_location_stats(spark, d):
+    core, _ = location.boxes(spark, 42.93, -85.68, 1.0)
+    return location.location_stats(location.within_box(_way_network(spark, d), core)).withColumns({c: F.round(c, 4) for c in ("mean_m", "total_m")})
+
+
+@query(
+    f""", w AS ({_WAY}), h AS (SELECT id, 180e0 + (id * 37) % 101 * 0.5e0 AS z FROM nodes0),
+ pt AS (SELECT w.way_id, w.pos AS edge, k.pos AS k, CASE WHEN k.pos > w.pos THEN s.d ELSE 0 END AS step, CASE WHEN one_way AND reversed THEN -1 ELSE 1 END AS turn, a.z AS za, b.z AS zb
+  FROM w JOIN known k ON k.way_id = w.way_id AND k.pos BETWEEN w.start_pos AND w.stop JOIN stepped s ON s.way_id = k.way_id AND s.pos = k.pos
+  JOIN h a ON a.id = w.a JOIN h b ON b.id = w.b WHERE NOT (one_way AND reversed)),
+ at AS (SELECT *, sum(step) OVER (PARTITION BY way_id, edge ORDER BY k) AS x, sum(step) OVER (PARTITION BY way_id, edge) AS len,
+  sum(step) OVER (PARTITION BY way_id ORDER BY edge, k ROWS UNBOUNDED PRECEDING) AS dist FROM pt),
+ sm AS (SELECT way_id, dist, za + x / len * (zb - za) AS z, row_number() OVER q AS n, lead(dist) OVER q AS d1, lead(za + x / len * (zb - za)) OVER q AS z1, max(dist) OVER (PARTITION BY way_id) AS total
+  FROM at WINDOW q AS (PARTITION BY way_id ORDER BY edge, k)),
+ g AS (SELECT way_id, z + CASE WHEN d1 > dist THEN (50 * i - dist) / (d1 - dist) ELSE 0 END * (z1 - z) AS z FROM sm, LATERAL (SELECT unnest(range(CASE WHEN n = 1 THEN 0 ELSE CAST(floor(dist / 50) AS BIGINT) + 1 END,
+  CAST(floor(d1 / 50) AS BIGINT) + 1)) AS i) WHERE d1 IS NOT NULL UNION ALL SELECT way_id, z FROM sm WHERE d1 IS NULL AND total - floor(total / 50) * 50 > 5)
+ SELECT CAST(way_id AS VARCHAR) AS id, count(*) AS samples, round(sum(z), 4) AS total, round(min(z), 4) AS least, round(max(z), 4) AS most FROM g GROUP BY 1""",
+    observed=True,
+)
+def win_04_profiles(spark, d):
+    e = _graph(spark, d).edges
+    ways = D.osm_ways(spark, d).where(T.reversed_one_way(F.col("tags"))).select(F.col("id").cast("string").alias("id"))
+    heights = D.osm_nodes(spark, d).select(F.col("id").cast("string").alias("node"), (F.lit(180.0) + (F.col("id") * 37) % 101 * 0.5).alias("z"))
+    p = elevation.profiles(_way_members(e).join(ways, "id", "left_anti"), e, node_heights=heights)
+    total = F.aggregate("profile", F.lit(0.0), lambda s, z: s + z)
+    return p.select("id", F.size("profile").cast("long").alias("samples"), F.round(total, 4).alias("total"), F.round(F.array_min("profile"), 4).alias("least"), F.round(F.array_max("profile"), 4).alias("most"))
+
+
+@query(
+    _scored() + """, q AS (SELECT way_id % 50 AS request_id, overall, flow, m FROM scored WHERE activity = 'walking')
+ SELECT request_id, round(sum(overall * m) / sum(m), 6) AS overall, round(sum(flow * m) / sum(m), 6) AS flow FROM q GROUP BY 1""",
+    observed=True,
+)
+def agg_30_route_scores(spark, d):
+    c = settled(_way_corridors(spark, d), "rolled")
+    s = scoring.score_corridors(c, {"walking": scoring.defaults("walking")})
+    r = reports.route_scores(c.select((F.col("id").cast("long") % 50).alias("request_id"), "id", "length_m"), s)
+    return r.select("request_id", F.round("overall", 6).alias("overall"), F.round("flow", 6).alias("flow"))
 
 
 @query()
@@ -599,7 +784,7 @@ def gra_16_loops(spark, d):
     net = corridors.build_network(g, by_tier=dict.fromkeys(chains.MIN_LENGTH_M, 200.0))
     net = corridors.Network(settled(net.corridors, "corridors"), settled(net.connectors, "connectors"), settled(net.entity_edges, "entities"), net.adjacency)
     scores = scoring.score_corridors(net.corridors)
-    c = D.table(spark, d, "customer").where("c_custkey % 50 = 7")
+    c = D.table(spark, d, "customer")
     starts = c.select(
         F.col("c_custkey").cast("long").alias("request_id"),
         (F.lit(42.9) + F.col("c_custkey") % 40 * 0.0027).alias("lat"),
@@ -614,7 +799,41 @@ def gra_16_loops(spark, d):
     return search.route_stats(search.segments(loops, net, g), net.corridors).select("request_id", "distance_m", "stops", "infrastructure", "flow")
 
 
-# Tiles, caches, sources.
+# From files, tiles, caches, sources.
+
+
+def _saved_response(spark, d) -> str:
+    """The derived nodes and ways as saved responses, some thousand elements a file."""
+    lit = lambda x: F.lit(x)
+    node = F.struct(lit("node").alias("type"), "id", "lat", "lon", "tags")
+    way = F.struct(lit("way").alias("type"), "id", F.col("refs").alias("nodes"), F.lit(None).cast("array<struct<lat:double,lon:double>>").alias("geometry"), "tags")
+    # files are read in the order of their names, and ways keep their order
+    nodes = D.osm_nodes(spark, d).select(F.lit(0).alias("part"), F.col("seq"), F.to_json(node).alias("e"))
+    ways = D.osm_ways(spark, d).select(F.lit(1).alias("part"), F.col("seq"), F.to_json(way).alias("e"))
+    elements = nodes.unionByName(ways).withColumn("file", F.format_string("%d-%012d", "part", F.floor(F.col("seq") / 5000)))
+    lists = elements.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("seq", "e"))).alias("l"))
+    text = F.concat(F.lit('{"version":0.6,"elements":['), F.array_join(F.transform("l", lambda x: x["e"]), ","), F.lit("]}"))
+    path = scratch_path(spark, "responses")
+    lists.select("file", text.alias("value")).repartition("file").write.partitionBy("file").text(path)
+    return f"{path}/*/*.txt"
+
+
+@query(
+    """SELECT id, CAST(from_node AS VARCHAR) AS from_node, CAST(to_node AS VARCHAR) AS to_node, round(length_m, 4) AS length_m, road_class, surface, stops AS stop_sign_count,
+ signals AS traffic_signal_count, crossings AS road_crossing_count FROM edges0""",
+    graph=True,
+)
+def gra_19_edges_of_a_response(spark, d):
+    g = ingest.from_overpass(spark, _saved_response(spark, d))
+    counts = [_long(c) for c in ("stop_sign_count", "traffic_signal_count", "road_crossing_count")]
+    return g.edges.select("id", "from_node", "to_node", F.round("length_m", 4).alias("length_m"), "road_class", "surface", *counts)
+
+
+@query(f"WITH {D.NODES_SQL}, {D.WAYS_SQL} SELECT 'node' AS type, count(*) AS n FROM nodes0 UNION ALL SELECT 'way', count(*) FROM ways0")
+def src_02_element_counts(spark, d):
+    from trailweave.sources import overpass
+
+    return overpass.element_counts(overpass.read_responses(spark, _saved_response(spark, d)))
 
 
 @query(f"WITH {D.NODES_SQL} SELECT id, CAST(floor(lat / 0.75e0) AS BIGINT) AS tile_row, CAST(floor(lng / 0.75e0) AS BIGINT) AS tile_col FROM nodes0")
@@ -650,10 +869,12 @@ def src_13_dedupe(spark, d):
 
 
 @query(
-    f"""SELECT osm_id, max_by(seq, n * 1000000 - seq) AS seq, CAST(max(n) AS BIGINT) AS n FROM ({_ROWS}) WHERE n IS NOT NULL GROUP BY 1"""
+    f"""WITH r AS ({_ROWS}), z AS (SELECT osm_id, min(seq) FILTER (n IS NULL) AS z FROM r GROUP BY 1),
+ k AS (SELECT osm_id, seq, n FROM r JOIN z USING (osm_id) WHERE n IS NOT NULL AND (z IS NULL OR seq < z) QUALIFY row_number() OVER (PARTITION BY osm_id ORDER BY n DESC, seq) = 1)
+ SELECT osm_id, coalesce(k.seq, z.z) AS seq, CASE WHEN z.z IS NULL THEN CAST(k.n AS BIGINT) END AS n FROM z LEFT JOIN k USING (osm_id)"""
 )
 def src_23_upsert(spark, d):
-    return S.upserted(_predicted(spark, d).where("n is not null")).select("osm_id", "seq", "n")
+    return S.upserted(_predicted(spark, d)).select("osm_id", "seq", "n")
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_size % 13 = 0 THEN 0.6e0 WHEN p_size % 13 >= 10 THEN 0.9e0 ELSE round(0.6e0 + 0.03e0 * (p_size % 13), 6) END AS confidence FROM part")

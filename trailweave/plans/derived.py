@@ -95,11 +95,11 @@ tagged AS (SELECT *, {CLASS_SQL} AS road_class,
   p_size % 11 = 3 OR highway = 'living_street' AS has_traffic_calming,
   ow IN (1, 2) AS one_way, ow = 2 AS reversed, CASE WHEN p_size % 7 = 1 THEN 2 END AS lanes, p_size % 10 = 1 AS scenic
   FROM ways0)"""
-_TRAIL, _ROAD = "('cycleway','path','bridleway','track')", "('primary','primary_link','secondary','secondary_link','tertiary','tertiary_link','unclassified','residential','living_street','service')"
+TRAIL_SQL, _ROAD = "('cycleway','path','bridleway','track')", "('primary','primary_link','secondary','secondary_link','tertiary','tertiary_link','unclassified','residential','living_street','service')"
 SEGMENTS_SQL = f"""
 known AS (SELECT r.way_id, r.node_id, r.highway, n.lat, n.lng, n.hw, row_number() OVER (PARTITION BY way_id ORDER BY ref_pos) - 1 AS pos,
   count(*) OVER (PARTITION BY way_id) AS n FROM refs0 r JOIN nodes0 n ON n.id = r.node_id),
-counted AS (SELECT node_id, count(*) AS refs, bool_or(highway IN {_TRAIL}) AND bool_or(highway IN {_ROAD}) AS meets FROM refs0 GROUP BY node_id),
+counted AS (SELECT node_id, count(*) AS refs, bool_or(highway IN {TRAIL_SQL}) AND bool_or(highway IN {_ROAD}) AS meets FROM refs0 GROUP BY node_id),
 cuts AS (SELECT way_id, pos, lead(pos) OVER (PARTITION BY way_id ORDER BY pos) AS stop FROM known JOIN counted USING (node_id)
   WHERE n >= 2 AND (pos = 0 OR pos = n - 1 OR refs > 1)),
 stepped AS (SELECT *, 2 * 6371000e0 * asin(sqrt(least(1e0, power(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * power(sin(radians(lng - plng) / 2), 2)))) AS d
@@ -107,7 +107,7 @@ stepped AS (SELECT *, 2 * 6371000e0 * asin(sqrt(least(1e0, power(sin(radians(lat
 segments AS (SELECT c.way_id, c.pos AS start_pos, c.stop,
   sum(CASE WHEN p.pos > c.pos THEN p.d END) AS length_m,
   count(*) FILTER (p.hw = 'stop') AS stops, count(*) FILTER (p.hw = 'traffic_signals') AS signals,
-  count(*) FILTER (p.hw = 'crossing' AND p.highway IN {_TRAIL}) AS crossings,
+  count(*) FILTER (p.hw = 'crossing' AND p.highway IN {TRAIL_SQL}) AS crossings,
   min_by(p.node_id, p.pos) AS a, max_by(p.node_id, p.pos) AS b
   FROM cuts c JOIN stepped p ON p.way_id = c.way_id AND p.pos BETWEEN c.pos AND c.stop WHERE c.stop IS NOT NULL GROUP BY ALL)"""
 EDGES_SQL = """

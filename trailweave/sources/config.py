@@ -36,6 +36,15 @@ def slug(name: str) -> str:
     return re.sub(r"[^a-z0-9]+", "-", name.lower()).strip("-")
 
 
+def config_root(start: str, name: str = "configs", parents: int = 10) -> Path:
+    """The folder ``name`` in ``start`` or the nearest of its parents that has one."""
+    here = Path(start).resolve()
+    for folder in [here, *here.parents][: parents + 1]:
+        if (folder / name).is_dir():
+            return folder / name
+    raise FileNotFoundError(f"no folder {name} in {start} or {parents} of its parents")
+
+
 def base(folder: str, activity: str) -> dict:
     """The file ``base/<activity>.json`` over the built-in parameters, or those alone."""
     path = Path(folder, "base", f"{activity}.json")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailweave.functions import tags as T
@@ -27,12 +27,14 @@ def query_text(south: float, west: float, north: float, east: float, timeout: in
     )
 
 
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """``seq, e``: the elements of saved JSON responses, numbered in file and list order."""
+def read_responses(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``seq, e``: the elements of saved JSON responses, numbered in the order of files and lists."""
     files = spark.read.schema(SCHEMA).json(path, multiLine=True).select("elements", F.col("_metadata.file_path").alias("file"))
-    rows = files.select("file", F.posexplode("elements").alias("pos", "e"))
-    # one id a file keeps the order of elements without a global sort
-    return rows.select(F.struct("file", "pos").alias("seq"), "e")
+    # a row for each file tells how many elements come before its own
+    sizes = files.groupBy("file").agg(F.sum(F.size("elements")).alias("n"))
+    before = sizes.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
+    rows = files.select("file", F.posexplode("elements").alias("pos", "e")).join(F.broadcast(before), "file")
+    return rows.select((F.col("before") + F.col("pos")).cast("long").alias("seq"), "e")
 
 
 def nodes_of(elements: DataFrame) -> DataFrame:

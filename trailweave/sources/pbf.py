@@ -1,7 +1,11 @@
 """Map elements from PBF files, by the public description of the format.
 
 A file is a sequence of blobs, each a length, a header and compressed data; blobs are
-independent, so the data source gives Spark one partition for each run of blobs.
+independent, so the data source gives Spark one partition for each run of blobs. Files are
+opened by URI, in a shared folder or a store. ``whole_files`` reads paths that only Spark
+itself can open, one file's bytes a row.
+
+``seq`` numbers the elements in the order of the file: ``BLOB_ROOM`` numbers for each blob.
 """
 
 from __future__ import annotations
@@ -10,10 +14,18 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "type string, id long, lat double, lon double, refs array<long>, tags map<string,string>"
+from trailweave.functions import tags as T
+from trailweave.sources.files import open_fs
+
+SCHEMA = "seq long, type string, id long, lat double, lon double, refs array<long>, tags map<string,string>"
 NANO = 1e-9
+#: More elements than a blob of the format's largest size can hold.
+BLOB_ROOM = 1 << 24
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -73,19 +85,17 @@ def _message(data: bytes) -> dict[int, list]:
     return out
 
 
-def blobs(path: str) -> list[tuple[int, int, str]]:
-    """Place, length and type of each blob of a file."""
-    out, at = [], 0
-    with open(path, "rb") as f:
-        while head := f.read(4):
-            n = struct.unpack(">I", head)[0]
-            header = _message(f.read(n))
-            size = _get(header, 3, 0)
-            at += 4 + n
-            out.append((at, size, _get(header, 1, b"").decode()))
-            at += size
-            f.seek(at)
-    return out
+def blobs(f, size: int) -> Iterator[tuple[int, int, str]]:
+    """Place, length and type of each blob of an open file."""
+    at = 0
+    while at < size:
+        f.seek(at)
+        n = struct.unpack(">I", f.read(4))[0]
+        header = _message(f.read(n))
+        length = _get(header, 3, 0)
+        at += 4 + n
+        yield at, length, _get(header, 1, b"").decode()
+        at += length
 
 
 def inflate(data: bytes) -> bytes:
@@ -130,7 +140,7 @@ def elements(block: bytes) -> Iterator[tuple]:
 
 
 class _Run(InputPartition):
-    def __init__(self, path: str, runs: list[tuple[int, int]]):
+    def __init__(self, path: str, runs: list[tuple[int, int, int]]):
         self.path, self.runs = path, runs
 
 
@@ -139,19 +149,22 @@ class PbfReader(DataSourceReader):
         self.path, self.per_task = path, per_task
 
     def partitions(self) -> list[_Run]:
-        data = [(a, n) for a, n, kind in blobs(self.path) if kind == "OSMData"]
+        fs, path = open_fs(self.path)
+        with fs.open_input_file(path) as f:
+            data = [(k, a, n) for k, (a, n, kind) in enumerate(blobs(f, f.size())) if kind == "OSMData"]
         return [_Run(self.path, data[k : k + self.per_task]) for k in range(0, len(data), self.per_task)] or [_Run(self.path, [])]
 
     def read(self, partition: _Run) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            for at, n in partition.runs:
+        fs, path = open_fs(partition.path)
+        with fs.open_input_file(path) as f:
+            for k, at, n in partition.runs:
                 f.seek(at)
-                yield from elements(inflate(f.read(n)))
+                for j, row in enumerate(elements(inflate(f.read(n)))):
+                    yield k * BLOB_ROOM + j, *row
 
 
 class PbfDataSource(DataSource):
-    """``spark.dataSource.register(PbfDataSource); spark.read.format("map_pbf").load(path)``; the
-    file must lie where every executor can open it."""
+    """``spark.dataSource.register(PbfDataSource); spark.read.format("map_pbf").load(path)``."""
 
     @classmethod
     def name(cls) -> str:
@@ -162,3 +175,52 @@ class PbfDataSource(DataSource):
 
     def reader(self, schema) -> PbfReader:
         return PbfReader(self.options["path"], int(self.options.get("blobspertask", 8)))
+
+
+def read_pbf(spark: SparkSession, path: str) -> DataFrame:
+    """The elements of a file."""
+    spark.dataSource.register(PbfDataSource)
+    return spark.read.format("map_pbf").load(path)
+
+
+def whole_files(spark: SparkSession, path: str, parts: int | None = None) -> DataFrame:
+    """The same through Spark's own reader, for paths that only Spark opens: blobs are cut out of
+    each file's bytes (2 GB at most, one task) and then decoded in parallel."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                data = content.as_buffer()
+                f = pa.BufferReader(data)
+                for k, (at, n, kind) in enumerate(blobs(f, data.size)):
+                    if kind == "OSMData":
+                        yield pa.RecordBatch.from_pydict({"blob": pa.array([k], pa.int64()), "data": pa.array([data.slice(at, n).to_pybytes()], pa.binary())})
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.map_(pa.string(), pa.string())]
+        names = ["seq", "type", "id", "lat", "lon", "refs", "tags"]
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = [(k * BLOB_ROOM + j, *r[:5], list(r[5].items())) for j, r in enumerate(elements(inflate(data)))]
+                for a in range(0, len(rows), 10_000):
+                    columns = zip(*rows[a : a + 10_000], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(cut, "blob long, data binary")
+    return found.repartition(parts or max(8, spark.sparkContext.defaultParallelism), "blob").mapInArrow(decode, SCHEMA)
+
+
+def element_counts(elements: DataFrame) -> DataFrame:
+    """``type, n``."""
+    return elements.groupBy("type").agg(F.count("*").alias("n"))
+
+
+def ways_of(elements: DataFrame) -> DataFrame:
+    """``seq, id, refs, tags`` of the relevant ways."""
+    return elements.where("type = 'way'").where(T.is_relevant(F.col("tags"))).select("seq", "id", "refs", "tags")
+
+
+def nodes_of(elements: DataFrame) -> DataFrame:
+    """``seq, id, lat, lon, tags`` of the nodes that a relevant way refers to."""
+    refs = ways_of(elements).select(F.explode("refs").alias("id")).distinct()
+    return elements.where("type = 'node'").select("seq", "id", "lat", "lon", "tags").join(refs, "id", "left_semi").select("seq", "id", "lat", "lon", "tags")
