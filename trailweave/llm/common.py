@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +17,13 @@ from trailweave.operators.iterate import components as connected_components
 from trailweave.operators.iterate import discard, scratch_path
 from trailweave.operators.iterate import settled as materialize
 
-__all__ = ["binary_list", "connected_components", "crc", "discard", "fold_of", "materialize", "open_fs", "scratch_path", "slices", "small_or_shuffled"]
+__all__ = ["binary_list", "connected_components", "crc", "discard", "fold_of", "materialize", "open_fs", "scratch_path", "slices", "small_or_shuffled", "word_hashes"]
 
 #: A side is broadcast only when it has at most so many rows; beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
+#: Words whose hashes a worker keeps, about.
+CACHED_WORDS = 200_000
+_WORDS: dict[bytes, int] = {}
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -38,6 +43,19 @@ def binary_list(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, through one cache of bounded size in a worker."""
+    if len(_WORDS) > CACHED_WORDS:
+        _WORDS.clear()
+    get, out = _WORDS.get, []
+    for w in words:
+        h = get(w)
+        if h is None:
+            h = _WORDS[w] = xxhash.xxh3_64_intdigest(w)
+        out.append(h)
+    return np.array(out, "u8")
+
+
 def slices(batch: pa.RecordBatch, rows: int = 256, limit: int = 4 << 20):
     """Cut a batch so that one slice holds few rows and, but for single rows, few bytes."""
     sizes = [0] * batch.num_rows

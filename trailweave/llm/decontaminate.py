@@ -21,15 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import slices
+from trailweave.llm.common import slices, word_hashes
 
 SEED, COVER, BLOCK_WORDS = 5, 0.5, 1_000_000
 _SPACE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
-_WORDS: dict[bytes, int] = {}
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -37,15 +35,7 @@ def word_numbers(text: str | None) -> np.ndarray:
     """The words of a text as 64-bit hashes."""
     if not text:
         return np.empty(0, "u8")
-    if len(_WORDS) > 300_000:
-        _WORDS.clear()
-    get, out = _WORDS.get, []
-    for w in text.lower().encode().translate(_SPACE).split():
-        h = get(w)
-        if h is None:
-            h = _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return np.array(out, "u8")
+    return word_hashes(text.lower().encode().translate(_SPACE).split())
 
 
 def rolling(words: np.ndarray, n: int) -> np.ndarray:

@@ -34,13 +34,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import binary_list, connected_components, discard, materialize, slices, small_or_shuffled
+from trailweave.llm.common import binary_list, connected_components, discard, materialize, slices, small_or_shuffled, word_hashes
 
 P, MANTISSA, BANDS, ROWS = 8, 10, 40, 5
 BLOCK = 256
 #: Standard errors below the threshold at which the estimate rules a pair out.
 SLACK = 6.0
-_WORDS: dict[bytes, int] = {}
 _RNG = np.random.Generator(np.random.PCG64(20240501))
 _ODD = _RNG.integers(0, 1 << 63, 1 << P, "u8") * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, 1 << P, "u8")
@@ -60,15 +59,7 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     words = (text or b"").lower().split()
     if not words:
         return np.empty(0, "u8")
-    if len(_WORDS) > 300_000:
-        _WORDS.clear()
-    get, hashes = _WORDS.get, []
-    for w in words:
-        h = get(w)
-        if h is None:
-            h = _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-        hashes.append(h)
-    h = np.array(hashes, "u8")
+    h = word_hashes(words)
     n = max(1, len(h) - k + 1)
     if len(h) < k:
         return _mix(np.array([xxhash.xxh3_64_intdigest(h.tobytes(), len(h))], "u8"))
