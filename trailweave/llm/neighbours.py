@@ -1,26 +1,31 @@
 """Nearest neighbours by inner product through a hierarchical k-means tree.
 
 The tree is fitted on at most ``SAMPLE`` vectors (those of the smallest hash of their id; a
-documented bound), ``BRANCH`` children a node, until nodes hold at most ``LEAF`` of them.
-Every vector is indexed in the leaf that the descent to the nearest child reaches. A query
-walks the tree best bin first: a priority queue holds nodes by the inner product that their
-vectors could have at most (centre and radius), and leaves are visited in the order in which
-they leave the queue. How many are visited is calibrated: on queries from the sample the
-number is widened until their exact neighbours in the sample are found with recall ``RECALL``.
+documented bound), ``BRANCH`` children a node. A leaf that holds more than ``LEAF_ROWS`` rows of
+the table is split further by a tree of its own, fitted in a task on at most ``SAMPLE`` of the
+leaf's rows, and so on, so that leaves stay as small as the table grows (up to ``LEAVES``
+leaves, whose centres are all that driver and workers hold). Every vector is indexed in the
+leaf that the descent to the nearest child reaches. A query walks the tree best bin first: a
+priority queue holds nodes by the inner product that their vectors could have at most (centre
+and radius), and leaves are visited in the order in which they leave the queue. How many are
+visited is calibrated: on queries from the sample the number is widened until their exact
+neighbours in the sample are found with recall ``RECALL``.
 
 Vectors of a leaf are dealt to blocks of about ``BLOCK`` rows, so that a crowded leaf (one
 vector held by a third of all rows, say) is many tasks' work; a block compares its distinct
 vectors with its queries, some hundred at a time, and keeps the best for each query. Products
 are in double precision, row by row, so equal vectors have equal scores; ties go to the
-smaller id. Vectors that are null, zero, of another length than most of the sample, or that
-hold null or non-finite components take no part, nor do null ids; a row whose id repeats is a
-candidate as often as it occurs, but never of its own id's query. An empty table gives an
-empty result; further columns are not read.
+smaller id. Vectors that are null, empty, zero, or that hold null or non-finite components take
+no part, nor do null ids. A query is compared with vectors of its own length: those of the
+sample's most frequent length are in the tree, those of each other length are a leaf of their
+own. A row whose id repeats is a candidate as often as it occurs, but never of its own id's
+query. An empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,17 +34,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import materialize
+from trailweave.llm.common import discard, materialize
 
 SAMPLE, BRANCH, LEAF, RECALL, BLOCK = 20_000, 8, 1_200, 0.95, 8192
+#: Rows of a leaf beyond which it is split, and leaves beyond which none is.
+LEAF_ROWS, LEAVES = 16_384, 65_536
 
 
 class Tree:
     """Centres, radii and children by node; leaves are numbered from 0."""
 
-    def __init__(self, x: np.ndarray):
+    def __init__(self, x: np.ndarray, most: int = LEAF):
         self.centre, self.radius, self.children, self.leaf = [], [], [], []
-        self.leaves = 0
+        self.leaves, self.most = 0, most
         self._rng = np.random.Generator(np.random.PCG64(7))
         self._grow(x)
 
@@ -50,7 +57,7 @@ class Tree:
         self.radius.append(float(np.sqrt(np.max(((x - c) ** 2).sum(axis=1)))))
         self.children.append([])
         self.leaf.append(-1)
-        if len(x) > LEAF:
+        if len(x) > max(self.most, BRANCH):
             centres = x[self._rng.choice(len(x), BRANCH, replace=False)]
             for _ in range(10):
                 near = np.argmin(self._far(x, centres), axis=1)
@@ -64,6 +71,22 @@ class Tree:
         self.leaves += 1
         return node
 
+    def grafted(self, subtrees: dict[int, "Tree"]) -> None:
+        """Puts trees in the place of leaves, and numbers the leaves anew."""
+        for node in range(len(self.centre)):
+            sub = subtrees.get(self.leaf[node]) if self.leaf[node] >= 0 else None
+            if sub is not None and sub.children[0]:
+                at = len(self.centre)
+                self.centre += sub.centre
+                self.radius += sub.radius
+                self.children += [[k + at for k in kids] for kids in sub.children]
+                self.leaf += [0 if leaf >= 0 else -1 for leaf in sub.leaf]
+                self.children[node], self.leaf[node] = self.children[at], -1
+        ends = [k for k, leaf in enumerate(self.leaf) if leaf >= 0 and not self.children[k]]
+        for n, k in enumerate(ends):
+            self.leaf[k] = n
+        self.leaves = len(ends)
+
     @staticmethod
     def _far(x: np.ndarray, c: np.ndarray) -> np.ndarray:
         return (c**2).sum(axis=1)[None, :] - 2 * x @ c.T
@@ -97,11 +120,11 @@ class Tree:
         return out
 
 
-def _usable(values: list, length: int | None = None) -> np.ndarray | None:
-    if values is None or not len(values) or any(v is None for v in values):
-        return None
-    v = np.asarray(values, "f8")
-    return v if np.isfinite(v).all() and v.any() and length in (None, len(v)) else None
+def usable(v: Column) -> Column:
+    """Whether a vector takes part: components there and finite, not all of them zero."""
+    x = v.cast("array<double>")
+    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(x, lambda c: c != 0)
+    return F.coalesce(F.when(F.size(x) > 0, fine), F.lit(False))
 
 
 def _calibrated(tree: Tree, x: np.ndarray, top: int, recall: float) -> int:
@@ -138,51 +161,99 @@ def _best_of_single(qs: np.ndarray, names: np.ndarray, rows: np.ndarray, ids: np
     """The same for all queries at once where every vector has one id: (query, id, score)."""
     take = min(len(rows), top + 12)
     near = np.argpartition(-rough, take - 1, axis=1)[:, :take]
+    edge = np.take_along_axis(rough, near, axis=1).min(axis=1)
+    # where products at the edge tie, all of them are looked at
+    crowded = (rough >= (edge - 1e-9 * (1 + np.abs(edge)))[:, None]).sum(axis=1) > take
+    out = []
+    for k in np.flatnonzero(crowded).tolist():
+        out += [(int(names[k]), i, s) for i, s in _best(qs[k], names[k], rows, [ids[j : j + 1] for j in range(len(ids))], rough[k], top)]
+    qs, names, near = qs[~crowded], names[~crowded], near[~crowded]
     score = (rows[near] * qs[:, None, :]).sum(axis=2)
     own = ids[near]
     score[own == names[:, None]] = -np.inf
     order = np.lexsort((own, -score), axis=1)[:, :top]
     score, own = np.take_along_axis(score, order, axis=1), np.take_along_axis(own, order, axis=1)
     k, j = np.nonzero(np.isfinite(score))
-    return list(zip(names[k].tolist(), own[k, j].tolist(), score[k, j].tolist(), strict=True))
+    return out + list(zip(names[k].tolist(), own[k, j].tolist(), score[k, j].tolist(), strict=True))
+
+
+def _lowest(rows: DataFrame, most: int) -> DataFrame:
+    """``v`` of at most ``most`` rows, those of the smallest hash of their id (of repeated ids any)."""
+    hashed = rows.select("v", F.xxhash64("id").alias("h"))
+    lowest = hashed.select("h").orderBy("h").limit(most).agg(F.max("h").alias("h")).first().h
+    return hashed.where(F.lit(False) if lowest is None else F.col("h") <= F.lit(lowest)).select("v").limit(most)
+
+
+def _index(rows: DataFrame, tree, length: int) -> DataFrame:
+    """``leaf, id, v, asks``: every row with its leaf; vectors of another length have leaf ``-length``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            sizes = column.value_lengths().to_numpy()
+            flat, ends = column.flatten().to_numpy(zero_copy_only=False).astype("f8"), np.cumsum(sizes)
+            leaf = -sizes.astype("i4")
+            at = np.flatnonzero(sizes == length)
+            if len(at):
+                leaf[at] = tree.value.place(flat[(ends[at] - length)[:, None] + np.arange(length)])
+            raw = memoryview(np.ascontiguousarray(flat)).cast("B")
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "leaf": pa.array(leaf, pa.int32()),
+                    "id": batch.column(0),
+                    "v": pa.array([bytes(raw[8 * (e - n) : 8 * e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary()),
+                    "asks": batch.column(2),
+                }
+            )
+
+    return rows.mapInArrow(run, "leaf int, id long, v binary, asks boolean")
+
+
+def _subtrees(indexed: DataFrame, crowded: dict[int, int]) -> dict[int, Tree]:
+    """A tree for each crowded leaf, fitted on at most about ``SAMPLE`` of its rows."""
+    sizes = indexed.sparkSession.createDataFrame(sorted(crowded.items()), "leaf int, n long")
+    own = indexed.join(F.broadcast(sizes), "leaf").where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < F.lit(1e6 * SAMPLE) / F.col("n"))
+
+    def fit(key: tuple, table: pa.Table) -> pa.Table:
+        x = np.unique(np.stack([np.frombuffer(v, "f8") for v in table["v"].to_pylist()[: 2 * SAMPLE]]), axis=0)
+        rows = table["n"][0].as_py()
+        most = max(BRANCH, int(LEAF_ROWS / 4 * len(table) / rows))
+        return pa.table({"leaf": pa.array([key[0].as_py()], pa.int32()), "tree": pa.array([pickle.dumps(Tree(x, most))], pa.binary())})
+
+    found = own.select("leaf", "v", "n").groupBy("leaf").applyInArrow(fit, "leaf int, tree binary")
+    return {r.leaf: pickle.loads(bytes(r.tree)) for r in found.collect()}  # centres of at most LEAVES leaves
 
 
 def search(df: DataFrame, queries: Column, top: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", recall: float = RECALL) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``top`` nearest rows found of each row in ``queries``."""
     spark = df.sparkSession
     kind = "query_id long, rank int, vec_id long, score double"
-    rows = df.where(F.col(vec_id).isNotNull()).select(
-        F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")
+    rows = df.where(F.col(vec_id).isNotNull() & usable(F.col(embedding))).select(
+        F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")
     )
-    hashed = rows.where("v is not null").withColumn("h", F.xxhash64("id"))
-    lowest = hashed.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h").alias("h")).first().h
-    sample = [] if lowest is None else [_usable(r.v) for r in hashed.where(F.col("h") <= F.lit(lowest)).select("v").limit(SAMPLE).collect()]
-    sample = [v for v in sample if v is not None]
+    sample = [np.asarray(r.v, "f8") for r in _lowest(rows, SAMPLE).collect()]
     if not sample:
         return spark.createDataFrame([], kind)
     length = Counter(map(len, sample)).most_common(1)[0][0]
     x = np.unique(np.stack([v for v in sample if len(v) == length]), axis=0)
     tree = Tree(x)
-    shared, most = spark.sparkContext.broadcast(tree), _calibrated(tree, x, top, recall)
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [(i, v, a) for i, v, a in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            kept = [(i, u, a) for i, v, a in kept if (u := _usable(v, length)) is not None]
-            if kept:
-                ids, vs, asks = zip(*kept, strict=True)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "leaf": pa.array(shared.value.place(np.stack(vs)), pa.int32()),
-                        "id": pa.array(ids, pa.int64()),
-                        "v": pa.array([v.tobytes() for v in vs], pa.binary()),
-                        "asks": pa.array(asks, pa.bool_()),
-                    }
-                )
-
-    indexed = materialize(rows.mapInArrow(index, "leaf int, id long, v binary, asks boolean"), "indexed")
-    sizes = indexed.groupBy("leaf").count().collect()  # a row for each leaf of the tree
-    blocks = {r["leaf"]: max(1, -(-r["count"] // BLOCK)) for r in sizes}
+    shared = spark.sparkContext.broadcast(tree)
+    indexed = materialize(_index(rows, shared, length), "indexed")
+    while True:
+        sizes = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}  # a row for each leaf of the tree
+        crowded = {k: n for k, n in sizes.items() if k >= 0 and n > LEAF_ROWS}
+        before = tree.leaves
+        if not crowded or before + sum(4 * n // LEAF_ROWS for n in crowded.values()) > LEAVES:
+            break
+        tree.grafted(_subtrees(indexed, crowded))
+        if tree.leaves == before:  # copies of one vector cannot be split; their leaf is many blocks
+            break
+        shared = spark.sparkContext.broadcast(tree)
+        again = materialize(_index(rows, shared, length), "indexed")
+        discard(indexed)
+        indexed = again
+    most = _calibrated(tree, x, top, recall)
+    blocks = {k: max(1, -(-n // BLOCK)) for k, n in sizes.items()}
     of_leaf = spark.createDataFrame([(k, n) for k, n in sorted(blocks.items())] or [(0, 1)], "leaf int, blocks int")
     members = indexed.join(F.broadcast(of_leaf), "leaf").select(
         "leaf", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(0).alias("side"), "id", "v"
@@ -191,7 +262,7 @@ def search(df: DataFrame, queries: Column, top: int = 20, vec_id: str = "vec_id"
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                leaves = shared.value.visit(np.frombuffer(v, "f8"), most)
+                leaves = shared.value.visit(np.frombuffer(v, "f8"), most) if len(v) == 8 * length else [-len(v) // 8]
                 yield pa.RecordBatch.from_pydict(
                     {"leaf": pa.array(leaves, pa.int32()), "id": pa.array([i] * len(leaves), pa.int64()), "v": pa.array([v] * len(leaves), pa.binary())}
                 )
