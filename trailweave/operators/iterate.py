@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A node of more links than this hands its value out by broadcast, while at most ``HUBS`` nodes do.
@@ -52,16 +52,24 @@ def discard(*frames: DataFrame) -> None:
             hpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+def _settled_and(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``settled``, and metrics over all rows that the same job takes."""
+    seen = Observation()
+    out = settled(df.observe(seen, *[v.alias(k) for k, v in metrics.items()]), label)
+    return out, seen.get
+
+
 def _with_least(links: DataFrame, label: str, crowd: int) -> tuple[DataFrame, DataFrame]:
     """``links(u, v)`` with ``m``, the least of ``u`` and its ``v``, and the table to discard.
 
     The links of crowded nodes, a hub's say, never gather in one task: they get ``m`` by broadcast,
     others by a join on ``u``.
     """
-    least = settled(links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), label)
-    hubs = least.where(F.col("n") > crowd).select("u", "m")
-    if not 0 < hubs.limit(HUBS + 1).count() <= HUBS:
+    least = links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    least, seen = _settled_and(least, label, hubs=F.count_if(F.col("n") > crowd))
+    if not 0 < seen["hubs"] <= HUBS:
         return links.join(least.select("u", "m"), "u"), least
+    hubs = least.where(F.col("n") > crowd).select("u", "m")
     rest = links.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.where(F.col("n") <= crowd).select("u", "m"), "u")
     return rest.unionByName(links.join(F.broadcast(hubs), "u")), least
 
@@ -73,18 +81,18 @@ def components(links: DataFrame, label: str = "links", crowd: int = CROWD) -> Da
     node itself; the number of rounds grows with the logarithm of the graph's diameter.
     """
     hi, lo = F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")
-    now, before = settled(links.where("a is not null and b is not null and a <> b").select(hi, lo).distinct(), label), None
-    while True:
+    stamp = {"n": F.count(F.lit(1)), "sum": F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))}
+    now, before = _settled_and(links.where("a is not null and b is not null and a <> b").select(hi, lo).distinct(), label, **stamp)
+    while before["n"]:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
         handed, least = _with_least(both, label, crowd)
-        large = settled(handed.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), label)
+        large = settled(handed.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), label)
         discard(now, least)
         handed, least = _with_least(large, label, crowd)
         small = handed.select(F.explode(F.array(F.struct(F.col("u").alias("hi"), "m"), F.struct(F.col("v").alias("hi"), "m"))).alias("e"))
-        now = settled(small.where("e.hi <> e.m").select("e.hi", F.col("e.m").alias("lo")).distinct(), label)
+        now, after = _settled_and(small.where("e.hi <> e.m").select("e.hi", F.col("e.m").alias("lo")).distinct(), label, **stamp)
         discard(large, least)
-        stamp = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
-        if stamp == before:
+        if after == before:
             break
-        before = stamp
+        before = after
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct())
