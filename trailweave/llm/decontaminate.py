@@ -7,26 +7,38 @@ found by comparing rolling hashes along its diagonal, what earlier tiles cover i
 runs below ``SEED`` words are dropped. An item is held by a document if its tiles cover at
 least ``COVER`` of the item's words, in whatever order they stand in the document.
 
-The benchmark goes to the workers as broadcasts of at most ``BLOCK_WORDS`` words each, and
-the documents are read once for each such block, whole and unshuffled, so no document or
-passage, however common, gathers in one task. Items of fewer than ``SEED`` words count if all
-their words stand together. Null and empty texts and items hold nothing; repeated rows give
-repeated results; an empty table gives an empty result; further columns are not read.
+The benchmark's seeds are a table (hash, item, place). A bit array of a bounded size, ``BITS`` at
+most, that every seed sets two bits of goes to the workers; a document's places that pass it are
+rows that meet the table of seeds in an equi-join (by broadcast while the table is small). The
+matches of a document and an item are then tiled together. So documents are read once whatever
+the benchmark's size, the driver holds the bit array only, and a passage that a third of all
+documents share makes matches of many documents, each tiled on its own.
+
+Items of fewer than ``SEED`` words count if all their words stand together. Equal runs are taken
+in the order of their places in the document, then in the item. Null and empty texts and items
+hold nothing; rows of the same id and text give one result; items that repeat do as well; very
+long texts are hashed whole; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from trailweave.llm.common import slices, word_hashes
+from trailweave.llm.common import materialize, slices, small_or_shuffled, word_hashes
 
-SEED, COVER, BLOCK_WORDS = 5, 0.5, 1_000_000
+SEED, COVER = 5, 0.5
+#: Bits for each seed of the benchmark, and at most.
+SEED_BITS, BITS = 32, 1 << 28
 _SPACE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,15 +60,16 @@ def rolling(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def tiles(doc: np.ndarray, item: np.ndarray, starts: np.ndarray, places: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling from seeds ``doc[starts] ~ item[places]``: (start, place, length), longest first."""
+def tiles(starts: np.ndarray, places: np.ndarray, item_words: int, least: int) -> list[tuple[int, int, int]]:
+    """Greedy tiling from seeds, runs of ``least`` words alike at ``starts`` of a document and ``places``
+    of an item: (start, place, length), longest first."""
     order = np.lexsort((starts, starts - places))
     s, d = starts[order], (starts - places)[order]
     cut = np.flatnonzero(np.diff(d, prepend=d[0] - 1) | (np.diff(s, prepend=s[0] - 2) != 1))
     ends = np.append(cut[1:], len(s))
     heap = [(-int(s[b - 1] - s[a] + least), int(s[a]), int(s[a] - d[a])) for a, b in zip(cut, ends, strict=True)]
     heapq.heapify(heap)
-    in_doc, in_item, out = set(), np.zeros(len(item), bool), []
+    in_doc, in_item, out = set(), np.zeros(item_words, bool), []
     while heap and not in_item.all():
         length, p, q = heapq.heappop(heap)
         length = -length
@@ -77,103 +90,205 @@ def tiles(doc: np.ndarray, item: np.ndarray, starts: np.ndarray, places: np.ndar
     return out
 
 
-class Seeds:
-    """Seeds of a block of benchmark items, sorted by hash, one table for each seed length."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
-        self.items = items
-        self.tables = []
-        for n in sorted({min(SEED, len(w)) for _, w in items if len(w)}):
-            hashes, item, place = [], [], []
-            for k, (_, w) in enumerate(items):
-                if min(SEED, len(w)) == n:
-                    h = rolling(w, n)
-                    hashes.append(h)
-                    item.append(np.full(len(h), k))
-                    place.append(np.arange(len(h)))
-            hashes, item, place = map(np.concatenate, (hashes, item, place))
-            order = np.argsort(hashes, kind="stable")
-            self.tables.append((n, hashes[order], item[order], place[order]))
-
-    def matches(self, words: np.ndarray, cover: float) -> Iterator[tuple[int, int, int, int]]:
-        """(item id, tiles, words covered, words of the item) of each item that the document holds."""
-        for n, hashes, item, place in self.tables:
-            h = rolling(words, n)
-            a, b = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            at = np.flatnonzero(b > a)
-            if not len(at):
+def seed_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` words that differ for different ``n``."""
+    h = rolling(words, n) ^ np.uint64(n)
+    h = (h ^ (h >> np.uint64(32))) * _BASE
+    return h ^ (h >> np.uint64(29))
+
+
+def _bits(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each hash in an array of ``size`` bits, a power of two."""
+    mask = np.uint64(size - 1)
+    return (h & mask).astype("i8"), ((h >> np.uint64(33)) & mask).astype("i8")
+
+
+def item_seeds(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """``hash, n, item_id, item, place, item_words``: a row for each seed of each different item; ``item`` tells texts of an id apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = word_numbers(t)
+                if len(w):
+                    n = min(SEED, len(w))
+                    h = seed_hashes(w, n)
+                    fixed = [n, i, _key(w), len(w)]
+                    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+                    n, i, item, size = (pa.array([x] * len(h), k) for x, k in zip(fixed, kinds, strict=True))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h.view("i8")), n, i, item, pa.array(np.arange(len(h), dtype="i4")), size], ["hash", "n", "item_id", "item", "place", "item_words"]
+                    )
+
+    rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("t is not null")
+    return rows.mapInArrow(run, "hash long, n int, item_id long, item long, place int, item_words int").distinct()
+
+
+def _key(words: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(words.tobytes()) - (1 << 63)
+
+
+def seed_filter(seeds: DataFrame) -> tuple[np.ndarray, int, list[int]]:
+    """The bit array of all seeds (as bytes), its size, and the seeds' lengths in words."""
+    total = seeds.agg(F.count("*").alias("n"), F.collect_set("n").alias("lengths")).first()
+    size = min(BITS, 1 << max(10, math.ceil(math.log2(SEED_BITS * total.n + 1))))
+    part = size // 16
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            bits = batch.column(0).to_numpy()
+            for k in np.unique(bits // part).tolist():
+                own = found.setdefault(k, np.zeros(part, bool))
+                own[bits[bits // part == k] - k * part] = True
+        for k, own in found.items():
+            yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "bits": pa.array([np.packbits(own).tobytes()], pa.binary())})
+
+    mask = F.lit(size - 1)
+    both = F.array(F.col("hash").bitwiseAND(mask), F.shiftrightunsigned("hash", 33).bitwiseAND(mask))
+    spread = seeds.select(F.explode(both).alias("bit")).repartition(16, F.floor(F.col("bit") / part))
+    out = np.zeros(size // 8, "u1")
+    for r in spread.mapInArrow(run, "part int, bits binary").collect():  # a sixteenth of the array in each row
+        out[r.part * part // 8 : (r.part + 1) * part // 8] |= np.frombuffer(bytes(r.bits), "u1")
+    return out, size, sorted(total.lengths)
+
+
+def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (7 - (at & 7)).astype("u1")) & 1 == 1
+
+
+def _places(bits, lengths: list[int], size: int):
+    """Rows ``doc_id, text, hash, start`` of documents' places that pass the filter; ``text`` is a hash of the words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                owner, keys, hashes, starts = [], [], [np.empty(0, "u8")], [np.empty(0, "i8")]
+                for k, t in enumerate(part.column(1).to_pylist()):
+                    w, key = word_numbers(t), None
+                    for n in lengths:
+                        h = seed_hashes(w, n)
+                        a, b = _bits(h, size)
+                        at = np.flatnonzero(_set(bits.value, a) & _set(bits.value, b))
+                        if len(at):
+                            key = _key(w) if key is None else key
+                            owner += [k] * len(at)
+                            keys += [key] * len(at)
+                            hashes.append(h[at])
+                            starts.append(at)
+                if owner:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column(0).take(pa.array(owner)),
+                            pa.array(keys, pa.int64()),
+                            pa.array(np.concatenate(hashes).view("i8")),
+                            pa.array(np.concatenate(starts).astype("i4")),
+                        ],
+                        ["doc_id", "text", "hash", "start"],
+                    )
+
+    return run
+
+
+_GROUP = ["doc_id", "text", "item_id", "item", "item_words", "n"]
+
+
+def _tiled(cover: float):
+    """Matches, ordered by document and item, to rows of the items that documents hold."""
+
+    def held(rows: pa.Table) -> Iterator[dict]:
+        codes = [rows[c].combine_chunks().dictionary_encode("encode").indices.to_numpy() for c in _GROUP]
+        change = np.any([np.diff(c, prepend=-1) != 0 for c in codes], axis=0)
+        cuts = np.append(np.flatnonzero(change), len(rows))
+        start, place = rows["start"].to_numpy().astype("i8"), rows["place"].to_numpy().astype("i8")
+        words, n = rows["item_words"].to_numpy(), rows["n"].to_numpy()
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            size, least = int(words[a]), int(n[a])
+            there = len(np.unique(place[a:b]))
+            if min(there + least - 1, least * there) < cover * size and least * there < cover * size:
+                continue
+            found = tiles(start[a:b], place[a:b], size, least)
+            covered = sum(t[2] for t in found)
+            if covered >= cover * size:
+                yield {"at": a, "n_tiles": len(found), "covered": covered}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: pa.Table | None = None
+
+        def out(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            found = list(held(rows))
+            if found:
+                own = rows.select(["doc_id", "text", "item_id", "item_words"]).take(pa.array([x["at"] for x in found])).combine_chunks()
+                columns = [own[c].combine_chunks() for c in own.column_names]
+                for c in ("n_tiles", "covered"):
+                    columns.append(pa.array([x[c] for x in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays(columns, [*own.column_names, "n_tiles", "covered"])
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            times = b[at] - a[at]
-            starts = np.repeat(at, times)
-            rank = np.repeat(a[at], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            owner, where = item[rank], place[rank]
-            order = np.argsort(owner, kind="stable")
-            owner, starts, where = owner[order], starts[order], where[order]
-            cuts = np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(owner))
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                name, w = self.items[owner[x]]
-                if len(np.unique(where[x:y])) + n - 1 < cover * len(w) and n * len(np.unique(where[x:y])) < cover * len(w):
-                    continue
-                found = tiles(words, w, starts[x:y], where[x:y], n)
-                covered = sum(t[2] for t in found)
-                if covered >= cover * len(w):
-                    yield name, len(found), covered, len(w)
-
-
-def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[Seeds]:
-    part, total = [], 0
-    for r in items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).orderBy("i", "t").toLocalIterator():
-        w = word_numbers(r.t)
-        if part and total + len(w) > BLOCK_WORDS:
-            yield Seeds(part)
-            part, total = [], 0
-        part.append((r.i, w))
-        total += len(w)
-    yield Seeds(part)
+            rows = pa.Table.from_batches([batch])
+            rows = rows if waiting is None else pa.concat_tables([waiting, rows])
+            last = rows.slice(len(rows) - 1, 1).to_pylist()[0]
+            # the last pair may go on in the next batch
+            same = np.ones(len(rows), bool)
+            for c in _GROUP:
+                column = rows[c].combine_chunks()
+                mine = column.is_null() if last[c] is None else pc.equal(column, pa.scalar(last[c], column.type)).fill_null(False)
+                same &= mine.to_numpy(zero_copy_only=False)
+            first = int(np.argmax(same))
+            if first:
+                yield from out(rows.slice(0, first))
+            waiting = rows.slice(first)
+        if waiting is not None:
+            yield from out(waiting)
+
+    return run
+
+
+def _held(docs: DataFrame, items: DataFrame, cover: float, doc_id: str, text: str, item_id: str, item_text: str) -> DataFrame:
+    """``doc_id, text, item_id, item_words, n_tiles, covered`` of held items; ``text`` is a hash of the document's words."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+    seeds = materialize(item_seeds(items, item_id, item_text), "seeds")
+    bits, size, lengths = seed_filter(seeds)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    places = rows.mapInArrow(_places(shared, lengths, size), f"doc_id {kind}, text long, hash long, start int")
+    parts = max(8, docs.rdd.getNumPartitions())
+    return (
+        places.distinct()
+        .join(small_or_shuffled(seeds), "hash")
+        .repartition(parts, "doc_id", "text", "item_id", "item")
+        .sortWithinPartitions(*_GROUP)
+        .select(*_GROUP, "start", "place")
+        .mapInArrow(_tiled(cover), f"doc_id {kind}, text long, item_id long, item_words int, n_tiles long, covered long")
+    )
 
 
 def contamination(
     docs: DataFrame, items: DataFrame, cover: float = COVER, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
-    """``doc_id, item_id, n_tiles, covered, item_words, coverage``: a row for each held item of each document."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = docs.schema[doc_id].dataType.simpleString()
-    out = None
-    for seeds in _blocks(items, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(seeds)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch):
-                    found = [
-                        (i, *m)
-                        for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
-                        for m in shared.value.matches(word_numbers(t), cover)
-                    ]
-                    if found:
-                        ids, *rest = zip(*found, strict=True)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(ids, part.schema.field(0).type), *(pa.array(x, pa.int64()) for x in rest)],
-                            ["doc_id", "item_id", "n_tiles", "covered", "item_words"],
-                        )
-
-        block = rows.mapInArrow(run, f"doc_id {kind}, item_id long, n_tiles long, covered long, item_words long")
-        out = block if out is None else out.unionByName(block)
-    return out.withColumn("coverage", F.col("covered") / F.col("item_words"))
-
-
-def decontaminated(docs: DataFrame, items: DataFrame, cover: float = COVER, text: str = "text") -> DataFrame:
+    """``doc_id, item_id, n_tiles, covered, item_words, coverage``: a row for each held item of each different document."""
+    out = _held(docs, items, cover, doc_id, text, item_id, item_text)
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return out.select("doc_id", "item_id", "n_tiles", "covered", long("item_words"), (F.col("covered") / F.col("item_words")).alias("coverage"))
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, cover: float = COVER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows whose ``text`` holds an item; other columns as they are."""
-    out = docs
-    for seeds in _blocks(items, "item_id", "text"):
-        shared = docs.sparkSession.sparkContext.broadcast(seeds)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch):
-                    texts = part.column(part.schema.get_field_index(text)).to_pylist()
-                    clean = [next(shared.value.matches(word_numbers(t), cover), None) is None for t in texts]
-                    yield part.filter(pa.array(clean))
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    held = materialize(_held(docs, items, cover, doc_id, text, "item_id", "text").select("doc_id", F.col("text").alias("words")).distinct(), "held")
+    names = {*docs.columns}
+    key = next(f"_words{k}" for k in range(len(names) + 1) if f"_words{k}" not in names)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                texts = part.column(part.schema.get_field_index(text)).to_pylist()
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([_key(word_numbers(t)) for t in texts], pa.int64())], [*part.schema.names, key])
+
+    held = small_or_shuffled(held.select(F.col("doc_id").alias(f"{key}_id"), "words"))
+    ids = held.select(f"{key}_id").distinct()
+    same = lambda d: docs[doc_id].eqNullSafe(d[f"{key}_id"])
+    suspects = docs.join(ids, same(ids), "left_semi").mapInArrow(keyed, StructType([*docs.schema.fields, StructField(key, LongType())]))
+    clean = suspects.join(held, suspects[doc_id].eqNullSafe(held[f"{key}_id"]) & (suspects[key] == held["words"]), "left_anti").select(docs.columns)
+    return docs.join(ids, same(ids), "left_anti").select(docs.columns).unionByName(clean)
