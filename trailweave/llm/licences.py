@@ -212,11 +212,12 @@ def licence_spans(df: DataFrame, text: str = "text", idf: dict[str, float] | Non
     return (
         df.withColumn("_words", words_of(F.col(text)))
         .withColumn("_n_words", n_words)
-        .withColumn("_chosen", chosen(F.array_intersect(rarest_first, w)))
+        .withColumn("_present", F.array_intersect(rarest_first, w))
+        .withColumn("_chosen", F.when(F.size("_present") > 0, chosen(F.col("_present"))))
         .withColumn("_hits", F.when(F.size("_chosen") > 0, F.filter(placed, lambda h: F.array_contains("_chosen", h["w"]))))
         .withColumn("_found", F.flatten(F.transform("_hits", start)))
         .withColumn("_spans", F.when(F.size("_found") > 0, F.flatten(F.transform(all_templates, spans))).otherwise(F.array().cast(none)))
-        .drop("_words", "_chosen", "_hits", "_found")
+        .drop("_words", "_present", "_chosen", "_hits", "_found")
     )
 
 
