@@ -8,17 +8,20 @@ that one class has never seen leaves the decision to a shorter one. Counts are o
 labelled training documents, each word once a document.
 
 A word's log-likelihood ratio needs its letters alone, so workers keep it in a cache. A text
-is described by ratios normalised by length: of its two most toxic words, of its most toxic
-run of ``RUN`` words, and of all of it; with its length they give the score by logistic
-regression, fitted on at most about ``SAMPLE`` training documents (a bounded sample) that the
-model used for the fit has not counted (but where a class has a single document).
+is judged by its most toxic run of ``RUN`` words or fewer than that in all: the difference of
+the run's log-likelihoods under the toxic and the ordinary model, by the square root of its
+length in letters (of runs that tie any; their value is the same). A logistic curve turns this
+one number into the score. It is fitted on at most about ``SAMPLE`` training documents (a
+bounded sample) that the model used for the fit has not counted (but where a class has a single
+document).
 
 All n-grams count at every size. A table of at most ``TABLE`` of them is broadcast. A larger one is
 dealt to blocks by the two letters before an n-gram's last, which all that a letter falls back on
 share: tasks turn blocks into ratios, as files of the scratch folder, and scoring tasks look the
-new words of many documents up block by block. Null and empty texts have no words: they score like a text of ratio 0. Without labels
-of both classes every score is 0. Repeated rows give repeated results; very long texts and
-words are scored whole; further columns are not read.
+new words of many documents up block by block. Null and empty texts have no words: they score
+like a text of ratio 0. Without labels of both classes, an empty table of labels among them,
+every score is 0. Repeated rows give repeated results; very long texts and words are scored
+whole; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -247,7 +250,7 @@ def word_ratios(words: list[bytes], table: dict[int, tuple] | Blocks) -> np.ndar
 
 
 def described(texts: list[str | None], table: dict[int, tuple] | Blocks, cache: dict[bytes, float]) -> np.ndarray:
-    """Of each text: its two largest word ratios, the largest mean of a run, the mean, log of length."""
+    """Of each text the largest log-likelihood ratio of a run of words, by the root of its letters."""
     words = [words_of(t) for t in texts]
     new = [w for w in set().union(*words) if w not in cache]
     if len(cache) > 400_000:
@@ -258,36 +261,29 @@ def described(texts: list[str | None], table: dict[int, tuple] | Blocks, cache:
         part = new[a : a + step]
         cache.update(zip(part, word_ratios(part, table).tolist(), strict=True))
     long = [w for w in new if len(w) > 200]
-    out = np.zeros((len(texts), 5))
+    out = np.zeros(len(texts))
     for k, ws in enumerate(words):
         if ws:
-            r = np.array(list(map(cache.__getitem__, ws)))
-            top = np.sort(r[np.argpartition(r, -2)[-2:]])[::-1] if len(r) > 1 else np.array([r[0], 0.0])
-            sums = np.concatenate([[0.0], np.cumsum(r)])
-            run = min(RUN, len(r))
-            out[k] = top[0], top[1], (sums[run:] - sums[:-run]).max() / run, sums[-1] / len(r), math.log1p(len(r))
+            letters = np.array(list(map(len, ws))) + 1.0
+            ratio = np.array(list(map(cache.__getitem__, ws))) * np.sqrt(letters)
+            n = min(RUN, len(ws))
+            upto, sizes = np.concatenate([[0.0], np.cumsum(ratio)]), np.concatenate([[0.0], np.cumsum(letters)])
+            out[k] = ((upto[n:] - upto[:-n]) / np.sqrt(sizes[n:] - sizes[:-n])).max()
     for w in long:
         del cache[w]
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> dict:
-    """Ridge logistic regression by Newton's method on scaled columns."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    a = np.concatenate([(x - mean) / scale, np.ones((len(x), 1))], axis=1)
-    w = np.zeros(a.shape[1])
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a ridge logistic curve, by Newton's method on the scaled numbers."""
+    mean, scale = x.mean(), x.std() + 1e-6
+    a = np.stack([(x - mean) / scale, np.ones(len(x))], axis=1)
+    w = np.zeros(2)
     for _ in range(30):
         p = 1 / (1 + np.exp(-(a @ w).clip(-30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + 0.5 * np.eye(len(w))
+        h = (a * (p * (1 - p))[:, None]).T @ a + 0.5 * np.eye(2)
         w -= np.linalg.solve(h, a.T @ (p - y) + 0.5 * w)
-    return {"mean": mean, "scale": scale, "w": w}
-
-
-def scores(x: np.ndarray, fit: dict | None) -> np.ndarray:
-    if not fit:
-        return np.zeros(len(x))
-    z = ((x - fit["mean"]) / fit["scale"]) @ fit["w"][:-1] + fit["w"][-1]
-    return 1 / (1 + np.exp(-z.clip(-30, 30)))
+    return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
 
 
 def _by_order(rows: pa.Table, back: bool) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -353,7 +349,7 @@ def train(labelled: DataFrame, limit: int = TABLE, sample: int = SAMPLE) -> dict
     alone, back = [], F.col("back")
     for c in (0, 1):
         if not (sizes.get(c) and sizes.get(c + 2)):
-            place = F.xxhash64("doc_id")
+            place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52))  # percentiles are doubles
             near = rows.where(toxic == c).agg(F.percentile_approx(place, 0.2).alias("fifth"), F.max(place).alias("last")).first()
             if near.fifth < near.last:
                 back = F.when(toxic == c, place <= near.fifth).otherwise(back)
@@ -373,12 +369,11 @@ def train(labelled: DataFrame, limit: int = TABLE, sample: int = SAMPLE) -> dict
     few = [c for c in fitted if c % 2 in anew and sizes.get(c, 0) <= sample]
     back = rows.where(F.col("class").isin(fitted)).where(drawn | F.col("class").isin(few) if few else drawn)
     seen = _described(back.select(F.col("class").alias("y"), "text"), part, "y int").toPandas()
-    x = seen[[f"x{j}" for j in range(5)]].to_numpy()
-    return {"table": whole, "fit": _logistic(x, (seen["y"].to_numpy() % 2 == 1).astype("f8"))}
+    return {"table": whole, "fit": _logistic(seen["ratio"].to_numpy(), (seen["y"].to_numpy() % 2 == 1).astype("f8"))}
 
 
 def _described(df: DataFrame, table: dict | Blocks, kept: str) -> DataFrame:
-    """``df`` (last column: text) with the text replaced by its five numbers ``x0..x4``."""
+    """``df`` (last column: text) with the text replaced by its ``ratio``."""
     shared, key = df.sparkSession.sparkContext.broadcast(table), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,11 +381,9 @@ def _described(df: DataFrame, table: dict | Blocks, kept: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 10_000, 64 << 20) if isinstance(shared.value, Blocks) else slices(batch):
                 x = described(part.column(part.num_columns - 1).to_pylist(), shared.value, cache)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], *(pa.array(x[:, j]) for j in range(5))], [*part.schema.names[:-1], *(f"x{j}" for j in range(5))]
-                )
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(x)], [*part.schema.names[:-1], "ratio"])
 
-    return df.mapInArrow(run, f"{kept}, " + ", ".join(f"x{j} double" for j in range(5)))
+    return df.mapInArrow(run, f"{kept}, ratio double")
 
 
 def cache_of(key: str) -> dict[bytes, float]:
@@ -406,10 +399,8 @@ def predict(df: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
     kind = df.schema[doc_id].dataType.simpleString()
     if model["fit"] is None:
         return rows.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    fit, names = model["fit"], [f"x{j}" for j in range(5)]
-    z = F.lit(float(fit["w"][-1]))
-    for j, name in enumerate(names):
-        z = z + (F.col(name) - float(fit["mean"][j])) / float(fit["scale"][j]) * float(fit["w"][j])
+    slope, offset = model["fit"]
+    z = F.col("ratio") * slope + offset
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
     out = _described(rows, model["table"], f"doc_id {kind}").select("doc_id", score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
