@@ -40,6 +40,8 @@ def roll_up(members: DataFrame, edges: DataFrame) -> DataFrame:
     rows = members.select(F.col("id").alias("gid"), "pos", "edge_id").join(edges, F.col("edge_id") == edges["id"]).drop("id").withColumnRenamed("gid", "id")
     order = Window.partitionBy("id").orderBy("pos")
     rows = rows.withColumn("leaves", geo.exit_bearing(F.col("geometry"))).withColumn("turned", geo.turn(F.lag("leaves").over(order), geo.entry_bearing(F.col("geometry"))))
+    # one table for the sums, the ends and the predominant values
+    rows = settled(rows.drop("geometry", "leaves", "edge_id"), "roll-up")
     m, grade = F.col("length_m"), F.abs(F.coalesce("average_grade", F.lit(0.0)))
     high = F.col("elevation_gain").isNotNull()
     part = lambda test: F.sum(F.when(test, m).otherwise(0.0))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A node of more links than this hands its value out by broadcast, while at most ``HUBS`` nodes do.
@@ -59,39 +59,48 @@ def _settled_and(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFram
     return out, seen.get
 
 
-def _with_least(links: DataFrame, label: str, crowd: int) -> tuple[DataFrame, DataFrame]:
-    """``links(u, v)`` with ``m``, the least of ``u`` and its ``v``, and the table to discard.
-
-    The links of crowded nodes, a hub's say, never gather in one task: they get ``m`` by broadcast,
-    others by a join on ``u``.
-    """
-    least = links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-    least, seen = _settled_and(least, label, hubs=F.count_if(F.col("n") > crowd))
-    if not 0 < seen["hubs"] <= HUBS:
-        return links.join(least.select("u", "m"), "u"), least
-    hubs = least.where(F.col("n") > crowd).select("u", "m")
-    rest = links.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.where(F.col("n") <= crowd).select("u", "m"), "u")
-    return rest.unionByName(links.join(F.broadcast(hubs), "u")), least
+def _handed(links: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """``links(u, v)`` with ``m``, the least of ``u`` and its ``v``; ``hubs(u, m)`` know theirs already."""
+    least = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
+    if hubs is None:
+        return links.withColumn("m", least)
+    rest = links.join(F.broadcast(hubs.select("u")), "u", "left_anti").withColumn("m", least)
+    return rest.unionByName(links.join(F.broadcast(hubs), "u"))
 
 
 def components(links: DataFrame, label: str = "links", crowd: int = CROWD) -> DataFrame:
     """``node, component`` (the least node) of the graph ``links(a long, b long)``; nulls and loops link nothing.
 
     Every round hands each node's least neighbour to its larger neighbours and then to the
-    node itself; the number of rounds grows with the logarithm of the graph's diameter.
+    node itself; the number of rounds grows with the logarithm of the graph's diameter. The links
+    of crowded nodes, a hub's say, never gather in one task: their least node is found by partial
+    sums and handed on by broadcast. Where very many nodes are crowded, all are joined instead.
     """
     hi, lo = F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")
     stamp = {"n": F.count(F.lit(1)), "sum": F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))}
+    smallest = F.least(F.min("v"), F.col("u")).alias("m")
     now, before = _settled_and(links.where("a is not null and b is not null and a <> b").select(hi, lo).distinct(), label, **stamp)
     while before["n"]:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
-        handed, least = _with_least(both, label, crowd)
-        large = settled(handed.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), label)
-        discard(now, least)
-        handed, least = _with_least(large, label, crowd)
+        least = both.groupBy("u").agg(smallest, F.count("*").alias("n"))
+        hubs, seen = _settled_and(least.where(F.col("n") > crowd).select("u", "m"), label, n=F.count(F.lit(1)))
+        done, few = [hubs], seen["n"] <= HUBS
+        handed = _handed(both, hubs if seen["n"] else None) if few else both.join(least.select("u", "m"), "u")
+        large = handed.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        if seen["n"]:
+            large = settled(large, label)
+            done.append(large)
+            # only what was crowded before can be crowded now
+            crowded = large.join(F.broadcast(hubs.select("u")), "u", "left_semi") if few else large
+            least = settled(crowded.groupBy("u").agg(smallest), label)
+            done.append(least)
+            handed = _handed(large, least) if few else large.join(least, "u")
+        else:
+            handed = _handed(large, None)
         small = handed.select(F.explode(F.array(F.struct(F.col("u").alias("hi"), "m"), F.struct(F.col("v").alias("hi"), "m"))).alias("e"))
-        now, after = _settled_and(small.where("e.hi <> e.m").select("e.hi", F.col("e.m").alias("lo")).distinct(), label, **stamp)
-        discard(large, least)
+        new, after = _settled_and(small.where("e.hi <> e.m").select("e.hi", F.col("e.m").alias("lo")).distinct(), label, **stamp)
+        discard(now, *done)
+        now = new
         if after == before:
             break
         before = after

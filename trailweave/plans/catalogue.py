@@ -601,7 +601,9 @@ def join_11_adjacency(spark, d):
 def _way_corridors(spark, d) -> DataFrame:
     e = _graph(spark, d).edges
     none = "struct<surface:double,speed_limit:double,traffic_control:double,infrastructure:double,scenic:double,elevation:double>"
-    return corridors.roll_up(_way_members(e), e).withColumn("type", corridors.corridor_type()).withColumn("confidence", F.lit(None).cast(none))
+    # a mean of equal limits is that limit, whatever the order of its sums
+    rolled = corridors.roll_up(_way_members(e), e).withColumn("average_speed_limit", F.round("average_speed_limit", 6))
+    return rolled.withColumn("type", corridors.corridor_type()).withColumn("confidence", F.lit(None).cast(none))
 
 
 @query(_scored(simple=True) + " SELECT CAST(way_id AS VARCHAR) AS id, activity, round(flow, 6) AS flow FROM scored", observed=True)
@@ -740,10 +742,10 @@ def gra_07_location_stats(spark, d):
  pt AS (SELECT w.way_id, w.pos AS edge, k.pos AS k, CASE WHEN k.pos > w.pos THEN s.d ELSE 0 END AS step, CASE WHEN one_way AND reversed THEN -1 ELSE 1 END AS turn, a.z AS za, b.z AS zb
   FROM w JOIN known k ON k.way_id = w.way_id AND k.pos BETWEEN w.start_pos AND w.stop JOIN stepped s ON s.way_id = k.way_id AND s.pos = k.pos
   JOIN h a ON a.id = w.a JOIN h b ON b.id = w.b WHERE NOT (one_way AND reversed)),
- at AS (SELECT *, sum(step) OVER (PARTITION BY way_id, edge ORDER BY k) AS x, sum(step) OVER (PARTITION BY way_id, edge) AS len,
+ along AS (SELECT *, sum(step) OVER (PARTITION BY way_id, edge ORDER BY k) AS x, sum(step) OVER (PARTITION BY way_id, edge) AS len,
   sum(step) OVER (PARTITION BY way_id ORDER BY edge, k ROWS UNBOUNDED PRECEDING) AS dist FROM pt),
  sm AS (SELECT way_id, dist, za + x / len * (zb - za) AS z, row_number() OVER q AS n, lead(dist) OVER q AS d1, lead(za + x / len * (zb - za)) OVER q AS z1, max(dist) OVER (PARTITION BY way_id) AS total
-  FROM at WINDOW q AS (PARTITION BY way_id ORDER BY edge, k)),
+  FROM along WINDOW q AS (PARTITION BY way_id ORDER BY edge, k)),
  g AS (SELECT way_id, z + CASE WHEN d1 > dist THEN (50 * i - dist) / (d1 - dist) ELSE 0 END * (z1 - z) AS z FROM sm, LATERAL (SELECT unnest(range(CASE WHEN n = 1 THEN 0 ELSE CAST(floor(dist / 50) AS BIGINT) + 1 END,
   CAST(floor(d1 / 50) AS BIGINT) + 1)) AS i) WHERE d1 IS NOT NULL UNION ALL SELECT way_id, z FROM sm WHERE d1 IS NULL AND total - floor(total / 50) * 50 > 5)
  SELECT CAST(way_id AS VARCHAR) AS id, count(*) AS samples, round(sum(z), 4) AS total, round(min(z), 4) AS least, round(max(z), 4) AS most FROM g GROUP BY 1""",
@@ -799,6 +801,192 @@ def gra_16_loops(spark, d):
     return search.route_stats(search.segments(loops, net, g), net.corridors).select("request_id", "distance_m", "stops", "infrastructure", "flow")
 
 
+# More of ways as chains, corridors and features.
+
+
+def _way_chains(edges: DataFrame) -> DataFrame:
+    """One chain a way, its forward edges in order."""
+    return edges.where(~F.col("id").endswith(":r")).select(F.col("osm_way_id").cast("long").alias("chain_id"), F.col("seq").alias("pos"), F.col("id").alias("edge_id"))
+
+
+@query(
+    _ROLLED + """ SELECT way_id AS chain_id, round(m, 4) AS length_m, CASE WHEN c IN ('cycleway', 'path', 'footway') AND se > 0 THEN 'dedicated' WHEN name IS NOT NULL AND bi > 0 THEN 'named bike'
+ WHEN name IS NOT NULL THEN 'named' ELSE 'unnamed' END AS tier FROM rolled""",
+    observed=True,
+)
+def cls_02_way_tiers(spark, d):
+    e = _graph(spark, d).edges
+    return chains.tiers(_way_chains(e), e).select("chain_id", F.round("length_m", 4).alias("length_m"), "tier")
+
+
+@query(
+    _ROLLED + """, t AS (SELECT *, CASE WHEN c IN ('cycleway', 'path', 'footway') AND se > 0 THEN 400e0 WHEN name IS NOT NULL AND bi > 0 THEN 800e0 ELSE 1609e0 END AS least FROM rolled)
+ SELECT way_id AS chain_id, round(least * CASE WHEN name IS NOT NULL THEN 0.5e0 ELSE 1 END, 4) AS min_length_m FROM t""",
+    observed=True,
+)
+def cls_03_min_lengths(spark, d):
+    e = settled(_graph(spark, d).edges, "edges")
+    return chains.min_lengths(_way_chains(e), e).select("chain_id", F.round("min_length_m", 4).alias("min_length_m"))
+
+
+@query(
+    _ROLLED + """ SELECT way_id AS chain_id FROM rolled WHERE m >= 500 AND c NOT IN ('service', 'motorway', 'trunk')
+ AND ((c IN ('cycleway', 'path', 'track') AND m >= 800) OR (name IS NOT NULL AND m >= 1000))""",
+    observed=True,
+)
+def cls_04_destinations(spark, d):
+    e = settled(_graph(spark, d).edges, "edges")
+    return chains.destinations(_way_chains(e), e)
+
+
+@query(
+    f""", w AS ({_WAY}), m AS (SELECT *, way_id // 4 AS chain, row_number() OVER (PARTITION BY way_id // 4 ORDER BY way_id, pos) AS k FROM w),
+ grp AS (SELECT unnest(['motorway','trunk','primary','secondary','tertiary','residential','service','unclassified','cycleway','path','footway','track']) AS c,
+  unnest([0,1,2,3,4,5,5,5,6,7,7,8]) AS g, unnest([0,1,2,3,4,5,6,6,7,8,8,9]) AS r),
+ p AS (SELECT a.chain, CASE WHEN abs(a.speed_limit - b.speed_limit) > 15 OR x.g <> y.g THEN 0 ELSE 0.42e0 * CASE WHEN a.road_class = b.road_class THEN 1 ELSE greatest(0, 1 - 0.3e0 * abs(x.r - y.r)) END
+  + 0.23e0 * CASE WHEN a.surface = b.surface THEN 1 ELSE 0.5e0 END + 0.18e0 * ((a.has_bicycle_infra = b.has_bicycle_infra)::INT + (a.has_pedestrian_path = b.has_pedestrian_path)::INT + 1
+  + (a.is_separated = b.is_separated)::INT + (a.has_traffic_calming = b.has_traffic_calming)::INT) / 5e0 + 0.10e0 * CASE WHEN a.name IS NOT DISTINCT FROM b.name THEN 1 ELSE 0.5e0 END
+  + 0.07e0 * CASE WHEN a.pos % 7 = 0 OR b.pos % 7 = 0 THEN CASE WHEN a.pos % 7 = 0 AND b.pos % 7 = 0 THEN 1 ELSE 0.8e0 END
+   ELSE least(1, greatest(0, 1 - (abs((a.pos * 3 + a.way_id) % 17 - (b.pos * 3 + b.way_id) % 17) - 2) / 8e0)) END END AS score
+  FROM m a JOIN m b ON b.chain = a.chain AND b.k = a.k + 1 JOIN grp x ON x.c = a.road_class JOIN grp y ON y.c = b.road_class)
+ SELECT chain AS chain_id, round(coalesce(avg(score), 1), 6) AS homogeneity FROM (SELECT DISTINCT chain FROM m) LEFT JOIN p USING (chain) GROUP BY 1""",
+    observed=True,
+)
+def agg_18_homogeneity(spark, d):
+    """Four ways a chain, with grades made up from their places."""
+    e = _graph(spark, d).edges.withColumn("start", F.regexp_extract("id", ":([0-9]+)", 1).cast("long"))
+    e = e.withColumn("average_grade", F.when(F.col("start") % 7 != 0, ((F.col("start") * 3 + F.col("osm_way_id").cast("long")) % 17).cast("double")))
+    e = settled(e.drop("start"), "edges")
+    members = e.where(~F.col("id").endswith(":r")).select(F.floor(F.col("osm_way_id").cast("long") / 4).cast("long").alias("chain_id"), F.col("seq").alias("pos"), F.col("id").alias("edge_id"))
+    return chains.homogeneity(members, e).select("chain_id", F.round("homogeneity", 6).alias("homogeneity"))
+
+
+@query(
+    f""", w AS ({_WAY}), x AS (SELECT way_id, length_m AS m, CASE WHEN way_id % 2 = 0 THEN 0.1e0 * (pos % 9 + 1) END AS s, CASE WHEN way_id % 3 = 0 THEN 0.05e0 * (pos % 11) END AS t,
+  CASE WHEN way_id % 3 = 0 AND way_id % 4 = 0 THEN 0.6e0 END AS r FROM w)
+ SELECT CAST(way_id AS VARCHAR) AS id, round(coalesce(sum(s * m) / sum(m) FILTER (s IS NOT NULL), 0), 6) AS surface,
+ round(coalesce(sum(greatest(t, r) * m) / sum(m) FILTER (t IS NOT NULL OR r IS NOT NULL), 0), 6) AS traffic_control, 0e0 AS elevation FROM x WHERE way_id % 2 = 0 OR way_id % 3 = 0 GROUP BY 1""",
+    observed=True,
+)
+def agg_16_confidences(spark, d):
+    way, start = F.col("osm_way_id").cast("long"), F.regexp_extract("id", ":([0-9]+)", 1).cast("long")
+    entries = F.array(
+        F.struct(F.lit("surface").alias("k"), F.when(way % 2 == 0, 0.1 * (start % 9 + 1)).alias("v")),
+        F.struct(F.lit("stop-sign").alias("k"), F.when(way % 3 == 0, 0.05 * (start % 11)).alias("v")),
+        F.struct(F.lit("road-crossing").alias("k"), F.when((way % 3 == 0) & (way % 4 == 0), F.lit(0.6)).alias("v")),
+    )
+    known = F.filter(entries, lambda x: x["v"].isNotNull())
+    e = _graph(spark, d).edges.withColumn("enrichment", F.when(F.size(known) > 0, F.map_from_entries(known)))
+    c = corridors.confidences(_way_members(e), e)
+    return c.select("id", *[F.round(f"confidence.{k}", 6).alias(k) for k in ("surface", "traffic_control", "elevation")])
+
+
+@query(" SELECT least(n, 10) AS degree, count(*) AS nodes FROM (SELECT from_node, count(*) AS n FROM edges0 GROUP BY 1) GROUP BY 1", observed=True)
+def agg_28_degree_histogram(spark, d):
+    return search.degree_histogram(_graph(spark, d).edges).select(F.col("degree").cast("long").alias("degree"), "nodes")
+
+
+@query(
+    _scored() + f""", e AS (SELECT DISTINCT way_id, unnest([from_node, to_node]) AS node FROM w),
+ adj AS (SELECT DISTINCT x.way_id AS a, y.way_id AS b FROM e x JOIN e y USING (node) WHERE x.way_id <> y.way_id), own AS (SELECT way_id, 'corridor' AS kind, one_way, overall AS score FROM scored JOIN (SELECT way_id, one_way FROM rolled) USING (way_id) WHERE activity = 'walking' AND way_id % 2 = 0),
+ links AS (SELECT a AS way_id FROM adj WHERE a % 2 = 1 AND b % 2 = 0 GROUP BY 1 HAVING count(*) >= 2),
+ every AS (SELECT way_id, kind, one_way FROM own UNION ALL SELECT way_id, 'connector', false FROM links),
+ moves AS (SELECT w.from_node AS u, w.to_node AS v, w.id AS edge_id, x.kind, x.way_id FROM w JOIN every x USING (way_id) UNION ALL
+  SELECT w.to_node, w.from_node, w.id, x.kind, x.way_id FROM w JOIN every x USING (way_id) WHERE NOT x.one_way)
+ SELECT CAST(u AS VARCHAR) AS from_node, CAST(v AS VARCHAR) AS to_node, edge_id, kind, round(score, 6) AS score FROM moves LEFT JOIN own USING (way_id)""",
+    observed=True,
+)
+def join_15_search_edges(spark, d):
+    net, g = _way_network(spark, d), _graph(spark, d)
+    s = scoring.score_corridors(net.corridors, {"walking": scoring.defaults("walking")})
+    rows = search.search_edges(net, g, s, "walking")
+    return rows.select("from_node", "to_node", "edge_id", "kind", F.when(F.col("kind") == "corridor", F.round("score", 6)).alias("score"))
+
+
+@query(
+    _ROLLED + """ SELECT (SELECT count(*) FROM rolled WHERE way_id % 2 = 0) AS corridors, round(sum(m) FILTER (way_id % 2 = 0), 2) AS total_m, round(avg(m) FILTER (way_id % 2 = 0), 4) AS mean_m FROM rolled""",
+    observed=True,
+)
+def agg_27_network_stats(spark, d):
+    s = corridors.network_stats(_way_network(spark, d))
+    return s.select("corridors", F.round("total_m", 2).alias("total_m"), F.round("mean_m", 4).alias("mean_m"))
+
+
+@query(
+    f""", w AS ({_WAY}), t AS (SELECT way_id, min(start_pos) AS lo, max(stop) AS hi, any_value(one_way AND reversed) AS back, count(*) AS n FROM w GROUP BY 1)
+ SELECT CAST(t.way_id AS VARCHAR) AS id, CAST(2 AS BIGINT) AS points, round(CASE WHEN back AND n = 1 THEN q.lat ELSE p.lat END, 7) AS lat, round(CASE WHEN back AND n = 1 THEN q.lng ELSE p.lng END, 7) AS lng FROM t
+ JOIN known p ON p.way_id = t.way_id AND p.pos = lo JOIN known q ON q.way_id = t.way_id AND q.pos = hi WHERE NOT back OR n = 1""",
+    observed=True,
+)
+def geo_16_way_geometry(spark, d):
+    """Straight ways keep their two ends; turned ways of several edges are not continuous and are left out."""
+    e = _graph(spark, d).edges
+    turned = D.osm_ways(spark, d).where(T.reversed_one_way(F.col("tags"))).select(F.col("id").cast("string").alias("id"))
+    many = _way_members(e).groupBy("id").count().where("count > 1").select("id")
+    g = corridors.geometries(_way_members(e).join(turned.join(many, "id", "left_semi"), "id", "left_anti"), e)
+    return g.select("id", F.size("geometry").cast("long").alias("points"), F.round(F.col("geometry")[0]["lat"], 7).alias("lat"), F.round(F.col("geometry")[0]["lng"], 7).alias("lng"))
+
+
+@query(
+    f"WITH {D.NODES_SQL}" + """ SELECT id, round(lat - 3 / 111.32e0, 8) AS min_lat, round(lat + 3 / 111.32e0, 8) AS max_lat,
+ round(lng - 2 / 111.32e0 / cos(radians(lat)) - 1 / 111.32e0 / cos(radians(lat)), 8) AS min_lng, round(lng + 3 / 111.32e0 / cos(radians(lat)), 8) AS max_lng FROM nodes0"""
+)
+def geo_12_box_grown(spark, d):
+    box = geo.box_grown(geo.box_around(F.col("lat"), F.col("lon"), F.lit(2.0)), F.lit(1.0))
+    return D.osm_nodes(spark, d).select("id", *[F.round(v, 8).alias(k) for k, v in box.items()])
+
+
+@query(" SELECT id, bool_or(lat BETWEEN 42.92 AND 42.95 AND lng BETWEEN -85.69 AND -85.66) AS inside FROM edges0 e JOIN known k ON k.way_id = e.way_id AND k.pos BETWEEN e.start_pos AND e.stop GROUP BY 1", graph=True)
+def geo_13_touches_box(spark, d):
+    box = {k: F.lit(v) for k, v in {"min_lat": 42.92, "max_lat": 42.95, "min_lng": -85.69, "max_lng": -85.66}.items()}
+    return _graph(spark, d).edges.select("id", geo.touches_box(F.col("geometry"), box).alias("inside"))
+
+
+@query(
+    """SELECT n_nationkey AS k, CAST(floor((n_nationkey * 1.3e0 - 7) / 0.75e0) AS BIGINT) AS tile_row, CAST(floor((n_regionkey * 2.9e0 - 5) / 0.75e0) AS BIGINT) AS tile_col,
+ round(floor((n_regionkey * 2.9e0 - 5) / 0.75e0) * 0.75e0, 8) AS min_lng, round((floor((n_regionkey * 2.9e0 - 5) / 0.75e0) + 1) * 0.75e0, 8) AS max_lng FROM nation"""
+)
+def src_08_tile_of_box(spark, d):
+    lat, lng = F.col("n_nationkey") * F.lit(1.3) - 7, F.col("n_regionkey") * F.lit(2.9) - 5
+    r, c = tiles.tile_of_box({"min_lat": lat - 0.5, "max_lat": lat + 0.5, "min_lng": lng - 4.0, "max_lng": lng + 4.0})
+    box = tiles.tile_box(r, c)
+    return D.table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), r.alias("tile_row"), c.alias("tile_col"), box["min_lng"].alias("min_lng"), box["max_lng"].alias("max_lng"))
+
+
+_SIGNS = ("regulatory--stop--g1", "regulatory--traffic-signals--g2", "object--traffic-signal--x", "marking--crosswalk-zebra", "object--crosswalk", "object--bench", "stop", "xregulatory--stop")
+
+
+@query(
+    f"""WITH x AS (SELECT event_id AS seq, ([{', '.join(f"'{v}'" for v in _SIGNS)}])[CAST(event_id % {len(_SIGNS)} AS INT) + 1] AS v FROM events),
+ y AS (SELECT seq, CASE WHEN starts_with(v, 'regulatory--stop') THEN 'stop-sign' WHEN starts_with(v, 'regulatory--traffic-signal') OR starts_with(v, 'object--traffic-signal') THEN 'traffic-signal'
+  WHEN starts_with(v, 'marking--crosswalk') OR starts_with(v, 'object--crosswalk') THEN 'road-crossing' END AS attribute FROM x)
+ SELECT seq, attribute, 0.7e0 AS confidence, 0.75e0 AS v_conf FROM y WHERE attribute IS NOT NULL"""
+)
+def src_18_detections(spark, d):
+    from trailweave.sources import detections
+
+    rows = D.table(spark, d, "events").select(
+        F.col("event_id").alias("seq"), F.element_at(F.array(*map(F.lit, _SIGNS)), (F.col("event_id") % len(_SIGNS) + 1).cast("int")).alias("object_value"),
+        F.lit(1.0).alias("lat"), F.lit(2.0).alias("lng"), F.lit("2024-01-01T00:00:00Z").alias("last_seen_at"),
+    )
+    return detections.observations(rows).select("seq", "attribute", "confidence", "v_conf")
+
+
+@query(
+    _scored() + """ SELECT CAST(way_id AS VARCHAR) AS id, CAST(floor(r.m + 0.5) AS BIGINT) AS length, floor(r.m / 1000 * 10 + 0.5) / 10 AS km, floor(round(k, 9) * 100 + 0.5) / 100 AS sure, n_edges AS edges,
+ type, CASE type WHEN 'trail' THEN 4.0 WHEN 'path' THEN 3.0 WHEN 'arterial' THEN 3.0 WHEN 'collector' THEN 2.5 ELSE 2.0 END AS width, 0.85e0 AS opacity FROM rolled r""",
+    observed=True,
+)
+def snk_03_corridor_features(spark, d):
+    c = _way_corridors(spark, d).withColumn("surface_confidence", F.round("surface_confidence", 9))
+    c = c.withColumns({"name": F.lit(None).cast("string"), "is_destination": F.lit(False), "geometry": F.array(*[F.struct(F.lit(float(k)).alias("lat"), F.lit(0.0).alias("lng")) for k in (1, 2)])})
+    p = lambda name, kind: F.get_json_object("feature", f"$.properties.{name}").cast(kind)
+    return export.corridor_features(c).select(
+        "id", p("lengthMeters", "long").alias("length"), p("lengthKm", "double").alias("km"), p("surfaceConfidence", "double").alias("sure"), p("edgeCount", "long").alias("edges"),
+        p("corridorType", "string").alias("type"), p("stroke-width", "double").alias("width"), p("stroke-opacity", "double").alias("opacity"),
+    )
+
+
 # From files, tiles, caches, sources.
 
 
