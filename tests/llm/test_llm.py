@@ -168,6 +168,7 @@ def _groups(known, k, percent):
 @pytest.mark.parametrize(("k", "block", "many"), [(4, neardup.BLOCK, 10_000), (5, 8, 10_000), (4, 8, 3)])
 def test_near_duplicates_match_brute_force(spark, monkeypatch, texts, k, block, many):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "FIRST", block)
     rng = random.Random(k)
     base = [f"w{rng.randint(0, 400)}" for _ in range(60)]
     copies = []

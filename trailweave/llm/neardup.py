@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from trailweave.llm.common import binary_list, connected_components, discard, materialize, slices, small_or_shuffled, word_hashes
 
 P, MANTISSA, BANDS, ROWS = 8, 10, 40, 5
-BLOCK = 256
+#: Members of a block, of those that a whole group is compared with first and of others.
+FIRST, BLOCK = 64, 256
 #: Standard errors below the threshold at which the estimate rules a pair out.
 SLACK = 6.0
 _RNG = np.random.Generator(np.random.PCG64(20240501))
@@ -271,13 +272,13 @@ def _links(docs: DataFrame, dealt: DataFrame, k: int, percent: int) -> DataFrame
     )
 
 
-def _blocks(size: Column) -> Column:
-    return (F.floor((size - 1) / BLOCK) + 1).cast("int")
+def _blocks(size: Column, rows: int) -> Column:
+    return (F.floor((size - 1) / rows) + 1).cast("int")
 
 
 def _against(loose: DataFrame, every: DataFrame) -> DataFrame:
     """Comparisons of ``loose(node, group)`` with ``every(node, group)``, both in blocks: one that has ``loose`` on side 0."""
-    count = lambda df, c: df.groupBy("group").agg(_blocks(F.count("*")).alias(c))
+    count = lambda df, c: df.groupBy("group").agg(_blocks(F.count("*"), BLOCK).alias(c))
     sizes = count(loose, "lows").join(count(every, "highs"), "group")
 
     def side(df: DataFrame, own: str, other: str) -> DataFrame:
@@ -310,7 +311,7 @@ def near_duplicates(
     star = members.join(hubs.select("band", "hub"), "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     groups = materialize(connected_components(star, "groups").withColumnRenamed("component", "group"), "grouped")
     sizes = groups.groupBy("group").agg(F.count("*").alias("size"))
-    sized = groups.join(sizes, "group").withColumn("blocks", _blocks(F.col("size")))
+    sized = groups.join(sizes, "group").withColumn("blocks", _blocks(F.col("size"), FIRST))
     block = F.pmod(F.xxhash64("node"), "blocks").cast("int")
     dealt = sized.withColumn("block", block).select(
         "node",
