@@ -893,7 +893,7 @@ def agg_28_degree_histogram(spark, d):
  every AS (SELECT way_id, kind, one_way FROM own UNION ALL SELECT way_id, 'connector', false FROM links),
  moves AS (SELECT w.from_node AS u, w.to_node AS v, w.id AS edge_id, x.kind, x.way_id FROM w JOIN every x USING (way_id) UNION ALL
   SELECT w.to_node, w.from_node, w.id, x.kind, x.way_id FROM w JOIN every x USING (way_id) WHERE NOT x.one_way)
- SELECT CAST(u AS VARCHAR) AS from_node, CAST(v AS VARCHAR) AS to_node, edge_id, kind, round(score, 6) AS score FROM moves LEFT JOIN own USING (way_id)""",
+ SELECT CAST(u AS VARCHAR) AS from_node, CAST(v AS VARCHAR) AS to_node, edge_id, moves.kind AS kind, round(score, 6) AS score FROM moves LEFT JOIN own USING (way_id)""",
     observed=True,
 )
 def join_15_search_edges(spark, d):
@@ -913,9 +913,9 @@ def agg_27_network_stats(spark, d):
 
 
 @query(
-    f""", w AS ({_WAY}), t AS (SELECT way_id, min(start_pos) AS lo, max(stop) AS hi, any_value(one_way AND reversed) AS back, count(*) AS n FROM w GROUP BY 1)
- SELECT CAST(t.way_id AS VARCHAR) AS id, CAST(2 AS BIGINT) AS points, round(CASE WHEN back AND n = 1 THEN q.lat ELSE p.lat END, 7) AS lat, round(CASE WHEN back AND n = 1 THEN q.lng ELSE p.lng END, 7) AS lng FROM t
- JOIN known p ON p.way_id = t.way_id AND p.pos = lo JOIN known q ON q.way_id = t.way_id AND q.pos = hi WHERE NOT back OR n = 1""",
+    f""", w AS ({_WAY}), t AS (SELECT way_id, min(start_pos) AS lo, max(stop) AS hi, any_value(one_way AND reversed) AS back, count(*) AS n_edges FROM w GROUP BY 1)
+ SELECT CAST(t.way_id AS VARCHAR) AS id, CAST(2 AS BIGINT) AS points, round(CASE WHEN back AND n_edges = 1 THEN q.lat ELSE p.lat END, 7) AS lat, round(CASE WHEN back AND n_edges = 1 THEN q.lng ELSE p.lng END, 7) AS lng FROM t
+ JOIN known p ON p.way_id = t.way_id AND p.pos = lo JOIN known q ON q.way_id = t.way_id AND q.pos = hi WHERE NOT back OR n_edges = 1""",
     observed=True,
 )
 def geo_16_way_geometry(spark, d):
