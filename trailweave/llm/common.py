@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import zlib
 
@@ -17,7 +20,7 @@ from trailweave.operators.iterate import components as connected_components
 from trailweave.operators.iterate import discard, scratch_path
 from trailweave.operators.iterate import settled as materialize
 
-__all__ = ["binary_list", "connected_components", "crc", "discard", "fold_of", "materialize", "open_fs", "scratch_path", "slices", "small_or_shuffled", "word_hashes"]
+__all__ = ["binary_list", "connected_components", "crc", "discard", "fold_of", "materialize", "open_fs", "released", "scratch_path", "slices", "small_or_shuffled", "word_hashes"]
 
 #: A side is broadcast only when it has at most so many rows; beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
@@ -56,6 +59,14 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.array(out, "u8")
 
 
+def released() -> None:
+    """Give memory that is free back to the system; a worker that is reused keeps no more than it holds."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, rows: int = 256, limit: int = 4 << 20):
     """Cut a batch so that one slice holds few rows and, but for single rows, few bytes."""
     sizes = [0] * batch.num_rows

@@ -37,11 +37,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import discard, fold_of, materialize, open_fs, scratch_path, slices, small_or_shuffled
+from trailweave.llm.common import discard, fold_of, materialize, open_fs, released, scratch_path, slices, small_or_shuffled
 
 ORDER, DISCOUNT, RUN, SAMPLE, TABLE = 6, 0.75, 8, 20_000, 4_000_000
-#: Bytes of words that are taken apart at a time, about.
-PART = 1 << 20
+#: Bytes of words that are taken apart at a time, about, and words that a worker counts or keeps at a time.
+PART, WORDS = 1 << 20, 200_000
 _SPACE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _CACHES: dict = {}
 
@@ -104,14 +104,16 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     """``n, key`` and counts ``c0..c3`` (ordinary, toxic, and the same of the fold kept back) of ``labelled(text, class)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, list[int]] = {}
+        _CACHES.clear()
+        counts: dict[bytes, int] = {}  # four counts a word, in 32 bits each
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             words = list(counts)
             for a in range(0, len(words), 50_000):
                 part = words[a : a + 50_000]
-                for order, keys, sums in _grams(part, np.array([counts[w] for w in part], "f8")):
+                weights = np.array([[counts[w] >> 32 * j & 0xFFFFFFFF for j in range(4)] for w in part], "f8")
+                for order, keys, sums in _grams(part, weights):
                     yield pa.RecordBatch.from_pydict(
                         {"n": pa.array(np.full(len(keys), order, "i4")), "key": pa.array(keys.view("i8"))}
                         | {f"c{j}": pa.array(sums[j]) for j in range(4)}
@@ -121,16 +123,16 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
         for batch in batches:
             for text, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for w in set(words_of(text)):
-                    c = counts.get(w)
-                    if c is None:
-                        c = counts[w] = [0, 0, 0, 0]
-                        size += len(w)
-                    c[kind] += 1
-                if len(counts) > 400_000 or size > 32 << 20:
+                    n = counts.get(w)
+                    if n is None:
+                        n, size = 0, size + len(w)
+                    counts[w] = n + (1 << 32 * kind)
+                if len(counts) > WORDS or size > 16 << 20:
                     yield from flush()
                     size = 0
         if counts:
             yield from flush()
+        released()
 
     return (
         labelled.select("text", "class")
@@ -253,7 +255,7 @@ def described(texts: list[str | None], table: dict[int, tuple] | Blocks, cache:
     """Of each text the largest log-likelihood ratio of a run of words, by the root of its letters."""
     words = [words_of(t) for t in texts]
     new = [w for w in set().union(*words) if w not in cache]
-    if len(cache) > 400_000:
+    if len(cache) > WORDS:
         cache.clear()
         new = list(set().union(*words))
     step = 200_000 if isinstance(table, Blocks) else 20_000
@@ -382,6 +384,7 @@ def _described(df: DataFrame, table: dict | Blocks, kept: str) -> DataFrame:
             for part in slices(batch, 10_000, 64 << 20) if isinstance(shared.value, Blocks) else slices(batch):
                 x = described(part.column(part.num_columns - 1).to_pylist(), shared.value, cache)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(x)], [*part.schema.names[:-1], "ratio"])
+        released()
 
     return df.mapInArrow(run, f"{kept}, ratio double")
 
