@@ -393,11 +393,28 @@ def agg_14_enrichment_stats(spark, d):
     return fusion.enrichment_stats(D.observations(spark, d), _matched(spark, d))
 
 
-@query()
+@query(
+    f""", v AS (SELECT edge_id, (['paved','unpaved','unknown'])[CAST(w % 3 AS INT) + 1] AS s, sum({_W['surface']}) AS w, count(*) AS n, min(seq) AS first
+ FROM matched WHERE attribute = 'surface' GROUP BY 1, 2), t AS (SELECT edge_id, max(w) AS top, sum(w) AS total, sum(n) AS n FROM v GROUP BY 1),
+ sur AS (SELECT t.edge_id, (SELECT s FROM v WHERE v.edge_id = t.edge_id ORDER BY round(w, 9) DESC, first LIMIT 1) AS value, least(0.95e0, top / total * 0.5 + least(n / 3, 1) * 0.3 + top / 2 * 0.2) AS confidence FROM t),
+ sv AS (SELECT edge_id, 20e0 + w % 8 * 10 AS x, sum({_W['speed']}) AS w FROM matched WHERE attribute = 'speed-limit' GROUP BY 1, 2),
+ sr AS (SELECT *, sum(w) OVER (PARTITION BY edge_id ORDER BY x ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY edge_id) AS total FROM sv),
+ spd AS (SELECT edge_id, min(x) FILTER (upto + 1e-9 >= total / 2) AS value FROM sr GROUP BY 1),
+ boo AS (SELECT edge_id, sum(CASE WHEN w % 2 = 0 THEN {_W['bool']} ELSE 0 END) >= sum(CASE WHEN w % 2 = 0 THEN 0 ELSE {_W['bool']} END) AS value FROM matched WHERE attribute = 'bicycle-infra' GROUP BY 1),
+ sce AS (SELECT edge_id, round(sum({_W['scenic']} * (w % 11 / 10e0)) / sum({_W['scenic']}), 9) AS value FROM matched WHERE attribute = 'scenic' GROUP BY 1),
+ sig AS (SELECT DISTINCT edge_id FROM matched WHERE attribute = 'traffic-signal')
+ SELECT e.id, coalesce(sur.value, e.surface) AS surface, round(coalesce(sur.confidence, e.surface_confidence), 6) AS surface_confidence, CASE WHEN spd.value > 0 THEN spd.value ELSE e.speed_limit END AS speed_limit,
+ e.signals + (sig.edge_id IS NOT NULL)::INT AS traffic_signal_count, coalesce(boo.value, e.has_bicycle_infra) AS has_bicycle_infra, coalesce(sce.value > 0.5, e.scenic) AS scenic,
+ nullif((sur.edge_id IS NOT NULL)::INT + (spd.edge_id IS NOT NULL)::INT + (boo.edge_id IS NOT NULL)::INT + (sce.edge_id IS NOT NULL)::INT + (sig.edge_id IS NOT NULL)::INT, 0)::BIGINT AS enriched
+ FROM edges0 e LEFT JOIN sur ON sur.edge_id = e.id LEFT JOIN spd ON spd.edge_id = e.id LEFT JOIN boo ON boo.edge_id = e.id LEFT JOIN sce ON sce.edge_id = e.id LEFT JOIN sig ON sig.edge_id = e.id""",
+    observed=True,
+)
 def gra_17_enriched_edges(spark, d):
     edges = _graph(spark, d).edges
-    out = fusion.write_back(edges, fusion.fuse(_matched(spark, d)))
-    return out.select("id", "surface", "surface_confidence", "speed_limit", "traffic_signal_count", "has_bicycle_infra", "scenic", F.size("enrichment").alias("enriched"))
+    fused = fusion.fuse(_matched(spark, d).withColumn("confidence", F.round("confidence", 6))).withColumn("value_num", F.round("value_num", 9))
+    out = fusion.write_back(edges, fused)
+    known = F.when(F.col("enrichment").isNotNull(), F.size("enrichment")).cast("long").alias("enriched")
+    return out.select("id", "surface", F.round("surface_confidence", 6).alias("surface_confidence"), "speed_limit", _long("traffic_signal_count"), "has_bicycle_infra", "scenic", known)
 
 
 _CELLS = """, v AS (SELECT DISTINCT e.id AS edge_id, e.way_id, CAST(floor(k.lng * 111320e0 * cos(radians(43e0)) / 100) AS BIGINT) AS cx,
