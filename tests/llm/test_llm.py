@@ -339,6 +339,18 @@ def test_brackets_and_blanks_take_linear_time():
     assert personal.redact("(" + " " * 300_000 + "x" + " " * 300_000 + "[dot]") and time.process_time() - start < 5
 
 
+def test_secrets_are_counted_and_redacted():
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    for text in (f'token = "{key}" x', f"API_KEY={key}", f"my-secret: '{key}'", f"the api key = {key}.", f'"password":"{key}"'):
+        assert [text[a:b].rstrip(".") for a, b in personal.secret_spans(text)] == [key]
+        assert key not in personal.redact(text) and "[SECRET]" in personal.redact(text)
+    for text in (None, "", key, f"commit = {key}", "token = short1", "token = onlylettersinthisvalue", f"tokens of {key}", "authority: abcdefghijklmnop1", "= " * 50_000):
+        assert personal.secret_spans(text) == [] and personal.redact(text) == text
+    began = time.time()
+    personal.secret_spans("token = " * 100_000 + ":" * 200_000 + " " * 200_000)
+    assert time.time() - began < 2
+
+
 def test_personal_data_rows(spark):
     cases = [*ODD, "a@b.co and 10.0.0.1 x@y.zz", "4539148803436467"]
     for r in personal.personal_data(table(spark, cases)).collect():

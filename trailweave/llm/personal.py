@@ -10,7 +10,11 @@ find in the rewritten text is reported as spans of the source. A disguised span
 plain one of its kind is left to that one, unless it is an address that holds the plain one
 whole and more.
 
-Offsets count code points, ends exclusive. Null texts count as empty and have no spans;
+Secrets, values of 16 characters and more with a digit that a name such as "token" or "api key"
+is set to, are told apart from personal data: they are counted and redacted with it, but are
+no spans of the four kinds.
+
+Offsets count code points, ends exclusive. Ties cannot be: of equal spans of a kind one stays. Null texts count as empty and have no spans;
 repeated rows give repeated results; very long texts take linear time; an empty table gives
 an empty result; further columns are not read.
 """
@@ -30,6 +34,7 @@ from pyspark.sql import functions as F
 from trailweave.llm.common import slices
 
 KINDS = ("email", "ip", "card", "phone")
+_NAMES = (*KINDS, "secret")
 
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,6 +43,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_SET = re.compile(r"[:=]\s{0,3}[\"']?([A-Za-z0-9_/+=.-]{16,})")
+_SECRET_NAME = re.compile(r"(?ai:\b(?:[a-z0-9]+[_-])*(?:token|secret|passw(?:or)?d|passphrase|pwd|credentials?|auth|(?:api|access|private|secret)[\s_-]?key))[\"']?\s{0,3}\Z")
 
 # Look-alikes of ASCII letters, and spelled digits.
 LOOK_ALIKES = dict(
@@ -295,31 +302,41 @@ def spans_of(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[i
     return plain, sorted(plain + disguised_spans(text, plain))
 
 
+def secret_spans(text: str | None) -> list[tuple[int, int]]:
+    """Places of values that stand after the name of a secret and a colon or equals sign."""
+    out = []
+    for m in _SET.finditer(text or ""):
+        if _DIGIT.search(m[1]) and _SECRET_NAME.search(text[max(0, m.start() - 40) : m.start()]):
+            out.append((m.start(1), m.end(1)))
+    return out
+
+
 def _listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
 def redact(text: str | None) -> str | None:
-    """The text with each span, or run of overlapping ones, replaced by ``[KIND]`` of its first."""
-    spans = spans_of(text)[1]
+    """The text with each span or secret, or run of overlapping ones, replaced by ``[KIND]`` of its first."""
+    spans = sorted(spans_of(text)[1] + [(a, len(KINDS), b) for a, b in secret_spans(text)])
     if not spans:
         return text
     out, last = [], 0
     for a, k, b in spans:
         if a >= last:
-            out += [text[last:a], f"[{KINDS[k].upper()}]"]
+            out += [text[last:a], f"[{_NAMES[k].upper()}]"]
         last = max(last, b)
     return "".join([*out, text[last:]])
 
 
 def personal_data(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of each row; the numbers
-    and the checksum are of the plain spans."""
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_found`` of each row; the
+    numbers by kind and the checksum are of the plain spans, ``n_found`` counts all spans and secrets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1024):
-                found = [spans_of(t) for t in part.column(1).to_pylist()]
+                texts = part.column(1).to_pylist()
+                found, secrets = [spans_of(t) for t in texts], [len(secret_spans(t)) for t in texts]
                 counts = [[sum(k == kind for _, k, _ in plain) for plain, _ in found] for kind in range(len(KINDS))]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -327,14 +344,16 @@ def personal_data(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                         *(pa.array(c, pa.int64()) for c in counts),
                         pa.array([hashlib.sha256(_listed(plain).encode()).hexdigest() for plain, _ in found]),
                         pa.array([_listed(both) for _, both in found], pa.string()),
+                        pa.array(secrets, pa.int64()),
+                        pa.array([len(both) + n for (_, both), n in zip(found, secrets, strict=True)], pa.int64()),
                     ],
-                    ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
+                    ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_secret", "n_found"],
                 )
 
     kind = df.schema[doc_id].dataType.simpleString()
     fields = ", ".join(f"n_{k} long" for k in KINDS)
     return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, {fields}, base_sha256 string, spans string"
+        run, f"doc_id {kind}, {fields}, base_sha256 string, spans string, n_secret long, n_found long"
     )
 
 
