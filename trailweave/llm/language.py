@@ -4,13 +4,15 @@ A text is the TF-IDF vector of its byte 1- to 3-grams (A-Z lower-cased, other AS
 letters as one blank), hashed to ``BINS`` bins, with logarithmic counts, scaled to length 1.
 IDF comes from all training documents. Every language has up to ``CLUSTERS`` centroids, from
 spherical k-means over at most about ``SAMPLE`` training documents in all, drawn by a hash of
-the id and evenly over the languages (a fit on a bounded sample). A text gets the language of
+the id and evenly over the languages (a fit on a bounded sample: of a language with a share of
+``each`` documents no more than ``2 * each`` are taken). A text gets the language of
 the centroid of the largest cosine; it is rejected when it lies farther from that centroid
 than ``REACH`` times the distance of the sample's document that lies farthest from its own.
 
 Null texts and texts without a letter are ``und`` with score 0, and rejected; so is every text
 if there is nothing to learn from. Ties go to the language that sorts first. Very long texts
-are counted in parts. Repeated rows give repeated results; further columns are not read.
+are counted in parts. Repeated rows give repeated results; an empty table gives an empty result
+(and, to learn from, no language); further columns are not read.
 """
 
 from __future__ import annotations
@@ -121,7 +123,8 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
 
 
 def predict(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """``df`` with ``lang_pred``, ``score`` and ``rejected``; these three must not be its columns."""
+    """``df`` with ``lang_pred``, ``score`` and ``rejected``, in the place of columns of these names."""
+    df = df.drop("lang_pred", "score", "rejected")
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -455,7 +455,13 @@ def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, take: np.
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
-    """``df`` with the text of ``ids`` as column ``to`` (null for null); ``to`` must not be its column."""
+    """``df`` with the text of ``ids`` as column ``to``, in the place of a column of that name.
+
+    Null ids give null, no ids an empty text, however long a row is; ids that are no UTF-8 together
+    give replacement marks; repeated rows give repeated results and an empty table an empty one.
+    """
+    if to != ids:
+        df = df.drop(to)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)

@@ -24,8 +24,8 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return told.where(~F.col("rejected")).select(*[F.col(f"_{c}").alias(c) for c in docs.columns])
 
 
-def _with_sets(docs: DataFrame, k: int) -> DataFrame:
-    """``docs`` with a hash of the shingle set of ``text`` as ``_set``."""
+def _with_sets(docs: DataFrame, k: int, name: str) -> DataFrame:
+    """``docs`` with a hash of the shingle set of ``text`` as column ``name``."""
     import pyarrow as pa
     import xxhash
 
@@ -36,9 +36,9 @@ def _with_sets(docs: DataFrame, k: int) -> DataFrame:
             for part in slices(batch):
                 texts = binary_list(part.column(part.schema.get_field_index("text")))
                 sets = pa.array([xxhash.xxh3_128_hexdigest(shingle_set(t, k).tobytes()) for t in texts], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, sets], [*part.schema.names, "_set"])
+                yield pa.RecordBatch.from_arrays([*part.columns, sets], [*part.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_set", StringType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, StringType())]))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,6 +48,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     from trailweave.llm.neardup import near_duplicates
 
+    free = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in docs.columns))
+    of_set, node, row = f"{free}set", f"{free}node", f"{free}row"  # no column has so many underscores
     there = docs.where("doc_id is not null")
     repeated = materialize(there.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if not repeated.limit(1).count():
@@ -55,19 +57,19 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
         dropped = found.where(~F.col("kept")).select("doc_id").distinct()
         return docs.join(small_or_shuffled(dropped), "doc_id", "left_anti").select(docs.columns)
     repeated = small_or_shuffled(repeated)
-    once = there.join(repeated, "doc_id", "left_anti").select(docs.columns).withColumn("_set", F.lit(""))
-    rows = once.unionByName(_with_sets(there.join(repeated, "doc_id", "left_semi").select(docs.columns), 5))
-    pairs = rows.select("doc_id", "_set").distinct()
+    once = there.join(repeated, "doc_id", "left_anti").select(docs.columns).withColumn(of_set, F.lit(""))
+    rows = once.unionByName(_with_sets(there.join(repeated, "doc_id", "left_semi").select(docs.columns), 5, of_set))
+    pairs = rows.select("doc_id", of_set).distinct()
     # numbers in the order of the ids, so that the smallest of a group has the smallest id
-    numbered = pairs.orderBy("doc_id", "_set").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    nodes = materialize(spark.createDataFrame(numbered, StructType([*pairs.schema.fields, StructField("_node", LongType())])), "nodes")
-    rows = materialize(rows.join(small_or_shuffled(nodes), ["doc_id", "_set"]), "noded")
-    found = materialize(near_duplicates(rows, k=5, percent=80, doc_id="_node"), "neardup")
-    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("_node")).distinct()
-    kept = rows.join(small_or_shuffled(dropped), "_node", "left_anti")
-    first = Window.partitionBy("_node").orderBy("text", *[F.xxhash64(c) for c in docs.columns])
-    one = kept.where("_set <> ''").withColumn("_row", F.row_number().over(first)).where("_row = 1")
-    out = kept.where("_set = ''").select(docs.columns).unionByName(one.select(docs.columns))
+    numbered = pairs.orderBy("doc_id", of_set).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
+    nodes = materialize(spark.createDataFrame(numbered, StructType([*pairs.schema.fields, StructField(node, LongType())])), "nodes")
+    rows = materialize(rows.join(small_or_shuffled(nodes), ["doc_id", of_set]), "noded")
+    found = materialize(near_duplicates(rows, k=5, percent=80, doc_id=node), "neardup")
+    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias(node)).distinct()
+    kept = rows.join(small_or_shuffled(dropped), node, "left_anti")
+    first = Window.partitionBy(node).orderBy("text", *[F.xxhash64(c) for c in docs.columns])
+    one = kept.where(F.col(of_set) != "").withColumn(row, F.row_number().over(first)).where(F.col(row) == 1)
+    out = kept.where(F.col(of_set) == "").select(docs.columns).unionByName(one.select(docs.columns))
     return out.unionByName(docs.where("doc_id is null"))
 
 
