@@ -82,6 +82,7 @@ def train_dictionary(df: DataFrame, path: str) -> bytes:
                 yield pa.RecordBatch.from_arrays([pa.array(drawn, pa.binary())], ["ids"])
 
     sampled = hashed.where(F.col("h") <= F.lit(lowest)).select("text").limit(SAMPLE)
+    sampled = sampled.repartition(df.sparkSession.sparkContext.defaultParallelism)
     samples = [bytes(r.ids) for r in sampled.mapInArrow(run, "ids binary").collect()] if lowest is not None else []
     try:
         return zstandard.train_dictionary(DICTIONARY, [s for s in samples if s], level=3).as_bytes()
