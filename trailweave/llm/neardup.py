@@ -359,5 +359,5 @@ def near_duplicates(
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
-    discard(*written)
+    discard(*written, classes, components)
     return out

@@ -33,12 +33,15 @@ from pyspark.sql import functions as F
 from trailweave.llm.common import binary_list, slices
 
 #: Entries of the broadcast table, entries each task reports, and entries a worker caches.
-FREQUENT, REPORTED, CACHED = 65_536, 16_384, 1_000_000
+FREQUENT, REPORTED, CACHED = 65_536, 16_384, 1_500_000
 #: Bytes beyond which a piece is neither counted as frequent nor cached.
 LONG = 64
 #: Stands between pieces that the library encodes together.
 SEPARATOR = "\x01"
+#: Fixed value: what tokens that end a word end with.
+WORD_END = "</w>"
 _TOKENIZERS: dict = {}
+_ENDS: dict = {}
 _TABLES: dict = {}
 
 
@@ -60,26 +63,58 @@ def tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+def word_ends(path: str) -> np.ndarray:
+    """By id whether a token ends a word; empty where the vocabulary has no mark for that."""
+    if path not in _ENDS:
+        t = tokenizer(path)
+        ends = np.zeros(t.get_vocab_size(), bool)
+        for token, i in t.get_vocab().items():
+            ends[i] = token.endswith(WORD_END)
+        _ENDS[path] = ends if ends.any() else ends[:0]
+    return _ENDS[path]
+
+
+def _cut(ids: np.ndarray, ends: np.ndarray, skip: int) -> list[bytes]:
+    """Runs of ids that stop at each of ``ends`` (so many ids of each left out) and at the last id."""
+    raw = ids.tobytes()
+    return [raw[a:b] for a, b in zip([0, *(4 * ends + 4).tolist()], [*(4 * ends + 4 - 4 * skip).tolist(), len(raw)], strict=True)]
+
+
 def encode_pieces(path: str, pieces: list[bytes]) -> list[bytes]:
     """For each piece the library's ids as little-endian unsigned 32-bit numbers.
 
-    Hundreds of pieces go to the library as one text, set apart by ``SEPARATOR``, whose id
-    then cuts the result; pieces that hold it, or are long, are encoded on their own.
+    Hundreds of pieces go to the library as one text. Pieces of letters alone are one word each,
+    which the vocabulary's mark for the end of a word tells apart; where there are not just as
+    many words, and for other pieces, ``SEPARATOR`` sets pieces apart, whose id then cuts the
+    result. Pieces that hold it, or are long, are encoded on their own.
     """
-    t, out = tokenizer(path), [b""] * len(pieces)
+    t, out, marks = tokenizer(path), [b""] * len(pieces), word_ends(path)
     mark = t.encode(SEPARATOR, add_special_tokens=False).ids
     plain = [k for k, p in enumerate(pieces) if len(mark) == 1 and len(p) <= LONG and b"\x01" not in p]
-    groups = [plain[k : k + 256] for k in range(0, len(plain), 256)]
-    texts = [f" {SEPARATOR} ".join([pieces[k].decode() for k in g]) for g in groups]
-    for g, e in zip(groups, t.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-        ids = np.array(e.ids, "<u4")
+
+    def encoded(own: list[int], between: bytes) -> Iterator[tuple[list[int], np.ndarray]]:
+        groups = [own[k : k + 256] for k in range(0, len(own), 256)]
+        texts = [between.join([pieces[k] for k in g]).decode() for g in groups]
+        for g, e in zip(groups, t.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            yield g, np.array(e.ids, "<u4")
+
+    if len(marks):
+        words = [k for k in plain if pieces[k].isalpha() or not pieces[k].isascii() and pieces[k].decode().isalpha()]
+        done: set[int] = set()
+        for g, ids in encoded(words, b" "):
+            ends = np.flatnonzero(marks[ids])
+            if len(ends) == len(g) and ends[-1] == len(ids) - 1:
+                done.update(g)
+                for k, x in zip(g, _cut(ids, ends[:-1], 0), strict=True):
+                    out[k] = x
+        plain = [k for k in plain if k not in done]
+    for g, ids in encoded(plain, f" {SEPARATOR} ".encode()):
         cuts = np.flatnonzero(ids == mark[0])
         if len(cuts) != len(g) - 1:
             raise ValueError("the separator occurs in a piece's own ids")
-        raw = ids.tobytes()
-        for k, a, b in zip(g, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
-            out[k] = raw[a:b]
-    rest = sorted(set(range(len(pieces))).difference(plain))
+        for k, x in zip(g, _cut(ids, cuts, 1), strict=True):
+            out[k] = x
+    rest = [k for k, p in enumerate(pieces) if len(mark) != 1 or len(p) > LONG or b"\x01" in p]
     for k, e in zip(rest, t.encode_batch_fast([pieces[k].decode() for k in rest], add_special_tokens=False), strict=True):
         out[k] = np.array(e.ids, "<u4").tobytes()
     return out
@@ -133,16 +168,17 @@ class PieceTable:
         new = list({pieces[k] for pieces, gap in zip(texts, gaps, strict=True) for k in gap})
         if not new:
             return rows
-        parts = list(map(_parts, new))
+        # most pieces are words of small ASCII letters, which are their own stems
+        parts = [(p, b"") if p.isalpha() and p.islower() else _parts(p) for p in new]
         stems = list({x for pair in parts for x in pair if x and x not in found})
-        own = dict(zip(stems, map(self.value, encode_pieces(self.path, stems)), strict=True))
-        own |= {x: found[x] for pair in parts for x in pair if x and x not in own}
-        whole = {p: own[a] + own[b] if b else own[a] for p, (a, b) in zip(new, parts, strict=True)}
+        found.update(zip(stems, map(self.value, encode_pieces(self.path, stems)), strict=True))
+        whole = {p: found[a] + found[b] if b else found[a] for p, (a, b) in zip(new, parts, strict=True)}
         for pieces, row, gap in zip(texts, rows, gaps, strict=True):
             for k in gap:
                 row[k] = whole[pieces[k]]
-        found.update((p, v) for p, v in own.items() if len(p) <= LONG)
-        found.update((p, v) for p, v in whole.items() if len(p) <= LONG)
+        found.update(whole)
+        for p in [p for p in (*stems, *new) if len(p) > LONG]:
+            found.pop(p, None)
         return rows
 
 
