@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trailweave.llm import stages
-from trailweave.llm.common import materialize
+from trailweave.llm.common import discard, materialize
 from trailweave.session import ship
 
 
@@ -48,9 +48,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, n_pieces, ids, decoded`` of the documents that remain."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"pipeline-{name}")
+            discard(*[before] * (before is not None))
+            before = docs
     return docs
