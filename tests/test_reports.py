@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -231,3 +232,77 @@ def test_cores_match_peeling(spark, town):  # noqa: F811
         near = {n: x for n, x in near.items() if x}
     want = {n: len(near.get(n, ())) for n in every}
     assert {r.node: r.degree for r in chains.core_degrees(found, town.edges).collect()} == want
+
+
+def test_point_fusion_matches_plain_clusters(spark):
+    from tests.test_operators import OBS
+    from trailweave.operators import fusion
+
+    rng = random.Random(6)
+    rows = []
+    for k in range(120):
+        c = rng.choice([(42.0, -85.0), (42.0003, -85.0), (42.0, -85.0004)])
+        rows.append((k, f"e{k % 3}", "stop-sign", rng.choice(["mapillary", "osm-tag", "x"]), 0.7, None, None, None, c[0] + rng.uniform(-1e-4, 1e-4), c[1] + rng.uniform(-1e-4, 1e-4), rng.choice([0.25, 0.5, 0.75])))
+    want = {}
+    for e in ("e0", "e1", "e2"):
+        own = [r for r in rows if r[1] == e]
+        free, clusters = list(own), []
+        while free:
+            seed = free[0]
+            near = [r for r in free if r is seed or math.hypot((seed[9] - r[9]) * 111_320 * math.cos(math.radians((seed[8] + r[8]) / 2)), (seed[8] - r[8]) * 111_320) < 15]
+            clusters.append(near)
+            free = [r for r in free if r not in near]
+        best = max(clusters, key=lambda c: sum(r[10] for r in c))
+        n = len(best)
+        sure = sum(r[10] for r in best) / n
+        want[e] = (sum(r[8] for r in best) / n, sum(r[9] for r in best) / n, min(0.95, sure * 0.5 + min(len({r[3] for r in own}) / 2, 1) * 0.5), len(own))
+    got = {r.edge_id: (r.value_lat, r.value_lng, r.confidence, r.n) for r in fusion.fuse_points(spark.createDataFrame(rows, OBS)).collect()}
+    assert set(got) == set(want) and all(got[e] == pytest.approx(want[e]) for e in want)
+
+
+def test_long_dead_ends_go_path_by_path(spark):
+    """A square with a dead end of forty segments that forks near its end."""
+    square = [(0, 1), (1, 2), (2, 3), (3, 0)]
+    tail = [(3, 100), *((100 + k, 101 + k) for k in range(40)), (130, 200), (200, 201)]
+    edges = spark.createDataFrame([(f"{a}-{b}", str(a), str(b), "residential") for a, b in square + tail], "id string, from_node string, to_node string, road_class string")
+    members = edges.select(F.lit(1).alias("chain_id"), F.lit(0).alias("pos"), F.col("id").alias("edge_id"))
+    got = {r.node: r.degree for r in chains.core_degrees(members, edges).collect()}
+    assert {n: d for n, d in got.items() if d} == dict.fromkeys("0123", 2) and len(got) == 4 + 41 + 2
+
+
+def test_service(spark, town, net, tmp_path):  # noqa: F811
+    from trailweave import service
+    from trailweave.sources.cache import NetworkCache
+    from trailweave.sources.responses import ResponseCache
+
+    assert service.radius_km(10_000) == 5 and service.radius_km(100_000) == 39
+    tried, waits = [], []
+
+    class Busy(Exception):
+        status = 429
+
+    def fetch(query, endpoint):
+        tried.append(query)
+        if len(tried) < 3:
+            raise Busy
+        elements = [{"type": "way", "id": 1, "nodes": list(range(10)), "geometry": [{"lat": GRID[k][0], "lon": GRID[k][1]} for k in range(10)], "tags": {"highway": "residential", "name": "x"}}]
+        return {"elements": elements}
+
+    assert service.retried(fetch, pause=waits.append)("q", "e")["elements"] and waits == [2.0, 5.0]
+    with pytest.raises(KeyError):
+        service.retried(lambda q, e: {}["x"], pause=waits.append)("q", "e")
+    regions = service.Regions(spark, NetworkCache(spark, f"file://{tmp_path}/n"), ResponseCache(f"file://{tmp_path}/r"), fetch, by_tier=dict.fromkeys(chains.MIN_LENGTH_M, 300.0))
+    n = len(tried)
+    first = regions.at(42.9, -85.7, 5000.0)
+    assert first.graph.edges.count() == 2 and len(tried) == n + 1
+    assert regions.at(42.9001, -85.7, 4000.0).graph.edges.count() == 2 and len(tried) == n + 1
+    with pytest.raises(service.RequestError):
+        service.network_answer(net, "flying")
+    assert service.status_of(service.RequestError("x", 404)) == 404 and service.status_of(ValueError()) == 422 and service.status_of(KeyError()) == 500
+    assert service.network_answer(net, "walking").count() == net.corridors.count()
+    starts = spark.createDataFrame([(1, 42.902, -85.696, 600.0, 2500.0, 90.0, "moderate", 3)], "request_id long, lat double, lng double, min_m double, max_m double, direction double, turns string, seed long")
+    stats, features = service.route_answers(starts, service.Region(town, net, {}), "walking", noise=0.0)
+    row, lines = stats.first(), features.collect()
+    summary = next(json.loads(r.feature)["properties"] for r in lines if r.segment is None)
+    assert summary["isSegment"] is False and summary["distanceMeters"] == round(row.distance_m) and summary["segmentCount"] == len(lines) - 1
+    assert service.health(spark)["status"] == "ok"

@@ -158,9 +158,7 @@ def geometries(members: DataFrame, edges: DataFrame, tolerance_m: float = 10.0)
     rows = members.select(F.col("id").alias("gid"), "pos", "edge_id").join(edges.select("id", "geometry"), F.col("edge_id") == F.col("id"))
     lines = rows.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("pos", "geometry"))).alias("lines"))
     whole = lines.select(F.col("gid").alias("id"), geo.joined(F.transform("lines", lambda x: x["geometry"])).alias("geometry"))
-    return whole.select("id", simplified(tolerance_m)(F.to_json("geometry")).alias("geometry")).select(
-        "id", F.from_json("geometry", "array<struct<lat:double,lng:double>>").alias("geometry")
-    )
+    return whole.select("id", simplified(F.col("geometry"), tolerance_m).alias("geometry"))
 
 
 def connector_attributes(members: DataFrame, graph: Graph) -> DataFrame:

@@ -187,12 +187,18 @@ def geo_17_grid_cell(spark, d):
     return D.osm_nodes(spark, d).select("id", x.alias("cx"), y.alias("cy"))
 
 
-@query()
+@query(
+    """SELECT way_id, count(*) AS points, least(count(*), 2) AS kept, round(min_by(lat, pos), 7) AS first_lat, round(max_by(lng, pos), 7) AS last_lng FROM known GROUP BY 1""",
+    graph=True,
+)
 def geo_15_simplified_ways(spark, d):
+    """Ways along the grid are straight, so their ends are what is left."""
     points = sg.resolved_points(D.osm_nodes(spark, d), D.osm_ways(spark, d))
     lines = points.groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("pos", "lat", "lng"))).alias("p"))
-    line = F.transform("p", lambda x: F.struct(x["lat"], x["lng"]))
-    return lines.select("way_id", F.size("p").alias("points"), simplified(10.0)(F.to_json(line)).alias("line"))
+    lines = lines.select("way_id", F.size("p").cast("long").alias("points"), F.transform("p", lambda x: F.struct(x["lat"].alias("lat"), x["lng"].alias("lng"))).alias("line"))
+    kept = lines.withColumn("line", simplified(F.col("line"), 10.0))
+    ends = F.round(F.col("line")[0]["lat"], 7).alias("first_lat"), F.round(F.element_at("line", -1)["lng"], 7).alias("last_lng")
+    return kept.select("way_id", "points", F.size("line").cast("long").alias("kept"), *ends)
 
 
 # Graph construction.

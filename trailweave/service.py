@@ -89,14 +89,14 @@ class Regions:
 
     def at(self, lat: float, lng: float, most_m: float) -> Region:
         radius = radius_km(most_m)
-        core, wide = boxes(self.spark, lat, lng, radius, BUFFER_KM)
+        _, wide = boxes(self.spark, lat, lng, radius, BUFFER_KM)
         key = self.cache.find(lat, lng, radius)
         if key is None:
-            key = self._built(core, wide)
+            key = self._built(wide)
         t = {name: self.cache.read(key, name) for name in _PARTS}
         return Region(Graph(t["nodes"], t["edges"]), Network(t["corridors"], t["connectors"], t["entity_edges"], t["adjacency"]), wide)
 
-    def _built(self, core: dict[str, float], wide: dict[str, float]) -> str:
+    def _built(self, wide: dict[str, float]) -> str:
         tile = f"{self.responses.root}/region-{self.cache.key(wide)}.json"
         query = query_text(wide["min_lat"], wide["min_lng"], wide["max_lat"], wide["max_lng"])
         write_bytes(tile, json.dumps(retried(self.fetch)(query, ENDPOINT)).encode())
@@ -107,7 +107,7 @@ class Regions:
             graph = enriched(graph, self.providers, wide).graph
         network = build_network(graph, self.options, self.by_tier)
         tables = [graph.nodes, graph.edges, network.corridors, network.connectors, network.entity_edges, network.adjacency]
-        return self.cache.write(core, dict(zip(_PARTS, tables, strict=True)))
+        return self.cache.write(wide, dict(zip(_PARTS, tables, strict=True)))
 
 
 def with_elevation(graph: Graph, tiles: DataFrame) -> Graph:

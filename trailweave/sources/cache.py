@@ -18,20 +18,25 @@ class NetworkCache:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _rows(self) -> DataFrame | None:
+        """Every row written, or None before the first."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
+        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return self.spark.read.parquet(f"{self.root}/manifest") if there else None
+
     def manifest(self) -> DataFrame:
         """The last row written for each key that has not been removed since."""
-        try:
-            rows = self.spark.read.parquet(f"{self.root}/manifest")
-        except Exception as e:  # the manifest begins with the first network
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        rows = self._rows()
+        if rows is None:
             return self.spark.createDataFrame([], MANIFEST)
         last = rows.groupBy("key").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "key"]), "seq").alias("v"))
         return last.select("key", "v.*").where("alive").select("key", *BOUNDS, "megabytes")
 
     def _note(self, key: str, box: dict[str, float], megabytes: float, alive: bool) -> None:
+        rows = self._rows()
+        seq = (rows.agg(F.max("seq")).first()[0] if rows is not None else 0) + 1
         row = self.spark.range(1).select(
-            F.lit(key).alias("key"), *[F.lit(float(box[b])).alias(b) for b in BOUNDS], F.lit(megabytes).alias("megabytes"), F.lit(alive).alias("alive"), F.current_timestamp().alias("seq")
+            F.lit(key).alias("key"), *[F.lit(float(box[b])).alias(b) for b in BOUNDS], F.lit(megabytes).alias("megabytes"), F.lit(alive).alias("alive"), F.lit(seq).cast("long").alias("seq")
         )
         row.write.mode("append").parquet(f"{self.root}/manifest")
 
