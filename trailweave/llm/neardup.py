@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import binary_list, connected_components, discard, materialize, slices, small_or_shuffled, word_hashes
+from trailweave.llm.common import binary_list, connected_components, discard, materialize, released, slices, small_or_shuffled, word_hashes
 
 P, MANTISSA, BANDS, ROWS = 8, 10, 40, 5
 #: Members of a block, of those that a whole group is compared with first and of others.
@@ -132,6 +132,7 @@ def _sketches(k: int):
                     [part.column(0), *(pa.array(x, pa.int64()) for x in (n, hi, lo)), pa.array(bands, pa.list_(pa.int64()))],
                     ["doc_id", "n", "hi", "lo", "bands"],
                 )
+        released()
 
     return run
 

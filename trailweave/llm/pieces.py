@@ -46,7 +46,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import materialize, open_fs, scratch_path, slices
+from trailweave.llm.common import materialize, open_fs, released, scratch_path, slices
 
 BLANK = "▁"
 LONG = 60
@@ -287,6 +287,8 @@ def _numbered(path: str, out: str):
                     pa.default_memory_pool().release_unused()
         if ids:
             yield close()
+        ids, lengths, words = [], [], []
+        released()
 
     return run
 
@@ -432,6 +434,8 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
                 found.append(_unpacked_numbers(ids).view("<i4"))
         if chunk is not None:
             yield from finished()
+        found = []
+        released()
 
     from pyspark.sql.pandas.types import to_arrow_type
 
