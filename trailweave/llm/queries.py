@@ -85,9 +85,32 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, out)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailweave.llm.audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailweave.llm.lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=50)
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailweave.llm.common import fold_of
+    from trailweave.llm.quality import predict, train, training_rows
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(training_rows(docs, table(spark, sf_dir, "labels")))
+    return predict(docs, model).withColumn("held_out", fold_of(F.col("doc_id"), 3) == 1).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from trailweave.llm import audit, lexical
+
+    return {"op11_filter_audit": audit.SQL, "op12_lexical_search": lexical.SQL}
