@@ -207,3 +207,42 @@ def test_stream_equals_batch(spark, tmp_path):
     s.start(source, f"{tmp_path}/ck").awaitTermination()
     got = {r.edge_id: (r.value_num, r.n) for r in s.current(spark).collect()}
     assert got == {r.edge_id: (r.value_num, r.n) for r in fusion.fuse(every).collect()}
+
+
+def plain_chains(twin, pairs):
+    """One sequence over all edges: {seed: edges in order}."""
+    used, out = set(), {}
+    for seed in sorted(twin):
+        if seed in used:
+            continue
+        line = [seed]
+        used |= {seed, twin[seed]}
+        for ahead in (True, False):
+            while found := [(-s, y) for a, b, s in pairs for x, y in [(a, b) if ahead else (b, a)] if x == line[-1 if ahead else 0] and y not in used]:
+                nxt = min(found)[1]
+                line.insert(len(line) if ahead else 0, nxt)
+                used |= {nxt, twin[nxt]}
+        out[seed] = line
+    return out
+
+
+@pytest.mark.parametrize("n,blocks", [(60, 1), (30, 3), (200, 4)])
+def test_chains_over_blocks_are_those_of_one_sequence(spark, n, blocks):
+    rng = np.random.default_rng(n + blocks)
+    twin = {k: (k ^ 1 if k < n // 2 * 2 - n // 4 * 2 else None) for k in range(n)}
+    # few different scores, so that ties occur; chains cross blocks and come back
+    near = rng.integers(-6, 7, 3 * n)
+    pairs = {(int(a), int(a + d)) for a, d in zip(rng.integers(6, n - 6, 3 * n), near, strict=True) if d and twin[int(a)] != a + d}
+    pairs = [(a, b, float(rng.integers(1, 4)) / 4) for a, b in sorted(pairs)]
+    edges = spark.createDataFrame([(k, t, min(k, k if t is None else t) // 3) for k, t in twin.items()], "seq long, twin long, place long")
+    found = chains.greedy_chains(edges, spark.createDataFrame(pairs, "a long, b long, score double"), blocks)
+    got = {}
+    for r in found.orderBy("chain_id", "pos").collect():
+        got.setdefault(r.chain_id, []).append(r.edge_seq)
+    assert got == plain_chains(twin, pairs)
+
+
+def test_chains_of_nothing(spark):
+    none = spark.createDataFrame([], "seq long, twin long, place long"), spark.createDataFrame([], "a long, b long, score double")
+    assert chains.greedy_chains(*none, 1).count() == 0
+    assert chains.greedy_chains(*none, 3).count() == 0

@@ -52,7 +52,7 @@ def discard(*frames: DataFrame) -> None:
             hpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
-def _settled_and(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
+def settled_and(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
     """``settled``, and metrics over all rows that the same job takes."""
     seen = Observation()
     out = settled(df.observe(seen, *[v.alias(k) for k, v in metrics.items()]), label)
@@ -79,11 +79,11 @@ def components(links: DataFrame, label: str = "links", crowd: int = CROWD) -> Da
     hi, lo = F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")
     stamp = {"n": F.count(F.lit(1)), "sum": F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))}
     smallest = F.least(F.min("v"), F.col("u")).alias("m")
-    now, before = _settled_and(links.where("a is not null and b is not null and a <> b").select(hi, lo).distinct(), label, **stamp)
+    now, before = settled_and(links.where("a is not null and b is not null and a <> b").select(hi, lo).distinct(), label, **stamp)
     while before["n"]:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
         least = both.groupBy("u").agg(smallest, F.count("*").alias("n"))
-        hubs, seen = _settled_and(least.where(F.col("n") > crowd).select("u", "m"), label, n=F.count(F.lit(1)))
+        hubs, seen = settled_and(least.where(F.col("n") > crowd).select("u", "m"), label, n=F.count(F.lit(1)))
         done, few = [hubs], seen["n"] <= HUBS
         handed = _handed(both, hubs if seen["n"] else None) if few else both.join(least.select("u", "m"), "u")
         large = handed.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -98,7 +98,7 @@ def components(links: DataFrame, label: str = "links", crowd: int = CROWD) -> Da
         else:
             handed = _handed(large, None)
         small = handed.select(F.explode(F.array(F.struct(F.col("u").alias("hi"), "m"), F.struct(F.col("v").alias("hi"), "m"))).alias("e"))
-        new, after = _settled_and(small.where("e.hi <> e.m").select("e.hi", F.col("e.m").alias("lo")).distinct(), label, **stamp)
+        new, after = settled_and(small.where("e.hi <> e.m").select("e.hi", F.col("e.m").alias("lo")).distinct(), label, **stamp)
         discard(now, *done)
         now = new
         if after == before:
