@@ -189,6 +189,68 @@ def test_way_home_is_shortest():
             assert (len(way) if way else None) == want
 
 
+def test_ways_home_are_those_of_a_search_from_each_node():
+    """The same edges as a breadth-first search from the node, whatever the radius and the limit."""
+    rng = random.Random(8)
+    for case in range(30):
+        n = rng.choice([5, 20, 60])
+        place = {str(k): (42.9 + rng.uniform(-1, 1) * 0.05, -85.7 + rng.uniform(-1, 1) * 0.07) for k in range(n)}
+        ways = {}
+        for k in range(rng.randint(n, 4 * n)):
+            u, v = rng.randrange(n), rng.randrange(n + 1)  # one node has no place
+            ways.setdefault(str(u), []).append((str(v), f"e{k}", "c", "corridor", 100.0, 0.5))
+        s = search.LoopSearch(ways, place, "0", 600.0, 6000.0, 0.0)
+        for at in place:
+            for radius in (2000.0, 5000.0, 6400.0):
+                for limit in (1, 3, 50):
+                    todo, came, want = [at], {at: None}, None
+                    depth = {at: 0}
+                    while todo and want is None:
+                        node = todo.pop(0)
+                        for e in ways.get(node, ()) if depth[node] < limit else ():
+                            if e[0] in came or e[0] not in place or s.home(e[0])[0] > radius:
+                                continue
+                            came[e[0]], depth[e[0]] = (node, e), depth[node] + 1
+                            todo.append(e[0])
+                            if e[0] == "0":
+                                want, now = [], "0"
+                                while came[now]:
+                                    now, step = came[now]
+                                    want.insert(0, step)
+                                break
+                    assert s.way_home(at, radius, limit) == want, (case, at, radius, limit)
+
+
+def test_requests_of_an_area_share_the_graph_and_nothing_else(spark):
+    side = 8
+    place = {k: (42.9 + (k // side) * 0.002, -85.7 + (k % side) * 0.0025) for k in range(side * side)}
+    rows = []
+    for k in range(side * side):
+        for v in (k + 1 if k % side < side - 1 else None, k + side if k < side * side - side else None):
+            if v is not None:
+                for a, b in ((k, v), (v, k)):
+                    rows.append((str(a), str(b), f"e{k}-{v}", f"c{k % 5}", "corridor", 210.0 + (k * 7 + v) % 20, 0.3 + (k * 3 + v) % 7 / 10))
+    nodes = spark.createDataFrame([(str(k), *p) for k, p in place.items()], "id string, lat double, lng double")
+    edges = spark.createDataFrame(rows, "from_node string, to_node string, edge_id string, entity_id string, kind string, length_m double, score double")
+    asked = [(k, str(k * 5 % (side * side)), 1500.0 + k % 2 * 500, 3000.0 + k % 3 * 1000, float(k * 40 % 360), ("minimal", "moderate", "frequent")[k % 3], k) for k in range(14)]
+    requests = spark.createDataFrame(asked, "request_id long, node string, min_m double, max_m double, direction double, turns string, seed long")
+    ways = {}
+    for a, b, *e in sorted(rows, key=lambda r: (r[0], r[3], r[2], r[1])):
+        ways.setdefault(a, []).append((b, *e))
+    want = {}
+    for i, node, least, most, direction, turns, seed in asked:
+        p = search.LoopSearch(ways, {str(k): v for k, v in place.items()}, node, least, most, direction, turns, 40, 0.08, seed).run()
+        want[i] = [e[1] for e in p.edges] if p else []
+    for shared in (1, 3, 1000):
+        got = {i: [] for i in want}
+        for r in search.find_loops(requests, nodes, edges, width=40, shared=shared).orderBy("request_id", "pos").collect():
+            got[r.request_id].append(r.edge_id)
+        assert got == want
+    assert any(want.values())
+    sizes = search._areas(requests.join(nodes.withColumnRenamed("id", "node"), "node").unionByName(requests.join(nodes.withColumnRenamed("id", "node"), "node").where("request_id = 1")), 1).groupBy("area").count().collect()
+    assert len(sizes) > 3
+
+
 def test_chains_are_greedy_by_order_and_score(spark, town):  # noqa: F811
     """One sequence over all edges, without components: seeds by order, each time the best open continuation."""
     pairs = chains.continuations(town.edges).collect()
