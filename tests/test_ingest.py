@@ -165,6 +165,42 @@ def test_surface_packages(spark, tmp_path):
         surface.feature_table(path)
 
 
+def test_a_box_reads_its_own_features_only(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(k * 3 + 1, rng.randrange(300), rng.choice([None, 0, 1]), rng.choice([None, "paved", ""]), rng.choice([None, 2, 9]), rng.uniform(0, 20), rng.uniform(40, 60)) for k in range(2000)]
+    path = f"{tmp_path}/a.gpkg"
+    _package(path, rows)
+    with sqlite3.connect(path) as db:
+        db.execute("ALTER TABLE rtree_ways_geom RENAME TO plain")
+        db.execute("CREATE VIRTUAL TABLE rtree_ways_geom USING rtree(id, minx, maxx, miny, maxy)")
+        db.execute("INSERT INTO rtree_ways_geom SELECT * FROM plain")
+    box = {"min_lat": 50.0, "max_lat": 51.0, "min_lng": 5.0, "max_lng": 7.0}
+    every = surface.read_packages(spark).option("rowspertask", 100).load(path).collect()
+    inside = [r for r in every if r.min_lng <= 7.0 and r.max_lng >= 5.0 and r.min_lat <= 51.0 and r.max_lat >= 50.0]
+    want = {}
+    for r in sorted(inside, key=lambda r: (not r.has_ml, -(r.n or 0), r.seq)):
+        want.setdefault(r.osm_id, r)
+    assert {r.osm_id: r for r in surface.package_surfaces(spark, path, box).collect()} == want and want
+    plan = surface.read_packages(spark).load(path).where(surface.overlaps(box))._jdf.queryExecution().executedPlan().toString()
+    assert "surface_package" in plan or "PythonScan" in plan or "BatchScan" in plan
+    reader = surface.GeoPackageReader(path, 50)
+    filters = [surface.LessThanOrEqual(("min_lng",), 7.0), surface.GreaterThanOrEqual(("max_lng",), 5.0), surface.LessThan(("min_lat",), 51.0), surface.GreaterThan(("max_lat",), 50.0), surface.IsNotNull(("label",)), surface.IsNotNull(("n",))]
+    assert list(reader.pushFilters(filters)) == [f for k, f in enumerate(filters) if k != 4]
+    read = [r for p in reader.partitions() for r in reader.read(p)]
+    assert len(read) == len([r for r in inside if r.label is not None]) < len(every) / 10
+    nowhere = surface.GeoPackageReader(path, 50)
+    list(nowhere.pushFilters([surface.GreaterThan(("min_lng",), 99.0)]))
+    assert [r for p in nowhere.partitions() for r in nowhere.read(p)] == []
+
+
+def test_surfaces_in_no_boxes(spark):
+    rows = spark.createDataFrame([(1, 1, True, 1, 0.0, 1.0, 0.0, 1.0)], "seq long, osm_id long, has_ml boolean, n long, min_lat double, max_lat double, min_lng double, max_lng double")
+    none = spark.createDataFrame([], "box_id long, min_lat double, max_lat double, min_lng double, max_lng double")
+    assert surface.surfaces_in_boxes(rows, none).count() == 0
+    point = spark.createDataFrame([(1, 1.0, 1.0, 1.0, 1.0), (2, -90.0, 90.0, -180.0, 180.0), (3, 2.0, 3.0, 2.0, 3.0)], none.schema)
+    assert {r.box_id for r in surface.surfaces_in_boxes(rows, point).collect()} == {1, 2}
+
+
 def test_config_root(tmp_path):
     (tmp_path / "configs").mkdir()
     (tmp_path / "a" / "b").mkdir(parents=True)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trailweave.functions import geo
 from trailweave.functions.compat import ChainOptions
 from trailweave.operators.corridors import Network, build_network
+from trailweave.operators.iterate import settled
 from trailweave.operators.street_graph import Graph
 
 BUFFER_KM = 2.0
@@ -24,9 +25,11 @@ def boxes(spark, lat: float, lng: float, radius_km: float, buffer_km: float = BU
 
 
 def within_box(network: Network, box: dict[str, float]) -> Network:
-    """Corridors with a point in the box, connectors of at least one of them, and the links among these."""
+    """Corridors with a point in the box, connectors of at least one of them, and the links among these.
+
+    What is kept of corridors and connectors is written once; all else is looked up by their ids."""
     bounds = {k: F.lit(float(v)) for k, v in box.items()}
-    own = network.corridors.where(geo.touches_box(F.col("geometry"), bounds))
+    own = settled(network.corridors.where(geo.touches_box(F.col("geometry"), bounds)), "own")
     ids = own.select("id")
     living = (
         network.connectors.select("id", F.posexplode("corridor_ids").alias("k", "c"))
@@ -34,7 +37,7 @@ def within_box(network: Network, box: dict[str, float]) -> Network:
         .groupBy("id")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("corridor_ids"))
     )
-    joining = network.connectors.drop("corridor_ids").join(living, "id").select(network.connectors.columns)
+    joining = settled(network.connectors.drop("corridor_ids").join(living, "id").select(network.connectors.columns), "joining")
     alive = ids.unionByName(joining.select("id"))
     links = network.adjacency.join(alive.withColumnRenamed("id", "a"), "a", "left_semi").join(alive.withColumnRenamed("id", "b"), "b", "left_semi")
     return Network(own, joining, network.entity_edges.join(alive, "id", "left_semi"), links.select("a", "b"))

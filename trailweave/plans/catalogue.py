@@ -51,6 +51,12 @@ def _graph(spark: SparkSession, d: str) -> sg.Graph:
     return sg.build_graph(D.osm_nodes(spark, d), D.osm_ways(spark, d))
 
 
+def _settled_graph(spark: SparkSession, d: str) -> sg.Graph:
+    """The graph as two tables, for queries that read it more than once."""
+    g = _graph(spark, d)
+    return sg.Graph(settled(g.nodes, "nodes"), settled(g.edges, "edges"))
+
+
 def _long(c: str):
     return F.col(c).cast("long").alias(c)
 
@@ -621,8 +627,8 @@ def join_11_adjacency(spark, d):
     return corridors.adjacency(_way_members(e), e)
 
 
-def _way_corridors(spark, d) -> DataFrame:
-    e = _graph(spark, d).edges
+def _way_corridors(spark, d, e: DataFrame | None = None) -> DataFrame:
+    e = _graph(spark, d).edges if e is None else e
     none = "struct<surface:double,speed_limit:double,traffic_control:double,infrastructure:double,scenic:double,elevation:double>"
     # a mean of equal limits is that limit, whatever the order of its sums
     rolled = corridors.roll_up(_way_members(e), e).withColumn("average_speed_limit", F.round("average_speed_limit", 6))
@@ -716,12 +722,13 @@ def agg_32_type_breakdown(spark, d):
     return r.select("type", "n", F.round("km", 4).alias("km"), F.round("share", 8).alias("share"))
 
 
-def _way_network(spark, d) -> corridors.Network:
+def _way_network(spark, d, g: sg.Graph | None = None) -> corridors.Network:
     """Ways of even numbers as corridors, of odd ones as connectors of the corridors that they touch."""
-    g = _graph(spark, d)
-    members, lines = _way_members(g.edges), corridors.geometries(_way_members(g.edges), g.edges, 1e-3)
-    near, even = corridors.adjacency(members, g.edges), F.col("id").cast("long") % 2 == 0
-    own = _way_corridors(spark, d).where(even).join(lines, "id").withColumn("is_destination", F.col("id").cast("long") % 10 == 0)
+    g = g or _settled_graph(spark, d)
+    members = settled(_way_members(g.edges), "members")
+    lines = corridors.geometries(members, g.edges, 1e-3)
+    near, even = settled(corridors.adjacency(members, g.edges), "adjacency"), F.col("id").cast("long") % 2 == 0
+    own = _way_corridors(spark, d, g.edges).where(even).join(lines, "id").withColumn("is_destination", F.col("id").cast("long") % 10 == 0)
     links = near.where((F.col("a").cast("long") % 2 == 1) & (F.col("b").cast("long") % 2 == 0)).groupBy(F.col("a").alias("id")).agg(F.array_sort(F.collect_set("b")).alias("corridor_ids"))
     joining = corridors.connector_attributes(members.where(~even), g).join(links, "id").join(lines, "id")
     return corridors.Network(own, joining, members, near)
@@ -797,15 +804,13 @@ def agg_30_route_scores(spark, d):
 
 @query()
 def gra_06_network(spark, d):
-    g = _graph(spark, d)
-    g = sg.Graph(settled(g.nodes, "nodes"), settled(g.edges, "edges"))
+    g = _settled_graph(spark, d)
     return corridors.network_stats(corridors.build_network(g, by_tier=dict.fromkeys(chains.MIN_LENGTH_M, 200.0)))
 
 
 @query()
 def gra_16_loops(spark, d):
-    g = _graph(spark, d)
-    g = sg.Graph(settled(g.nodes, "nodes"), settled(g.edges, "edges"))
+    g = _settled_graph(spark, d)
     net = corridors.build_network(g, by_tier=dict.fromkeys(chains.MIN_LENGTH_M, 200.0))
     net = corridors.Network(settled(net.corridors, "corridors"), settled(net.connectors, "connectors"), settled(net.entity_edges, "entities"), net.adjacency)
     scores = scoring.score_corridors(net.corridors)
@@ -920,7 +925,8 @@ def agg_28_degree_histogram(spark, d):
     observed=True,
 )
 def join_15_search_edges(spark, d):
-    net, g = _way_network(spark, d), _graph(spark, d)
+    g = _settled_graph(spark, d)
+    net = _way_network(spark, d, g)
     s = scoring.score_corridors(net.corridors, {"walking": scoring.defaults("walking")})
     rows = search.search_edges(net, g, s, "walking")
     return rows.select("from_node", "to_node", "edge_id", "kind", F.when(F.col("kind") == "corridor", F.round("score", 6)).alias("score"))
@@ -1079,6 +1085,44 @@ def src_13_dedupe(spark, d):
     return S.one_per_way(_predicted(spark, d)).select("osm_id", "seq", "n")
 
 
+@query(
+    """WITH r AS (SELECT event_id % 4999 AS osm_id, CASE WHEN user_id % 3 = 0 THEN user_id % 4 END AS label, CASE user_id % 5 WHEN 0 THEN 'paved' WHEN 1 THEN 'gravel' WHEN 2 THEN '' WHEN 3 THEN 'unpaved' END AS combined,
+  CASE WHEN event_id % 6 > 0 THEN event_id % 13 END AS n, event_id AS seq FROM events WHERE user_id % 3 = 0 OR user_id % 5 <> 4),
+ w AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY osm_id ORDER BY label IS NOT NULL DESC, coalesce(n, 0) DESC, seq) = 1)
+ SELECT CAST(osm_id AS VARCHAR) AS osm_way_id, 'surface' AS attribute, 'mapillary' AS source,
+  round(CASE WHEN label IS NULL THEN 0.5e0 WHEN coalesce(n, 0) <= 0 THEN 0.6e0 ELSE least(0.9e0, 0.6e0 + 0.03e0 * n) END, 6) AS confidence,
+  CASE WHEN label = 0 OR (label IS NULL AND combined = 'paved') THEN 'paved' ELSE 'unpaved' END AS v_str FROM w WHERE label IS NOT NULL OR combined <> ''"""
+)
+def src_12_surface_observations(spark, d):
+    """Rows with a prediction, with a combined surface only, and with neither, as observations of ways."""
+    e, u = F.col("event_id"), F.col("user_id")
+    label = F.when(u % 3 == 0, u % 4)
+    combined = F.when(u % 5 == 0, "paved").when(u % 5 == 1, "gravel").when(u % 5 == 2, "").when(u % 5 == 3, "unpaved")
+    rows = D.table(spark, d, "events").where((u % 3 == 0) | (u % 5 != 4)).select(
+        (e % 4999).alias("osm_id"), label.alias("label"), label.isNotNull().alias("has_ml"), combined.alias("combined"), F.when(e % 6 > 0, e % 13).alias("n"), e.alias("seq")
+    )
+    return S.observations(S.one_per_way(rows)).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(
+    """WITH b AS (SELECT c_custkey AS box_id, 40e0 + c_custkey % 37 * 0.11e0 AS y, -90e0 + c_custkey % 53 * 0.13e0 AS x, CASE c_custkey % 4 WHEN 0 THEN 0.01e0 WHEN 1 THEN 0.05e0 WHEN 2 THEN 0.3e0 ELSE 1.5e0 END AS h FROM customer),
+ r AS (SELECT p_partkey AS seq, p_partkey % 397 AS osm_id, p_size % 3 = 0 AS has_ml, CASE WHEN p_size % 7 <> 0 THEN p_size END AS n, 40e0 + p_partkey % 401 * 0.01e0 AS y, -90e0 + p_partkey % 701 * 0.01e0 AS x, p_size * 0.0005e0 AS h FROM part)
+ SELECT box_id, osm_id, seq FROM b JOIN r ON r.x <= b.x + b.h AND r.x + r.h >= b.x AND r.y <= b.y + b.h AND r.y + r.h >= b.y
+ QUALIFY row_number() OVER (PARTITION BY box_id, osm_id ORDER BY has_ml DESC, coalesce(n, 0) DESC, seq) = 1"""
+)
+def join_19_surfaces_in_boxes(spark, d):
+    """Predicted surfaces of many boxes of very different sizes at once."""
+    c, k, s = F.col("c_custkey"), F.col("p_partkey"), F.col("p_size")
+    at = lambda y, x, h: [y.alias("min_lat"), (y + h).alias("max_lat"), x.alias("min_lng"), (x + h).alias("max_lng")]
+    h = F.when(c % 4 == 0, 0.01).when(c % 4 == 1, 0.05).when(c % 4 == 2, 0.3).otherwise(1.5)
+    boxes = D.table(spark, d, "customer").select(c.alias("box_id"), *at(F.lit(40.0) + c % 37 * F.lit(0.11), F.lit(-90.0) + c % 53 * F.lit(0.13), h))
+    rows = D.table(spark, d, "part").select(
+        k.alias("seq"), (k % 397).alias("osm_id"), (s % 3 == 0).alias("has_ml"), F.when(s % 7 != 0, s).cast("long").alias("n"),
+        *at(F.lit(40.0) + k % 401 * F.lit(0.01), F.lit(-90.0) + k % 701 * F.lit(0.01), s * F.lit(0.0005)),
+    )
+    return S.surfaces_in_boxes(rows, boxes).select("box_id", "osm_id", "seq")
+
+
 @query(
     f"""WITH r AS ({_ROWS}), z AS (SELECT osm_id, min(seq) FILTER (n IS NULL) AS z FROM r GROUP BY 1),
  k AS (SELECT osm_id, seq, n FROM r JOIN z USING (osm_id) WHERE n IS NOT NULL AND (z IS NULL OR seq < z) QUALIFY row_number() OVER (PARTITION BY osm_id ORDER BY n DESC, seq) = 1)
