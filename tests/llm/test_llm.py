@@ -242,7 +242,44 @@ def test_licences_match_brute_force(spark):
         assert (r.score > 0) == bool(r.labels) and 0 <= r.score <= 1
     assert "mit" in licences.licence_report(df).where(f"doc_id = {len(cases) - 1}").first().labels
     index = licences.postings(licences.templates(idf))
-    assert {"t": licences.templates(idf).index(next(t for t in licences.templates(idf) if t["label"] == "isc")), "q": 3} in index["copy"]
+    isc = next(k for k, t in enumerate(licences.templates(idf)) if t["label"] == "isc")
+    assert (isc, 3) in {(x["t"], x["q"]) for x in index["copy"]}
+
+
+def test_licence_scan_takes_time_in_proportion(spark):
+    """Notices that repeat short statements thousands of times, and all licences in one file hundreds of times."""
+    statement = "all rights reserved mit license general public license "
+    notice = " x ".join(t for _, t, _ in licences.TEMPLATES)
+    few = table(spark, [statement * 40, f"{notice} " * 2])
+    idf = licences.word_idf(few)
+    licences.licence_report(few).collect()
+    for text, part in ((statement * 5000, statement * 2), (f"{notice} " * 500, f"{notice} " * 2)):
+        df = table(spark, [text]).select("doc_id", "text")
+        began = time.time()
+        r = licences.licence_spans(df, idf=idf).select(F.expr("size(filter(_spans, s -> s.base))").alias("n"), F.expr("array_distinct(transform(_spans, s -> s.label))").alias("labels")).first()
+        assert time.time() - began < 20, len(text)
+        w = _licence_words(text)
+        assert r.n == sum(w[k : k + len(p.split())] == p.split() for _, p in licences.BASE for k in range(len(w)))
+        assert set(r.labels) == {label for label, p in licences.BASE if p in part.replace(" x ", " ")} | _licence_labels(part, idf)
+
+
+def test_licence_identifiers_and_columns(spark):
+    cases = {
+        "// SPDX-License-Identifier: MIT": "mit",
+        "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause",
+        "licensed under the BSD 2-Clause License": "bsd-2-clause",
+        "Distributed under the Boost Software License, Version 1.0.": "bsl-1.0",
+        "made available under the terms of the Eclipse Public License 2.0": "epl-2.0",
+        "licensed under a Creative Commons Attribution 4.0 International License": "cc-by-4.0",
+        "an ordinary text": "",
+    }
+    df = spark.createDataFrame([(k, t, "a", "b", "c") for k, t in enumerate(cases)], "doc_id long, text string, _words string, _words_all string, _hits string")
+    idf = licences.word_idf(df)
+    found = licences.licence_spans(df, idf=idf)
+    assert {*df.columns} < {*found.columns}
+    for r in found.collect():
+        assert ",".join(sorted({s.label for s in r._spans})) == list(cases.values())[r.doc_id]
+        assert (r._words, r._words_all, r._hits) == ("a", "b", "c")
 
 
 def _plain(text):

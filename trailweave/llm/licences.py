@@ -30,6 +30,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 COVERAGE, RARE, LOOKED_UP, DRIFT = 0.7, 16, 3, 3
 
@@ -89,6 +90,27 @@ TEMPLATES = (
         "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file",
         ("mozilla public license",),
     ),
+    ("bsd-2-clause", "licensed under the bsd 2 clause license", ("bsd 2 clause",)),
+    ("bsd-3-clause", "licensed under the bsd 3 clause license", ("bsd 3 clause",)),
+    (
+        "bsd-3-clause",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission",
+        ("may be used to endorse or promote products derived from",),
+    ),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", ("boost software license",)),
+    ("epl-2.0", "made available under the terms of the eclipse public license 2 0", ("eclipse public license 2",)),
+    ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4",)),
+    ("cc-by-sa-4.0", "licensed under a creative commons attribution sharealike 4 0 international license", ("attribution sharealike 4",)),
+    ("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4",)),
+    ("apache-2.0", "spdx license identifier apache 2 0", ("spdx license identifier apache 2",)),
+    ("bsd-2-clause", "spdx license identifier bsd 2 clause", ("spdx license identifier bsd 2",)),
+    ("bsd-3-clause", "spdx license identifier bsd 3 clause", ("spdx license identifier bsd 3",)),
+    ("gpl-2.0", "spdx license identifier gpl 2 0", ("spdx license identifier gpl 2",)),
+    ("gpl-3.0", "spdx license identifier gpl 3 0", ("spdx license identifier gpl 3",)),
+    ("isc", "spdx license identifier isc", ("spdx license identifier isc",)),
+    ("mit", "spdx license identifier mit", ("spdx license identifier mit",)),
+    ("mpl-2.0", "spdx license identifier mpl 2 0", ("spdx license identifier mpl 2",)),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4",)),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa 4",)),
     ("cc0-1.0", "released under cc0 1 0 universal public domain dedication", ("cc0 1 0",)),
@@ -103,7 +125,7 @@ TEMPLATES = (
 
 def words_of(text: Column) -> Column:
     """The words of a text, in order; none for null."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()), SEPARATORS), "")
 
 
 def _strings(items: Sequence[str]) -> Column:
@@ -147,12 +169,13 @@ def templates(idf: dict[str, float]) -> list[dict]:
 
 
 def postings(made: list[dict]) -> dict[str, list[dict]]:
-    """The index: of each indexed word its places ``q`` in templates ``t``."""
+    """The index: of each indexed word its places ``q`` in templates ``t``, and its number ``n``."""
     index: dict[str, list[dict]] = {}
+    numbers: dict[str, int] = {}
     for t, m in enumerate(made):
         for c in m["cells"]:
             if c["w"] in m["indexed"]:
-                index.setdefault(c["w"], []).append({"t": t, "q": c["q"]})
+                index.setdefault(c["w"], []).append({"t": t, "q": c["q"], "n": numbers.setdefault(c["w"], len(numbers))})
     return index
 
 
@@ -167,13 +190,21 @@ def _constant(value: object, kind: str) -> Column:
 
 
 def licence_spans(df: DataFrame, text: str = "text", idf: dict[str, float] | None = None) -> DataFrame:
-    """``df`` with ``_n_words`` and ``_spans``: array of (label, base, start, cover) of all places."""
+    """``df`` with ``_n_words`` and ``_spans``: array of (label, base, start, cover) of all places.
+
+    Hits are dealt to templates as numbers, start and word in one, and each template sorts its own
+    once, so the work is in proportion to the hits, however often a text repeats a licence."""
     idf = idf or word_idf(df, text)
     made = templates(idf)
     index = postings(made)
-    all_templates, looked_at = _constant(made, _KIND), _constant(index, "map<string,array<struct<t:int,q:int>>>")
+    all_templates, looked_at = _constant(made, _KIND), _constant(index, "map<string,array<struct<t:int,q:int,n:int>>>")
     rarest_first = _strings(sorted(index, key=lambda w: (-idf[w], w)))
-    w, n_words = F.col("_words"), F.size("_words")
+    mark = "_"
+    while any(c.startswith(f"{mark}words_") for c in df.columns):
+        mark += "_"
+    own = {c: f"{mark}words_{c}" for c in ("all", "present", "chosen", "hits", "found")}
+    w = F.col(own["all"])
+    n_words = F.size(w)
 
     def chosen(present: Column) -> Column:
         """Of each template whose phrases the document can hold the words of the highest IDF that it has."""
@@ -181,11 +212,13 @@ def licence_spans(df: DataFrame, text: str = "text", idf: dict[str, float] | Non
         return F.array_distinct(F.flatten(F.transform(can_hold, lambda t: F.slice(F.array_intersect(t["indexed"], present), 1, LOOKED_UP))))
 
     def starts(found: Column, k: Column, t: Column) -> Column:
-        """Starts of template ``k`` on which two of its words agree."""
-        own = F.array_sort(F.array_distinct(F.transform(F.filter(found, lambda x: x["t"] == k), lambda x: F.struct(x["start"], x["w"]))))
-        near = lambda x, y: F.coalesce((F.abs(x["start"] - y["start"]) <= t["drift"]) & (x["w"] != y["w"]), F.lit(False))
-        agree = F.filter(own, lambda x, i: (F.size(t["indexed"]) == 1) | near(x, F.get(own, i - 1)) | near(x, F.get(own, i + 1)))
-        return F.array_distinct(F.transform(agree, lambda x: x["start"]))
+        """Starts of template ``k`` on which two of its words agree; evaluated once, as an element of an array."""
+        codes = F.array_sort(F.array_distinct(F.transform(F.filter(found, lambda x: x["t"] == k), lambda x: x["code"])))
+        begin, word = lambda x: F.shiftright(x, 12), lambda x: x.bitwiseAND(4095)
+        near = lambda x, y: F.coalesce((F.abs(begin(x) - begin(y)) <= t["drift"]) & (word(x) != word(y)), F.lit(False))
+        alone = F.size(t["indexed"]) == 1
+        agree = lambda codes: F.filter(codes, lambda x, i: alone | near(x, F.get(codes, i - 1)) | near(x, F.get(codes, i + 1)))
+        return F.array_distinct(F.transform(F.flatten(F.transform(F.array(codes), agree)), lambda x: begin(x).cast("int")))
 
     def window(begin: Column, length: Column) -> Column:
         """Words of the document from a place on, which may lie before its first."""
@@ -197,7 +230,7 @@ def licence_spans(df: DataFrame, text: str = "text", idf: dict[str, float] | Non
         return F.exists(off, lambda o: (at(o) >= 0) & (at(o) < n_words) & (window(at(o), F.size(key["words"])) == key["words"]))
 
     def spans(t: Column, k: Column) -> Column:
-        kept = F.filter(starts(F.col("_found"), k, t), lambda d: F.forall(t["keys"], lambda key: phrase_at(t, d, key)))
+        kept = F.filter(starts(F.col(own["found"]), k, t), lambda d: F.forall(t["keys"], lambda key: phrase_at(t, d, key)))
         cover = lambda d: F.aggregate(
             t["cells"], F.lit(0.0), lambda s, c: s + F.when(F.array_contains(window(d + c["q"] - t["drift"], 2 * t["drift"] + 1), c["w"]), c["share"]).otherwise(0.0)
         )
@@ -206,18 +239,18 @@ def licence_spans(df: DataFrame, text: str = "text", idf: dict[str, float] | Non
 
     none = "array<struct<label:string,base:boolean,start:int,cover:double>>"
     placed = F.transform(w, lambda x, p: F.struct(x.alias("w"), p.alias("p")))
-    start = lambda h: F.transform(
-        F.element_at(looked_at, h["w"]), lambda x: F.struct(x["t"].alias("t"), (h["p"] - x["q"]).alias("start"), h["w"].alias("w"))
-    )
+    code = lambda h, x: F.shiftleft((h["p"] - x["q"]).cast("long"), 12) + x["n"]
+    start = lambda h: F.transform(F.element_at(looked_at, h["w"]), lambda x: F.struct(x["t"].alias("t"), code(h, x).alias("code")))
+    c = {k: F.col(v) for k, v in own.items()}
     return (
-        df.withColumn("_words", words_of(F.col(text)))
+        df.withColumn(own["all"], words_of(F.col(text)))
         .withColumn("_n_words", n_words)
-        .withColumn("_present", F.array_intersect(rarest_first, w))
-        .withColumn("_chosen", F.when(F.size("_present") > 0, chosen(F.col("_present"))))
-        .withColumn("_hits", F.when(F.size("_chosen") > 0, F.filter(placed, lambda h: F.array_contains("_chosen", h["w"]))))
-        .withColumn("_found", F.flatten(F.transform("_hits", start)))
-        .withColumn("_spans", F.when(F.size("_found") > 0, F.flatten(F.transform(all_templates, spans))).otherwise(F.array().cast(none)))
-        .drop("_words", "_present", "_chosen", "_hits", "_found")
+        .withColumn(own["present"], F.array_intersect(rarest_first, w))
+        .withColumn(own["chosen"], F.when(F.size(c["present"]) > 0, chosen(c["present"])))
+        .withColumn(own["hits"], F.when(F.size(c["chosen"]) > 0, F.filter(placed, lambda h: F.array_contains(c["chosen"], h["w"]))))
+        .withColumn(own["found"], F.flatten(F.transform(c["hits"], start)))
+        .withColumn("_spans", F.when(F.size(c["found"]) > 0, F.flatten(F.transform(all_templates, spans))).otherwise(F.array().cast(none)))
+        .drop(*own.values())
     )
 
 
