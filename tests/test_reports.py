@@ -4,6 +4,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,6 +252,86 @@ def test_requests_of_an_area_share_the_graph_and_nothing_else(spark):
     assert len(sizes) > 3
 
 
+def test_crowded_points_cluster_as_few_ones(spark):
+    from tests.test_operators import OBS
+    from trailweave.operators import fusion
+
+    rng = random.Random(11)
+    rows = []
+    for edge, n, spread in (("a", 400, 0.0006), ("b", 150, 0.002), ("c", 300, 0.00002), ("d", 1, 1.0), ("e", 40, 0.0)):
+        lat = rng.choice([0.0, 43.0, -61.0])
+        for k in range(n):
+            rows.append((rng.randrange(10**9), edge, "stop-sign", rng.choice(["mapillary", "osm-tag"]), 0.5, None, None, None, lat + rng.uniform(-1, 1) * spread, 9.99995 + rng.uniform(-1, 1) * spread, rng.choice([0.25, 0.5, 1.0])))
+    rows += [(k, "line", "stop-sign", "osm-tag", 0.5, None, None, None, 43.0 + k * 0.0001, 10.0, 0.5) for k in range(30)]
+    obs = spark.createDataFrame(rows, OBS)
+    key = lambda r: (r.edge_id, r.n, round(r.value_num, 9), round(r.value_lat, 9), round(r.value_lng, 9), round(r.confidence, 9))
+    want = sorted(map(key, fusion.fuse_points(obs).collect()))
+    assert sorted(map(key, fusion.fuse_points(obs, crowd=35).collect())) == want
+    assert sorted(map(key, fusion.fuse_points(obs, crowd=0).collect())) == want
+    clusters = {}
+    for r in fusion.cluster_points(obs).collect():
+        clusters.setdefault(r.edge_id, {}).setdefault(r.centre.seq, set()).add(r.seq)
+    for edge in clusters:
+        own = sorted((r for r in rows if r[1] == edge), key=lambda r: r[0])
+        plain = fusion.point_clusters(*(np.array([r[c] for r in own]) for c in (8, 9)))
+        assert {own[c[0]][0]: {own[k][0] for k in c} for c in plain} == clusters[edge]
+    nowhere = spark.createDataFrame([(1, "x", "stop-sign", "s", 0.5, None, None, None, None, None, 0.5)], OBS)
+    assert fusion.cluster_points(nowhere).count() == 1 and fusion.cluster_points(nowhere.where("false")).count() == 0
+
+
+def test_snapping_ring_by_ring(spark):
+    """The same as all distances, in crowded and in empty places."""
+    rng = random.Random(6)
+    nodes = [(f"n{k}", 42.9 + rng.gauss(0, 0.01), -85.7 + rng.gauss(0, 0.012)) for k in range(700)] + [(f"f{k}", 43.2 + k * 0.01, -85.7) for k in range(6)] + [("pole", 89.0, 10.0)]
+    edges = [(n[0], "x") for n in nodes for _ in range(rng.choice([0, 1, 2, 3, 4]))]
+    ways = {}
+    for u, _ in edges:
+        ways[u] = ways.get(u, 0) + 1
+    starts = [(k, 42.9 + rng.uniform(-1, 1) * 0.05, -85.7 + rng.uniform(-1, 1) * 0.06) for k in range(40)] + [(90, 43.22, -85.71), (91, 10.0, 10.0), (92, 89.001, 10.5)]
+
+    def far(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * 6_371_000 * math.asin(math.sqrt(h))
+
+    want = {}
+    for i, lat, lng in starts:
+        near = sorted((far(lat, lng, a, b), n) for n, a, b in nodes if n in ways and far(lat, lng, a, b) <= 5000)[:50]
+        if near:
+            limit = max(3 * near[0][0], 500)
+            fit = [(-ways[n], d, n) for d, n in near if ways[n] >= 3 and d <= limit]
+            want[i] = min(fit)[2] if fit else near[0][1]
+    got = search.snap(
+        spark.createDataFrame(starts, "start_id long, lat double, lng double"), spark.createDataFrame(nodes, "id string, lat double, lng double"), spark.createDataFrame(edges, "from_node string, to_node string")
+    )
+    assert {r.start_id: r.node for r in got.collect()} == want and 91 not in want
+
+
+def test_writers_of_the_cache_do_not_meet(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from trailweave.sources.cache import NetworkCache
+
+    c = NetworkCache(spark, f"file://{tmp_path}/c")
+    boxes = [{"min_lat": 40.0 + k, "min_lng": -86.0, "max_lat": 41.0 + k, "max_lng": -85.0} for k in range(2)]
+    first = c.write(boxes[0], {"t": spark.range(1)})
+    held = c.read(first, "t")
+    with ThreadPoolExecutor(6) as pool:
+        keys = list(pool.map(lambda k: NetworkCache(spark, c.root).write(boxes[k % 2], {"t": spark.range(k + 2)}, k), range(12)))
+    rows = c.log().orderBy("seq").collect()
+    assert [r.seq for r in rows] == list(range(1, 14)) and len({r.version for r in rows}) == 13
+    for key in set(keys):
+        last = [r for r in rows if r.key == key][-1]
+        assert c.read(key, "t").count() == int(last.megabytes) + 2
+        assert c.manifest().where(f"key = '{key}'").first().megabytes == last.megabytes
+    assert held.count() == 1  # a reader keeps what it has found
+    (tmp_path / "c" / "log" / "000000000099.json").touch()  # claimed, not yet written
+    assert c.log().count() == 13 and c.manifest().count() == 2
+    assert c.vacuum() == 11 and {c.read(k, "t").count() > 0 for k in set(keys)} == {True}
+    assert c.remove() == 2 and c.manifest().count() == 0
+    with pytest.raises(KeyError):
+        c.read(first, "t")
+
+
 def test_chains_are_greedy_by_order_and_score(spark, town):  # noqa: F811
     """One sequence over all edges, without components: seeds by order, each time the best open continuation."""
     pairs = chains.continuations(town.edges).collect()
