@@ -87,6 +87,52 @@ def test_pbf_to_a_graph(spark, town_file):
     assert kept == {n for i, r, t in STREETS if t["highway"] in ("residential", "path") for n in r}
 
 
+def _dense(places):
+    ids = sorted(places)
+    at = lambda k: _packed(_steps([round(places[i][k] * 1e7) for i in ids]))
+    return _blob(_field(1, _field(1, b"")) + _field(2, _field(2, _field(1, _packed(_steps(ids))) + _field(8, at(0)) + _field(9, at(1)))))
+
+
+def _way(i, refs, tags):
+    words = [b"", *(x.encode() for pair in tags.items() for x in pair)]
+    keys = bytes(range(1, len(words), 2))
+    way = _field(1, i) + _field(2, keys) + _field(3, bytes(k + 1 for k in keys)) + _field(8, _packed(_steps(refs)))
+    return _blob(_field(1, b"".join(_field(1, w) for w in words)) + _field(2, _field(3, way)))
+
+
+def test_the_second_pass_opens_only_what_it_needs(spark, tmp_path):
+    places = {b * 1_000_000 + k * 3: (40.0 + b * 0.01 + k * 1e-5, 5.0 + k * 2e-5) for b in range(30) for k in range(400)}
+    blobs = [{i: p for i, p in places.items() if i // 1_000_000 == b} for b in range(30)]
+    blobs.append({5: (1.0, 2.0), 10**15: (3.0, 4.0)})  # ids far apart: always read
+    roads = [(1, [3_000_000, 3_000_003, 3_000_300], {"highway": "residential"}), (2, [3_000_300, 17_000_006, 100], {"highway": "path"}), (3, [9_000_000, 9_000_003], {"building": "yes"})]
+    path = tmp_path / "a.pbf"
+    path.write_bytes(_blob(b"", b"OSMHeader") + b"".join(map(_dense, blobs)) + b"".join(_way(*w) for w in roads))
+    nodes, ways = pbf.two_passes(spark, f"file://{path}")
+    assert {r.id for r in ways.collect()} == {1, 2}
+    got = {r.id: (round(r.lat, 7), round(r.lon, 7)) for r in nodes.collect()}
+    want = {3_000_000, 3_000_003, 3_000_300, 17_000_006}
+    assert got == {i: tuple(round(x, 7) for x in places[i]) for i in want}
+    all_elements = pbf.read_pbf(spark, str(path))
+    assert got == {r.id: (round(r.lat, 7), round(r.lon, 7)) for r in pbf.nodes_of(all_elements).collect()}
+    index = pbf.scanned(pbf.blob_places(spark, str(path)), frozenset(), outlines=True).where("type = 'blob'")
+    assert index.count() == 31 and index.agg(F.max("most")).first()[0] == 10**15
+    wanted = pbf.needed_blobs(index, ways.select(F.explode("refs").alias("id")))
+    assert {r.blob for r in wanted.collect()} == {4, 18, 1, 31}  # by place in the file; 100 lies in a cell of the first
+    assert pbf.scanned(wanted, frozenset({"way"})).count() == 0
+    empty = tmp_path / "empty.pbf"
+    empty.write_bytes(_blob(b"", b"OSMHeader"))
+    assert [df.count() for df in pbf.two_passes(spark, str(empty))] == [0, 0]
+    graph, stats = ingest.ingest(spark, str(path))
+    assert graph.edges.count() > 0 and stats.first().ways == 2
+
+
+def test_packed_numbers():
+    rng = random.Random(2)
+    values = [rng.choice([0, 1, -1, rng.randint(-(2**62), 2**62), rng.randint(-300, 300)]) for _ in range(500)]
+    assert pbf.numbers(_packed(values), True) == values == [v for k in range(0, 500, 5) for v in pbf.numbers(_packed(values[k : k + 5]), True)]
+    assert pbf.numbers(b"") == [] and pbf.numbers(bytes(range(100))) == list(range(100))
+
+
 def test_response_cache(tmp_path):
     c, asked = responses.ResponseCache(f"file://{tmp_path}/r"), []
 
