@@ -137,6 +137,27 @@ def test_lines_and_elevation(spark):
     assert got[1] == pytest.approx(5.0) and got[2] is None and got[3] is None
 
 
+def test_heights_are_read_by_strip(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    side, names = 201, {"N42W086.hgt": (42, -86), "S01E010.hgt": (-1, 10), "N43W086.hgt": (43, -86)}
+    tiles = []
+    for name in names:
+        tile = rng.integers(-50, 3000, (side, side)).astype(">i2")
+        tile[3, 5:40] = elevation.VOID
+        (tmp_path / name).write_bytes(tile.tobytes())
+        tiles.append((name, bytearray(tile.tobytes())))
+    (tmp_path / "N10E010.hgt").write_bytes(b"broken")
+    rows = [(k, y + float(rng.random()), x + float(rng.random())) for k in range(900) for y, x in [list(names.values())[k % 3]]]
+    rows += [(1000, 42.0, -86.0), (1001, 43.0, -85.000001), (1002, 10.5, 10.5), (1003, 60.0, 60.0), (1004, None, 3.0), (1005, 42.999999, -85.5)] + [(2000 + k, 42.5, -85.5) for k in range(500)]
+    points = spark.createDataFrame(rows, "point_id long, lat double, lng double")
+    of_rows = {r.point_id: r.elevation_m for r in elevation.heights(points, spark.createDataFrame(tiles, "tile string, content binary")).collect()}
+    of_files = {r.point_id: r.elevation_m for r in elevation.heights_of_files(points, f"file://{tmp_path}").collect()}
+    assert len(of_files) == len(rows) and of_files == of_rows | {1004: None} and of_files[1003] is None and of_files[1002] is None
+    reader = elevation._Tiles(str(tmp_path))
+    reader.heights("N42W086.hgt", np.array([42.5, 42.501]), np.array([-85.5, -85.4]))
+    assert 0 < reader.read_bytes <= 4 * 2 * side
+
+
 def test_sources(spark, tmp_path):
     reply = {"elements": [
         {"type": "way", "id": 9, "nodes": [1, 2, 3], "geometry": [{"lat": 1.0, "lon": 2.0}, None, {"lat": 3.0, "lon": 4.0}], "tags": {"highway": "path"}},

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailweave.functions import geo
+from trailweave.sources.files import open_fs
 
 SIDE, VOID = 3601, -32768
 
@@ -26,17 +29,79 @@ def tile_name(lat: Column, lng: Column) -> Column:
     )
 
 
-def interpolated(raster: np.ndarray, lat: np.ndarray, lng: np.ndarray) -> np.ndarray:
-    """Bilinear heights in a square tile whose first row is its north edge; NaN where a corner is void."""
-    n = len(raster) - 1
+def interpolated(raster: np.ndarray, lat: np.ndarray, lng: np.ndarray, width: int | None = None, first: int = 0) -> np.ndarray:
+    """Bilinear heights in a square tile whose first row is its north edge; NaN where a corner is void.
+    ``raster`` may be some rows of a tile of ``width``, from the row ``first`` on."""
+    n = (width or len(raster)) - 1
     y, x = (np.floor(lat) + 1 - lat) * n, (lng - np.floor(lng)) * n
     r, c = np.minimum(y.astype(int), n - 1), np.minimum(x.astype(int), n - 1)
     fy, fx = y - r, x - c
-    corners = [raster[r + i, c + j].astype("f8") for i in (0, 1) for j in (0, 1)]
+    corners = [raster[r - first + i, c + j].astype("f8") for i in (0, 1) for j in (0, 1)]
     out = corners[0] * (1 - fy) * (1 - fx) + corners[1] * (1 - fy) * fx + corners[2] * fy * (1 - fx) + corners[3] * fy * fx
     return np.where(np.any([k == VOID for k in corners], axis=0), np.nan, out)
 
 
+#: Strips of a tile, from north to south, that are read at a time.
+STRIPS = 64
+
+
+class _Tiles:
+    """Strips of the tile files of a folder; the file and the strip read last stay open."""
+
+    def __init__(self, folder: str):
+        self.fs, base = open_fs(folder)
+        self.base, self.name, self.file, self.width, self.rows, self.read_bytes = base.rstrip("/"), None, None, 0, (0, 0, None), 0
+
+    def _open(self, name: str) -> None:
+        self.name, self.width, self.rows = name, 0, (0, 0, None)
+        path = f"{self.base}/{name}"
+        size = self.fs.get_file_info(path).size or 0  # none where there is no file
+        width = int(round((size // 2) ** 0.5))
+        if width > 1 and width * width * 2 == size:
+            self.file, self.width = self.fs.open_input_file(path), width
+
+    def heights(self, name: str, lat: np.ndarray, lng: np.ndarray) -> np.ndarray:
+        if name != self.name:
+            self._open(name)
+        if not self.width:
+            return np.full(len(lat), np.nan)
+        n = self.width - 1
+        row = np.minimum(((np.floor(lat) + 1 - lat) * n).astype(int), n - 1)
+        first, past = int(row.min()), int(row.max()) + 2
+        if not self.rows[0] <= first < past <= self.rows[1]:
+            self.file.seek(2 * self.width * first)
+            data = self.file.read(2 * self.width * (past - first))
+            self.read_bytes += len(data)
+            self.rows = first, past, np.frombuffer(data, ">i2").reshape(past - first, self.width)
+        return interpolated(self.rows[2], lat, lng, self.width, self.rows[0])
+
+
+def heights_of_files(points: DataFrame, folder: str) -> DataFrame:
+    """``heights`` from the tile files of a shared folder or store, such as N42W086.hgt.
+
+    Points are brought together by strip of a tile, and a task reads of each file, by offset, the rows
+    that its points need. Only points move; a crowded strip is split among tasks.
+    """
+    strip = F.least(F.lit(STRIPS - 1), F.floor((F.floor("lat") + 1 - F.col("lat")) * STRIPS).cast("int"))
+    id_kind = points.schema["point_id"].dataType.simpleString()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tiles = _Tiles(folder)
+        for batch in batches:
+            names, strips = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            lat, lng = (batch.column(k).to_numpy(zero_copy_only=False).astype("f8") for k in (1, 2))
+            z, start = np.full(len(names), np.nan), 0
+            for (name, _), run in groupby(zip(names, strips, strict=True)):
+                stop = start + sum(1 for _ in run)
+                if name is not None:
+                    z[start:stop] = tiles.heights(name, lat[start:stop], lng[start:stop])
+                start = stop
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(z, pa.float64(), mask=np.isnan(z))], ["point_id", "lat", "lng", "elevation_m"])
+
+    placed = points.select("point_id", F.col("lat").cast("double"), F.col("lng").cast("double"), tile_name(F.col("lat"), F.col("lng")).alias("tile"), strip.alias("strip"))
+    return placed.hint("rebalance", "tile", "strip").sortWithinPartitions("tile", "strip").mapInArrow(read, f"point_id {id_kind}, lat double, lng double, elevation_m double")
+
+
 def heights(points: DataFrame, tiles: DataFrame) -> DataFrame:
     """``points(point_id, lat, lng)`` with ``elevation_m``, null without a tile or by a void.
 

@@ -79,7 +79,7 @@ class Regions:
         cache: NetworkCache,
         responses: ResponseCache,
         fetch: Fetch,
-        tiles: DataFrame | None = None,
+        tiles: DataFrame | str | None = None,
         providers: Sequence[Provider] = (),
         options: ChainOptions | None = None,
         by_tier: dict[str, float] | None = None,
@@ -110,11 +110,12 @@ class Regions:
         return self.cache.write(wide, dict(zip(_PARTS, tables, strict=True)))
 
 
-def with_elevation(graph: Graph, tiles: DataFrame) -> Graph:
-    """The graph with the climbs of its edges, from ``tiles(tile, content)``."""
+def with_elevation(graph: Graph, tiles: DataFrame | str) -> Graph:
+    """The graph with the climbs of its edges, from a folder of tile files or ``tiles(tile, content)``."""
     places = graph.edges.select(F.explode("geometry").alias("p")).select("p.lat", "p.lng").distinct()
     points = places.withColumn("point_id", F.xxhash64("lat", "lng"))
-    return Graph(graph.nodes, elevation.with_climbs(graph.edges, elevation.heights(points, tiles)))
+    found = elevation.heights_of_files(points, tiles) if isinstance(tiles, str) else elevation.heights(points, tiles)
+    return Graph(graph.nodes, elevation.with_climbs(graph.edges, found))
 
 
 def network_answer(network: Network, activity: str, types: tuple[str, ...] | None = None, min_length_m: float | None = None, connectors: bool = False) -> DataFrame:
