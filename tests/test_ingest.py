@@ -1,9 +1,11 @@
 """Files to graphs, caches of responses, providers, packages of surfaces, order statistics, components."""
 
 import json
+import os
 import random
 import sqlite3
 import struct
+import time
 import zlib
 
 import pytest
@@ -162,7 +164,7 @@ def test_enrichment_goes_on_without_failing_providers(spark, tmp_path):
             raise OSError("down")
 
     box = {"min_lat": 42.8, "max_lat": 43.0, "min_lng": -85.8, "max_lng": -85.6}
-    assert len(stops.boxes(spark, box)) == 4
+    assert stops.boxes(spark, box).count() == 4
     out = enriched(graph, [SurfaceProvider(f"{tmp_path}/s"), Broken(lambda b: [], name="broken"), stops], box)
     assert {(r.provider, r.observations, r.failed) for r in out.providers.collect()} == {("surface predictions", 1, False), ("broken", 0, True), ("detections", 1, False)}
     surfaces = {r.id: r.surface for r in out.graph.edges.collect() if r.osm_way_id == "9"}
@@ -175,6 +177,46 @@ def test_enrichment_goes_on_without_failing_providers(spark, tmp_path):
     assert set(shaped(spark.range(1)).columns) >= {"seq", "v_conf"}
 
 
+def test_boxes_are_fetched_by_tasks_and_a_failing_one_is_tried_again_alone(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def fetch(box):
+        """One feature a box; the box of the least corner fails at first."""
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()} {box['min_lat']:.3f} {box['min_lng']:.3f}\n")
+        with open(log) as f:
+            asked = sum(line.split()[1:] == ["42.000", "-86.000"] for line in f)
+        if round(box["min_lat"], 3) == 42 and round(box["min_lng"], 3) == -86 and asked < 3:
+            raise OSError("busy")
+        return [{"geometry": {"coordinates": [box["min_lng"], box["min_lat"]]}, "object_value": v} for v in ("object--crosswalk", "unknown", "regulatory--stop--g1")]
+
+    box = {"min_lat": 42.0, "max_lat": 42.3, "min_lng": -86.0, "max_lng": -85.6}
+    p = DetectionProvider(fetch, 0.1, lanes=3, pauses_s=(0.0, 0.0))
+    rows = sorted(p.observations(spark, box).collect())
+    asked = [line.split() for line in open(log).read().splitlines()]
+    assert len({tuple(a[1:]) for a in asked}) == 12 and len(asked) == 14  # the failing box alone is asked more than once
+    assert str(os.getpid()) not in {a[0] for a in asked}
+    assert [r.attribute for r in rows] == ["road-crossing", "stop-sign"] * 12 and len({r.seq for r in rows}) == 24
+    corners = [(round(r.v_lat, 3), round(r.v_lng, 3)) for r in rows]
+    assert corners == sorted(corners)  # seq follows the boxes, row by row
+    with pytest.raises(Exception, match="busy"):
+        DetectionProvider(fetch, 0.1, pauses_s=()).observations(spark, {**box, "max_lat": 42.1, "max_lng": -85.9}).collect() if not os.remove(log) else None
+
+
+def test_requests_of_all_tasks_share_one_rate(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def fetch(box):
+        with open(log, "a") as f:
+            f.write(f"{time.time()}\n")
+        return []
+
+    box = {"min_lat": 42.0, "max_lat": 42.2, "min_lng": -86.0, "max_lng": -85.6}
+    assert DetectionProvider(fetch, 0.1, delay_s=0.4, lanes=2).observations(spark, box).count() == 0
+    at = sorted(map(float, open(log).read().split()))
+    assert len(at) == 8 and at[-1] - at[0] >= 0.4 * 6
+
+
 def _package(path, rows):
     with sqlite3.connect(path) as db:
         db.execute("CREATE TABLE gpkg_contents (table_name TEXT, data_type TEXT)")

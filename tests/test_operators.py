@@ -219,15 +219,52 @@ def test_config_and_cache(spark, tmp_path):
     assert c.stats().first().entries == 1 and c.remove(key) == 1 and c.find(42.5, -85.5, 5) is None
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = [(k, f"e{k % 5}", "speed-limit", "osm-tag", 0.5, None, float(k % 7 * 10), None, None, None, None) for k in range(40)]
+def _observed(n, seed=5):
+    rng = np.random.default_rng(seed)
+    kinds = ["surface", "speed-limit", "bicycle-infra", "scenic", "traffic-signal", "stop-sign", "unheard-of"]
+    for k in range(n):
+        a, source = kinds[rng.integers(7)], ["osm-tag", "mapillary", "user-report", None][rng.integers(4)]
+        edge = "hot" if rng.random() < 0.3 else f"e{rng.integers(5)}"
+        gone = rng.random() < 0.05
+        number = None if gone or a not in ("speed-limit", "scenic") else float(rng.integers(8) * 10) if a == "speed-limit" else float(rng.random())
+        text = None if gone or a != "surface" else ["paved", "unpaved", "unknown"][rng.integers(3)]
+        point = a in ("traffic-signal", "stop-sign")
+        spot = [42.9 + float(rng.integers(30)) * 4e-5, -85.7 + float(rng.integers(30)) * 5e-5, float(rng.integers(1, 9)) / 8] if point else [None] * 3
+        yield (k, edge, a, source, float(rng.integers(0, 11)) / 10, text, number, bool(rng.integers(2)) if a == "bicycle-infra" and not gone else None, *spot)
+
+
+def _fused_rows(df):
+    plain = lambda v: round(v, 7) if isinstance(v, float) else v
+    return {(r.edge_id, r.attribute): tuple(map(plain, r))[2:] for r in df.collect()}
+
+
+def test_stream_equals_batch_over_a_restart(spark, tmp_path):
+    rows, size = list(_observed(1500)), 250
     every = spark.createDataFrame(rows, OBS)
-    every.repartition(4).write.parquet(f"{tmp_path}/in")
+    (tmp_path / "in").mkdir()
     source = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    s = ObservationStream(f"{tmp_path}/state")
-    s.start(source, f"{tmp_path}/ck").awaitTermination()
-    got = {r.edge_id: (r.value_num, r.n) for r in s.current(spark).collect()}
-    assert got == {r.edge_id: (r.value_num, r.n) for r in fusion.fuse(every).collect()}
+    state = []
+    for some in (range(4), range(4, 6)):  # the second half finds the sums of the first in the checkpoint
+        for k in some:
+            spark.createDataFrame(rows[k * size : (k + 1) * size], OBS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = ObservationStream(f"{tmp_path}/state")
+        q = stream.start(source, f"{tmp_path}/ck")
+        q.awaitTermination()
+        state.append(q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] if q.recentProgress else None)
+    want = _fused_rows(fusion.fuse(every))
+    assert _fused_rows(stream.current(spark)) == want and len(want) == 36
+    assert state[-1] == 36  # an edge and attribute each, however many observations came
+    assert not list((tmp_path / "state" / "sums").iterdir())
+
+
+def test_stream_batch_run_again_and_chosen_kinds(spark, tmp_path):
+    rows = [r for r in _observed(300, 7) if r[2] == "surface"]
+    every = spark.createDataFrame(rows, OBS)
+    every.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = ObservationStream(f"{tmp_path}/state", {"surface": "votes"})
+    for checkpoint in ("a", "b"):  # without its checkpoint the first batch comes again, and replaces its folder
+        stream.start(spark.readStream.schema(every.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/{checkpoint}").awaitTermination()
+    assert _fused_rows(stream.current(spark)) == _fused_rows(fusion.fuse(every))
 
 
 def plain_chains(twin, pairs):

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Protocol, runtime_checkable
 
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from trailweave.operators.iterate import settled
 from trailweave.operators.street_graph import Graph
 from trailweave.sources import detections, surface
 
+#: Numbers that a box's features have to themselves; no answer is as long.
+BOX = 1 << 24
+
 #: Columns of observations, with their types.
 COLUMNS = {
     "seq": "long",
@@ -59,28 +64,52 @@ class SurfaceProvider:
 
 @dataclass
 class DetectionProvider:
-    """Map features of a web service, box by box; ``fetch`` gives a box's features as dictionaries."""
+    """Map features of a web service; ``fetch`` gives a box's features as dictionaries.
+
+    The area is cut into boxes, which tasks fetch: ``lanes`` tasks, each of which waits ``lanes`` times
+    ``delay_s`` between its requests and starts in its turn, so all of them together make one
+    request each ``delay_s``. A box that fails is tried again alone, after each of ``pauses_s``; one that
+    still fails fails the scan, as boxes left out would look like places without features. ``seq`` orders
+    features by box and then by place in its answer. Each action on the result asks anew, so settle it.
+    """
 
     fetch: Callable[[dict[str, float]], Sequence[dict]]
     degrees: float = 0.01
     delay_s: float = 0.0
+    lanes: int = 4
+    pauses_s: tuple[float, ...] = (1.0, 5.0)
     name: str = "detections"
     source: str = "mapillary"
     provides: tuple[str, ...] = ("stop-sign", "traffic-signal", "road-crossing")
 
-    def boxes(self, spark: SparkSession, box: dict[str, float]) -> list[dict[str, float]]:
-        cut = spark.range(1).select(F.explode(sub_boxes({k: F.lit(float(v)) for k, v in box.items()}, self.degrees)).alias("b"))
-        return [r.asDict() for r in cut.select("b.*").collect()]  # a row for each request to make
+    def boxes(self, spark: SparkSession, box: dict[str, float]) -> DataFrame:
+        """``k, min_lat, max_lat, min_lng, max_lng``: the requests to make, numbered row by row."""
+        cut = sub_boxes({k: F.lit(float(v)) for k, v in box.items()}, self.degrees)
+        return spark.range(1).select(F.posexplode(cut).alias("k", "b")).select(F.col("k").cast("long"), "b.*")
 
     def observations(self, spark: SparkSession, box: dict[str, float]) -> DataFrame:
-        rows: list[tuple] = []
-        for k, part in enumerate(self.boxes(spark, box)):
-            if k and self.delay_s:
-                time.sleep(self.delay_s)
-            for f in self.fetch(part):
-                lng, lat = f["geometry"]["coordinates"]
-                rows.append((len(rows), f["object_value"], float(lat), float(lng), f.get("last_seen_at")))
-        return detections.observations(spark.createDataFrame(rows, "seq long, object_value string, lat double, lng double, last_seen_at string"))
+        fetch, lanes, delay, pauses = self.fetch, self.lanes, self.delay_s, self.pauses_s
+
+        def asked(part: dict[str, float]) -> Sequence[dict]:
+            for pause in pauses:
+                try:
+                    return fetch(part)
+                except Exception:  # what it was shows when the last attempt fails
+                    time.sleep(pause)
+            return fetch(part)
+
+        def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            wait = delay * TaskContext.get().partitionId() % (delay * lanes) if delay else 0
+            for parts in batches:
+                for part in parts.to_dict("records"):
+                    time.sleep(wait)
+                    wait = delay * lanes
+                    k = int(part.pop("k"))
+                    rows = [(k * BOX + i, f["object_value"], *map(float, f["geometry"]["coordinates"][:2]), f.get("last_seen_at")) for i, f in enumerate(asked(part))]
+                    yield pd.DataFrame(rows, columns=["seq", "object_value", "lng", "lat", "last_seen_at"])
+
+        found = self.boxes(spark, box).repartition(lanes).mapInPandas(features, "seq long, object_value string, lng double, lat double, last_seen_at string")
+        return detections.observations(found)
 
 
 def shaped(observations: DataFrame) -> DataFrame:
