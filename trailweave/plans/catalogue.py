@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 from trailweave.functions import geo, scoring, tags as T, tiles
 from trailweave.functions.numbers import round_half_up
 from trailweave.operators import chains, corridors, elevation, export, fusion, location, matching, ranks, reports, search, street_graph as sg
-from trailweave.operators.iterate import scratch_path, settled
+from trailweave.operators.iterate import discard, scratch_path, settled
 from trailweave.operators.lines import simplified
 from trailweave.functions.tables import RELEVANT_HIGHWAYS
 from trailweave.plans import derived as D
 from trailweave.sources import ingest, surface as S
+from trailweave.streaming.observations import ObservationStream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, tuple[Query, str | None]] = {}
+#: Files of a micro-batch where a query streams a table.
+STREAM_FILES = 2
 
 
 def query(sql: str | None = None, graph: bool = False, observed: bool = False):
@@ -429,6 +432,36 @@ def gra_17_enriched_edges(spark, d):
     return out.select("id", "surface", F.round("surface_confidence", 6).alias("surface_confidence"), "speed_limit", _long("traffic_signal_count"), "has_bicycle_infra", "scenic", known)
 
 
+@query(
+    f""", v AS (SELECT edge_id, (['paved','unpaved','unknown'])[CAST(w % 3 AS INT) + 1] AS s, sum({_W['surface']}) AS w, count(*) AS n, min(seq) AS first
+ FROM matched WHERE attribute = 'surface' GROUP BY 1, 2), t AS (SELECT edge_id, max(w) AS top, sum(w) AS total, sum(n) AS n FROM v GROUP BY 1),
+ b AS (SELECT edge_id, 20e0 + w % 8 * 10 AS x, sum({_W['speed']}) AS w, count(*) AS n FROM matched WHERE attribute = 'speed-limit' GROUP BY 1, 2),
+ r AS (SELECT *, sum(w) OVER (PARTITION BY edge_id ORDER BY x ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY edge_id) AS total FROM b),
+ f AS (SELECT edge_id, sum(CASE WHEN w % 2 = 0 THEN {_W['bool']} ELSE 0 END) AS yes, sum(CASE WHEN w % 2 = 0 THEN 0 ELSE {_W['bool']} END) AS no, count(*) AS n
+ FROM matched WHERE attribute = 'bicycle-infra' GROUP BY 1)
+ SELECT t.edge_id, 'surface' AS attribute, (SELECT s FROM v WHERE v.edge_id = t.edge_id ORDER BY round(w, 9) DESC, first LIMIT 1) AS value_str, NULL::DOUBLE AS value_num, NULL::BOOLEAN AS value_bool,
+ round(least(0.95e0, top / total * 0.5 + least(n / 3, 1) * 0.3 + top / 2 * 0.2), 6) AS confidence,
+ (SELECT count(*) > 1 FROM v WHERE v.edge_id = t.edge_id AND w > top * 0.15) AS has_conflict, CAST(n AS BIGINT) AS n FROM t
+ UNION ALL SELECT edge_id, 'speed-limit', NULL, min(x) FILTER (upto + 1e-9 >= total / 2), NULL, round(least(0.95e0, least(sum(n) / 2, 1) * 0.4 + max(total) / sum(n) * 0.6), 6),
+ max(x) - min(x) > 20, CAST(sum(n) AS BIGINT) FROM r GROUP BY 1
+ UNION ALL SELECT edge_id, 'bicycle-infra', NULL, NULL, yes >= no, round(least(0.95e0, greatest(yes, no) / (yes + no) * 0.5 + least(n / 2, 1) * 0.5), 6), greatest(yes, no) / (yes + no) < 0.7, n FROM f
+ UNION ALL SELECT edge_id, 'scenic', NULL, round(sum({_W['scenic']} * (w % 11 / 10e0)) / sum({_W['scenic']}), 6), NULL,
+ round(least(0.95e0, least(count(*) / 2, 1) * 0.4 + sum({_W['scenic']}) / count(*) * 0.6), 6), var_pop(w % 11 / 10e0) > 0.1, count(*) FROM matched WHERE attribute = 'scenic' GROUP BY 1
+ UNION ALL SELECT edge_id, 'traffic-signal', NULL, NULL, NULL, NULL, false, count(*) FROM matched WHERE attribute = 'traffic-signal' GROUP BY 1""",
+    observed=True,
+)
+def gra_17_stream(spark, d):
+    """Observations of edges as a stream in batches; of signals, whose clusters SQL cannot follow, how many there are."""
+    rows = settled(_matched(spark, d).withColumn("confidence", F.round("confidence", 6)), "observed")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", STREAM_FILES).parquet(rows._scratch)
+    stream = ObservationStream(scratch_path(spark, "stream"))
+    stream.start(source, scratch_path(spark, "stream-checkpoint")).awaitTermination()
+    discard(rows)
+    fused, spots = stream.current(spark), F.col("attribute") == "traffic-signal"
+    number = F.when(~spots, F.round("value_num", 6)).alias("value_num")
+    return fused.select("edge_id", "attribute", "value_str", number, "value_bool", F.when(~spots, F.round("confidence", 6)).alias("confidence"), "has_conflict", "n")
+
+
 _CELLS = """, v AS (SELECT DISTINCT e.id AS edge_id, e.way_id, CAST(floor(k.lng * 111320e0 * cos(radians(43e0)) / 100) AS BIGINT) AS cx,
  CAST(floor(k.lat * 111320e0 / 100) AS BIGINT) AS cy FROM edges0 e JOIN known k ON k.way_id = e.way_id AND k.pos BETWEEN e.start_pos AND e.stop),
  p AS (SELECT *, CAST(floor(v_lng * 111320e0 * cos(radians(43e0)) / 100) AS BIGINT) AS px, CAST(floor(v_lat * 111320e0 / 100) AS BIGINT) AS py FROM obs0 WHERE attribute = 'traffic-signal'),
