@@ -1,16 +1,16 @@
 """Benchmark passages in documents by greedy string tiling.
 
 Words are runs of letters and digits, lower-cased. Rolling hashes of ``SEED`` words of all
-benchmark items are the seeds; the seeds a document shares with an item give their common
-diagonals. Tiles are then marked from the longest common run to the shortest: each run is
-found by comparing rolling hashes along its diagonal, what earlier tiles cover is cut off, and
-runs below ``SEED`` words are dropped. An item is held by a document if its tiles cover at
+benchmark items are the seeds that documents and items meet by. Tiles are then marked from the
+longest common run to the shortest: for a length, rolling hashes of all its runs that no tile has
+touched are compared, and matches are confirmed seed by seed; runs below ``SEED`` words are dropped. An item is held by a document if its tiles cover at
 least ``COVER`` of the item's words, in whatever order they stand in the document.
 
-The benchmark's seeds are a table (hash, item, place). A bit array of a bounded size, ``BITS`` at
-most, that every seed sets two bits of goes to the workers; a document's places that pass it are
-rows that meet the table of seeds in an equi-join (by broadcast while the table is small). The
-matches of a document and an item are then tiled together. So documents are read once whatever
+The benchmark's seeds are a table (hash, item, places). A bit array of a bounded size, ``BITS`` at
+most, that every seed sets two bits of goes to the workers; a document's seeds that pass it are
+rows, each with the list of its places, that meet the table of seeds in an equi-join (by broadcast
+while the table is small). So words repeated on both sides meet as two lists, not as the product
+of their places. The lists of a document and an item are then tiled together. So documents are read once whatever
 the benchmark's size, the driver holds the bit array only, and a passage that a third of all
 documents share makes matches of many documents, each tiled on its own.
 
@@ -22,8 +22,8 @@ long texts are hashed whole; an empty table gives an empty result; further colum
 
 from __future__ import annotations
 
-import heapq
 import math
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +41,7 @@ SEED, COVER = 5, 0.5
 SEED_BITS, BITS = 32, 1 << 28
 _SPACE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def word_numbers(text: str | None) -> np.ndarray:
@@ -60,33 +61,74 @@ def rolling(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def tiles(starts: np.ndarray, places: np.ndarray, item_words: int, least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling from seeds, runs of ``least`` words alike at ``starts`` of a document and ``places``
-    of an item: (start, place, length), longest first."""
-    order = np.lexsort((starts, starts - places))
-    s, d = starts[order], (starts - places)[order]
-    cut = np.flatnonzero(np.diff(d, prepend=d[0] - 1) | (np.diff(s, prepend=s[0] - 2) != 1))
-    ends = np.append(cut[1:], len(s))
-    heap = [(-int(s[b - 1] - s[a] + least), int(s[a]), int(s[a] - d[a])) for a, b in zip(cut, ends, strict=True)]
-    heapq.heapify(heap)
-    in_doc, in_item, out = set(), np.zeros(item_words, bool), []
-    while heap and not in_item.all():
-        length, p, q = heapq.heappop(heap)
-        length = -length
-        free = [p + j not in in_doc and not in_item[q + j] for j in range(length)]
-        if all(free):
-            out.append((p, q, length))
-            in_doc.update(range(p, p + length))
-            in_item[q : q + length] = True
-            continue
-        run = 0
-        for j in range(length + 1):
-            if j < length and free[j]:
-                run += 1
+class _Seeds:
+    """Seeds of a text in the order of their places, and which of them tiles have taken a word of."""
+
+    def __init__(self, at: np.ndarray, codes: np.ndarray) -> None:
+        order = np.argsort(at, kind="stable")
+        self.at, self.codes = at[order], codes[order]
+        with np.errstate(over="ignore"):
+            up, down = (np.cumprod(np.r_[np.uint64(1), np.full(len(at), b, "u8")], dtype="u8") for b in (_BASE, _INVERSE))
+            self.sums = np.r_[np.uint64(0), np.cumsum(self.codes * up[:-1], dtype="u8")]
+        self.down, self.taken = down, np.zeros(len(at), bool)
+
+    def runs(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where ``k`` free seeds follow each other place by place, and the Karp-Rabin hashes of these runs."""
+        n = len(self.at) - k + 1
+        if n < 1:
+            return np.empty(0, "i8"), np.empty(0, "u8")
+        used = np.r_[0, np.cumsum(self.taken)]
+        i = np.flatnonzero((self.at[k - 1 :] - self.at[:n] == k - 1) & (used[k:] == used[:n]))
+        return i, (self.sums[i + k] - self.sums[i]) * self.down[i]
+
+    def take(self, start: int, length: int, least: int) -> None:
+        a, b = np.searchsorted(self.at, [start - least + 1, start + length])
+        self.taken[a:b] = True
+
+
+def tiles(starts: np.ndarray, hashes: np.ndarray, places: np.ndarray, item_hashes: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Greedy tiling from seeds, runs of ``least`` words at ``starts`` of a document and ``places`` of an item
+    with their hashes: (start, place, length), longest first.
+
+    The longest length at which a free run of both sides is alike is found by halving, then all its
+    matches are marked in one pass over the document. A length costs time in proportion to the
+    document's seeds and the item's, however often these repeat.
+    """
+    doc, item, out = _Seeds(starts, hashes), _Seeds(places, item_hashes), []
+    longest = len(places)
+    while longest:
+        low = 0
+        while low < longest:
+            k = (low + longest + 1) // 2
+            if np.isin(item.runs(k)[1], doc.runs(k)[1]).any():
+                low = k
+            else:
+                longest = k - 1
+        if not low:
+            break
+        (i, h), (j, g) = doc.runs(low), item.runs(low)
+        there: dict[int, deque] = {}
+        for q, x in zip(j.tolist(), g.tolist(), strict=True):
+            there.setdefault(x, deque()).append(q)
+        both, size, free = np.isin(h, g), low + least - 1, -1
+        for p, x in zip(i[both].tolist(), h[both].tolist(), strict=True):
+            start = int(doc.at[p])
+            if start < free or x not in there:
                 continue
-            if run >= least:
-                heapq.heappush(heap, (-run, p + j - run, q + j - run))
-            run = 0
+            left = there[x]
+            while left and item.taken[left[0] : left[0] + low].any():
+                left.popleft()
+            alike = (q for q in left if not item.taken[q : q + low].any() and np.array_equal(item.codes[q : q + low], doc.codes[p : p + low]))
+            if (q := next(alike, None)) is not None:
+                place, free = int(item.at[q]), start + size
+                out.append((start, place, size))
+                doc.take(start, size, least)
+                item.take(place, size, least)
+            elif not left:
+                del there[x]
+                if not there:
+                    break
+        longest = low - 1
     return out
 
 
@@ -104,7 +146,7 @@ def _bits(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def item_seeds(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """``hash, n, item_id, item, place, item_words``: a row for each seed of each different item; ``item`` tells texts of an id apart."""
+    """``hash, n, item_id, item, places, item_words``: a row for each seed of each different item, with all its places; ``item`` tells texts of an id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,16 +154,22 @@ def item_seeds(items: DataFrame, item_id: str = "item_id", text: str = "text") -
                 w = word_numbers(t)
                 if len(w):
                     n = min(SEED, len(w))
-                    h = seed_hashes(w, n)
+                    h, places = _listed(seed_hashes(w, n), np.arange(len(w) - n + 1))
                     fixed = [n, i, _key(w), len(w)]
                     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32()]
                     n, i, item, size = (pa.array([x] * len(h), k) for x, k in zip(fixed, kinds, strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view("i8")), n, i, item, pa.array(np.arange(len(h), dtype="i4")), size], ["hash", "n", "item_id", "item", "place", "item_words"]
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view("i8")), n, i, item, places, size], ["hash", "n", "item_id", "item", "places", "item_words"])
 
     rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("t is not null")
-    return rows.mapInArrow(run, "hash long, n int, item_id long, item long, place int, item_words int").distinct()
+    return rows.mapInArrow(run, "hash long, n int, item_id long, item long, places array<int>, item_words int").distinct()
+
+
+def _listed(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """Different hashes and, for each, the list of its places in ascending order."""
+    order = np.argsort(hashes, kind="stable")
+    h = hashes[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, "i8")
+    return h[first], pa.ListArray.from_arrays(np.r_[first, len(h)].astype("i4"), pa.array(at[order].astype("i4")))
 
 
 def _key(words: np.ndarray) -> int:
@@ -158,12 +206,12 @@ def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _places(bits, lengths: list[int], size: int):
-    """Rows ``doc_id, text, hash, start`` of documents' places that pass the filter; ``text`` is a hash of the words."""
+    """Rows ``doc_id, text, hash, starts`` of documents' seeds that pass the filter, with all their places; ``text`` is a hash of the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                owner, keys, hashes, starts = [], [], [np.empty(0, "u8")], [np.empty(0, "i8")]
+                owner, keys, hashes, starts = [], [], [], []
                 for k, t in enumerate(part.column(1).to_pylist()):
                     w, key = word_numbers(t), None
                     for n in lengths:
@@ -172,24 +220,30 @@ def _places(bits, lengths: list[int], size: int):
                         at = np.flatnonzero(_set(bits.value, a) & _set(bits.value, b))
                         if len(at):
                             key = _key(w) if key is None else key
-                            owner += [k] * len(at)
-                            keys += [key] * len(at)
-                            hashes.append(h[at])
-                            starts.append(at)
+                            own, lists = _listed(h[at], at)
+                            owner += [k] * len(own)
+                            keys += [key] * len(own)
+                            hashes.append(own)
+                            starts.append(lists)
                 if owner:
                     yield pa.RecordBatch.from_arrays(
                         [
                             part.column(0).take(pa.array(owner)),
                             pa.array(keys, pa.int64()),
                             pa.array(np.concatenate(hashes).view("i8")),
-                            pa.array(np.concatenate(starts).astype("i4")),
+                            pa.concat_arrays(starts),
                         ],
-                        ["doc_id", "text", "hash", "start"],
+                        ["doc_id", "text", "hash", "starts"],
                     )
 
     return run
 
 
+def _flat(lists: pa.ListArray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all lists, and the hash that each belongs to."""
+    return lists.flatten().to_numpy().astype("i8"), np.repeat(hashes, lists.value_lengths().to_numpy())
+
+
 _GROUP = ["doc_id", "text", "item_id", "item", "item_words", "n"]
 
 
@@ -200,14 +254,16 @@ def _tiled(cover: float):
         codes = [rows[c].combine_chunks().dictionary_encode("encode").indices.to_numpy() for c in _GROUP]
         change = np.any([np.diff(c, prepend=-1) != 0 for c in codes], axis=0)
         cuts = np.append(np.flatnonzero(change), len(rows))
-        start, place = rows["start"].to_numpy().astype("i8"), rows["place"].to_numpy().astype("i8")
+        hashes = rows["hash"].to_numpy().view("u8")
+        starts, places = (rows[c].combine_chunks() for c in ("starts", "places"))
         words, n = rows["item_words"].to_numpy(), rows["n"].to_numpy()
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             size, least = int(words[a]), int(n[a])
-            there = len(np.unique(place[a:b]))
+            place, of_item = _flat(places.slice(a, b - a), hashes[a:b])
+            there = len(place)
             if min(there + least - 1, least * there) < cover * size and least * there < cover * size:
                 continue
-            found = tiles(start[a:b], place[a:b], size, least)
+            found = tiles(*_flat(starts.slice(a, b - a), hashes[a:b]), place, of_item, least)
             covered = sum(t[2] for t in found)
             if covered >= cover * size:
                 yield {"at": a, "n_tiles": len(found), "covered": covered}
@@ -253,14 +309,14 @@ def _held(docs: DataFrame, items: DataFrame, cover: float, doc_id: str, text: st
     bits, size, lengths = seed_filter(seeds)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    places = rows.mapInArrow(_places(shared, lengths, size), f"doc_id {kind}, text long, hash long, start int")
+    places = rows.mapInArrow(_places(shared, lengths, size), f"doc_id {kind}, text long, hash long, starts array<int>")
     parts = max(8, docs.rdd.getNumPartitions())
     return (
         places.distinct()
         .join(small_or_shuffled(seeds), "hash")
         .repartition(parts, "doc_id", "text", "item_id", "item")
         .sortWithinPartitions(*_GROUP)
-        .select(*_GROUP, "start", "place")
+        .select(*_GROUP, "hash", "starts", "places")
         .mapInArrow(_tiled(cover), f"doc_id {kind}, text long, item_id long, item_words int, n_tiles long, covered long")
     )
 
