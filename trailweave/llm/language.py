@@ -7,7 +7,8 @@ spherical k-means over at most about ``SAMPLE`` training documents in all, drawn
 the id and evenly over the languages (a fit on a bounded sample: of a language with a share of
 ``each`` documents no more than ``2 * each`` are taken). A text gets the language of
 the centroid of the largest cosine; it is rejected when it lies farther from that centroid
-than ``REACH`` times the distance of the sample's document that lies farthest from its own.
+than ``REACH`` times the distance within which, in every language, all but a share ``ODD`` of the
+sample lie of their own centroids. So a few junk or mislabelled rows do not end rejection.
 
 Null texts and texts without a letter are ``und`` with score 0, and rejected; so is every text
 if there is nothing to learn from. Ties go to the language that sorts first. Very long texts
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from trailweave.llm.common import binary_list, slices
 
-BINS, CLUSTERS, SAMPLE, REACH = 8192, 4, 4_000, 1.1
+BINS, CLUSTERS, SAMPLE, REACH, ODD = 8192, 4, 4_000, 1.2, 0.005
 _FOLD = bytes(b if b >= 128 else (b | 32) if chr(b).isalpha() else 32 for b in range(256))
 
 
@@ -60,7 +61,7 @@ def has_letter(text: str | None) -> bool:
 
 
 def _clusters(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from farthest-first seeds: centroids, and the smallest cosine of each one's members."""
+    """Spherical k-means from farthest-first seeds: centroids, and the cosine of each row to its own."""
     centres = [x.mean(axis=0)]
     while len(centres) < min(k, len(x)):
         centres.append(x[np.argmin(np.max(x @ np.stack(centres).T, axis=1))])
@@ -70,9 +71,7 @@ def _clusters(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         near = np.argmax(x @ c.T, axis=1)
         c = np.stack([x[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(len(c))])
     c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-    cosine = x @ c.T
-    near = np.argmax(cosine, axis=1)
-    return c, np.array([cosine[near == j, j].min() if (near == j).any() else 1.0 for j in range(len(c))])
+    return c, (x @ c.T).max(axis=1)
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> dict:
@@ -115,10 +114,10 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
             by[r.lang].append(np.frombuffer(bytes(r.v), "f2"))
     langs, centres, limits = [], [], []
     for name in sorted(by):
-        c, least = _clusters(np.stack(by[name]).astype("f4"), CLUSTERS)
+        c, own = _clusters(np.stack(by[name]).astype("f4"), CLUSTERS)
         langs += [name] * len(c)
         centres.append(c)
-        limits.append(float(least.min()))
+        limits.append(float(np.quantile(own, ODD, method="lower")))
     return {"langs": langs, "idf": idf, "centres": np.concatenate(centres).astype("f4"), "limit": 1 - REACH * (1 - min(limits))}
 
 
