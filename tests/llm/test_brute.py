@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trailweave.llm import decontaminate, language, licences, neighbours, personal, pieces, queries, toxicity, wordbpe
+from trailweave.llm import common, decontaminate, language, licences, neighbours, personal, pieces, queries, toxicity, wordbpe
 
 from .test_llm import SMALL, _groups, _plain, _set, table
 
@@ -86,6 +87,33 @@ def test_common_words_in_all_items_stay_quick(spark):
     assert decontaminate.contamination(rows, bench).count() == 20
 
 
+def tiled(doc, item):
+    least = min(decontaminate.SEED, len(item))
+    h, g = (decontaminate.seed_hashes(common.word_hashes([x.encode() for x in w]), least) for w in (doc, item))
+    a, b = np.flatnonzero(np.isin(h, g)), np.flatnonzero(np.isin(g, h))
+    return decontaminate.tiles(a, h[a], b, g[b], least)
+
+
+def test_tiles_of_few_words_are_those_of_a_plain_tiler():
+    rng = random.Random(5)
+    for _ in range(150):
+        letters = [f"w{k}" for k in range(rng.choice([1, 2, 3, 5]))]
+        item, doc = rng.choices(letters, k=rng.randint(1, 30)), rng.choices(letters, k=rng.randint(5, 50))
+        assert tiled(doc, item) == plain_tiles(doc, item, min(decontaminate.SEED, len(item)))
+    item = [f"w{k}" for k in range(40)]
+    doc = [*rng.choices(item, k=300), *item[20:], *item[:20], *rng.choices(item, k=300)]
+    assert tiled(doc, item) == plain_tiles(doc, item, decontaminate.SEED)
+
+
+def test_repeated_words_on_both_sides_take_linear_time(spark):
+    began = time.time()
+    bench = spark.createDataFrame([(1, "the " * 60), (2, "so it goes " * 700)], "item_id long, text string")
+    rows = spark.createDataFrame([(1, "the " * 100_000), (2, "so it goes " * 30_000)], "doc_id long, text string")
+    found = decontaminate.contamination(rows, bench).collect()
+    assert {(r.doc_id, r.item_id, r.n_tiles, r.covered) for r in found} == {(1, 1, 1, 60), (2, 2, 1, 2100)}
+    assert time.time() - began < 20
+
+
 def plain_grams(text):
     """Counts of byte 1- to 3-grams, A-Z lower-cased, other ASCII than letters as one blank."""
     b = bytes(x if x >= 128 else (x | 32) if chr(x).isalpha() else 32 for x in b" " + text.encode() + b" ")
@@ -125,6 +153,20 @@ def test_languages_match_plain_vectors(spark):
     assert {r.doc_id for r in language.predict(asked, model).where("rejected").collect()} >= {93, 94}
 
 
+def test_a_junk_row_does_not_end_rejection(spark):
+    words = {"aa": "lorem ipsum dolor sit amet", "bb": "der die das und nicht mit"}
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choices(words[n].split(), k=rng.randint(3, 30))), n) for k, n in enumerate(["aa", "bb"] * 300)]
+    junk = [(1000 + k, x, "aa") for k, x in enumerate(["один два", "三 四 五", "ωψ χφ", "अआ इई", "אב גד", "กข ฃค"])]
+    own = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    foreign = spark.createDataFrame([(1, "ابت ثجح خدذ"), (2, "አበገ ደሀወ"), (3, "lorem dolor amet"), (4, "nicht die und")], "doc_id long, text string")
+    for table in (own, own.unionByName(spark.createDataFrame(junk[:1], own.schema)), own.unionByName(spark.createDataFrame(junk, own.schema))):
+        got = {r.doc_id: r for r in language.predict(foreign, language.train(table)).collect()}
+        assert got[1].rejected and got[2].rejected
+        assert not got[3].rejected and not got[4].rejected
+        assert (got[3].lang_pred, got[4].lang_pred) == ("aa", "bb")
+
+
 def plain_ratio(word, counts):
     """Log-likelihood ratio of a word by length under two interpolated Kneser-Ney models with shared lower orders.
 
