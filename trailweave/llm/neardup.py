@@ -21,7 +21,8 @@ forest of the links it found, which keeps every component whole.
 
 Nulls and texts without words have no set: no links, their own component, kept. A null id
 takes no part: component null, kept. Rows that share an id are one document. Repeated rows
-give repeated results. An empty table gives an empty result; further columns are not read.
+give repeated results. Very long texts give all their shingles. An empty table gives an empty
+result; further columns are not read.
 """
 
 from __future__ import annotations

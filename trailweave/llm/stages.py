@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``. All but the last
 return its columns. Null texts: language identification rejects them. Empty tables give empty
 tables; repeated rows stay until near-duplicate removal, which keeps one row of an
-id and text (texts of the same shingles count as the same).
+id and text (texts of the same shingles count as the same). Very long texts are read whole; of
+near duplicates the smallest id stays; columns of any name come back as they were.
 """
 
 from __future__ import annotations

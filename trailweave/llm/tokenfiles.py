@@ -14,8 +14,8 @@ shard from being read with another one. A document's frame inflates to its ids a
 The dictionary is trained on at most ``SAMPLE`` documents, those with the smallest hash of
 their id over the whole table; it changes sizes of frames only, never ids. Shards hold
 ascending ranges of ``doc_id`` (nulls first, repeated ids side by side, ordered by length and
-checksum). Null and empty texts hold the end id alone; an empty table writes no shard and
-reads back as no rows.
+checksum). Null and empty texts hold the end id alone; very long texts are encoded whole, into
+one frame; an empty table writes no shard and reads back as no rows; further columns are not read.
 """
 
 from __future__ import annotations
