@@ -52,6 +52,42 @@ def test_token_counts_and_files_match_the_library(spark, tmp_path, texts):
         start += len(want)
 
 
+def test_piece_table_encodes_stems_once(monkeypatch):
+    """Each word and each closing punctuation goes to the library once; pieces in use outlive a full cache."""
+    path, encode, seen = wordbpe.vocabulary_path(), wordbpe.encode_pieces, []
+    monkeypatch.setattr(wordbpe, "encode_pieces", lambda p, x: seen.extend(x) or encode(p, x))
+    t = wordbpe.tokenizer(path)
+
+    def ids(piece):
+        return np.array(t.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+
+    words = ["alpha", "beta", "schö", "niño", "год", "x1"]
+    endings = ["", ".", "***", "&&&", "!?", ').', "'"]
+    found = [[w + e for e in endings] + [w[0].upper() + w[1:] + e for e in endings if w.isascii()] for w in words]
+    rows = wordbpe.PieceTable(path).lookup([[p.encode() for p in x] for x in found])
+    assert rows == [[ids(p) for p in x] for x in found]
+    assert sorted(seen) == sorted(x.encode() for x in words + endings[1:])
+
+    monkeypatch.setattr(wordbpe, "CACHED", 40)
+    table, seen[:] = wordbpe.PieceTable(path), []
+    for k in range(30):
+        new = [f"w{k}q{j}".encode() for j in range(10)]
+        assert table.lookup([[b"often", *new]]) == [[ids("often"), *(ids(p.decode()) for p in new)]]
+    assert seen.count(b"often") == 1 and len(seen) == 301
+    assert len(table.found) + len(table.older) <= 40 + 2 * 12
+
+
+def test_pieces_have_the_ids_of_their_stems():
+    """Punctuation after letters, capitals before combining marks, letters that fall apart: held to the library."""
+    path, rng = wordbpe.vocabulary_path(), random.Random(9)
+    parts = ["<|endoftext|>", "<|", "|>", " ", "\x85", "\xa0", "é", "É", "ß", "ẞ", "İ", "ŉ", "×", "÷", "ﬁ", "日", "“", "’", "…", "a", "B", "J", "H", "ing"]
+    parts += [".", ",", "!?", "***", "'", "'s", "'S", "'re", "=", "1", "²", "-", "_", "\x01", "x", "\u030c", "\u0301", "\u0307", "\u0331", "\u0338", "Й", "и", "\u0306", "҂", "Å", "יִ", "ſ"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(10_000)]
+    rows = wordbpe.PieceTable(path).lookup([x.encode().split() for x in texts])
+    for x, row, e in zip(texts, rows, wordbpe.tokenizer(path).encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert b"".join(row) == np.array(e.ids, "<u4").tobytes(), x
+
+
 def test_dictionary_is_drawn_from_whole_documents(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(tokenfiles.zstandard, "train_dictionary", lambda size, samples, level: seen.extend(samples) or (_ for _ in ()).throw(ValueError))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.llm.common import binary_list, open_fs, slices
-from trailweave.llm.wordbpe import encode_pieces, piece_table
+from trailweave.llm.wordbpe import piece_table
 
 MAGIC, VERSION = b"TWTK", 1
 HEAD, ENTRY, FOOT = struct.Struct("<4sIQ"), np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4"), ("end", "<u8")]), struct.Struct("<Q4s")
@@ -70,15 +70,21 @@ def drawn_ids(ids: bytes) -> bytes:
     return b"".join(ids[4 * a : 4 * (a + size)] for a in starts)
 
 
-def train_dictionary(df: DataFrame, path: str) -> bytes:
-    """A dictionary for serialized id arrays; empty if there is too little to train on."""
+def train_dictionary(df: DataFrame, path: str, key: str | None = None) -> bytes:
+    """A dictionary for serialized id arrays; empty if there is too little to train on.
+
+    ``key`` names the workers' piece tables that the encoding goes on with.
+    """
+    key = key or uuid.uuid4().hex
     hashed = df.where("text is not null").withColumn("h", F.xxhash64(F.col("doc_id"), F.length("text")))
     lowest = hashed.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h").alias("h")).first().h
     # repeated rows share a hash; the second limit bounds what comes to the driver
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = piece_table(key, path)
         for batch in batches:
             for part in slices(batch):
-                drawn = [drawn_ids(b"".join(encode_pieces(path, (t or b"").split()))) for t in binary_list(part.column(0))]
+                rows = table.lookup([(t or b"").split() for t in binary_list(part.column(0))])
+                drawn = [drawn_ids(b"".join(r)) for r in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(drawn, pa.binary())], ["ids"])
 
     sampled = hashed.where(F.col("h") <= F.lit(lowest)).select("text").limit(SAMPLE)
@@ -108,7 +114,8 @@ def write_token_files(df: DataFrame, path: str, out: str, end_id: int, doc_id: s
     bounds = (docs.agg(F.percentile_approx("doc_id", cuts, 100 * n_shards).alias("b")).first().b if cuts else None) or []
     bounds = np.unique(np.asarray(bounds, "i8"))
     n_shards = len(bounds) + 1
-    dictionary, key = train_dictionary(docs, path), uuid.uuid4().hex
+    key = uuid.uuid4().hex
+    dictionary = train_dictionary(docs, path, key)
     shared, digest = spark.sparkContext.broadcast(dictionary), xxhash.xxh64_intdigest(dictionary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

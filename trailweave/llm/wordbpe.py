@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import os
 import pickle
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -40,6 +41,11 @@ LONG = 64
 SEPARATOR = "\x01"
 #: Fixed value: what tokens that end a word end with.
 WORD_END = "</w>"
+_PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+#: A capital before a byte that may begin a combining mark (U+0300 on, but for U+2000 to U+203F).
+_CAPITAL_COMPOSES = re.compile(rb"[A-Z](?!\xe2\x80)[\xcc-\xff]").search
+#: First bytes of U+00C0 to U+00FF, U+0140 to U+017F, U+0400 to U+047F: letters, but for two signs.
+_LETTERS_AFTER, _NO_LETTERS = {b"\xc3", b"\xc5", b"\xd0", b"\xd1"}, {"×".encode(), "÷".encode()}
 _TOKENIZERS: dict = {}
 _ENDS: dict = {}
 _TABLES: dict = {}
@@ -124,20 +130,22 @@ def _length(ids: bytes) -> int:
     return len(ids) // 4
 
 
-def _parts(piece: bytes) -> tuple[bytes, bytes]:
-    """A piece as a stem and closing punctuation that have the same ids apart as together.
+def _stem(piece: bytes) -> bytes:
+    """A piece without closing ASCII punctuation, which has the same ids apart as together.
 
-    Only ASCII pieces are lower-cased (beyond ASCII, case and composition interact), and only
-    one full stop or comma after an ASCII letter is cut off: it can join no token before it.
-    Pieces that may hold a special string stay as they are.
+    ASCII letters are lower-cased, unless one stands before what may be a combining mark: there case
+    and composition interact. Punctuation is cut off after ASCII letters and digits, and after Latin
+    and Cyrillic letters that neither compose nor fall apart when lower-cased: what stands there can
+    join no token before it. Pieces that may hold a special string stay as they are.
     """
     if b"<|" in piece:
-        return piece, b""
-    if piece.isascii():
+        return piece
+    if piece.isascii() or not _CAPITAL_COMPOSES(piece):
         piece = piece.lower()
-    if len(piece) > 1 and piece[-1] in b".," and 97 <= piece[-2] <= 122:
-        return piece[:-1], piece[-1:]
-    return piece, b""
+    stem = piece.rstrip(_PUNCTUATION)
+    if stem[-1:].isalnum() or stem[-2:-1] in _LETTERS_AFTER and stem[-2:] not in _NO_LETTERS:
+        return stem
+    return piece
 
 
 def piece_table(key: str, path: str, value=None, fixed: dict | None = None) -> PieceTable:
@@ -151,32 +159,40 @@ def piece_table(key: str, path: str, value=None, fixed: dict | None = None) -> P
 class PieceTable:
     """Results by piece: ``fixed`` ones stay, others are encoded when first met.
 
-    ``value`` makes of a piece's ids what is kept; values of parts add up.
+    ``value`` makes of a piece's ids what is kept; values of parts add up. Half of ``CACHED`` entries
+    fill a generation; the one before it is kept for a look, so that pieces in use are not lost.
     """
 
     def __init__(self, path: str, value=None, fixed: dict | None = None):
-        self.path, self.value, self.fixed = path, value or bytes, fixed or {}
-        self.found = dict(self.fixed)
+        self.path, self.value = path, value or bytes
+        self.fixed = {**(fixed or {}), b"": self.value(b"")}
+        self.found, self.older = dict(self.fixed), {}
+
+    def _missing(self, pieces: set[bytes]) -> set[bytes]:
+        """Those of ``pieces`` without a result, once the older generation's are taken over."""
+        found, older = self.found, self.older
+        new = pieces.difference(found)
+        if older:
+            kept = [p for p in new if p in older]
+            found.update(zip(kept, map(older.__getitem__, kept), strict=True))
+            new.difference_update(kept)
+        return new
 
     def lookup(self, texts: list[list[bytes]]) -> list[list]:
         """For each list of pieces the list of their results."""
-        if len(self.found) > CACHED + len(self.fixed):
-            self.found = dict(self.fixed)
+        if len(self.found) > CACHED // 2 + len(self.fixed):
+            self.found, self.older = dict(self.fixed), self.found
         found = self.found
-        rows = [list(map(found.get, pieces)) for pieces in texts]
-        gaps = [[k for k, v in enumerate(row) if v is None] for row in rows]
-        new = list({pieces[k] for pieces, gap in zip(texts, gaps, strict=True) for k in gap})
-        if not new:
-            return rows
-        # most pieces are words of small ASCII letters, which are their own stems
-        parts = [(p, b"") if p.isalpha() and p.islower() else _parts(p) for p in new]
-        stems = list({x for pair in parts for x in pair if x and x not in found})
-        found.update(zip(stems, map(self.value, encode_pieces(self.path, stems)), strict=True))
-        whole = {p: found[a] + found[b] if b else found[a] for p, (a, b) in zip(new, parts, strict=True)}
-        for pieces, row, gap in zip(texts, rows, gaps, strict=True):
-            for k in gap:
-                row[k] = whole[pieces[k]]
-        found.update(whole)
+        result, new, stems = found.__getitem__, self._missing(set().union(*texts)), []
+        if new:
+            # most pieces are words of small ASCII letters, which are their own stems
+            cut = [p for p in new if not (p.isalpha() and p.islower())]
+            firsts = list(map(_stem, cut))
+            ends = [p[len(a) :] for p, a in zip(cut, firsts, strict=True)]
+            stems = list(self._missing(new.difference(cut).union(firsts, ends)))
+            found.update(zip(stems, map(self.value, encode_pieces(self.path, stems)), strict=True))
+            found.update(zip(cut, [a + b for a, b in zip(map(result, firsts), map(result, ends), strict=True)], strict=True))
+        rows = [list(map(result, pieces)) for pieces in texts]
         for p in [p for p in (*stems, *new) if len(p) > LONG]:
             found.pop(p, None)
         return rows
