@@ -88,6 +88,17 @@ def test_pieces_have_the_ids_of_their_stems():
         assert b"".join(row) == np.array(e.ids, "<u4").tobytes(), x
 
 
+def test_shards_are_written_once(spark, tmp_path):
+    df = table(spark, [f"text {k}" for k in range(3000)]).repartition(4)
+    manifest = tokenfiles.write_token_files(df, wordbpe.vocabulary_path(), f"file://{tmp_path}/s", end_id=2)
+    listed = [s["file"] for s in manifest["shards"]]
+    assert len(listed) > 1 and listed == sorted(listed)
+    assert sorted(p.name for p in (tmp_path / "s").glob("shard-*")) == listed
+    rows = tokenfiles.read_token_files(spark, f"file://{tmp_path}/s").orderBy("doc_id").collect()
+    assert [r.doc_id for r in rows] == list(range(3000))
+    assert [r.start for r in rows] == [sum(r.n_tokens for r in rows[:k]) for k in range(3000)]
+
+
 def test_dictionary_is_drawn_from_whole_documents(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(tokenfiles.zstandard, "train_dictionary", lambda size, samples, level: seen.extend(samples) or (_ for _ in ()).throw(ValueError))

@@ -176,9 +176,10 @@ def write_token_files(df: DataFrame, path: str, out: str, end_id: int, doc_id: s
         .repartitionById(n_shards, F.col("shard"))
         .sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n", "crc")
         .mapInArrow(write, "shard int, file string, n_docs long, n_ids long, bytes long")
-        .orderBy("shard")
         .collect()
     )
+    # a sort in Spark would sample its input first, and so write all shards twice
+    shards.sort(key=lambda s: s.shard)
     start, manifest = 0, {"dictionary": f"{digest:016x}", "end_id": end_id, "shards": []}
     for s in shards:
         manifest["shards"].append({"file": s.file, "start": start, "n_docs": s.n_docs, "n_ids": s.n_ids})
