@@ -233,6 +233,13 @@ def _observed(n, seed=5):
         yield (k, edge, a, source, float(rng.integers(0, 11)) / 10, text, number, bool(rng.integers(2)) if a == "bicycle-infra" and not gone else None, *spot)
 
 
+def test_votes_alike_but_for_rounding_are_ties(spark):
+    votes = [("e", "surface", "paved", 0.1 + 0.2 + 0.3, 3, 5), ("e", "surface", "unpaved", 0.6, 1, 1), ("f", "surface", "paved", 1.0, 2, 1), ("f", "surface", "unknown", 0.15000000000000002, 2, 2)]
+    got = {r.edge_id: r for r in fusion.votes_result(spark.createDataFrame(votes, "edge_id string, attribute string, v_str string, w double, m long, first long")).collect()}
+    assert got["e"].value_str == "unpaved" and got["e"].has_conflict
+    assert got["f"].value_str == "paved" and not got["f"].has_conflict
+
+
 def _fused_rows(df):
     plain = lambda v: round(v, 7) if isinstance(v, float) else v
     return {(r.edge_id, r.attribute): tuple(map(plain, r))[2:] for r in df.collect()}
