@@ -240,6 +240,17 @@ def test_votes_alike_but_for_rounding_are_ties(spark):
     assert got["f"].value_str == "paved" and not got["f"].has_conflict
 
 
+def test_flags_are_summed_in_order_of_arrival(spark):
+    row = lambda seq, source, sure, v: (seq, "e", "bicycle-infra", source, sure, None, None, v, None, None, None)
+    # 0.1 + 0.2 + 0.3 is over 0.6 in this order only
+    rows = [row(4, "mapillary", 1.0, True), row(3, "other", 0.6, False), row(2, "other", 0.4, False), row(1, "other", 0.2, False)]
+    for given in (rows, rows[::-1]):
+        (got,) = fusion.fuse_flags(spark.createDataFrame(given, OBS).coalesce(1)).collect()
+        assert (got.value_bool, got.n) == (False, 4)
+    tie = [("e", "bicycle-infra", 0.7, 0.30000000000000004, 2)]
+    assert not fusion.flags_result(spark.createDataFrame(tie, "edge_id string, attribute string, yes double, no double, n long")).first().has_conflict
+
+
 def _fused_rows(df):
     plain = lambda v: round(v, 7) if isinstance(v, float) else v
     return {(r.edge_id, r.attribute): tuple(map(plain, r))[2:] for r in df.collect()}
