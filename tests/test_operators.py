@@ -251,6 +251,12 @@ def test_flags_are_summed_in_order_of_arrival(spark):
     assert not fusion.flags_result(spark.createDataFrame(tie, "edge_id string, attribute string, yes double, no double, n long")).first().has_conflict
 
 
+def test_a_variance_at_the_limit_is_no_conflict(spark):
+    sums = [("e", "scenic", 1.0, 0.6, 0.10000000000000002, 4), ("f", "scenic", 1.0, 0.6, 0.1000001, 4)]
+    got = fusion.mean_result(spark.createDataFrame(sums, "edge_id string, attribute string, total double, s double, var double, n long")).collect()
+    assert {r.edge_id: r.has_conflict for r in got} == {"e": False, "f": True}
+
+
 def _fused_rows(df):
     plain = lambda v: round(v, 7) if isinstance(v, float) else v
     return {(r.edge_id, r.attribute): tuple(map(plain, r))[2:] for r in df.collect()}
