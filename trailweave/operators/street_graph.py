@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from trailweave.functions import geo, tags as T
 from trailweave.functions.tables import ROAD_HIGHWAYS, TRAIL_HIGHWAYS
+from trailweave.operators.joins import shuffled
 
 EDGE_FLAGS = ("has_bicycle_infra", "has_pedestrian_path", "has_shoulder", "is_separated", "has_traffic_calming")
 
@@ -47,7 +48,7 @@ def relevant_ways(osm_ways: DataFrame) -> DataFrame:
 def referenced_nodes(osm_nodes: DataFrame, osm_ways: DataFrame) -> DataFrame:
     """Nodes that a way refers to."""
     refs = osm_ways.select(F.explode("refs").alias("id")).distinct()
-    return osm_nodes.join(refs, "id", "left_semi")
+    return osm_nodes.join(shuffled(refs), "id", "left_semi")
 
 
 def node_references(osm_ways: DataFrame) -> DataFrame:
@@ -83,11 +84,11 @@ def resolved_points(osm_nodes: DataFrame, osm_ways: DataFrame) -> DataFrame:
         F.count("*").alias("refs"), (F.bool_or("on_trail") & F.bool_or("on_road")).alias("meets")
     )
     nodes = latest_nodes(osm_nodes).select(F.col("id").alias("node_id"), "lat", F.col("lon").alias("lng"), T.tag(F.col("tags"), "highway").alias("highway"))
-    known = counts.join(nodes, "node_id")
+    known = counts.join(shuffled(nodes), "node_id")
     order = Window.partitionBy("way_id", "way_seq").orderBy("ref_pos")
     return (
         exploded.select("way_seq", "way_id", "ref_pos", "node_id", "on_trail")
-        .join(known, "node_id")
+        .join(shuffled(known), "node_id")
         .withColumn("pos", F.row_number().over(order) - 1)
         .drop("ref_pos")
     )
@@ -142,7 +143,7 @@ def build_graph(osm_nodes: DataFrame, osm_ways: DataFrame) -> Graph:
         )
     )
     order = Window.partitionBy("way_id", "way_seq").orderBy("start_pos")
-    segments = way_segments(points).withColumn("segment", F.row_number().over(order) - 1).join(ways, ["way_id", "way_seq"])
+    segments = way_segments(points).withColumn("segment", F.row_number().over(order) - 1).join(shuffled(ways), ["way_id", "way_seq"])
 
     def counted(test) -> Column:
         return F.size(F.filter("points", test)).cast("int")
