@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.functions import geo
+from trailweave.operators.joins import shuffled
 
 RADIUS_M, CELL_M = 50.0, 100.0
 
@@ -41,10 +42,10 @@ def _within(points: DataFrame, edges: DataFrame, mean_lat: float) -> DataFrame:
     Cells pair ids only; a pair's line is fetched once, however many cells the two share.
     """
     cos_lat = F.cos(F.radians(F.lit(mean_lat)))
-    pairs = _around(points, mean_lat).join(edge_cells(edges, mean_lat).drop("geometry"), ["cx", "cy"]).drop("cx", "cy").distinct()
+    pairs = _around(points, mean_lat).join(shuffled(edge_cells(edges, mean_lat).drop("geometry")), ["cx", "cy"]).drop("cx", "cy").distinct()
     lines = edges.select(F.col("id").alias("edge_id"), "geometry")
     return (
-        pairs.join(lines, "edge_id")
+        pairs.join(shuffled(lines), "edge_id")
         .withColumn("distance", geo.line_distance(F.col("lat"), F.col("lng"), F.col("geometry"), cos_lat))
         .where(F.col("distance") < RADIUS_M)
         .drop("geometry")
@@ -69,7 +70,7 @@ def line_edges(lines: DataFrame, edges: DataFrame, mean_lat: float) -> DataFrame
 def way_edges(observations: DataFrame, edges: DataFrame) -> DataFrame:
     """``obs_id, edge_id``: all edges of the way that an observation names."""
     return observations.where("osm_way_id is not null").select("obs_id", "osm_way_id").join(
-        edges.select(F.col("id").alias("edge_id"), "osm_way_id"), "osm_way_id"
+        shuffled(edges.select(F.col("id").alias("edge_id"), "osm_way_id")), "osm_way_id"
     ).select("obs_id", "edge_id")
 
 
@@ -77,7 +78,7 @@ def match(observations: DataFrame, edges: DataFrame, mean_lat: float) -> DataFra
     """``obs_id, edge_id`` of ``observations(obs_id, osm_way_id, geometry)``: by way id where an edge
     has it, else one point to its nearest edge, else along the line; the rest matches nothing."""
     by_way = way_edges(observations, edges)
-    rest = observations.join(by_way.select("obs_id").distinct(), "obs_id", "left_anti")
+    rest = observations.join(shuffled(by_way.select("obs_id").distinct()), "obs_id", "left_anti")
     single = rest.where(F.size("geometry") == 1).select("obs_id", F.col("geometry")[0]["lat"].alias("lat"), F.col("geometry")[0]["lng"].alias("lng"))
     return by_way.unionByName(nearest_edges(single, edges, mean_lat).select("obs_id", "edge_id")).unionByName(
         line_edges(rest.where(F.size("geometry") > 1), edges, mean_lat)

@@ -15,6 +15,7 @@ from trailweave.functions import geo, scoring, tags as T, tiles
 from trailweave.functions.numbers import round_half_up
 from trailweave.operators import chains, corridors, elevation, export, fusion, location, matching, ranks, reports, search, street_graph as sg
 from trailweave.operators.iterate import discard, scratch_path, settled
+from trailweave.operators.joins import shuffled
 from trailweave.operators.lines import simplified
 from trailweave.functions.tables import RELEVANT_HIGHWAYS
 from trailweave.plans import derived as D
@@ -128,7 +129,7 @@ _PAIR = "FROM nodes0 a JOIN nodes0 b ON b.id = a.id + 65"
 def _pairs(spark, d) -> DataFrame:
     n = D.osm_nodes(spark, d).select("id", "lat", F.col("lon").alias("lng"))
     b = n.select((F.col("id") - 65).alias("id"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"))
-    return n.join(b, "id")
+    return n.join(shuffled(b), "id")
 
 
 @query(
@@ -335,13 +336,13 @@ _W = {
 
 def _matched(spark, d) -> DataFrame:
     e = _graph(spark, d).edges.select(F.col("id").alias("edge_id"), "osm_way_id")
-    return D.observations(spark, d).join(e, "osm_way_id")
+    return D.observations(spark, d).join(shuffled(e), "osm_way_id")
 
 
 @query(" SELECT seq, edge_id, attribute FROM matched", observed=True)
 def join_07_way_match(spark, d):
     o = D.observations(spark, d).withColumnRenamed("seq", "obs_id")
-    m = matching.way_edges(o, _graph(spark, d).edges).join(o.select("obs_id", "attribute"), "obs_id")
+    m = matching.way_edges(o, _graph(spark, d).edges).join(shuffled(o.select("obs_id", "attribute")), "obs_id")
     return m.select(F.col("obs_id").alias("seq"), "edge_id", "attribute")
 
 
@@ -521,7 +522,7 @@ def join_04_continuations(spark, d):
     e = _graph(spark, d).edges
     p = chains.continuations(e)
     ids = e.select("seq", "id")
-    return p.join(ids.select(F.col("seq").alias("a"), F.col("id").alias("a_id")), "a").join(ids.select(F.col("seq").alias("b"), F.col("id").alias("b_id")), "b").select(
+    return p.join(shuffled(ids.select(F.col("seq").alias("a"), F.col("id").alias("a_id"))), "a").join(shuffled(ids.select(F.col("seq").alias("b"), F.col("id").alias("b_id"))), "b").select(
         "a_id", "b_id", F.round("score", 6).alias("score")
     )
 
@@ -761,9 +762,9 @@ def _way_network(spark, d, g: sg.Graph | None = None) -> corridors.Network:
     members = settled(_way_members(g.edges), "members")
     lines = corridors.geometries(members, g.edges, 1e-3)
     near, even = settled(corridors.adjacency(members, g.edges), "adjacency"), F.col("id").cast("long") % 2 == 0
-    own = _way_corridors(spark, d, g.edges).where(even).join(lines, "id").withColumn("is_destination", F.col("id").cast("long") % 10 == 0)
+    own = _way_corridors(spark, d, g.edges).where(even).join(shuffled(lines), "id").withColumn("is_destination", F.col("id").cast("long") % 10 == 0)
     links = near.where((F.col("a").cast("long") % 2 == 1) & (F.col("b").cast("long") % 2 == 0)).groupBy(F.col("a").alias("id")).agg(F.array_sort(F.collect_set("b")).alias("corridor_ids"))
-    joining = corridors.connector_attributes(members.where(~even), g).join(links, "id").join(lines, "id")
+    joining = corridors.connector_attributes(members.where(~even), g).join(shuffled(links), "id").join(shuffled(lines), "id")
     return corridors.Network(own, joining, members, near)
 
 
@@ -818,7 +819,7 @@ def win_04_profiles(spark, d):
     e = _graph(spark, d).edges
     ways = D.osm_ways(spark, d).where(T.reversed_one_way(F.col("tags"))).select(F.col("id").cast("string").alias("id"))
     heights = D.osm_nodes(spark, d).select(F.col("id").cast("string").alias("node"), (F.lit(180.0) + (F.col("id") * 37) % 101 * 0.5).alias("z"))
-    p = elevation.profiles(_way_members(e).join(ways, "id", "left_anti"), e, node_heights=heights)
+    p = elevation.profiles(_way_members(e).join(shuffled(ways), "id", "left_anti"), e, node_heights=heights)
     total = F.aggregate("profile", F.lit(0.0), lambda s, z: s + z)
     return p.select("id", F.size("profile").cast("long").alias("samples"), F.round(total, 4).alias("total"), F.round(F.array_min("profile"), 4).alias("least"), F.round(F.array_max("profile"), 4).alias("most"))
 
@@ -985,7 +986,7 @@ def geo_16_way_geometry(spark, d):
     e = _graph(spark, d).edges
     turned = D.osm_ways(spark, d).where(T.reversed_one_way(F.col("tags"))).select(F.col("id").cast("string").alias("id"))
     many = _way_members(e).groupBy("id").count().where("count > 1").select("id")
-    g = corridors.geometries(_way_members(e).join(turned.join(many, "id", "left_semi"), "id", "left_anti"), e)
+    g = corridors.geometries(_way_members(e).join(shuffled(turned.join(shuffled(many), "id", "left_semi")), "id", "left_anti"), e)
     return g.select("id", F.size("geometry").cast("long").alias("points"), F.round(F.col("geometry")[0]["lat"], 7).alias("lat"), F.round(F.col("geometry")[0]["lng"], 7).alias("lng"))
 
 
