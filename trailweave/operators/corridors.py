@@ -12,6 +12,7 @@ from trailweave.functions.compat import ChainOptions
 from trailweave.functions.numbers import share
 from trailweave.operators import chains as C
 from trailweave.operators.iterate import settled
+from trailweave.operators.joins import shuffled
 from trailweave.operators.lines import simplified
 from trailweave.operators.street_graph import Graph
 
@@ -37,7 +38,7 @@ def predominant(rows: DataFrame, key: str, value: str) -> DataFrame:
 def roll_up(members: DataFrame, edges: DataFrame) -> DataFrame:
     """Attributes of each group of ``members(id, pos, edge_id)``: lengths, shares, densities, turns, hills."""
     out_degree = edges.groupBy(F.col("from_node").alias("node")).agg(F.count("*").alias("out"))
-    rows = members.select(F.col("id").alias("gid"), "pos", "edge_id").join(edges, F.col("edge_id") == edges["id"]).drop("id").withColumnRenamed("gid", "id")
+    rows = members.select(F.col("id").alias("gid"), "pos", "edge_id").join(shuffled(edges), F.col("edge_id") == edges["id"]).drop("id").withColumnRenamed("gid", "id")
     order = Window.partitionBy("id").orderBy("pos")
     rows = rows.withColumn("leaves", geo.exit_bearing(F.col("geometry"))).withColumn("turned", geo.turn(F.lag("leaves").over(order), geo.entry_bearing(F.col("geometry"))))
     # one table for the sums, the ends and the predominant values
@@ -66,8 +67,8 @@ def roll_up(members: DataFrame, edges: DataFrame) -> DataFrame:
         F.max_by("to_node", "pos").alias("end_node"),
     )
     ends = rows.select("id", F.explode(F.array("from_node", "to_node")).alias("node")).distinct()
-    busy = ends.join(out_degree.where("out > 2"), "node").groupBy("id").agg(F.count("*").alias("_busy"))
-    whole = summed.join(busy, "id", "left").join(predominant(rows, "id", "road_class"), "id").join(predominant(rows, "id", "surface"), "id")
+    busy = ends.join(shuffled(out_degree.where("out > 2")), "node").groupBy("id").agg(F.count("*").alias("_busy"))
+    whole = summed.join(shuffled(busy), "id", "left").join(shuffled(predominant(rows, "id", "road_class")), "id").join(shuffled(predominant(rows, "id", "surface")), "id")
     km = F.col("length_m") / 1000
     mean = F.col("_grade") / F.col("_grade_m")
     spread = F.sqrt(F.greatest(F.col("_grade2") / F.col("_grade_m") - mean * mean, F.lit(0.0)))
@@ -116,7 +117,7 @@ def confidences(members: DataFrame, edges: DataFrame) -> DataFrame:
         "scenic": ("scenic",),
         "elevation": (),
     }
-    rows = members.select(F.col("id").alias("gid"), "edge_id").join(edges.where("enrichment is not null"), F.col("edge_id") == edges["id"])
+    rows = members.select(F.col("id").alias("gid"), "edge_id").join(shuffled(edges.where("enrichment is not null")), F.col("edge_id") == edges["id"])
 
     def value(names: tuple[str, ...]) -> Column:
         if not names:
@@ -155,7 +156,7 @@ def corridor_type() -> Column:
 
 def geometries(members: DataFrame, edges: DataFrame, tolerance_m: float = 10.0) -> DataFrame:
     """``id, geometry``: the edges' lines end to end, simplified."""
-    rows = members.select(F.col("id").alias("gid"), "pos", "edge_id").join(edges.select("id", "geometry"), F.col("edge_id") == F.col("id"))
+    rows = members.select(F.col("id").alias("gid"), "pos", "edge_id").join(shuffled(edges.select("id", "geometry")), F.col("edge_id") == F.col("id"))
     lines = rows.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("pos", "geometry"))).alias("lines"))
     whole = lines.select(F.col("gid").alias("id"), geo.joined(F.transform("lines", lambda x: x["geometry"])).alias("geometry"))
     return whole.select("id", simplified(F.col("geometry"), tolerance_m).alias("geometry"))
@@ -163,7 +164,7 @@ def geometries(members: DataFrame, edges: DataFrame, tolerance_m: float = 10.0)
 
 def connector_attributes(members: DataFrame, graph: Graph) -> DataFrame:
     """``id, length_m, crosses_major, has_signal, has_stop, difficulty`` of each group."""
-    rows = members.select(F.col("id").alias("gid"), "pos", "edge_id").join(graph.edges, F.col("edge_id") == graph.edges["id"]).drop("id")
+    rows = members.select(F.col("id").alias("gid"), "pos", "edge_id").join(shuffled(graph.edges), F.col("edge_id") == graph.edges["id"]).drop("id")
     n = lambda c: F.coalesce(F.col(c), F.lit(0)) > 0
     summed = rows.groupBy(F.col("gid").alias("id")).agg(
         F.sum("length_m").alias("length_m"),
@@ -176,7 +177,7 @@ def connector_attributes(members: DataFrame, graph: Graph) -> DataFrame:
     flags = graph.nodes.select(F.col("id").alias("node"), F.col("has_signal").alias("s"), (F.col("has_stop") | F.col("is_crossing")).alias("t"))
     for end in ("start_node", "end_node"):
         summed = (
-            summed.join(flags.withColumnRenamed("node", end), end, "left")
+            summed.join(shuffled(flags.withColumnRenamed("node", end)), end, "left")
             .withColumn("signal", F.col("signal") | F.coalesce("s", F.lit(False)))
             .withColumn("stop", F.col("stop") | F.coalesce("t", F.lit(False)))
             .drop("s", "t")
@@ -206,8 +207,8 @@ def adjacency(members: DataFrame, edges: DataFrame) -> DataFrame:
     A node's groups are few (they need an edge there), so the self-join on the node is linear.
     """
     ends = edges.select(F.col("id").alias("edge_id"), F.explode(F.array("from_node", "to_node")).alias("node"))
-    at = members.select("id", "edge_id").join(ends, "edge_id").select("id", "node").distinct()
-    return at.select(F.col("id").alias("a"), "node").join(at.select(F.col("id").alias("b"), "node"), "node").where("a <> b").select("a", "b").distinct()
+    at = members.select("id", "edge_id").join(shuffled(ends), "edge_id").select("id", "node").distinct()
+    return at.select(F.col("id").alias("a"), "node").join(shuffled(at.select(F.col("id").alias("b"), "node")), "node").where("a <> b").select("a", "b").distinct()
 
 
 def build_network(graph: Graph, options: ChainOptions | None = None, by_tier: dict[str, float] | None = None) -> Network:
@@ -222,13 +223,13 @@ def build_network(graph: Graph, options: ChainOptions | None = None, by_tier: di
     prefix = F.when(F.col("is_corridor"), "corridor-").otherwise("connector-")
     named = kinds.withColumn("id", F.concat(prefix, F.col("chain_id").cast("string")))
     members = settled(
-        chains.unionByName(saved).join(named, "chain_id").select("id", "pos", "edge_id", "is_corridor", "is_destination"), "members"
+        chains.unionByName(saved).join(shuffled(named), "chain_id").select("id", "pos", "edge_id", "is_corridor", "is_destination"), "members"
     )
     near = settled(adjacency(members, edges), "adjacency")
     is_corridor = members.select("id", "is_corridor", "is_destination").distinct()
     links = (
-        near.join(is_corridor.where("NOT is_corridor").select(F.col("id").alias("a")), "a", "left_semi")
-        .join(is_corridor.where("is_corridor").select(F.col("id").alias("b"), "is_destination"), "b")
+        near.join(shuffled(is_corridor.where("NOT is_corridor").select(F.col("id").alias("a"))), "a", "left_semi")
+        .join(shuffled(is_corridor.where("is_corridor").select(F.col("id").alias("b"), "is_destination")), "b")
         .groupBy(F.col("a").alias("id"))
         .agg(F.array_sort(F.collect_set("b")).alias("corridor_ids"), F.bool_or("is_destination").alias("to_destination"))
     )
@@ -238,19 +239,19 @@ def build_network(graph: Graph, options: ChainOptions | None = None, by_tier: di
     names = C.name_shares(own.select(F.col("id").alias("chain_id"), "pos", "edge_id"), edges).withColumnRenamed("chain_id", "id")
     corridors = (
         rolled.withColumn("type", corridor_type())
-        .join(names.select("id", "name"), "id")
-        .join(geometries(own, edges), "id")
-        .join(is_corridor.select("id", "is_destination"), "id")
+        .join(shuffled(names.select("id", "name")), "id")
+        .join(shuffled(geometries(own, edges)), "id")
+        .join(shuffled(is_corridor.select("id", "is_destination")), "id")
     )
     if "enrichment" in edges.columns:
-        corridors = corridors.join(confidences(own, edges), "id", "left")
+        corridors = corridors.join(shuffled(confidences(own, edges)), "id", "left")
     else:
         none = "struct<surface:double,speed_limit:double,traffic_control:double,infrastructure:double,scenic:double,elevation:double>"
         corridors = corridors.withColumn("confidence", F.lit(None).cast(none))
-    joining = members.where("NOT is_corridor").join(linked.select("id"), "id", "left_semi")
-    connectors = connector_attributes(joining, graph).join(linked.select("id", "corridor_ids"), "id").join(geometries(joining, edges), "id")
+    joining = members.where("NOT is_corridor").join(shuffled(linked.select("id")), "id", "left_semi")
+    connectors = connector_attributes(joining, graph).join(shuffled(linked.select("id", "corridor_ids")), "id").join(shuffled(geometries(joining, edges)), "id")
     alive = own.select("id").union(joining.select("id")).distinct()
-    kept = near.join(alive.withColumnRenamed("id", "a"), "a", "left_semi").join(alive.withColumnRenamed("id", "b"), "b", "left_semi")
+    kept = near.join(shuffled(alive.withColumnRenamed("id", "a")), "a", "left_semi").join(shuffled(alive.withColumnRenamed("id", "b")), "b", "left_semi")
     entity_edges = own.select("id", "pos", "edge_id").unionByName(joining.select("id", "pos", "edge_id"))
     return Network(corridors, connectors, entity_edges, kept)
 
