@@ -11,6 +11,7 @@ from trailweave.functions import geo
 from trailweave.functions.compat import ChainOptions
 from trailweave.operators.corridors import Network, build_network
 from trailweave.operators.iterate import settled
+from trailweave.operators.joins import shuffled
 from trailweave.operators.street_graph import Graph
 
 BUFFER_KM = 2.0
@@ -33,14 +34,14 @@ def within_box(network: Network, box: dict[str, float]) -> Network:
     ids = own.select("id")
     living = (
         network.connectors.select("id", F.posexplode("corridor_ids").alias("k", "c"))
-        .join(ids.withColumnRenamed("id", "c"), "c", "left_semi")
+        .join(shuffled(ids.withColumnRenamed("id", "c")), "c", "left_semi")
         .groupBy("id")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("corridor_ids"))
     )
-    joining = settled(network.connectors.drop("corridor_ids").join(living, "id").select(network.connectors.columns), "joining")
+    joining = settled(network.connectors.drop("corridor_ids").join(shuffled(living), "id").select(network.connectors.columns), "joining")
     alive = ids.unionByName(joining.select("id"))
-    links = network.adjacency.join(alive.withColumnRenamed("id", "a"), "a", "left_semi").join(alive.withColumnRenamed("id", "b"), "b", "left_semi")
-    return Network(own, joining, network.entity_edges.join(alive, "id", "left_semi"), links.select("a", "b"))
+    links = network.adjacency.join(shuffled(alive.withColumnRenamed("id", "a")), "a", "left_semi").join(shuffled(alive.withColumnRenamed("id", "b")), "b", "left_semi")
+    return Network(own, joining, network.entity_edges.join(shuffled(alive), "id", "left_semi"), links.select("a", "b"))
 
 
 def location_stats(network: Network) -> DataFrame:
